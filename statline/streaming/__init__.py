@@ -1,0 +1,7 @@
+"""No streaming operators.
+
+The reference is a pure batch application: no stream source, watermark,
+window or stateful operator exists in it, so nothing is built here.  The
+batch jobs in :mod:`statline.plans.jobs` are written as single lazy plans
+and could be driven from ``foreachBatch`` if a caller needs that.
+"""
