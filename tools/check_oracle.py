@@ -23,9 +23,10 @@ from statline.sources.tables import TABLES  # noqa: E402
 def norm(v):
     if isinstance(v, float):
         if math.isnan(v):
-            return "nan"
-        return float(v)
-    if v is None:
+            return None
+        return int(v) if v.is_integer() and abs(v) < 2**53 else float(v)
+    if v is None or v is getattr(__import__("pandas"), "NA", None) or v is getattr(
+            __import__("pandas"), "NaT", None):
         return None
     if hasattr(v, "item"):
         return v.item()
