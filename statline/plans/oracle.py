@@ -217,6 +217,29 @@ FROM (SELECT {keys}, {pivot} FROM ({union}) u) v
 GROUP BY {keys}""")
 
 
+def _clean(x: str) -> str:
+    out = f"regexp_replace({x}, '<[^>]*>', '', 'g')"
+    for ent, ch in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"),
+                    ("&nbsp;", " "), ("&amp;", "&")):
+        out = f"replace({out}, '{ent}', '{ch}')"
+    return out
+
+
+_HTML_ROWS_PAGES = f"""
+WITH t AS (
+  SELECT page_id,
+         unnest(regexp_extract_all(html, '(?is)<table[^>]*\\bclass\\s*=\\s*"data"[^>]*>(.*?)</table>', 1))
+           AS tbl
+  FROM pages),
+r AS (SELECT page_id, regexp_extract_all(tbl, '(?is)<tr\\b[^>]*>(.*?)</tr>', 1) AS rws FROM t),
+b AS (SELECT page_id, rws[1] AS title, unnest(rws[3:]) AS tr FROM r WHERE len(rws) >= 2),
+c AS (SELECT page_id, title, regexp_extract_all(tr, '(?is)<td\\b[^>]*>(.*?)</td>', 1) AS cells
+      FROM b)
+SELECT page_id, {", ".join(_clean(f"cells[{i}]") + f" AS c{i}" for i in range(1, 7))},
+       {_clean("nullif(regexp_extract(title, '(?is)<a\\b[^>]*>(.*?)</a>', 1), '')")} AS team
+FROM c WHERE len(cells) = 6"""
+
+
 def oracle_sql() -> dict[str, str]:
     points = "SELECT player, gid, passing, rushing, receiving FROM points"
     q = {
@@ -251,4 +274,39 @@ SELECT players.player, p.seas, p.totalPts, p.stddev, p.pos1
 FROM prediction p JOIN players ON players.player = p.player
 WHERE p.pos1 IN ('WR', 'RB', 'QB', 'TE')"""),
     }
+    html_rows = """
+SELECT CAST(s_suppkey AS VARCHAR) AS c1, s_name AS c2, n_name AS c3,
+       CAST(CAST(floor(s_acctbal) AS BIGINT) AS VARCHAR) AS c4, r_name AS c5,
+       'good & active' AS c6, n_name AS team
+FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
+WHERE s_acctbal >= 0"""
+    q.update({
+        "within_scalar": _with("""
+SELECT player, gid, CAST(sum(p_yds) AS BIGINT) AS passes_yds,
+       CAST(sum(r_yds) AS BIGINT) AS rushes_yds, CAST(sum(c_yds) AS BIGINT) AS receptions_yds
+FROM stacked GROUP BY player, gid"""),
+        "collect_distinct": _with("""
+SELECT p.gid, string_agg(DISTINCT n.position, ',' ORDER BY n.position) AS positions
+FROM points p JOIN norm_positions n ON n.player_id = p.player GROUP BY p.gid"""),
+        "array_union": _with("""
+SELECT player, gid, CAST(count(DISTINCT pid) AS BIGINT) AS plays
+FROM (SELECT player, gid, pid FROM pass_plays
+      UNION ALL SELECT player, gid, pid FROM reception_plays) u
+GROUP BY player, gid"""),
+        "schedule_csv": """
+SELECT CAST((dayofyear(o_orderdate) - 1) // 7 + 1 AS INTEGER) AS week,
+       strftime(o_orderdate, '%a') AS weekday, strftime(o_orderdate, '%Y-%m-%d') AS game_date,
+       c_name AS team, n_name AS opponent, CAST(year(o_orderdate) AS INTEGER) AS season
+FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey""",
+        "html_table_rows": html_rows,
+        "html_table_rows_pages": _HTML_ROWS_PAGES,
+        "sink_injury_csv": html_rows,
+        "sink_player_yearly_stats": q["target_year_scorers"],
+        "sink_json_records": q["target_year_scorers"],
+        "sink_rosters": q["rosters"],
+        "sink_position_groups": q["position_groups"],
+        "sink_position_counts": q["position_counts"],
+        "sink_create_if_not_exists": q["season_stats"],
+        "sink_prediction_extract": q["prediction_extract"],
+    })
     return q

@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from statline.functions.arrays import fold_sums
+from statline.functions.arrays import collect_distinct, fold_sums, null_safe_array_union, within
 from statline.operators import positions as P
 from statline.operators import predict as PR
 from statline.operators import rosters as R
@@ -21,7 +21,12 @@ from statline.operators import scoring as SC
 from statline.operators import sessions as S
 from statline.operators import stats as ST
 from statline.operators import topk as T
+from statline.session import scratch_path
+from statline.sources import html_tables as H
+from statline.sources import schedule as SCH
+from statline.sources import sinks as K
 from statline.sources.play_views import TARGET_YEAR, PlayTables, play_tables
+from statline.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -105,6 +110,123 @@ def _prediction(t: PlayTables) -> DataFrame:
     return PR.player_prediction(points(t), t.games, t.players)
 
 
+def within_scalar(spark: SparkSession, d: str) -> DataFrame:
+    """Scalar in-row query (``within``) per player-game session: yards per kind."""
+    s = S.scoring_sessions(play_tables(spark, d), by_game=True)
+    per_part = s.select("player", "gid", *[
+        within(arr, ["yds"], lambda t: t["yds"]).alias(f"{arr}_yds")
+        for arr in ("passes", "rushes", "receptions")])
+    return per_part.groupBy("player", "gid").agg(
+        *[F.sum(f"{arr}_yds").alias(f"{arr}_yds") for arr in ("passes", "rushes", "receptions")])
+
+
+def positions_per_game(spark: SparkSession, d: str) -> DataFrame:
+    """collect_distinct: sorted distinct roster positions of the players with
+    points in each game (a set bounded by the position vocabulary)."""
+    t = play_tables(spark, d)
+    pos = P.normalized_positions(t.players)
+    pts = points(t).select(F.col("player").alias("player_id"), "gid")
+    return (pts.join(pos, "player_id").groupBy("gid")
+            .agg(F.array_join(collect_distinct("position"), ",").alias("positions")))
+
+
+def passer_receiver_plays(spark: SparkSession, d: str) -> DataFrame:
+    """array_union: distinct play ids a player took part in as passer or
+    receiver, per player-game.  Parts hold disjoint plays, so part sizes add."""
+    s = S.scoring_sessions(play_tables(spark, d), by_game=True)
+    pids = {a: F.transform(a, lambda x: x["pid"]) for a in ("passes", "receptions")}
+    u = null_safe_array_union(F.when(F.col("passes").isNotNull(), pids["passes"]),
+                              F.when(F.col("receptions").isNotNull(), pids["receptions"]))
+    return (s.filter(F.col("passes").isNotNull() | F.col("receptions").isNotNull())
+            .select("player", "gid", F.size(u).alias("n"))
+            .groupBy("player", "gid").agg(F.sum("n").cast("bigint").alias("plays")))
+
+
+def schedule_csv(spark: SparkSession, d: str) -> DataFrame:
+    """Schedule lines rendered from orders, written as headerless CSV text
+    (one folder per season) and read back with the schedule schema."""
+    path = scratch_path(spark, "schedule")
+    SCH.write_schedule(SCH.render_schedule(table(spark, d, "orders"), table(spark, d, "customer"),
+                                           table(spark, d, "nation")), path)
+    return SCH.read_schedule(spark, path).select(
+        "week", "weekday", F.date_format("game_date", "yyyy-MM-dd").alias("game_date"),
+        "team", "opponent", "season")
+
+
+def _supplier_pages(spark: SparkSession, d: str) -> DataFrame:
+    return H.render_supplier_pages(table(spark, d, "supplier"), table(spark, d, "nation"),
+                                   table(spark, d, "region"))
+
+
+def html_table_rows(spark: SparkSession, d: str) -> DataFrame:
+    return H.table_rows(_supplier_pages(spark, d)).select(*H.CELL_COLUMNS, "team")
+
+
+def html_table_rows_pages(spark: SparkSession, d: str) -> DataFrame:
+    """The extractor over the shared ``pages`` table as it is."""
+    return H.table_rows(table(spark, d, "pages")).select("page_id", *H.CELL_COLUMNS, "team")
+
+
+# --- sinks: write to a fresh folder in the shared directory, read back -------
+
+def sink_injury_csv(spark: SparkSession, d: str) -> DataFrame:
+    path = scratch_path(spark, "injuries")
+    K.write_csv(html_table_rows(spark, d), path)
+    schema = ", ".join(f"{c} string" for c in (*H.CELL_COLUMNS, "team"))
+    return spark.read.schema(schema).csv(path)
+
+
+def sink_player_yearly_stats(spark: SparkSession, d: str) -> DataFrame:
+    path = scratch_path(spark, "yearly")
+    K.write_player_yearly_stats(yearly(play_tables(spark, d)), path)
+    return ST.flatten_yearly(spark.read.parquet(path))
+
+
+def sink_json_records(spark: SparkSession, d: str) -> DataFrame:
+    path = scratch_path(spark, "yearly-json")
+    K.write_json_lines(yearly(play_tables(spark, d)), path)
+    return ST.flatten_yearly(K.read_json_lines(spark, path, K.PLAYER_YEARLY_STATS))
+
+
+def sink_rosters(spark: SparkSession, d: str) -> DataFrame:
+    path = scratch_path(spark, "rosters")
+    K.write_rosters(R.rosters(top(play_tables(spark, d), True)), path)
+    return spark.read.parquet(path)
+
+
+def sink_position_groups(spark: SparkSession, d: str) -> DataFrame:
+    path = scratch_path(spark, "positions")
+    K.write_position_groups(groups(play_tables(spark, d)), path)
+    back = K.read_json_lines(spark, path, K.PLAYER_YEARLY_STATS)
+    return back.select("slot", F.col("playerId").alias("player_id"),
+                       ST.year_mean(TARGET_YEAR).alias("mean"),
+                       ST.year_variance(TARGET_YEAR).alias("variance"))
+
+
+def sink_position_counts(spark: SparkSession, d: str) -> DataFrame:
+    path = scratch_path(spark, "position-counts")
+    counts = P.position_counts(P.normalized_positions(play_tables(spark, d).players))
+    K.write_key_counts(counts, "position", "players", path)
+    return K.read_key_counts(spark, path, "position", "players")
+
+
+def sink_create_if_not_exists(spark: SparkSession, d: str) -> DataFrame:
+    """CREATE TABLE IF NOT EXISTS twice: the second (empty) write is skipped."""
+    path = scratch_path(spark, "ctas")
+    stats = season_stats(spark, d)
+    K.create_table_as(stats, path, if_not_exists=True)
+    K.create_table_as(stats.limit(0), path, if_not_exists=True)
+    return spark.read.parquet(path)
+
+
+def sink_prediction_extract(spark: SparkSession, d: str) -> DataFrame:
+    path = scratch_path(spark, "extract")
+    t = play_tables(spark, d)
+    K.write_position_extract(PR.prediction_extract(_prediction(t), t.players), path)
+    return K.read_position_extract(spark, path).select(
+        "player", "seas", "totalPts", "stddev", "pos1")
+
+
 def queries() -> dict[str, Query]:
     q: dict[str, Query] = {
         "season_stats": season_stats,
@@ -127,6 +249,22 @@ def queries() -> dict[str, Query]:
         "prediction_extract": lambda s, d: PR.prediction_extract(
             _prediction(play_tables(s, d)), play_tables(s, d).players),
     }
+    q.update({
+        "within_scalar": within_scalar,
+        "collect_distinct": positions_per_game,
+        "array_union": passer_receiver_plays,
+        "schedule_csv": schedule_csv,
+        "html_table_rows": html_table_rows,
+        "html_table_rows_pages": html_table_rows_pages,
+        "sink_injury_csv": sink_injury_csv,
+        "sink_player_yearly_stats": sink_player_yearly_stats,
+        "sink_json_records": sink_json_records,
+        "sink_rosters": sink_rosters,
+        "sink_position_groups": sink_position_groups,
+        "sink_position_counts": sink_position_counts,
+        "sink_create_if_not_exists": sink_create_if_not_exists,
+        "sink_prediction_extract": sink_prediction_extract,
+    })
     for kind, name in (("passes", "pass"), ("rushes", "rush"), ("receptions", "reception"),
                        ("fgxp", "kick")):
         q[f"{name}_sessions"] = _session_summary(kind, False)
