@@ -86,30 +86,59 @@ PLAYS = {"passes": pass_plays, "rushes": rush_plays, "receptions": reception_pla
          "fgxp": kick_plays}
 
 
-def hot_keys(frames: Sequence[DataFrame], keys: Sequence[str], max_elems: int) -> DataFrame:
-    """Keys with more than ``max_elems`` plays over all ``frames``, with their
-    number of parts.  A partial aggregation, so a hot key costs one row per
-    map task in the shuffle."""
+# raw play table and player column of each kind (for the hot-key count)
+RAW_PLAYER = {
+    "passes": ("passes", "psr"),
+    "receptions": ("passes", "trg"),
+    "rushes": ("rushes", "bc"),
+    "fgxp": ("kicks", "fkicker"),
+}
+
+
+def _raw(t: PlayTables, name: str) -> DataFrame:
+    df = getattr(t, name)
+    return df.filter(F.col("good") == "Y") if name == "kicks" else df
+
+
+def hot_players(t: PlayTables, kinds: Sequence[str], max_elems: int) -> DataFrame:
+    """Players with more than ``max_elems`` plays of the given kinds, with
+    their number of parts.
+
+    Counted on the raw play tables (each scanned once for its pruned player
+    columns; partial aggregation, so a hot player costs one row per map task
+    in the shuffle), so no join is computed twice.  A player's count bounds
+    the count of each of their games, so the same parts serve per-player
+    and per-game sessions.
+    """
+    cols: dict[str, list[str]] = {}
+    for kind in kinds:
+        name, col = RAW_PLAYER[kind]
+        cols.setdefault(name, []).append(col)
     keyed = None
-    for f in frames:
-        k = f.select(*keys)
+    for name, cs in cols.items():
+        player = F.col(cs[0]) if len(cs) == 1 else F.explode(F.array(*cs))
+        k = _raw(t, name).select(player.alias("player"))
         keyed = k if keyed is None else keyed.unionByName(k)
-    return (keyed.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    return (keyed.filter(F.col("player") != NO_PLAYER)
+            .groupBy("player").agg(F.count(F.lit(1)).alias("_n"))
             .filter(F.col("_n") > max_elems)
-            .select(*keys, F.ceil(F.col("_n") / F.lit(max_elems)).cast("int").alias("_parts")))
+            .select("player", F.ceil(F.col("_n") / F.lit(max_elems)).cast("int").alias("_parts")))
+
+
+def with_part(plays: DataFrame, hot: DataFrame) -> DataFrame:
+    """Add ``part``: 0 for ordinary players, a hash of the play id over the
+    player's parts for hot players.  ``hot`` is tiny (usually empty), so AQE
+    broadcasts it or drops the join."""
+    return (plays.join(hot, "player", "left")
+            .withColumn("part", F.coalesce(
+                F.pmod(F.xxhash64("pid"), F.col("_parts")).cast("int"), F.lit(0)))
+            .drop("_parts"))
 
 
 def nest(plays: DataFrame, keys: Sequence[str], fields: Sequence[str], name: str,
          hot: DataFrame) -> DataFrame:
-    """Gather plays into ``keys + part + name`` rows (``collect_list`` of structs).
-
-    The join with ``hot`` is tiny (usually empty); AQE broadcasts it or,
-    when empty, removes it.
-    """
-    parted = (plays.join(hot, list(keys), "left")
-              .withColumn("part", F.coalesce(
-                  F.pmod(F.xxhash64("pid"), F.col("_parts")).cast("int"), F.lit(0))))
-    return (parted.groupBy(*keys, "part")
+    """Gather plays into ``keys + part + name`` rows (``collect_list`` of structs)."""
+    return (with_part(plays, hot).groupBy(*keys, "part")
             .agg(F.collect_list(F.struct(*fields)).alias(name)))
 
 
@@ -124,25 +153,53 @@ def _fields(kind: str, by_game: bool) -> list[str]:
 def sessions(t: PlayTables, kind: str, by_game: bool = False,
              max_elems: int = DEFAULT_MAX_ELEMS) -> DataFrame:
     """One session table: kind in passes, rushes, receptions, fgxp."""
-    keys = _keys(by_game)
-    plays = PLAYS[kind](t)
-    return nest(plays, keys, _fields(kind, by_game), kind, hot_keys([plays], keys, max_elems))
+    return nest(PLAYS[kind](t), _keys(by_game), _fields(kind, by_game), kind,
+                hot_players(t, [kind], max_elems))
 
 
-def scoring_sessions(t: PlayTables, by_game: bool = False,
-                     max_elems: int = DEFAULT_MAX_ELEMS) -> DataFrame:
-    """Full outer combination of the four sessions on player (and gid).
+KINDS = ("passes", "rushes", "receptions", "fgxp")
+
 
-    ``receptions ⟗ fgxp``, then ``⟗ rushes``, then ``⟗ passes``; the USING
-    join coalesces the keys at each level.  A missing array stays NULL.
+def scoring_sessions(t: PlayTables, by_game: bool = False,
+                     max_elems: int = DEFAULT_MAX_ELEMS, method: str = "union") -> DataFrame:
+    """The four sessions of every player (and game) side by side; a missing
+    array stays NULL.
+
+    ``method="join"`` is the reference's form: nest each kind, then
+    ``receptions ⟗ fgxp``, ``⟗ rushes``, ``⟗ passes`` (USING joins coalesce
+    the keys): four shuffles and three sort-merge joins.
+
+    ``method="union"`` (default) gives the same rows with one shuffle: the
+    plays of all kinds are stacked, each with its element in its own column,
+    and grouped once; ``collect_list`` skips the other kinds' NULLs, and an
+    array with no element is NULL.  Rows whose key has a NULL are kept apart
+    per kind, as a full outer join never matches NULL keys.
     """
     keys = _keys(by_game)
-    plays = {kind: fn(t) for kind, fn in PLAYS.items()}
-    hot = hot_keys(list(plays.values()), keys, max_elems)
-    nested = {kind: nest(df, keys, _fields(kind, by_game), kind, hot)
-              for kind, df in plays.items()}
+    plays = {kind: PLAYS[kind](t) for kind in KINDS}
+    hot = hot_players(t, KINDS, max_elems)
     on = keys + ["part"]
-    combined = (nested["receptions"].join(nested["fgxp"], on, "full")
-                .join(nested["rushes"], on, "full")
-                .join(nested["passes"], on, "full"))
-    return combined.select(*on, "passes", "rushes", "receptions", "fgxp")
+    if method == "join":
+        nested = {kind: nest(df, keys, _fields(kind, by_game), kind, hot)
+                  for kind, df in plays.items()}
+        combined = (nested["receptions"].join(nested["fgxp"], on, "full")
+                    .join(nested["rushes"], on, "full")
+                    .join(nested["passes"], on, "full"))
+        return combined.select(*on, *KINDS)
+    elem = {kind: F.struct(*_fields(kind, by_game)) for kind in KINDS}
+    elem_type = {kind: plays[kind].select(elem[kind]).schema[0].dataType for kind in KINDS}
+    stacked = None
+    for kind, df in plays.items():
+        cols = [elem[kind].alias(f"_e_{kind}") if other == kind
+                else F.lit(None).cast(elem_type[other]).alias(f"_e_{other}") for other in KINDS]
+        part = df.select(*keys, "pid", F.lit(kind).alias("_kind"), *cols)
+        stacked = part if stacked is None else stacked.unionByName(part, allowMissingColumns=False)
+    any_null_key = None
+    for k in keys:
+        cond = F.col(k).isNull()
+        any_null_key = cond if any_null_key is None else (any_null_key | cond)
+    grouped = with_part(stacked, hot).groupBy(
+        *on, F.when(any_null_key, F.col("_kind")).alias("_null_key_kind"))
+    return grouped.agg(*[
+        F.when(F.count(f"_e_{kind}") > 0, F.collect_list(f"_e_{kind}")).alias(kind)
+        for kind in KINDS]).select(*on, *KINDS)

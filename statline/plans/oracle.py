@@ -12,7 +12,7 @@ _PLAYER = "CASE WHEN {k} % 97 = 0 THEN 'XX-0000' ELSE CAST({k} AS VARCHAR) END"
 VIEWS = f"""
 li AS (
   SELECT *, concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS pid FROM lineitem),
-core AS (SELECT DISTINCT pid, l_orderkey AS gid FROM li),
+core AS (SELECT pid, l_orderkey AS gid FROM li),
 pass AS (
   SELECT pid, {_PLAYER.format(k='l_partkey')} AS psr,
          CASE WHEN l_suppkey % 23 = 0 THEN NULL ELSE CAST(l_suppkey AS VARCHAR) END AS trg,
@@ -25,11 +25,11 @@ fgxp AS (
   SELECT pid, {_PLAYER.format(k='l_partkey')} AS fkicker, l_linestatus AS fgxp,
          CAST(l_quantity AS INTEGER) AS dist, CASE WHEN l_tax > 0 THEN 'Y' ELSE 'N' END AS good
   FROM li WHERE l_returnflag = 'R'),
-scoring_14 AS (SELECT DISTINCT pid, 6 AS pts FROM li WHERE l_discount >= CAST(0.08 AS DOUBLE)),
-convs AS (SELECT DISTINCT pid FROM li WHERE l_discount = CAST(0.01 AS DOUBLE)),
-ints AS (SELECT DISTINCT pid FROM li
+scoring_14 AS (SELECT pid, 6 AS pts FROM li WHERE l_discount >= CAST(0.08 AS DOUBLE)),
+convs AS (SELECT pid FROM li WHERE l_discount = CAST(0.01 AS DOUBLE)),
+ints AS (SELECT pid FROM li
          WHERE l_discount = CAST(0.02 AS DOUBLE) AND l_returnflag = 'A'),
-fumbles AS (SELECT DISTINCT pid FROM li
+fumbles AS (SELECT pid FROM li
             WHERE l_discount = CAST(0.02 AS DOUBLE) AND l_returnflag = 'N'),
 games AS (SELECT o_orderkey AS gid, CAST(year(o_orderdate) AS INTEGER) AS seas FROM orders),
 players AS (
