@@ -92,15 +92,22 @@ def player_game_points_flat(t: PlayTables, integral: bool = True) -> DataFrame:
     Kicks contribute a row but no points.
     """
     cols = [f"{m}_{f}" for m, (_, fields) in MEASURES.items() for f in fields]
-
-    def stack(df: DataFrame, measure: str | None) -> DataFrame:
-        return df.select("player", "gid", *[
-            (F.col(c.split("_", 1)[1]).cast("bigint") if c.split("_", 1)[0] == measure
-             else F.lit(None).cast("bigint")).alias(c) for c in cols])
-
-    stacked = (stack(S.pass_plays(t), "passing")
-               .unionByName(stack(S.rush_plays(t), "rushing"))
-               .unionByName(stack(S.reception_plays(t), "receiving"))
-               .unionByName(stack(S.kick_plays(t), None)))
+    kind_of = {m: arr for m, (arr, _) in MEASURES.items()}
+
+    def stack(df: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
+        out = []
+        for c in cols:
+            m, f = c.split("_", 1)
+            v = F.lit(None).cast("bigint")
+            if kind_of[m] in kinds:
+                v = F.col(f).cast("bigint")
+                if len(kinds) > 1:
+                    v = F.when(F.col("kind") == kind_of[m], v)
+            out.append(v.alias(c))
+        return df.select("player", "gid", *out)
+
+    stacked = (stack(S.pass_roles(t), ("passes", "receptions"))
+               .unionByName(stack(S.rush_plays(t), ("rushes",)))
+               .unionByName(stack(S.kick_plays(t), ())))
     totals = stacked.groupBy("player", "gid").agg(*[F.sum(c).alias(c) for c in cols])
     return totals.select("player", "gid", *_formulas(lambda m, f: F.col(f"{m}_{f}"), integral))

@@ -86,6 +86,29 @@ PLAYS = {"passes": pass_plays, "rushes": rush_plays, "receptions": reception_pla
          "fgxp": kick_plays}
 
 
+def pass_roles(t: PlayTables) -> DataFrame:
+    """Pass plays by passer and completed receptions by target from ONE join
+    pipeline: (kind, player, gid, pid, yds, intcpt, td, conv).
+
+    Every enriched pass yields a ``passes`` row for its passer and, when no
+    interception matched (LEFT JOIN ... IS NULL, row for row the anti join),
+    a ``receptions`` row for its target.  Same rows as :func:`pass_plays`
+    plus :func:`reception_plays`, with the joins computed once.
+    """
+    df = (_with_core_and_extras(
+        t.passes.filter((F.col("psr") != NO_PLAYER) | (F.col("trg") != NO_PLAYER)), t)
+        .join(_flag(t.ints, "_int"), "pid", "left"))
+    role = F.explode(F.array(
+        F.struct(F.lit("passes").alias("kind"), F.col("psr").alias("player")),
+        F.when(F.col("_int").isNull(),
+               F.struct(F.lit("receptions").alias("kind"), F.col("trg").alias("player")))))
+    roles = df.select(role.alias("r"), "gid", "pid", "yds",
+                      F.col("_int").isNotNull().cast("int").alias("intcpt"), *_extras(df))
+    return (roles.filter(F.col("r").isNotNull() & (F.col("r")["player"] != NO_PLAYER))
+            .select(F.col("r")["kind"].alias("kind"), F.col("r")["player"].alias("player"),
+                    "gid", "pid", "yds", "intcpt", "td", "conv"))
+
+
 # raw play table and player column of each kind (for the hot-key count)
 RAW_PLAYER = {
     "passes": ("passes", "psr"),
@@ -160,6 +183,39 @@ def sessions(t: PlayTables, kind: str, by_game: bool = False,
 KINDS = ("passes", "rushes", "receptions", "fgxp")
 
 
+def stacked_elements(t: PlayTables, by_game: bool) -> DataFrame:
+    """All plays of all kinds, one row each: (player, gid, pid, _kind,
+    _e_<kind> ...) with the element struct in its kind's column, NULL in the
+    others.  Passes and receptions come from one join pipeline."""
+    def elem(df: DataFrame, kind: str):
+        return F.struct(*[F.col(f) for f in _fields(kind, by_game)])
+
+    branches = [
+        ("passes", pass_roles(t)),
+        ("rushes", rush_plays(t).withColumn("kind", F.lit("rushes"))),
+        ("fgxp", kick_plays(t).withColumn("kind", F.lit("fgxp"))),
+    ]
+    types = {}
+    for kind in KINDS:
+        src = branches[0][1] if kind in ("passes", "receptions") else dict(branches)[kind]
+        types[kind] = src.select(elem(src, kind)).schema[0].dataType
+    stacked = None
+    for name, df in branches:
+        kinds = ("passes", "receptions") if name == "passes" else (name,)
+        cols = []
+        for kind in KINDS:
+            if kind in kinds:
+                e = elem(df, kind)
+                if len(kinds) > 1:
+                    e = F.when(F.col("kind") == kind, e)
+                cols.append(e.cast(types[kind]).alias(f"_e_{kind}"))
+            else:
+                cols.append(F.lit(None).cast(types[kind]).alias(f"_e_{kind}"))
+        part = df.select("player", "gid", "pid", F.col("kind").alias("_kind"), *cols)
+        stacked = part if stacked is None else stacked.unionByName(part)
+    return stacked
+
+
 def scoring_sessions(t: PlayTables, by_game: bool = False,
                      max_elems: int = DEFAULT_MAX_ELEMS, method: str = "union") -> DataFrame:
     """The four sessions of every player (and game) side by side; a missing
@@ -176,24 +232,16 @@ def scoring_sessions(t: PlayTables, by_game: bool = False,
     per kind, as a full outer join never matches NULL keys.
     """
     keys = _keys(by_game)
-    plays = {kind: PLAYS[kind](t) for kind in KINDS}
     hot = hot_players(t, KINDS, max_elems)
     on = keys + ["part"]
     if method == "join":
-        nested = {kind: nest(df, keys, _fields(kind, by_game), kind, hot)
-                  for kind, df in plays.items()}
+        nested = {kind: nest(PLAYS[kind](t), keys, _fields(kind, by_game), kind, hot)
+                  for kind in KINDS}
         combined = (nested["receptions"].join(nested["fgxp"], on, "full")
                     .join(nested["rushes"], on, "full")
                     .join(nested["passes"], on, "full"))
         return combined.select(*on, *KINDS)
-    elem = {kind: F.struct(*_fields(kind, by_game)) for kind in KINDS}
-    elem_type = {kind: plays[kind].select(elem[kind]).schema[0].dataType for kind in KINDS}
-    stacked = None
-    for kind, df in plays.items():
-        cols = [elem[kind].alias(f"_e_{kind}") if other == kind
-                else F.lit(None).cast(elem_type[other]).alias(f"_e_{other}") for other in KINDS]
-        part = df.select(*keys, "pid", F.lit(kind).alias("_kind"), *cols)
-        stacked = part if stacked is None else stacked.unionByName(part, allowMissingColumns=False)
+    stacked = stacked_elements(t, by_game)
     any_null_key = None
     for k in keys:
         cond = F.col(k).isNull()
