@@ -83,6 +83,13 @@ def year_entry(year: int) -> Column:
     return find_first("statsByYear", lambda s: s["year"] == F.lit(year))
 
 
+def stats_by_year_map(col: Column | str = "statsByYear") -> Column:
+    """The season array as a ``map<year, stats>`` (for key tests and lookups
+    with ``map_contains_key`` / ``element_at``)."""
+    arr = F.col(col) if isinstance(col, str) else col
+    return F.map_from_entries(F.transform(arr, lambda s: F.struct(s["year"], s)))
+
+
 def scored_in(yearly: DataFrame, year: int) -> DataFrame:
     """Players (with all their seasons) who played and scored in ``year``:
     games ≠ 0 and total mean ≠ 0 (negative means pass)."""

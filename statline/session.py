@@ -39,13 +39,15 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder (``spark.checkpoint.dir``).
 
-    Only when the session names none (local tests) is a private folder
-    created and registered.
+    Only a local-mode session that names none (tests) gets a private folder;
+    on a cluster a machine-local folder would be wrong, so it is an error.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
     local = tempfile.mkdtemp(prefix="statline-ckpt-")
     spark.conf.set("spark.checkpoint.dir", local)
     return local

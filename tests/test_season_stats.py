@@ -75,3 +75,8 @@ def test_yearly_nesting_and_target_filter(spark):
     assert kept == {"x", "z"}  # y has mean 0, w has no 2000 entry; negative means pass
     flat = ST.flatten_yearly(ST.scored_in(yearly, 2000)).filter("player_id = 'x'")
     assert flat.count() == 2
+    m = yearly.select("playerId", ST.stats_by_year_map().alias("m")).select(
+        "playerId", F.map_contains_key("m", 2000).alias("has"),
+        F.try_element_at("m", F.lit(2000))["totalStats"]["mean"].alias("mean"))
+    got = {r.playerId: (r.has, r.mean) for r in m.collect()}
+    assert got["x"] == (True, 3.0) and got["w"] == (False, None)
