@@ -95,19 +95,20 @@ def player_game_points_flat(t: PlayTables, integral: bool = True) -> DataFrame:
     kind_of = {m: arr for m, (arr, _) in MEASURES.items()}
 
     def stack(df: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
+        # one selectExpr (a single JVM call) instead of a column tree per field
         out = []
         for c in cols:
             m, f = c.split("_", 1)
-            v = F.lit(None).cast("bigint")
+            v = "CAST(NULL AS BIGINT)"
             if kind_of[m] in kinds:
-                v = F.col(f).cast("bigint")
+                v = f"CAST({f} AS BIGINT)"
                 if len(kinds) > 1:
-                    v = F.when(F.col("kind") == kind_of[m], v)
-            out.append(v.alias(c))
-        return df.select("player", "gid", *out)
+                    v = f"CASE WHEN kind = '{kind_of[m]}' THEN {v} END"
+            out.append(f"{v} AS {c}")
+        return df.selectExpr("player", "gid", *out)
 
     stacked = (stack(S.pass_roles(t), ("passes", "receptions"))
                .unionByName(stack(S.rush_plays(t), ("rushes",)))
                .unionByName(stack(S.kick_plays(t), ())))
-    totals = stacked.groupBy("player", "gid").agg(*[F.sum(c).alias(c) for c in cols])
+    totals = stacked.groupBy("player", "gid").agg(*[F.expr(f"sum({c}) AS {c}") for c in cols])
     return totals.select("player", "gid", *_formulas(lambda m, f: F.col(f"{m}_{f}"), integral))

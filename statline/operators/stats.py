@@ -17,14 +17,12 @@ from statline.sources.warehouse import POINT_COLUMNS, game_seasons, player_game_
 _WIDE = "decimal(38,0)"  # products of sums cannot overflow for any realistic group
 
 
-def _mean(n: Column, s: Column) -> Column:
-    return s.cast("double") / n.cast("double")
-
-
-def _var_samp(n: Column, s: Column, ss: Column) -> Column:
-    num = n.cast(_WIDE) * ss.cast(_WIDE) - s.cast(_WIDE) * s.cast(_WIDE)
-    den = n.cast(_WIDE) * (n.cast(_WIDE) - F.lit(1))
-    return F.when(n > 1, num.cast("double") / den.cast("double")).otherwise(F.lit(0.0))
+# mean and sample variance from n = games, s = Σx, ss = Σx² (exact integers)
+_MEAN = "CAST({s} AS DOUBLE) / CAST(games AS DOUBLE)"
+_VAR_SAMP = (
+    f"CASE WHEN games > 1 THEN "
+    f"CAST(CAST(games AS {_WIDE}) * CAST({{ss}} AS {_WIDE}) - CAST({{s}} AS {_WIDE}) * CAST({{s}} AS {_WIDE}) AS DOUBLE)"
+    f" / CAST(CAST(games AS {_WIDE}) * (CAST(games AS {_WIDE}) - 1) AS DOUBLE) ELSE 0.0 END")
 
 
 def season_stats(points: DataFrame, games: DataFrame) -> DataFrame:
@@ -36,23 +34,19 @@ def season_stats(points: DataFrame, games: DataFrame) -> DataFrame:
     broadcast threshold, a shuffle join otherwise.
     """
     recs = player_game_records(points).join(game_seasons(games), "gid", "inner")
-    aggs = [F.count(F.lit(1)).alias("games")]
+    aggs = ["count(1) AS games"]
     for m in POINT_COLUMNS:
-        x = F.col(m).cast("bigint")
-        aggs += [F.sum(x).alias(f"_s_{m}"), F.sum(x * x).alias(f"_ss_{m}")]
-    g = recs.groupBy("player_id", "season").agg(*aggs)
-    n = F.col("games")
-    out = [F.col("player_id"), F.col("season"), n]
+        aggs += [f"sum(CAST({m} AS BIGINT)) AS _s_{m}",
+                 f"sum(CAST({m} AS BIGINT) * CAST({m} AS BIGINT)) AS _ss_{m}"]
+    g = recs.groupBy("player_id", "season").agg(*[F.expr(a) for a in aggs])
+    out = ["player_id", "season", "games"]
     for m in POINT_COLUMNS:
-        out += [_mean(n, F.col(f"_s_{m}")).alias(f"{m}_mean"),
-                _var_samp(n, F.col(f"_s_{m}"), F.col(f"_ss_{m}")).alias(f"{m}_variance")]
-    g = g.select(*out)
+        out += [f"{_MEAN.format(s=f'_s_{m}')} AS {m}_mean",
+                f"{_VAR_SAMP.format(s=f'_s_{m}', ss=f'_ss_{m}')} AS {m}_variance"]
     # totals: sum of the three means and of the three variances (no covariance)
-    return g.withColumn(
-        "total_mean", F.col("passing_mean") + F.col("rushing_mean") + F.col("receiving_mean")
-    ).withColumn(
-        "total_variance",
-        F.col("passing_variance") + F.col("rushing_variance") + F.col("receiving_variance"))
+    out += [" + ".join(f"{m}_mean" for m in POINT_COLUMNS) + " AS total_mean",
+            " + ".join(f"{m}_variance" for m in POINT_COLUMNS) + " AS total_variance"]
+    return g.selectExpr(*out[:3], *out[3:9]).selectExpr("*", *out[9:])
 
 
 def _summary(prefix: str) -> Column:
