@@ -42,20 +42,33 @@ def shared_dir(spark: SparkSession) -> str:
     Only a local-mode session that names none (tests) gets a private folder;
     on a cluster a machine-local folder would be wrong, so it is an error.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
-        "spark.checkpoint.dir", None)
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    sc = _context(spark)
+    if not configured and sc is not None:
+        configured = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if configured:
         return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if sc is None or not sc.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
     local = tempfile.mkdtemp(prefix="statline-ckpt-")
     spark.conf.set("spark.checkpoint.dir", local)
     return local
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Make ``DataFrame.checkpoint()`` usable; returns the checkpoint root."""
-    sc = spark.sparkContext
+def _context(spark: SparkSession):
+    """The SparkContext, or None for a session without one (Spark Connect)."""
+    try:
+        return spark.sparkContext
+    except Exception:  # noqa: BLE001 - Connect sessions raise here
+        return None
+
+
+def ensure_checkpoint_dir(spark: SparkSession) -> str | None:
+    """Make ``DataFrame.checkpoint()`` usable; returns the checkpoint root
+    (None when the server side owns it, as with Spark Connect)."""
+    sc = _context(spark)
+    if sc is None:
+        return None
     current = sc.getCheckpointDir()
     if current:
         return current
