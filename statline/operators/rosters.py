@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from statline.functions.positions import FLEX
+from statline.functions.positions import FLEX, TOP_K, top_k_bound
 from statline.session import ensure_checkpoint_dir
 
 # (output column, position group) in the reference's roster order
@@ -35,7 +35,17 @@ def _distinct(a: str, b: str, unordered: bool) -> Column:
     return F.col(a) < F.col(b) if unordered else F.col(a) != F.col(b)
 
 
-def rosters(top: DataFrame, strict: bool = True, unordered: bool = False) -> DataFrame:
+def max_rosters(top_k: dict[str, int] | None = None) -> int:
+    """Upper bound of the output size: the product of the slot sizes."""
+    top_k = top_k or TOP_K
+    n = 1
+    for _, group in SLOTS:
+        n *= top_k[group]
+    return n
+
+
+def rosters(top: DataFrame, strict: bool = True, unordered: bool = False,
+            top_k: dict[str, int] | None = None) -> DataFrame:
     """(qb, rb1, rb2, wr1, wr2, te, k, flex, def, meanTotal, varianceTotal).
 
     ``strict=False`` applies only the reference's checks (rb1≠rb2, wr1≠wr2,
@@ -44,10 +54,13 @@ def rosters(top: DataFrame, strict: bool = True, unordered: bool = False) -> Dat
     Totals add the nine target-year means (and variances) in slot order.
     """
     ensure_checkpoint_dir(top.sparkSession)
-    # The top-k table is read nine times: materialise it once (reliable
-    # checkpoint in the shared folder, at most 31 rows) so the upstream
-    # job is not recomputed per slot.
-    top = top.select("slot", "player_id", "mean", "variance").checkpoint(eager=True)
+    # The bound is enforced here, not trusted: only ranks within each
+    # group's k survive, so every broadcast side has at most max(k) rows and
+    # the output at most max_rosters() rows.  The table is read nine times:
+    # materialise it once (reliable checkpoint in the shared folder) so the
+    # upstream job is not recomputed per slot.
+    top = (top.filter(F.col("rank") <= top_k_bound("slot", top_k))
+           .select("slot", "player_id", "mean", "variance").checkpoint(eager=True))
     conds = {
         "rb2": _distinct("rb1", "rb2", unordered),
         "wr2": _distinct("wr1", "wr2", unordered),

@@ -58,6 +58,14 @@ def test_rosters_match_brute_force(spark):
             assert got == _brute(strict, unordered)
 
 
+def test_bound_is_enforced(spark):
+    # ranks beyond k are ignored, so the output never exceeds the bound
+    big = {g: [(f"{g}{i}", float(i)) for i in range(12)] for g in GROUPS}
+    assert R.max_rosters() == 750_000
+    n = R.rosters(_top(spark, big), strict=False).count()
+    assert 0 < n <= R.max_rosters()
+
+
 def test_empty_group_gives_no_rosters(spark):
     groups = dict(GROUPS)
     groups["K"] = []
