@@ -9,7 +9,7 @@ executor then recomputes from the last written table, not from the plays.
     stats job       points -> season stats -> scorers, groups, counts     (C1)
     roster job      scorers -> top players -> every roster                (C2)
 
-Run all four: ``python -m statline.plans.jobs <data_dir> <out_dir>``.
+Run all four: ``python -m statline.plans.jobs <data_dir> <out_dir> [buckets]``.
 """
 
 from __future__ import annotations
@@ -74,8 +74,15 @@ def roster_job(scorers: DataFrame, players: DataFrame, out: str, year: int = TAR
     K.write_rosters(R.rosters(top, strict=strict), _p(out, "rosterStats"))
 
 
-def run_all(spark: SparkSession, data_dir: str, out: str) -> None:
+def run_all(spark: SparkSession, data_dir: str, out: str, buckets: int | None = None) -> None:
+    """All four jobs.  With ``buckets``, the pid-keyed play tables are first
+    written bucketed on pid (see :mod:`statline.plans.bucketing`), so the
+    play joins of the play job run without shuffles."""
     t = play_tables(spark, data_dir)
+    if buckets:
+        from statline.plans.bucketing import bucket_play_tables
+
+        t = bucket_play_tables(spark, t, buckets, root=_p(out, "bucketed_plays"))
     points = play_job(t, out)
     prediction_job(points, t.games, t.players, out)
     scorers = stats_job(points, t.games, t.players, out)
@@ -85,4 +92,5 @@ def run_all(spark: SparkSession, data_dir: str, out: str) -> None:
 if __name__ == "__main__":
     from statline.session import get_session
 
-    run_all(get_session(), sys.argv[1], sys.argv[2])
+    run_all(get_session(), sys.argv[1], sys.argv[2],
+            int(sys.argv[3]) if len(sys.argv) > 3 else None)

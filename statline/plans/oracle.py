@@ -205,8 +205,6 @@ def _session_combo(by_game: bool) -> str:
     for name, plays in (("passes", "pass_plays"), ("rushes", "rush_plays"),
                         ("receptions", "reception_plays"), ("fgxp", "kick_plays")):
         sizes.append(f"CAST(max(n_{name}) AS BIGINT) AS n_{name}")
-        cols = ", ".join(f"CASE WHEN k = '{other}' THEN n END AS n_{other}"
-                         for other in ("passes", "rushes", "receptions", "fgxp"))
         parts.append(f"SELECT {keys}, '{name}' AS k, count(*) AS n FROM {plays} GROUP BY {keys}")
     union = "\n  UNION ALL ".join(parts)
     pivot = ", ".join(f"CASE WHEN k = '{o}' THEN n END AS n_{o}"

@@ -18,6 +18,7 @@ def spark():
              .config("spark.ui.enabled", "false")
              .config("spark.ui.showConsoleProgress", "false")
              .config("spark.sql.session.timeZone", "UTC")
+             .config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="statline-wh-"))
              .getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
     # tests only: a private checkpoint folder when the session names none

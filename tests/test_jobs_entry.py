@@ -24,6 +24,12 @@ def test_run_all_writes_every_output(spark, out_dir):
     assert rosters.count() == queries()["rosters"](spark, SF_SMALL).count()
 
 
+def test_run_all_bucketed(spark, out_dir):
+    jobs.run_all(spark, SF_SMALL, out_dir, buckets=4)
+    a = spark.read.parquet(os.path.join(out_dir, "player_game_points"))
+    assert a.count() == queries()["player_game_points_flat"](spark, SF_SMALL).count()
+
+
 def test_entry(spark):
     import __spark_entry__ as e
     df = e.entry(spark)
