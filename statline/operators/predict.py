@@ -23,12 +23,21 @@ def player_prediction(points: DataFrame, games: DataFrame, players: DataFrame) -
     """
     x = (F.coalesce(F.col("passing"), F.lit(0)) + F.coalesce(F.col("rushing"), F.lit(0))
          + F.coalesce(F.col("receiving"), F.lit(0))).cast("bigint")
-    joined = (points.select("player", "gid", x.alias("x"))
-              .join(games.select("gid", "seas"), "gid", "left")
-              .join(players.select("player", "pos1"), "player", "left"))
-    g = joined.groupBy("player", "pos1", "seas").agg(
-        F.count(F.lit(1)).alias("_n"), F.sum("x").alias("totalPts"),
-        F.sum(F.col("x") * F.col("x")).alias("_ss"))
+    # Moments per (player, season) first (partial aggregation, so a hot
+    # player is a few rows per map task), then the position join on the
+    # small result.  Joining first would let a shuffle join on player hand
+    # its partitioning to the grouping and gather a hot player in one task.
+    # Moments are additive, so a player listed twice in ``players`` still
+    # counts every game twice, exactly as joining before grouping does.
+    per_season = (points.select("player", "gid", x.alias("x"))
+                  .join(games.select("gid", "seas"), "gid", "left")
+                  .groupBy("player", "seas")
+                  .agg(F.count(F.lit(1)).alias("_n"), F.sum("x").alias("_s"),
+                       F.sum(F.col("x") * F.col("x")).alias("_ss")))
+    g = (per_season.join(players.select("player", "pos1"), "player", "left")
+         .groupBy("player", "pos1", "seas")
+         .agg(F.sum("_n").alias("_n"), F.sum("_s").alias("totalPts"),
+              F.sum("_ss").alias("_ss")))
     n, s, ss = (F.col(c).cast(_WIDE) for c in ("_n", "totalPts", "_ss"))
     var_pop = (n * ss - s * s).cast("double") / (n * n).cast("double")
     return g.select("player", "seas", "totalPts", F.sqrt(var_pop).alias("stddev"), "pos1")

@@ -17,13 +17,19 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from statline.functions.positions import NO_PLAYER
+from statline.session import ensure_checkpoint_dir
 from statline.sources.play_views import PlayTables
 
 DEFAULT_MAX_ELEMS = 50_000
+# The hot-player table is broadcast only when counted at or under this many
+# rows (a few tens of MB); above it a shuffle join is used instead.
+HOT_BROADCAST_ROWS = 1_000_000
 
 # Element fields of each session array (gid is dropped in the per-game form).
 FIELDS = {
@@ -123,7 +129,16 @@ def _raw(t: PlayTables, name: str) -> DataFrame:
     return df.filter(F.col("good") == "Y") if name == "kicks" else df
 
 
-def hot_players(t: PlayTables, kinds: Sequence[str], max_elems: int) -> DataFrame:
+@dataclass(frozen=True)
+class HotPlayers:
+    """Players to split, materialised once, and whether the table was
+    counted small enough to broadcast."""
+
+    table: DataFrame   # player, _parts
+    broadcastable: bool
+
+
+def hot_players(t: PlayTables, kinds: Sequence[str], max_elems: int) -> HotPlayers:
     """Players with more than ``max_elems`` plays of the given kinds, with
     their number of parts.
 
@@ -131,7 +146,8 @@ def hot_players(t: PlayTables, kinds: Sequence[str], max_elems: int) -> DataFram
     columns; partial aggregation, so a hot player costs one row per map task
     in the shuffle), so no join is computed twice.  A player's count bounds
     the count of each of their games, so the same parts serve per-player
-    and per-game sessions.
+    and per-game sessions.  The (usually empty) result is materialised with
+    a reliable checkpoint and counted, which decides how it is joined.
     """
     cols: dict[str, list[str]] = {}
     for kind in kinds:
@@ -142,26 +158,39 @@ def hot_players(t: PlayTables, kinds: Sequence[str], max_elems: int) -> DataFram
         player = F.col(cs[0]) if len(cs) == 1 else F.explode(F.array(*cs))
         k = _raw(t, name).select(player.alias("player"))
         keyed = k if keyed is None else keyed.unionByName(k)
-    return (keyed.filter(F.col("player") != NO_PLAYER)
-            .groupBy("player").agg(F.count(F.lit(1)).alias("_n"))
-            .filter(F.col("_n") > max_elems)
-            .select("player", F.ceil(F.col("_n") / F.lit(max_elems)).cast("int").alias("_parts")))
+    hot = (keyed.filter(F.col("player") != NO_PLAYER)
+           .groupBy("player").agg(F.count(F.lit(1)).alias("_n"))
+           .filter(F.col("_n") > max_elems)
+           .select("player", F.ceil(F.col("_n") / F.lit(max_elems)).cast("int").alias("_parts")))
+    ensure_checkpoint_dir(hot.sparkSession)
+    hot = hot.checkpoint(eager=True)
+    return HotPlayers(hot, hot.count() <= HOT_BROADCAST_ROWS)
 
 
-def with_part(plays: DataFrame, hot: DataFrame) -> DataFrame:
+def with_part(plays: DataFrame, hot: HotPlayers, keys: Sequence[str]) -> DataFrame:
     """Add ``part``: 0 for ordinary players, a hash of the play id over the
-    player's parts for hot players.  ``hot`` is tiny (usually empty), so AQE
-    broadcasts it or drops the join."""
-    return (plays.join(hot, "player", "left")
-            .withColumn("part", F.coalesce(
-                F.pmod(F.xxhash64("pid"), F.col("_parts")).cast("int"), F.lit(0)))
-            .drop("_parts"))
+    player's parts for hot players.
+
+    The hot table is broadcast when its counted size allows, so the plays
+    are not shuffled by player for this join and the grouping that follows
+    shuffles on all of ``keys + part``, spreading a hot player's parts over
+    tasks.  Beyond that size it is a shuffle join (AQE splits the skewed
+    player partition), followed by an explicit repartition on
+    ``keys + part``: otherwise the grouping would reuse the partitioning by
+    player and gather a hot player in one task.
+    """
+    side = F.broadcast(hot.table) if hot.broadcastable else hot.table
+    out = (plays.join(side, "player", "left")
+           .withColumn("part", F.coalesce(
+               F.pmod(F.xxhash64("pid"), F.col("_parts")).cast("int"), F.lit(0)))
+           .drop("_parts"))
+    return out if hot.broadcastable else out.repartition(*keys, "part")
 
 
 def nest(plays: DataFrame, keys: Sequence[str], fields: Sequence[str], name: str,
-         hot: DataFrame) -> DataFrame:
+         hot: HotPlayers) -> DataFrame:
     """Gather plays into ``keys + part + name`` rows (``collect_list`` of structs)."""
-    return (with_part(plays, hot).groupBy(*keys, "part")
+    return (with_part(plays, hot, keys).groupBy(*keys, "part")
             .agg(F.collect_list(F.struct(*fields)).alias(name)))
 
 
@@ -246,7 +275,7 @@ def scoring_sessions(t: PlayTables, by_game: bool = False,
     for k in keys:
         cond = F.col(k).isNull()
         any_null_key = cond if any_null_key is None else (any_null_key | cond)
-    grouped = with_part(stacked, hot).groupBy(
+    grouped = with_part(stacked, hot, keys).groupBy(
         *on, F.when(any_null_key, F.col("_kind")).alias("_null_key_kind"))
     return grouped.agg(*[
         F.when(F.count(f"_e_{kind}") > 0, F.collect_list(f"_e_{kind}")).alias(kind)

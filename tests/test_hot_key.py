@@ -40,3 +40,25 @@ def test_hot_player_sessions_are_split_and_exact(spark):
         S.scoring_sessions(t, by_game=True, max_elems=max_elems)).collect())
     b = sorted(tuple(r) for r in SC.player_game_points_flat(t).collect())
     assert a == b
+
+
+def _shuffle_keys(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    import re
+    return re.findall(r"hashpartitioning\(([^)]*)\)", plan)
+
+
+def test_grouping_shuffles_on_part(spark, monkeypatch):
+    """The session grouping must shuffle on keys + part, never reuse a
+    partitioning by player alone (which would gather a hot player)."""
+    t = _with_hot_player(spark)
+    for cap in (S.HOT_BROADCAST_ROWS, -1):   # broadcast path, then shuffle-join path
+        monkeypatch.setattr(S, "HOT_BROADCAST_ROWS", cap)
+        s = S.scoring_sessions(t, by_game=True, max_elems=50)
+        keys = _shuffle_keys(s)
+        assert any("part" in k and "gid" in k for k in keys), keys
+        got = sorted((r.player, r.gid, r.part, *[len(r[k]) if r[k] is not None else None
+                                                 for k in S.KINDS]) for r in s.collect())
+        if cap == -1:
+            assert got == ref
+        ref = got
