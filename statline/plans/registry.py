@@ -211,11 +211,12 @@ def sink_position_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def sink_create_if_not_exists(spark: SparkSession, d: str) -> DataFrame:
-    """CREATE TABLE IF NOT EXISTS twice: the second (empty) write is skipped."""
+    """CREATE TABLE IF NOT EXISTS twice: the second write is skipped, so the
+    table holds the rows once."""
     path = scratch_path(spark, "ctas")
     stats = season_stats(spark, d)
     K.create_table_as(stats, path, if_not_exists=True)
-    K.create_table_as(stats.limit(0), path, if_not_exists=True)
+    K.create_table_as(stats, path, if_not_exists=True)
     return spark.read.parquet(path)
 
 
