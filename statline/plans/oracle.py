@@ -266,6 +266,7 @@ SELECT position, CAST(count(*) AS BIGINT) AS players FROM norm_positions GROUP B
         "scoring_game_sessions": _session_combo(True),
         "player_game_points": _with(points),
         "player_game_points_flat": _with(points),
+        "sql_player_game_points": _with(points),
         "player_prediction": _with("SELECT * FROM prediction"),
         "prediction_extract": _with("""
 SELECT players.player, p.seas, p.totalPts, p.stddev, p.pos1

@@ -8,6 +8,7 @@ reported as sizes, sums and min/max ids, since element order inside a
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -110,6 +111,25 @@ def _prediction(t: PlayTables) -> DataFrame:
     return PR.player_prediction(points(t), t.games, t.players)
 
 
+def sql_player_game_points(spark: SparkSession, d: str) -> DataFrame:
+    """Points from ``spark.sql`` over the per-game session view, with the
+    registered SQL scoring functions (sums per part, formulas on totals)."""
+    from statline.functions.sql import register_sql_functions
+
+    register_sql_functions(spark)
+    view = f"scoring_game_sessions_{uuid.uuid4().hex[:12]}"
+    S.scoring_sessions(play_tables(spark, d), by_game=True).createOrReplaceTempView(view)
+    return spark.sql(f"""
+        SELECT player, gid,
+               passing_points(sum(p.yds), sum(p.intcpt), sum(p.td), sum(p.conv)) AS passing,
+               running_points(sum(r.yds), sum(r.td), sum(r.conv)) AS rushing,
+               running_points(sum(c.yds), sum(c.td), sum(c.conv)) AS receiving
+        FROM (SELECT player, gid, pass_sums(passes) AS p, run_sums(rushes) AS r,
+                     run_sums(receptions) AS c
+              FROM {view}) folded
+        GROUP BY player, gid""")
+
+
 def within_scalar(spark: SparkSession, d: str) -> DataFrame:
     """Scalar in-row query (``within``) per player-game session: yards per kind."""
     s = S.scoring_sessions(play_tables(spark, d), by_game=True)
@@ -246,6 +266,7 @@ def queries() -> dict[str, Query]:
         "scoring_game_sessions": _scoring_sessions(True),
         "player_game_points": lambda s, d: SC.player_game_points(play_tables(s, d)),
         "player_game_points_flat": lambda s, d: SC.player_game_points_flat(play_tables(s, d)),
+        "sql_player_game_points": sql_player_game_points,
         "player_prediction": lambda s, d: _prediction(play_tables(s, d)),
         "prediction_extract": lambda s, d: PR.prediction_extract(
             _prediction(play_tables(s, d)), play_tables(s, d).players),

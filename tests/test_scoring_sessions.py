@@ -102,3 +102,20 @@ def test_anti_join_removes_fumbles(spark):
     assert S.reception_plays(t).join(t.ints, "pid", "left_semi").count() == 0
     # passes keep intercepted plays, flagged
     assert S.pass_plays(t).filter("intcpt = 1").count() > 0
+
+
+def test_sql_functions(spark):
+    from statline.functions.sql import register_sql_functions
+    register_sql_functions(spark)
+    row = spark.sql("""
+        SELECT run_sums(array(named_struct('pid', 'a', 'yds', 37, 'td', 1, 'conv', 0),
+                              named_struct('pid', 'b', 'yds', CAST(NULL AS INT), 'td', 0,
+                                           'conv', 1))) AS s,
+               passing_points(37, 1, 2, 1) AS p, running_points(-37, 0, 0) AS r,
+               run_sums(CAST(NULL AS ARRAY<STRUCT<pid: STRING, yds: INT, td: INT, conv: INT>>))
+                 AS n""").first()
+    assert tuple(row.s) == (37, 1, 1)
+    assert row.p == 1 - 2 + 2 + 8 and row.r == -3 and row.n is None
+    plan = spark.sql("SELECT passing_points(1, 2, 3, 4) AS x")._jdf.queryExecution() \
+        .executedPlan().toString()
+    assert "Python" not in plan
