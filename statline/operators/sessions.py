@@ -6,17 +6,16 @@ Scale: an array holds every play of its key, so a hot key (one player with a
 large share of all plays) would become one giant array built in one task.
 Every session is therefore split into *parts*: keys with more than
 ``max_elems`` plays are spread over ``ceil(n / max_elems)`` parts by a hash of
-the play id.  The number of parts of a key is decided once from the plays of
-all session kinds together, so the same play lands in the same part in every
-array and the combination joins on ``(key, part)`` one to one.  Keys below
-the bound (all keys at test scale) have the single part 0, giving exactly
-the reference's one row per key.  No play is ever dropped.
+the play id.  The number of parts of a player is decided once from the raw
+plays of all session kinds together, so the same play lands in the same
+part in every array and the combination pairs ``(key, part)`` one to one.
+Keys below the bound (all keys at test scale) have the single part 0, giving
+exactly the reference's one row per key.  No play is ever dropped.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -54,7 +53,7 @@ def _with_core_and_extras(plays: DataFrame, t: PlayTables) -> DataFrame:
             .join(_flag(t.convs, "_conv"), "pid", "left"))
 
 
-def _extras(df: DataFrame) -> list:
+def _extras() -> list:
     return [F.coalesce(F.col("pts"), F.lit(0)).cast("int").alias("td"),
             F.col("_conv").isNotNull().cast("int").alias("conv")]
 
@@ -64,21 +63,21 @@ def pass_plays(t: PlayTables) -> DataFrame:
     df = (_with_core_and_extras(t.passes.filter(F.col("psr") != NO_PLAYER), t)
           .join(_flag(t.ints, "_int"), "pid", "left"))
     return df.select(F.col("psr").alias("player"), "gid", "pid", "yds",
-                     F.col("_int").isNotNull().cast("int").alias("intcpt"), *_extras(df))
+                     F.col("_int").isNotNull().cast("int").alias("intcpt"), *_extras())
 
 
 def reception_plays(t: PlayTables) -> DataFrame:
     """Completed receptions by target, intercepted plays removed (anti join)."""
     df = (_with_core_and_extras(t.passes.filter(F.col("trg") != NO_PLAYER), t)
           .join(t.ints.select("pid"), "pid", "left_anti"))
-    return df.select(F.col("trg").alias("player"), "gid", "pid", "yds", *_extras(df))
+    return df.select(F.col("trg").alias("player"), "gid", "pid", "yds", *_extras())
 
 
 def rush_plays(t: PlayTables) -> DataFrame:
     """Rushes by ball carrier, fumbled plays removed (anti join)."""
     df = (_with_core_and_extras(t.rushes.filter(F.col("bc") != NO_PLAYER), t)
           .join(t.fumbles.select("pid"), "pid", "left_anti"))
-    return df.select(F.col("bc").alias("player"), "gid", "pid", "yds", *_extras(df))
+    return df.select(F.col("bc").alias("player"), "gid", "pid", "yds", *_extras())
 
 
 def kick_plays(t: PlayTables) -> DataFrame:
@@ -109,7 +108,7 @@ def pass_roles(t: PlayTables) -> DataFrame:
         F.when(F.col("_int").isNull(),
                F.struct(F.lit("receptions").alias("kind"), F.col("trg").alias("player")))))
     roles = df.select(role.alias("r"), "gid", "pid", "yds",
-                      F.col("_int").isNotNull().cast("int").alias("intcpt"), *_extras(df))
+                      F.col("_int").isNotNull().cast("int").alias("intcpt"), *_extras())
     return (roles.filter(F.col("r").isNotNull() & (F.col("r")["player"] != NO_PLAYER))
             .select(F.col("r")["kind"].alias("kind"), F.col("r")["player"].alias("player"),
                     "gid", "pid", "yds", "intcpt", "td", "conv"))
@@ -216,7 +215,7 @@ def stacked_elements(t: PlayTables, by_game: bool) -> DataFrame:
     """All plays of all kinds, one row each: (player, gid, pid, _kind,
     _e_<kind> ...) with the element struct in its kind's column, NULL in the
     others.  Passes and receptions come from one join pipeline."""
-    def elem(df: DataFrame, kind: str):
+    def elem(kind: str):
         return F.struct(*[F.col(f) for f in _fields(kind, by_game)])
 
     branches = [
@@ -227,14 +226,14 @@ def stacked_elements(t: PlayTables, by_game: bool) -> DataFrame:
     types = {}
     for kind in KINDS:
         src = branches[0][1] if kind in ("passes", "receptions") else dict(branches)[kind]
-        types[kind] = src.select(elem(src, kind)).schema[0].dataType
+        types[kind] = src.select(elem(kind)).schema[0].dataType
     stacked = None
     for name, df in branches:
         kinds = ("passes", "receptions") if name == "passes" else (name,)
         cols = []
         for kind in KINDS:
             if kind in kinds:
-                e = elem(df, kind)
+                e = elem(kind)
                 if len(kinds) > 1:
                     e = F.when(F.col("kind") == kind, e)
                 cols.append(e.cast(types[kind]).alias(f"_e_{kind}"))
