@@ -21,13 +21,16 @@ SCHEDULE_SCHEMA = T.StructType([
 def read_schedule(spark: SparkSession, path: str, year: int | None = None) -> DataFrame:
     """(week, weekday, game_date, team, opponent, season).
 
-    ``year`` is used when the files are not under ``season=`` folders.
+    ``year`` is used when the files are not under ``season=`` folders.  A
+    date text that does not parse gives a NULL date rather than failing the
+    job (``try_to_date``).
     """
     df = spark.read.schema(SCHEDULE_SCHEMA).option("header", "false").csv(path)
     season = F.col("season").cast("int") if "season" in df.columns else F.lit(year).cast("int")
     return df.select(
         "week", "weekday",
-        F.to_date(F.concat_ws(" ", F.col("date_text"), season.cast("string")), "MMMM d yyyy")
+        F.try_to_date(F.concat_ws(" ", F.col("date_text"), season.cast("string")),
+                      "MMMM d yyyy")
         .alias("game_date"),
         "team", "opponent", season.alias("season"))
 

@@ -14,6 +14,7 @@ SCHEDULE_LINES = [
     "1,Thu,September 4,Seattle Seahawks,,Green Bay Packers",
     "1,Sun,September 7,Denver Broncos,,Indianapolis Colts",
     "17,Sun,December 28,New York Jets,,Miami Dolphins",
+    "18,Sun,Smarch 40,Nobody,,Nobody",
 ]
 
 
@@ -22,7 +23,7 @@ def test_schedule_csv(spark, out_dir):
     with open(path, "w") as f:
         f.write("\n".join(SCHEDULE_LINES) + "\n")
     rows = SCH.read_schedule(spark, path, year=2014).collect()
-    assert len(rows) == 3
+    assert len(rows) == 4 and rows[3].game_date is None
     assert rows[0].week == 1 and rows[0].weekday == "Thu"
     assert str(rows[0].game_date) == "2014-09-04" and rows[2].week == 17
     assert rows[0].team == "Seattle Seahawks" and rows[0].opponent == "Green Bay Packers"
