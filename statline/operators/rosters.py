@@ -23,6 +23,7 @@ from statline.session import ensure_checkpoint_dir
 SLOTS = (("qb", "QB"), ("rb1", "RB"), ("rb2", "RB"), ("wr1", "WR"), ("wr2", "WR"),
          ("k", "K"), ("def", "DEF"), ("te", "TE"), ("flex", FLEX))
 OUTPUT = ("qb", "rb1", "rb2", "wr1", "wr2", "te", "k", "flex", "def")
+SPREAD_AFTER = "wr1"
 
 
 def _slot(top: DataFrame, name: str, group: str) -> DataFrame:
@@ -77,6 +78,12 @@ def rosters(top: DataFrame, strict: bool = True, unordered: bool = False,
             out = out.join(F.broadcast(side), conds[name], "inner")
         else:
             out = out.crossJoin(F.broadcast(side))
+        if name == SPREAD_AFTER:
+            # at most 5·5·5·5 partial rosters so far: spread them round-robin
+            # so the remaining joins (up to 750,000 rows) run in parallel
+            # rather than in the single task of the checkpointed input
+            out = out.repartition(int(top.sparkSession.conf.get(
+                "spark.sql.shuffle.partitions", "8")))
     mean_total = reduce(lambda a, b: a + b, [F.col(f"_m_{n}") for n, _ in SLOTS])
     var_total = reduce(lambda a, b: a + b, [F.col(f"_v_{n}") for n, _ in SLOTS])
     return out.select(*OUTPUT, mean_total.alias("meanTotal"), var_total.alias("varianceTotal"))

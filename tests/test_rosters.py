@@ -76,3 +76,4 @@ def test_plan_broadcasts_every_step(spark):
     plan = R.rosters(_top(spark, GROUPS))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("BroadcastNestedLoopJoin") == 8
     assert "SortMergeJoin" not in plan
+    assert "RoundRobinPartitioning" in plan  # the product is spread over tasks
