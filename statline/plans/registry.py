@@ -111,6 +111,11 @@ def _prediction(t: PlayTables) -> DataFrame:
     return PR.player_prediction(points(t), t.games, t.players)
 
 
+def prediction_extract(spark: SparkSession, d: str) -> DataFrame:
+    t = play_tables(spark, d)
+    return PR.prediction_extract(_prediction(t), t.players)
+
+
 def sql_player_game_points(spark: SparkSession, d: str) -> DataFrame:
     """Points from ``spark.sql`` over the per-game session view, with the
     registered SQL scoring functions (sums per part, formulas on totals)."""
@@ -268,8 +273,7 @@ def queries() -> dict[str, Query]:
         "player_game_points_flat": lambda s, d: SC.player_game_points_flat(play_tables(s, d)),
         "sql_player_game_points": sql_player_game_points,
         "player_prediction": lambda s, d: _prediction(play_tables(s, d)),
-        "prediction_extract": lambda s, d: PR.prediction_extract(
-            _prediction(play_tables(s, d)), play_tables(s, d).players),
+        "prediction_extract": prediction_extract,
     }
     q.update({
         "within_scalar": within_scalar,
