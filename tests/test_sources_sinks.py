@@ -101,3 +101,31 @@ def test_position_groups_partitioned_json(spark, out_dir):
     back = K.read_json_lines(spark, path, K.PLAYER_YEARLY_STATS)
     assert sorted(r.slot for r in back.select("slot").distinct().collect()) == ["WR", "WR/TE/RB"]
     assert back.filter("slot = 'WR/TE/RB'").count() == 2
+
+
+def test_record_schemas_and_json_order(spark, out_dir):
+    import json
+
+    from statline.operators import stats as ST
+    stats = spark.createDataFrame(
+        [("a", 2000, 2, 1.0, 0.5, 2.0, 0.0, 3.0, 1.0, 6.0, 1.5)],
+        "player_id string, season int, games long, passing_mean double, "
+        "passing_variance double, rushing_mean double, rushing_variance double, "
+        "receiving_mean double, receiving_variance double, total_mean double, "
+        "total_variance double")
+    yearly = ST.player_yearly_stats(stats)
+    pq = os.path.join(out_dir, "yearly")
+    K.write_player_yearly_stats(yearly, pq)
+    back = spark.read.parquet(pq)
+    assert [f.name for f in back.schema.fields] == K.PLAYER_YEARLY_STATS.fieldNames()
+    elem = back.schema["statsByYear"].dataType.elementType
+    assert elem.fieldNames() == K.STATS_BY_YEAR.fieldNames()
+    with pytest.raises(AnalysisException):
+        K.write_player_yearly_stats(yearly, pq)
+    js = os.path.join(out_dir, "yearly-json")
+    K.write_json_lines(yearly, js)
+    line = spark.read.text(js).first().value
+    rec = json.loads(line)
+    assert list(rec) == ["playerId", "statsByYear"]
+    assert list(rec["statsByYear"][0]) == K.STATS_BY_YEAR.fieldNames()
+    assert rec["statsByYear"][0]["receivingStats"] == {"mean": 3.0, "variance": 1.0}
