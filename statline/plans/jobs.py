@@ -8,6 +8,7 @@ executor then recomputes from the last written table, not from the plays.
     prediction job  player_game_points -> player_prediction -> extract    (C4)
     stats job       points -> season stats -> scorers, groups, counts     (C1)
     roster job      scorers -> top players -> every roster                (C2)
+    injury job      pages -> rows of HTML data tables -> CSV             (S6 S7)
 
 Run all four: ``python -m statline.plans.jobs <data_dir> <out_dir> [buckets]``.
 """
@@ -74,6 +75,14 @@ def roster_job(scorers: DataFrame, players: DataFrame, out: str, year: int = TAR
     K.write_rosters(R.rosters(top, strict=strict), _p(out, "rosterStats"))
 
 
+def injury_job(pages: DataFrame, out: str, html_col: str = "html") -> None:
+    """Rows of every ``<table class="data">`` in a table of pages, written as
+    CSV (six cells and the team) -- the scraper's work without the fetch."""
+    from statline.sources.html_tables import CELL_COLUMNS, table_rows
+
+    K.write_csv(table_rows(pages, html_col).select(*CELL_COLUMNS, "team"), _p(out, "injuries"))
+
+
 def run_all(spark: SparkSession, data_dir: str, out: str, buckets: int | None = None) -> None:
     """All four jobs.  With ``buckets``, the pid-keyed play tables are first
     written bucketed on pid (see :mod:`statline.plans.bucketing`), so the

@@ -30,6 +30,17 @@ def test_run_all_bucketed(spark, out_dir):
     assert a.count() == queries()["player_game_points_flat"](spark, SF_SMALL).count()
 
 
+def test_injury_job(spark, out_dir):
+    from statline.sources.html_tables import render_supplier_pages
+    d = SF_SMALL
+    pages = render_supplier_pages(spark.read.parquet(f"{d}/supplier.parquet"),
+                                  spark.read.parquet(f"{d}/nation.parquet"),
+                                  spark.read.parquet(f"{d}/region.parquet"))
+    jobs.injury_job(pages, out_dir)
+    rows = spark.read.csv(os.path.join(out_dir, "injuries")).collect()
+    assert len(rows) == queries()["html_table_rows"](spark, d).count() and len(rows[0]) == 7
+
+
 def test_entry(spark):
     import __spark_entry__ as e
     df = e.entry(spark)
