@@ -77,3 +77,14 @@ def test_plan_broadcasts_every_step(spark):
     assert plan.count("BroadcastNestedLoopJoin") == 8
     assert "SortMergeJoin" not in plan
     assert "RoundRobinPartitioning" in plan  # the product is spread over tasks
+
+
+def test_strict_rosters_never_repeat_a_player(spark):
+    from pyspark.sql import functions as F
+
+    from statline.plans.registry import queries
+    from conftest import SF_SMALL
+    df = queries()["rosters"](spark, SF_SMALL)
+    ids = F.array(*[F.col(c) for c in R.OUTPUT])
+    bad = df.filter(F.size(F.array_distinct(ids)) != len(R.OUTPUT)).count()
+    assert df.count() > 0 and bad == 0
