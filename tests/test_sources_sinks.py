@@ -129,3 +129,19 @@ def test_record_schemas_and_json_order(spark, out_dir):
     assert list(rec) == ["playerId", "statsByYear"]
     assert list(rec["statsByYear"][0]) == K.STATS_BY_YEAR.fieldNames()
     assert rec["statsByYear"][0]["receivingStats"] == {"mean": 3.0, "variance": 1.0}
+
+
+def test_extraction_inside_real_pages(spark):
+    d = "/root/testdata/sf0.001"
+    pages = spark.read.parquet(f"{d}/pages.parquet")
+    table = ('<table class="data"><tr><td><a href="/t">Team Z</a></td></tr>'
+             "<tr><td>h</td></tr>"
+             "<tr><td>1</td><td>2</td><td>3</td><td>4</td><td>5</td><td>6</td></tr>"
+             "<tr><td>a</td><td>b</td><td>c</td><td>d</td><td>e</td><td>f</td></tr></table>")
+    injected = pages.withColumn("html", F.concat("html", F.lit(table)))
+    rows = H.table_rows(injected)
+    n_pages = pages.count()
+    assert H.table_rows(pages).count() == 0          # the real pages hold no data tables
+    assert rows.count() == 2 * n_pages
+    per_page = rows.groupBy("page_id").count().filter("count <> 2").count()
+    assert per_page == 0 and rows.filter("team <> 'Team Z'").count() == 0
