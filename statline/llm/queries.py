@@ -5,9 +5,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from statline.llm import fm_index, suffix_dedup
+from statline.llm import byte_bpe, fm_index, packed_ids, suffix_dedup
+from statline.session import scratch_path
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,17 +20,31 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def op2_packed_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch_path(spark, "packed_ids")
+    packed_ids.write(_documents(spark, sf_dir), folder, public_tokenizers.path("byte_bpe_50k.json"))
+    return packed_ids.documents(spark, folder)
+
+
 def op4_fm_index_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fm_index.digests(_documents(spark, sf_dir))
 
 
+def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.digests(_documents(spark, sf_dir),
+                            public_tokenizers.path("byte_bpe_50k.tiktoken"),
+                            public_tokenizers.PATTERN)
+
+
 def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digests(_documents(spark, sf_dir))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
+        op2_packed_token_ids,
         op4_fm_index_substring_dedup,
+        op5_byte_bpe,
         op10_suffix_array_dedup,
     )}
 

@@ -181,7 +181,9 @@ def covered_ranges(base: DataFrame, length: int, k: int, words: bool, first_wins
                .filter("c > 1"))
     shared = runs.join(anchors, "h")
     settled = place > F.col("d0") if first_wins else F.lit(True)
-    alike = shared.filter(F.col("u0") == F.col("u1")).filter(settled)
+    # u = u0 holds there anyway; naming u keeps the columns of both branches
+    # equal, so that they read one exchange
+    alike = shared.filter((F.col("u0") == F.col("u1")) & (F.col("u") == F.col("u0"))).filter(settled)
     mixed = shared.filter(F.col("u0") != F.col("u1")).select("doc_id", "th", "first", "n", "h", "u")
     classes = mixed.groupBy("h", "u").agg(
         F.count(F.lit(1)).alias("c"), F.min(place).alias("d"),
