@@ -6,16 +6,20 @@ elsewhere, without ever shuffling all windows.
    one content-defined anchor (see ``sequences``); a run is one small row with
    the hash ``h`` of its anchor and ``u`` of all symbols its windows cover.
    About one row per 60 bytes of bytes, or per five words.
-2. One aggregation by ``h`` (map-side combined, so a hot passage is one row
-   per task and anchor).  An anchor that occurs once proves all its windows
-   unique: most rows leave here.  An anchor whose runs are all equal settles
-   all its windows at once.
+2. The runs are dealt out by anchor and sorted by (``h``, ``u``, document).
+   One pass over each sorted partition, with a few rows of memory, settles
+   most of them (``settle_runs``): an anchor that occurs once proves its
+   windows unique, and equal runs are repeats of each other.
 3. Only anchors with differing runs (edges of copied passages) need a look at
-   symbols.  Equal runs are one class; one run per class is cut out of its
-   document and sent to the shard of its anchor, where the operator's own
-   index decides window by window.
+   symbols.  One run of each kind is cut out of its document and sent to the
+   shard of its anchor, where the operator's own index decides window by
+   window.
 4. Covered ranges are gathered per document and joined with the texts.  Both
-   joins with ``documents`` use the same exchange, so texts move once.
+   joins with ``documents`` use the same exchange, so texts move once, and
+   so do the runs.
+
+A hot passage is many rows of one anchor.  They are 40 bytes each, sorted
+outside memory, and read as a stream; none is gathered.
 
 A row of ``documents`` is known by ``doc_id`` and a hash of its text, so rows
 that repeat an id with another text stay apart; null ids and texts are kept.
@@ -80,6 +84,75 @@ def run_finder(length: int, k: int, words: bool) -> Callable:
     return find
 
 
+_SETTLED = "doc_id long, th int, first int, n int, h long, wanted boolean"
+
+
+def settle_runs(first_wins: bool) -> Callable:
+    """One pass over runs sorted by h, u, place.
+
+    Gives a row with ``wanted`` false for each run whose windows are all
+    covered (``first_wins``: an equal run stands in an earlier document;
+    else: an equal run stands anywhere else), and with ``wanted`` true for the
+    first runs of each kind where an anchor has several kinds.  Between
+    batches only the last row and the first kind's first runs are kept.
+    """
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        # of the held rows: least place of their kind, a twin before them,
+        # already given as covered / as wanted; and whether their anchor has
+        # several kinds
+        least = np.zeros(0, np.int64)
+        twin = told = asked = np.zeros(0, bool)
+        several = False
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = pa.Table.from_batches([batch])
+            old = 0 if held is None else held.num_rows
+            if old:
+                rows = pa.concat_tables([held, rows]).combine_chunks()
+            n = rows.num_rows
+            h, u = rows["h"].to_numpy(), rows["u"].to_numpy()
+            place = rows["place"].to_numpy()
+            grow = lambda x, fill: np.concatenate([x, np.full(n - old, fill, x.dtype)])
+            least, twin, told, asked = (grow(least, 0), grow(twin, False), grow(told, False),
+                                        grow(asked, False))
+            group = np.ones(n, bool)
+            group[1:] = h[1:] != h[:-1]
+            kind = group.copy()
+            kind[1:] |= u[1:] != u[:-1]
+            begin = np.flatnonzero(kind)
+            of_kind = np.cumsum(kind) - 1
+            least = np.where(begin < old, least[begin], place[begin])[of_kind]
+            first = np.flatnonzero(group)
+            kinds = np.add.reduceat(kind.astype(np.int64), first)
+            many = kinds > 1
+            if old:
+                many[0] |= several
+            mixed = many[np.cumsum(group) - 1]
+            twin[1:] |= ~kind[1:]
+            if first_wins:
+                covered, head = place > least, place == least
+            else:
+                covered, head = twin.copy(), ~twin
+                covered[:-1] |= ~kind[1:]
+            for mask, wanted in ((covered & ~told, False), (head & mixed & ~asked, True)):
+                at = np.flatnonzero(mask)
+                if len(at):
+                    part = rows.take(pa.array(at)).combine_chunks().to_batches()[0]
+                    yield pa.RecordBatch.from_arrays(
+                        [part.column(c) for c in ("doc_id", "th", "first", "n", "h")]
+                        + [pa.array(np.full(len(at), wanted))],
+                        names=["doc_id", "th", "first", "n", "h", "wanted"])
+            told, asked = told | covered, asked | (head & mixed)
+            keep = np.zeros(n, bool)
+            keep[-1] = True
+            keep[first[-1]:] |= (head & ~mixed)[first[-1]:]
+            held, several = rows.filter(pa.array(keep)).combine_chunks(), bool(many[-1])
+            least, twin, told, asked = least[keep], twin[keep], told[keep], asked[keep]
+    return settle
+
+
 def run_cutter(length: int, words: bool) -> Callable:
     """Cuts the listed runs (``runs``: first, n, h) out of their texts."""
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,38 +247,21 @@ def covered_ranges(base: DataFrame, length: int, k: int, words: bool, first_wins
     ``first_wins``: a window counts when it starts in a document with a
     smaller id; otherwise when it starts anywhere else.
     """
-    runs = base.mapInArrow(run_finder(length, k, words), _RUNS)
     place = F.coalesce(F.col("doc_id"), F.lit(LAST))  # a null id is the largest
-    anchors = (runs.groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.min("u").alias("u0"),
-                                     F.max("u").alias("u1"), F.min(place).alias("d0"))
-               .filter("c > 1"))
-    shared = runs.join(anchors, "h")
-    settled = place > F.col("d0") if first_wins else F.lit(True)
-    # u = u0 holds there anyway; naming u keeps the columns of both branches
-    # equal, so that they read one exchange
-    alike = shared.filter((F.col("u0") == F.col("u1")) & (F.col("u") == F.col("u0"))).filter(settled)
-    mixed = shared.filter(F.col("u0") != F.col("u1")).select("doc_id", "th", "first", "n", "h", "u")
-    classes = mixed.groupBy("h", "u").agg(
-        F.count(F.lit(1)).alias("c"), F.min(place).alias("d"),
-        F.min(F.struct("doc_id", "th", "first")).alias("rep"))
-    members = mixed.join(classes, ["h", "u"])
-    if first_wins:
-        known = place > F.col("d")
-        rep = place == F.col("d")
-    else:
-        known = F.col("c") > 1
-        rep = F.struct("doc_id", "th", "first").eqNullSafe(F.col("rep"))
-    span = ["doc_id", "th", F.col("first").alias("start"),
-            (F.col("first") + F.col("n")).alias("stop")]
-    wanted = (members.filter(rep).groupBy("doc_id", "th")
+    runs = base.mapInArrow(run_finder(length, k, words), _RUNS)
+    settled = (runs.withColumn("place", place).repartition("h")
+               .sortWithinPartitions("h", "u", "place", "th", "first")
+               .mapInArrow(settle_runs(first_wins), _SETTLED))
+    wanted = (settled.filter("wanted").groupBy("doc_id", "th")
               .agg(F.collect_set(F.struct("first", "n", "h")).alias("runs")))
     texts = base.join(wanted, same_row(base, wanted)).select(
         base["doc_id"], base["th"], base["text"], wanted["runs"])
     pieces = texts.mapInArrow(run_cutter(length, words), _CUT)
     checked = (pieces.repartition("h").sortWithinPartitions("h")
                .mapInArrow(shard_indexer(decide), _RANGES))
-    return (alike.select(*span).unionByName(members.filter(known).select(*span))
-            .unionByName(checked))
+    covered = settled.filter("not wanted").select(
+        "doc_id", "th", F.col("first").alias("start"), (F.col("first") + F.col("n")).alias("stop"))
+    return covered.unionByName(checked)
 
 
 def with_ranges(base: DataFrame, ranges: DataFrame) -> DataFrame:

@@ -97,3 +97,40 @@ def test_wavelet_rank():
     w = fm_index.WaveletMatrix(s, 37)
     sym, pos = rng.integers(0, 37, 200), rng.integers(0, 501, 200)
     assert w.rank(sym, pos).tolist() == [int((s[:p] == c).sum()) for c, p in zip(sym, pos)]
+
+
+@pytest.mark.parametrize("first_wins", [True, False])
+@pytest.mark.parametrize("size", [1, 2, 3, 7])
+def test_settling_does_not_depend_on_batches(first_wins, size):
+    import pyarrow as pa
+
+    from statline.llm.repeats import settle_runs
+
+    rng = np.random.default_rng(size)
+    n = 400
+    h, u = rng.integers(0, 25, n), rng.integers(0, 4, n)
+    u = np.where(h % 3 == 0, 1, u)
+    place = rng.integers(0, 12, n)
+    order = np.lexsort((place, u, h))
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(place[order]), pa.array(np.zeros(n, np.int32)),
+         pa.array(np.arange(n, dtype=np.int32)), pa.array(np.ones(n, np.int32)),
+         pa.array(h[order]), pa.array(u[order]), pa.array(place[order])],
+        names=["doc_id", "th", "first", "n", "h", "u", "place"])
+
+    def run(batches):
+        return sorted((r["first"], r["wanted"]) for b in settle_runs(first_wins)(iter(batches))
+                      for r in b.to_pylist())
+
+    got = run([batch.slice(i, size) for i in range(0, n, size)])
+    assert got == run([batch])
+    h, u, place = h[order], u[order], place[order]
+    want = []
+    for i in range(n):
+        same = (h == h[i]) & (u == u[i])
+        several = len(set(u[h == h[i]])) > 1
+        least = place[same].min()
+        covered = place[i] > least if first_wins else same.sum() > 1
+        head = place[i] == least if first_wins else i == np.flatnonzero(same)[0]
+        want += [(i, False)] * bool(covered) + [(i, True)] * bool(head and several)
+    assert got == sorted(want)
