@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from statline.llm import byte_bpe, fm_index, packed_ids, suffix_dedup
+from statline.llm import byte_bpe, decontaminate, fm_index, packed_ids, sharding, suffix_dedup
 from statline.session import scratch_path
 
 
@@ -36,6 +36,14 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                             public_tokenizers.PATTERN)
 
 
+def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.digests(_documents(spark, sf_dir), read(spark, sf_dir, "benchmark"))
+
+
+def op9_virtual_slot_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(_documents(spark, sf_dir), scratch_path(spark, "slot_map"))
+
+
 def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digests(_documents(spark, sf_dir))
 
@@ -45,6 +53,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op2_packed_token_ids,
         op4_fm_index_substring_dedup,
         op5_byte_bpe,
+        op6_benchmark_decontamination,
+        op9_virtual_slot_sharding,
         op10_suffix_array_dedup,
     )}
 
