@@ -8,7 +8,15 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from statline.llm import byte_bpe, decontaminate, fm_index, packed_ids, sharding, suffix_dedup
+from statline.llm import (
+    byte_bpe,
+    decontaminate,
+    fm_index,
+    minhash_dedup,
+    packed_ids,
+    sharding,
+    suffix_dedup,
+)
 from statline.session import scratch_path
 
 
@@ -40,6 +48,10 @@ def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.digests(_documents(spark, sf_dir), read(spark, sf_dir, "benchmark"))
 
 
+def op7_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.groups(_documents(spark, sf_dir), size=3, percent=85, bands=40, rows=7)
+
+
 def op9_virtual_slot_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(_documents(spark, sf_dir), scratch_path(spark, "slot_map"))
 
@@ -54,6 +66,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op4_fm_index_substring_dedup,
         op5_byte_bpe,
         op6_benchmark_decontamination,
+        op7_circulant_minhash,
         op9_virtual_slot_sharding,
         op10_suffix_array_dedup,
     )}
