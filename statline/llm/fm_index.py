@@ -19,7 +19,7 @@ an empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -159,7 +159,7 @@ def decider(length: int):
     return decide
 
 
-def _finish(length: int, texts: bool):
+def _finish(length: int, texts: bool, rest: bool = False):
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             buf, off = S.text_buffer(batch.column("text"))
@@ -177,18 +177,20 @@ def _finish(length: int, texts: bool):
             cols = [batch.column("doc_id"), pa.array(np.diff(words)),
                     pa.array(total[words[1:]] - total[words[:-1]])]
             if texts:
-                cols += [batch.column("th"),
-                         pa.array([t.decode("utf-8", "replace") for t in kept], pa.string())]
-                names = ["doc_id", "n_words", "n_removed", "th", "kept"]
+                cols.append(pa.array([t.decode("utf-8", "replace") for t in kept], pa.string()))
+                names = ["doc_id", "n_words", "n_removed", "kept"]
             else:
                 cols.append(pa.array([hashlib.sha256(t).hexdigest() for t in kept], pa.string()))
                 names = ["doc_id", "n_words", "n_removed", "kept_sha256"]
+            if rest:
+                cols.append(batch.column("rest"))
+                names.append("rest")
             yield pa.RecordBatch.from_arrays(cols, names=names)
     return finish
 
 
-def _marked(docs: DataFrame, length: int) -> DataFrame:
-    base = R.keyed(docs)
+def _marked(docs: DataFrame, length: int, columns: Sequence[str] = ()) -> DataFrame:
+    base = R.keyed(docs, columns)
     ranges = R.covered_ranges(base, length, min(ANCHOR, length), True, True, decider(length))
     return R.with_ranges(base, ranges)
 
@@ -198,8 +200,8 @@ def digests(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     return _marked(docs, length).mapInArrow(_finish(length, False), _RESULT)
 
 
-def remaining(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """doc_id, n_words, n_removed, th, kept: the remaining words of every row,
-    joined by one space."""
-    return _marked(docs, length).mapInArrow(
-        _finish(length, True), "doc_id long, n_words long, n_removed long, th int, kept string")
+def remaining(docs: DataFrame, length: int = LENGTH, columns: Sequence[str] = ()) -> DataFrame:
+    """doc_id, n_words, n_removed, kept (the remaining words of every row,
+    joined by one space), and the named other columns of the input."""
+    return R.unpacked(_marked(docs, length, columns), _finish(length, True, bool(columns)),
+                      "doc_id long, n_words long, n_removed long, kept string")

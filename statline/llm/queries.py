@@ -10,12 +10,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 from statline.llm import (
     byte_bpe,
+    cotraining,
+    decision_list,
     decontaminate,
     fm_index,
     minhash_dedup,
     packed_ids,
     sharding,
     suffix_dedup,
+    toxicity,
 )
 from statline.session import scratch_path
 
@@ -28,6 +31,15 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def op1_factorization_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    return toxicity.scored(docs, toxicity.train(docs, read(spark, sf_dir, "labels")))
+
+
+def op3_cotraining_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cotraining.scored(_documents(spark, sf_dir), read(spark, sf_dir, "labels"))
+
+
 def op2_packed_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch_path(spark, "packed_ids")
     packed_ids.write(_documents(spark, sf_dir), folder, public_tokenizers.path("byte_bpe_50k.json"))
@@ -52,6 +64,10 @@ def op7_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.groups(_documents(spark, sf_dir), size=3, percent=85, bands=40, rows=7)
 
 
+def op8_decision_list_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decision_list.judged(_documents(spark, sf_dir), read(spark, sf_dir, "labels"))
+
+
 def op9_virtual_slot_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(_documents(spark, sf_dir), scratch_path(spark, "slot_map"))
 
@@ -62,11 +78,14 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
+        op1_factorization_machine,
         op2_packed_token_ids,
+        op3_cotraining_quality,
         op4_fm_index_substring_dedup,
         op5_byte_bpe,
         op6_benchmark_decontamination,
         op7_circulant_minhash,
+        op8_decision_list_quality,
         op9_virtual_slot_sharding,
         op10_suffix_array_dedup,
     )}

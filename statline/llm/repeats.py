@@ -27,7 +27,7 @@ that repeat an id with another text stay apart; null ids and texts are kept.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -44,10 +44,11 @@ _CUT = "h long, doc_id long, th int, first int, n int, piece binary"
 _RANGES = "doc_id long, th int, start int, stop int"
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """The columns that the removers use, whatever else the table has."""
+def keyed(docs: DataFrame, columns: Sequence[str] = ()) -> DataFrame:
+    """The columns that the removers use, and ``columns`` packed as ``rest``."""
+    rest = [F.struct(*columns).alias("rest")] if columns else []
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"),
-                       F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
+                       F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *rest
                        ).withColumn("th", F.hash("text"))
 
 
@@ -248,6 +249,7 @@ def covered_ranges(base: DataFrame, length: int, k: int, words: bool, first_wins
     smaller id; otherwise when it starts anywhere else.
     """
     place = F.coalesce(F.col("doc_id"), F.lit(LAST))  # a null id is the largest
+    base = base.select("doc_id", "th", "text")
     runs = base.mapInArrow(run_finder(length, k, words), _RUNS)
     settled = (runs.withColumn("place", place).repartition("h")
                .sortWithinPartitions("h", "u", "place", "th", "first")
@@ -269,7 +271,7 @@ def with_ranges(base: DataFrame, ranges: DataFrame) -> DataFrame:
     lists = ranges.groupBy("doc_id", "th").agg(
         F.collect_set(F.struct("start", "stop")).alias("ranges"))
     return base.join(lists, same_row(base, lists), "left").select(
-        base["doc_id"], base["th"], base["text"], lists["ranges"])
+        *[base[c] for c in base.columns], lists["ranges"])
 
 
 def range_arrays(column: pa.Array):
@@ -290,3 +292,12 @@ def cover(n: int, offsets: np.ndarray, row: np.ndarray, start: np.ndarray, stop:
     np.add.at(step, offsets[row] + start, 1)
     np.add.at(step, offsets[row] + stop + length - 1, -1)
     return np.cumsum(step)[:n] > 0
+
+
+def unpacked(marked: DataFrame, finish: Callable, schema: str) -> DataFrame:
+    """The finished rows with the columns of ``rest`` beside their own."""
+    if "rest" not in marked.columns:
+        return marked.mapInArrow(finish, schema)
+    rest = marked.schema["rest"].dataType
+    out = marked.mapInArrow(finish, f"{schema}, rest {rest.simpleString()}")
+    return out.select(*[c for c in out.columns if c != "rest"], "rest.*")

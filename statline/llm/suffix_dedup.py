@@ -17,7 +17,7 @@ an empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -90,7 +90,7 @@ def decider(length: int):
     return decide
 
 
-def _finish(length: int, texts: bool):
+def _finish(length: int, texts: bool, rest: bool = False):
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             buf, off = S.text_buffer(batch.column("text"))
@@ -109,18 +109,20 @@ def _finish(length: int, texts: bool):
                     pa.array(spans[off[1:]] - spans[off[:-1]])]
             names = ["doc_id", "n_bytes", "n_removed", "n_spans"]
             if texts:
-                cols += [batch.column("th"),
-                         pa.array([t.decode("utf-8", "ignore") for t in kept], pa.string())]
-                names += ["th", "kept"]
+                cols.append(pa.array([t.decode("utf-8", "ignore") for t in kept], pa.string()))
+                names.append("kept")
             else:
                 cols.append(pa.array([hashlib.sha256(t).hexdigest() for t in kept], pa.string()))
                 names.append("kept_sha256")
+            if rest:
+                cols.append(batch.column("rest"))
+                names.append("rest")
             yield pa.RecordBatch.from_arrays(cols, names=names)
     return finish
 
 
-def _marked(docs: DataFrame, length: int) -> DataFrame:
-    base = R.keyed(docs)
+def _marked(docs: DataFrame, length: int, columns: Sequence[str] = ()) -> DataFrame:
+    base = R.keyed(docs, columns)
     ranges = R.covered_ranges(base, length, min(ANCHOR, max(1, length // 3)), False, False,
                               decider(length))
     return R.with_ranges(base, ranges)
@@ -131,10 +133,9 @@ def digests(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     return _marked(docs, length).mapInArrow(_finish(length, False), _RESULT)
 
 
-def remaining(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, th, kept: the remaining text of
-    every row (a UTF-8 character that loses some of its bytes goes whole);
-    ``th`` is the hash of the input text, which with doc_id names the row."""
-    return _marked(docs, length).mapInArrow(
-        _finish(length, True),
-        "doc_id long, n_bytes long, n_removed long, n_spans long, th int, kept string")
+def remaining(docs: DataFrame, length: int = LENGTH, columns: Sequence[str] = ()) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept (the remaining text of every
+    row; a UTF-8 character that loses some of its bytes goes whole), and the
+    named other columns of the input."""
+    return R.unpacked(_marked(docs, length, columns), _finish(length, True, bool(columns)),
+                      "doc_id long, n_bytes long, n_removed long, n_spans long, kept string")
