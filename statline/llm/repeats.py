@@ -18,8 +18,10 @@ elsewhere, without ever shuffling all windows.
    joins with ``documents`` use the same exchange, so texts move once, and
    so do the runs.
 
-A hot passage is many rows of one anchor.  They are 40 bytes each, sorted
-outside memory, and read as a stream; none is gathered.
+A hot passage is many runs of one anchor.  Each task settles among themselves
+the equal runs that it reads (``MapSide``) and sends on one or two of a kind,
+so a passage in a third of all rows is a few rows per task in the shuffle;
+there they are sorted outside memory and read as a stream, never gathered.
 
 A row of ``documents`` is known by ``doc_id`` and a hash of its text, so rows
 that repeat an id with another text stay apart; null ids and texts are kept.
@@ -31,6 +33,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,7 +42,11 @@ from statline.llm import sequences as S
 # Symbols of candidate runs indexed at once in a task (whole anchors only).
 SHARD_SYMBOLS = 1 << 21
 LAST = (1 << 63) - 1
-_RUNS = "doc_id long, th int, first int, n int, h long, u long"
+_RUNS = "doc_id long, th int, first int, n int, h long, u long, twin boolean, done boolean"
+# A kind of run that stands this often in one chunk is remembered by its task
+# (up to a number of kinds), so that later ones need not be sent.
+HOT = 8
+REMEMBERED = 1 << 16
 _CUT = "h long, doc_id long, th int, first int, n int, piece binary"
 _RANGES = "doc_id long, th int, start int, stop int"
 
@@ -56,11 +63,49 @@ def same_row(a: DataFrame, b: DataFrame) -> Column:
     return a["doc_id"].eqNullSafe(b["doc_id"]) & a["th"].eqNullSafe(b["th"])
 
 
-def run_finder(length: int, k: int, words: bool) -> Callable:
+class MapSide:
+    """Settles equal runs (same ``h`` and ``u``) inside a task, as far as one
+    task can know: of a hot passage it sends a row or two, not one for each
+    document."""
+
+    def __init__(self, first_wins: bool):
+        self.first_wins = first_wins
+        self.sent: dict[tuple[int, int], int] = {}
+
+    def __call__(self, h: np.ndarray, u: np.ndarray, place: np.ndarray):
+        """Which runs to send on, which are covered for sure, and which of the
+        sent have a twin."""
+        order = np.argsort(S.mix(h + u * np.uint64(S.BASE)), kind="stable")
+        a, b, p = h[order], u[order], place[order]
+        new = np.ones(len(h), dtype=bool)
+        new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+        begin = np.flatnonzero(new)
+        size = np.diff(np.append(begin, len(h)))
+        least = np.minimum.reduceat(p, begin)
+        silent = np.zeros(len(begin), dtype=bool)
+        for k in np.flatnonzero(size >= HOT // 2).tolist():
+            key = (int(a[begin[k]]), int(b[begin[k]]))
+            known = self.sent.get(key)
+            if known is not None:
+                silent[k] = not self.first_wins or least[k] > known
+            if size[k] >= HOT and len(self.sent) < REMEMBERED and not silent[k]:
+                self.sent[key] = int(least[k])
+        of = np.cumsum(new) - 1
+        send = ((p == least[of]) if self.first_wins else new) & ~silent[of]
+        twin = send & (size[of] > 1) & (not self.first_wins)
+        out = [np.empty(len(h), dtype=bool) for _ in range(2)]
+        for target, source in zip(out, (send, twin), strict=True):
+            target[order] = source
+        return out[0], ~out[0], out[1]
+
+
+def run_finder(length: int, k: int, words: bool, first_wins: bool) -> Callable:
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        map_side = MapSide(first_wins)
         for batch in batches:
             buf, off = S.text_buffer(batch.column("text"))
             ids, th = batch.column("doc_id"), batch.column("th")
+            places = ids.fill_null(LAST).to_numpy()
             for a, b in S.chunks(off):
                 offsets, part = off[a:b + 1] - off[a], buf[off[a]:off[b]]
                 if words:
@@ -75,13 +120,23 @@ def run_finder(length: int, k: int, words: bool) -> Callable:
                 n = last - first + 1
                 u = S.mix(hasher.ranges(first, last + length)
                           + (n << 32 | (at - first)).astype(np.uint64))
-                take = pa.array(row + a)
+                send, done, twin = map_side(h, u, places[row + a])
+                # runs of a row follow each other: covered ones become ranges
+                join = np.zeros(len(row), dtype=bool)
+                join[1:] = done[1:] & done[:-1] & (row[1:] == row[:-1])
+                head = np.flatnonzero(done & ~join)
+                total = np.concatenate([[0], np.cumsum(np.where(done, n, 0))])
+                stop = np.append(head[1:], len(row))
+                pick = np.concatenate([np.flatnonzero(send), head])
+                size = np.concatenate([n[send], total[stop] - total[head]])
+                local = np.arange(len(pick)) >= send.sum()
+                take = pa.array(row[pick] + a)
                 yield pa.RecordBatch.from_arrays(
                     [ids.take(take), th.take(take),
-                     pa.array((first - offsets[row]).astype(np.int32)),
-                     pa.array(n.astype(np.int32)), pa.array(h.view(np.int64)),
-                     pa.array(u.view(np.int64))],
-                    names=["doc_id", "th", "first", "n", "h", "u"])
+                     pa.array((first - offsets[row])[pick].astype(np.int32)),
+                     pa.array(size.astype(np.int32)), pa.array(h[pick].view(np.int64)),
+                     pa.array(u[pick].view(np.int64)), pa.array(twin[pick]), pa.array(local)],
+                    names=["doc_id", "th", "first", "n", "h", "u", "twin", "done"])
     return find
 
 
@@ -99,15 +154,25 @@ def settle_runs(first_wins: bool) -> Callable:
     """
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
-        # of the held rows: least place of their kind, a twin before them,
-        # already given as covered / as wanted; and whether their anchor has
-        # several kinds
+        # of the held rows: least place of their kind, a twin anywhere, a twin
+        # before them here, already given as covered / as wanted; and whether
+        # their anchor has several kinds
         least = np.zeros(0, np.int64)
-        twin = told = asked = np.zeros(0, bool)
+        twin = after = told = asked = np.zeros(0, bool)
         several = False
         for batch in batches:
             if not batch.num_rows:
                 continue
+            done = batch.column("done")
+            if done.true_count:
+                part = batch.filter(done)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(c) for c in ("doc_id", "th", "first", "n", "h")]
+                    + [pa.array(np.zeros(part.num_rows, bool))],
+                    names=["doc_id", "th", "first", "n", "h", "wanted"])
+                batch = batch.filter(pc.invert(done))
+                if not batch.num_rows:
+                    continue
             rows = pa.Table.from_batches([batch])
             old = 0 if held is None else held.num_rows
             if old:
@@ -116,8 +181,8 @@ def settle_runs(first_wins: bool) -> Callable:
             h, u = rows["h"].to_numpy(), rows["u"].to_numpy()
             place = rows["place"].to_numpy()
             grow = lambda x, fill: np.concatenate([x, np.full(n - old, fill, x.dtype)])
-            least, twin, told, asked = (grow(least, 0), grow(twin, False), grow(told, False),
-                                        grow(asked, False))
+            least, told, asked = grow(least, 0), grow(told, False), grow(asked, False)
+            twin = np.concatenate([twin, np.asarray(batch.column("twin"))])
             group = np.ones(n, bool)
             group[1:] = h[1:] != h[:-1]
             kind = group.copy()
@@ -131,11 +196,13 @@ def settle_runs(first_wins: bool) -> Callable:
             if old:
                 many[0] |= several
             mixed = many[np.cumsum(group) - 1]
-            twin[1:] |= ~kind[1:]
+            after = grow(after, False)
+            after[1:] |= ~kind[1:]
+            twin |= after
             if first_wins:
                 covered, head = place > least, place == least
             else:
-                covered, head = twin.copy(), ~twin
+                covered, head = twin.copy(), ~after
                 covered[:-1] |= ~kind[1:]
             for mask, wanted in ((covered & ~told, False), (head & mixed & ~asked, True)):
                 at = np.flatnonzero(mask)
@@ -150,7 +217,8 @@ def settle_runs(first_wins: bool) -> Callable:
             keep[-1] = True
             keep[first[-1]:] |= (head & ~mixed)[first[-1]:]
             held, several = rows.filter(pa.array(keep)).combine_chunks(), bool(many[-1])
-            least, twin, told, asked = least[keep], twin[keep], told[keep], asked[keep]
+            least, twin, after = least[keep], twin[keep], after[keep]
+            told, asked = told[keep], asked[keep]
     return settle
 
 
@@ -250,8 +318,10 @@ def covered_ranges(base: DataFrame, length: int, k: int, words: bool, first_wins
     """
     place = F.coalesce(F.col("doc_id"), F.lit(LAST))  # a null id is the largest
     base = base.select("doc_id", "th", "text")
-    runs = base.mapInArrow(run_finder(length, k, words), _RUNS)
-    settled = (runs.withColumn("place", place).repartition("h")
+    runs = base.mapInArrow(run_finder(length, k, words, first_wins), _RUNS)
+    # rows that a task has settled need no partner: they go anywhere
+    deal = F.when(F.col("done"), F.xxhash64("doc_id", "first")).otherwise(F.col("h"))
+    settled = (runs.withColumn("place", place).withColumn("deal", deal).repartition("deal")
                .sortWithinPartitions("h", "u", "place", "th", "first")
                .mapInArrow(settle_runs(first_wins), _SETTLED))
     wanted = (settled.filter("wanted").groupBy("doc_id", "th")

@@ -115,8 +115,9 @@ def test_settling_does_not_depend_on_batches(first_wins, size):
     batch = pa.RecordBatch.from_arrays(
         [pa.array(place[order]), pa.array(np.zeros(n, np.int32)),
          pa.array(np.arange(n, dtype=np.int32)), pa.array(np.ones(n, np.int32)),
-         pa.array(h[order]), pa.array(u[order]), pa.array(place[order])],
-        names=["doc_id", "th", "first", "n", "h", "u", "place"])
+         pa.array(h[order]), pa.array(u[order]), pa.array(place[order]),
+         pa.array(np.zeros(n, bool)), pa.array(np.zeros(n, bool))],
+        names=["doc_id", "th", "first", "n", "h", "u", "place", "twin", "done"])
 
     def run(batches):
         return sorted((r["first"], r["wanted"]) for b in settle_runs(first_wins)(iter(batches))
@@ -134,3 +135,32 @@ def test_settling_does_not_depend_on_batches(first_wins, size):
         head = place[i] == least if first_wins else i == np.flatnonzero(same)[0]
         want += [(i, False)] * bool(covered) + [(i, True)] * bool(head and several)
     assert got == sorted(want)
+
+
+def test_hot_groups_are_settled_in_their_tasks(spark, passage_rows):
+    """Many copies and a common passage, in many small batches of one task."""
+    common = " ".join(f"c{i}" for i in range(45))
+    rows = passage_rows + [(200 + i, f"x{i} {common} y{i}") for i in range(60)]
+    rows += [(300 + i % 50, " ".join(f"k{j}" for j in range(80))) for i in range(70)]
+    rows += [(50, common + " z"), (299, " ".join(f"k{j}" for j in range(90)))]
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "25")
+    try:
+        df = frame(spark, rows).coalesce(2)
+        assert sorted_rows(suffix_dedup.digests(df)) == brute_bytes(rows, 200)
+        assert sorted_rows(fm_index.digests(df)) == brute_words(rows, 13)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+
+
+@pytest.mark.parametrize("first_wins", [True, False])
+def test_map_side_sends_few_rows_of_a_hot_kind(first_wins):
+    from statline.llm.repeats import MapSide
+
+    side, sent = MapSide(first_wins), 0
+    for i in range(30):
+        h = np.full(40, 7, np.uint64)
+        send, done, _ = side(h, h + np.uint64(1), np.arange(40) + 40 * i)
+        assert (send ^ done).all()
+        sent += send.sum()
+    assert sent == 1
