@@ -35,6 +35,13 @@ def position_groups(yearly: DataFrame, positions: DataFrame, year: int) -> DataF
         year_mean(year).alias("mean"), year_variance(year).alias("variance"))
 
 
+def scorer_groups(scorers: DataFrame, positions: DataFrame) -> DataFrame:
+    """(slot, player_id, mean, variance): :func:`position_groups` for consumers
+    of one season (see ``stats.year_scorers``); only two doubles travel."""
+    return positions.join(scorers, "player_id").select(
+        F.explode(slots_of("position")).alias("slot"), "player_id", "mean", "variance")
+
+
 def group(groups: DataFrame, slot: str) -> DataFrame:
     """One position group."""
     return groups.filter(F.col("slot") == slot)

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 # Positions exported one file each.
 EXTRACT_POSITIONS = ("WR", "RB", "QB", "TE")
 
+NULL_GAME_SALTS = 64
+
 _WIDE = "decimal(38,0)"
 
 
@@ -29,8 +31,13 @@ def player_prediction(points: DataFrame, games: DataFrame, players: DataFrame) -
     # its partitioning to the grouping and gather a hot player in one task.
     # Moments are additive, so a player listed twice in ``players`` still
     # counts every game twice, exactly as joining before grouping does.
-    per_season = (points.select("player", "gid", x.alias("x"))
-                  .join(games.select("gid", "seas"), "gid", "left")
+    # Points without a game id match no game; the salt spreads them over
+    # partitions, where the bare NULL key would gather them in one.
+    salt = F.when(F.col("gid").isNull(), F.pmod(F.xxhash64("player"), F.lit(NULL_GAME_SALTS)))
+    base = points.select("player", "gid", x.alias("x")).withColumn(
+        "_salt", F.coalesce(salt, F.lit(0)).cast("int"))
+    per_season = (base.join(games.select("gid", "seas", F.lit(0).alias("_salt")),
+                            ["gid", "_salt"], "left")
                   .groupBy("player", "seas")
                   .agg(F.count(F.lit(1)).alias("_n"), F.sum("x").alias("_s"),
                        F.sum(F.col("x") * F.col("x")).alias("_ss")))

@@ -1,12 +1,15 @@
 """Enumeration of every nine-slot roster built from the top players.
 
 Slots, in the reference's order: QB, RB, RB, WR, WR, K, DEF, TE, flex.  The
-inputs are the top-k tables (at most k ≤ 5 players per group, 31 rows in
-all), so the product has at most 5·5·5·5·5·3·5·4·4 = 750,000 rows whatever
-the size of the data; it is the feature itself, not an intermediate.  Each
-step broadcasts a side of at most 5 rows (a proven bound) and carries the
-duplicate-player predicates inside the join, so invalid rosters are pruned
-as soon as both slots are bound instead of after the full product.
+top players (at most k per group, 31 rows in all by default) are gathered into
+one row of seven small arrays, and the slots are exploded one after the other
+with the duplicate-player predicates as filters, so invalid rosters are pruned
+as soon as both slots are bound.  It is one lazy plan without a join: nothing
+runs before the result is asked for.
+
+The product is the feature itself: at most 5·5·5·5·5·3·5·4·4 = 750,000 rows
+whatever the size of the data.  A larger ``top_k`` is accepted up to
+``MAX_ROSTERS`` combinations and refused beyond; it is never cut.
 """
 
 from __future__ import annotations
@@ -17,19 +20,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from statline.functions.positions import FLEX, TOP_K, top_k_bound
-from statline.session import ensure_checkpoint_dir
 
 # (output column, position group) in the reference's roster order
 SLOTS = (("qb", "QB"), ("rb1", "RB"), ("rb2", "RB"), ("wr1", "WR"), ("wr2", "WR"),
          ("k", "K"), ("def", "DEF"), ("te", "TE"), ("flex", FLEX))
 OUTPUT = ("qb", "rb1", "rb2", "wr1", "wr2", "te", "k", "flex", "def")
 SPREAD_AFTER = "wr1"
-
-
-def _slot(top: DataFrame, name: str, group: str) -> DataFrame:
-    return top.filter(F.col("slot") == group).select(
-        F.col("player_id").alias(name), F.col("mean").alias(f"_m_{name}"),
-        F.col("variance").alias(f"_v_{name}"))
+MAX_ROSTERS = 10_000_000
 
 
 def _distinct(a: str, b: str, unordered: bool) -> Column:
@@ -54,14 +51,15 @@ def rosters(top: DataFrame, strict: bool = True, unordered: bool = False,
     ``unordered=True`` keeps one order of each RB pair and WR pair.
     Totals add the nine target-year means (and variances) in slot order.
     """
-    ensure_checkpoint_dir(top.sparkSession)
-    # The bound is enforced here, not trusted: only ranks within each
-    # group's k survive, so every broadcast side has at most max(k) rows and
-    # the output at most max_rosters() rows.  The table is read nine times:
-    # materialise it once (reliable checkpoint in the shared folder) so the
-    # upstream job is not recomputed per slot.
-    top = (top.filter(F.col("rank") <= top_k_bound("slot", top_k))
-           .select("slot", "player_id", "mean", "variance").checkpoint(eager=True))
+    bound = max_rosters(top_k)
+    if bound > MAX_ROSTERS:
+        raise ValueError(f"top_k allows {bound} rosters; the limit is {MAX_ROSTERS}")
+    # the bound holds whatever the input: only ranks within each group's k
+    player = F.struct("player_id", "mean", "variance")
+    names = sorted({group for _, group in SLOTS})
+    out = (top.filter(F.col("rank") <= top_k_bound("slot", top_k))
+           .agg(*[F.collect_list(F.when(F.col("slot") == g, player)).alias(f"_g{i}")
+                  for i, g in enumerate(names)]))
     conds = {
         "rb2": _distinct("rb1", "rb2", unordered),
         "wr2": _distinct("wr1", "wr2", unordered),
@@ -69,19 +67,15 @@ def rosters(top: DataFrame, strict: bool = True, unordered: bool = False,
                                             ("rb1", "rb2", "wr1", "wr2")
                                             + (("te",) if strict else ())]),
     }
-    out = None
     for name, group in SLOTS:
-        side = _slot(top, name, group)
-        if out is None:
-            out = side
-        elif name in conds:
-            out = out.join(F.broadcast(side), conds[name], "inner")
-        else:
-            out = out.crossJoin(F.broadcast(side))
+        out = (out.withColumn("_p", F.explode(f"_g{names.index(group)}"))
+               .withColumns({name: F.col("_p.player_id"), f"_m_{name}": F.col("_p.mean"),
+                             f"_v_{name}": F.col("_p.variance")}).drop("_p"))
+        if name in conds:
+            out = out.filter(conds[name])
         if name == SPREAD_AFTER:
-            # at most 5·5·5·5 partial rosters so far: spread them round-robin
-            # so the remaining joins (up to 750,000 rows) run in parallel
-            # rather than in the single task of the checkpointed input
+            # few partial rosters so far: spread them round-robin, so that the
+            # rest of the product does not run in the single task of the arrays
             out = out.repartition(int(top.sparkSession.conf.get(
                 "spark.sql.shuffle.partitions", "8")))
     mean_total = reduce(lambda a, b: a + b, [F.col(f"_m_{n}") for n, _ in SLOTS])

@@ -62,10 +62,10 @@ def _formulas(get, integral: bool) -> list[Column]:
 def score_sessions(game_sessions: DataFrame, integral: bool = True) -> DataFrame:
     """``scoring_game_sessions`` -> (player, gid, passing, rushing, receiving).
 
-    Each array is folded into NULL-aware sums inside one projection; parts of
-    a split key are then added up (a no-op shuffle of one small row per key
-    when there is a single part) before the formulas run on the totals.  A
-    NULL or empty array gives a NULL measure, never a dropped row.
+    Each array is folded into NULL-aware sums inside one projection; the rows
+    of a key (several only where the game id is NULL) are then added up before
+    the formulas run on the totals.  A NULL or empty array gives a NULL
+    measure, never a dropped row.
     """
     folded = game_sessions.select(
         "player", "gid",
@@ -77,38 +77,20 @@ def score_sessions(game_sessions: DataFrame, integral: bool = True) -> DataFrame
                          *_formulas(lambda m, f: F.col(f"{m}_{f}"), integral))
 
 
-def player_game_points(t: PlayTables, integral: bool = True,
-                       max_elems: int = S.DEFAULT_MAX_ELEMS) -> DataFrame:
+def player_game_points(t: PlayTables, integral: bool = True, method: str = "union") -> DataFrame:
     """The nested path end to end: per-game sessions, then :func:`score_sessions`."""
-    return score_sessions(S.scoring_sessions(t, by_game=True, max_elems=max_elems), integral)
+    return score_sessions(S.scoring_sessions(t, by_game=True, method=method), integral)
 
 
 def player_game_points_flat(t: PlayTables, integral: bool = True) -> DataFrame:
     """Same result as :func:`player_game_points` without building arrays.
 
-    The four kinds of play are stacked (UNION ALL) with measure-specific
-    columns and summed per (player, gid); ``sum`` of no values is NULL, so a
-    player-game without passes gets NULL passing exactly as the fold does.
-    Kicks contribute a row but no points.
+    The enriched plays are summed per (player, gid) with measure-specific
+    columns; ``sum`` of no values is NULL, so a player-game without passes gets
+    NULL passing exactly as the fold does.  Kicks contribute a row but no
+    points.
     """
-    cols = [f"{m}_{f}" for m, (_, fields) in MEASURES.items() for f in fields]
-    kind_of = {m: arr for m, (arr, _) in MEASURES.items()}
-
-    def stack(df: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
-        # one selectExpr (a single JVM call) instead of a column tree per field
-        out = []
-        for c in cols:
-            m, f = c.split("_", 1)
-            v = "CAST(NULL AS BIGINT)"
-            if kind_of[m] in kinds:
-                v = f"CAST({f} AS BIGINT)"
-                if len(kinds) > 1:
-                    v = f"CASE WHEN kind = '{kind_of[m]}' THEN {v} END"
-            out.append(f"{v} AS {c}")
-        return df.selectExpr("player", "gid", *out)
-
-    stacked = (stack(S.pass_roles(t), ("passes", "receptions"))
-               .unionByName(stack(S.rush_plays(t), ("rushes",)))
-               .unionByName(stack(S.kick_plays(t), ())))
-    totals = stacked.groupBy("player", "gid").agg(*[F.expr(f"sum({c}) AS {c}") for c in cols])
+    sums = [f"sum(CASE WHEN kind = '{arr}' THEN CAST({f} AS BIGINT) END) AS {m}_{f}"
+            for m, (arr, fields) in MEASURES.items() for f in fields]
+    totals = S.plays(t).groupBy("player", "gid").agg(*[F.expr(x) for x in sums])
     return totals.select("player", "gid", *_formulas(lambda m, f: F.col(f"{m}_{f}"), integral))

@@ -2,33 +2,38 @@
 gathered into one array of structs, and the full outer combination of the
 four kinds of session.
 
-Scale: an array holds every play of its key, so a hot key (one player with a
-large share of all plays) would become one giant array built in one task.
-Every session is therefore split into *parts*: keys with more than
-``max_elems`` plays are spread over ``ceil(n / max_elems)`` parts by a hash of
-the play id.  The number of parts of a player is decided once from the raw
-plays of all session kinds together, so the same play lands in the same
-part in every array and the combination pairs ``(key, part)`` one to one.
-Keys below the bound (all keys at test scale) have the single part 0, giving
-exactly the reference's one row per key.  No play is ever dropped.
+All kinds of play come from one enrichment pipeline: passes, rushes and made
+kicks are stacked as narrow rows and joined once each with ``core``,
+``scoring_14``, ``convs``, ``ints`` and ``fumbles`` on the play id.
+
+Scale: the layout never depends on the data.
+
+* Per game there is one row per (player, gid); a game bounds its arrays.  Only
+  plays without a game id have no such bound: they are spread over ``PARTS``
+  rows per player by a hash of the play id (NULL keys never match each other,
+  so no consumer can tell these rows from those of a full outer join).
+* Per player there are up to ``parts`` rows for every player, hot or not, by
+  the same hash; a play lands in the same part in every array, parts hold
+  disjoint plays, and sums and sizes add up across parts.  ``parts=1`` gives
+  one row per player, for tables whose players are known to be small.
+
+Nothing runs while a session table is being built.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from statline.functions.positions import NO_PLAYER
-from statline.session import ensure_checkpoint_dir
 from statline.sources.play_views import PlayTables
 
-DEFAULT_MAX_ELEMS = 50_000
-# The hot-player table is broadcast only when counted at or under this many
-# rows (a few tens of MB); above it a shuffle join is used instead.
-HOT_BROADCAST_ROWS = 1_000_000
+PARTS = 16
+
+KINDS = ("passes", "rushes", "receptions", "fgxp")
 
 # Element fields of each session array (gid is dropped in the per-game form).
 FIELDS = {
@@ -40,242 +45,147 @@ FIELDS = {
 
 
 def _flag(side: DataFrame, name: str) -> DataFrame:
-    return side.select("pid", F.lit(1).alias(name))
-
-
-def _with_core_and_extras(plays: DataFrame, t: PlayTables) -> DataFrame:
-    """plays ⋈ core, then left joins with scoring and conversions.
-
-    Left joins fan out when a side table repeats a pid, as in the reference.
+    return side.select(F.col("pid").alias(f"_{name}_pid"), F.lit(1).alias(name))
+
+
+def _raw_plays(t: PlayTables, kinds: Sequence[str]) -> DataFrame:
+    """The wanted play tables stacked: (src, pid, who, target, yds, fgxp, dist)."""
+    parts = []
+    if "passes" in kinds or "receptions" in kinds:
+        parts.append(t.passes.selectExpr(
+            "'pass' AS src", "pid", "psr AS who", "trg AS target", "yds",
+            "CAST(NULL AS STRING) AS fgxp", "CAST(NULL AS INT) AS dist"))
+    if "rushes" in kinds:
+        parts.append(t.rushes.selectExpr(
+            "'rush' AS src", "pid", "bc AS who", "CAST(NULL AS STRING) AS target", "yds",
+            "CAST(NULL AS STRING) AS fgxp", "CAST(NULL AS INT) AS dist"))
+    if "fgxp" in kinds:
+        parts.append(t.kicks.filter(F.col("good") == "Y").selectExpr(
+            "'kick' AS src", "pid", "fkicker AS who", "CAST(NULL AS STRING) AS target",
+            "CAST(NULL AS INT) AS yds", "fgxp", "dist"))
+    stacked = reduce(DataFrame.unionByName, parts)
+    return stacked.filter((F.col("who") != NO_PLAYER) | (F.col("target") != NO_PLAYER))
+
+
+def plays(t: PlayTables, kinds: Sequence[str] = KINDS) -> DataFrame:
+    """Enriched plays of the wanted kinds, one row per play and role:
+    (kind, player, gid, pid, yds, intcpt, td, conv, fgxp, dist).
+
+    A pass is a ``passes`` row of its passer and, when no interception matched
+    (LEFT JOIN ... IS NULL, row for row the anti join), a ``receptions`` row
+    of its target; a rush counts when no fumble matched; kicks take nothing
+    but their game.  The left joins fan out when a side table repeats a pid,
+    as in the reference; conditions on ``src`` keep a side table from touching
+    kinds that the reference does not join with it.
     """
-    return (plays.join(t.core.select("pid", "gid"), "pid", "inner")
-            .join(t.scoring.select("pid", "pts"), "pid", "left")
-            .join(_flag(t.convs, "_conv"), "pid", "left"))
-
-
-def _extras() -> list:
-    return [F.coalesce(F.col("pts"), F.lit(0)).cast("int").alias("td"),
-            F.col("_conv").isNotNull().cast("int").alias("conv")]
+    df = _raw_plays(t, kinds).join(t.core.select("pid", "gid"), "pid", "inner")
+    src, pid = F.col("src"), F.col("pid")
+    if kinds != ("fgxp",) and set(kinds) != {"fgxp"}:
+        pts = t.scoring.select(F.col("pid").alias("_pts_pid"), "pts")
+        df = df.join(pts, (pid == F.col("_pts_pid")) & (src != "kick"), "left")
+        df = df.join(_flag(t.convs, "conv"), (pid == F.col("_conv_pid")) & (src != "kick"), "left")
+    else:
+        df = df.withColumns({"pts": F.lit(None).cast("int"), "conv": F.lit(None).cast("int")})
+    for name, side, table, wanted in (("int", "pass", t.ints, ("passes", "receptions")),
+                                      ("fumble", "rush", t.fumbles, ("rushes",))):
+        if set(wanted) & set(kinds):
+            df = df.join(_flag(table, name), (pid == F.col(f"_{name}_pid")) & (src == side), "left")
+        else:
+            df = df.withColumn(name, F.lit(None).cast("int"))
+    roles = []
+    for kind, cond, player in (
+            ("passes", src == "pass", "who"),
+            ("receptions", (src == "pass") & F.col("int").isNull(), "target"),
+            ("rushes", (src == "rush") & F.col("fumble").isNull(), "who"),
+            ("fgxp", src == "kick", "who")):
+        if kind in kinds:
+            role = F.struct(F.lit(kind).alias("kind"), F.col(player).alias("player"))
+            roles.append(F.when(cond & (F.col(player) != NO_PLAYER), role))
+    run = src != "kick"
+    return (df.withColumn("role", F.explode(F.array_compact(F.array(*roles)))).select(
+        "role.kind", "role.player", "gid", "pid", "yds",
+        F.when(src == "pass", F.col("int").isNotNull().cast("int")).alias("intcpt"),
+        F.when(run, F.coalesce(F.col("pts"), F.lit(0)).cast("int")).alias("td"),
+        F.when(run, F.col("conv").isNotNull().cast("int")).alias("conv"), "fgxp", "dist"))
+
+
+def _one_kind(t: PlayTables, kind: str) -> DataFrame:
+    """Plays of one kind: (player, gid, pid, fields)."""
+    return plays(t, (kind,)).select("player", *dict.fromkeys(("gid", "pid", *FIELDS[kind])))
 
 
 def pass_plays(t: PlayTables) -> DataFrame:
     """Pass plays by passer: (player, gid, pid, yds, intcpt, td, conv)."""
-    df = (_with_core_and_extras(t.passes.filter(F.col("psr") != NO_PLAYER), t)
-          .join(_flag(t.ints, "_int"), "pid", "left"))
-    return df.select(F.col("psr").alias("player"), "gid", "pid", "yds",
-                     F.col("_int").isNotNull().cast("int").alias("intcpt"), *_extras())
+    return _one_kind(t, "passes")
 
 
 def reception_plays(t: PlayTables) -> DataFrame:
-    """Completed receptions by target, intercepted plays removed (anti join)."""
-    df = (_with_core_and_extras(t.passes.filter(F.col("trg") != NO_PLAYER), t)
-          .join(t.ints.select("pid"), "pid", "left_anti"))
-    return df.select(F.col("trg").alias("player"), "gid", "pid", "yds", *_extras())
+    """Completed receptions by target, intercepted plays removed."""
+    return _one_kind(t, "receptions")
 
 
 def rush_plays(t: PlayTables) -> DataFrame:
-    """Rushes by ball carrier, fumbled plays removed (anti join)."""
-    df = (_with_core_and_extras(t.rushes.filter(F.col("bc") != NO_PLAYER), t)
-          .join(t.fumbles.select("pid"), "pid", "left_anti"))
-    return df.select(F.col("bc").alias("player"), "gid", "pid", "yds", *_extras())
+    """Rushes by ball carrier, fumbled plays removed."""
+    return _one_kind(t, "rushes")
 
 
 def kick_plays(t: PlayTables) -> DataFrame:
     """Made kicks by kicker: (player, gid, pid, fgxp, dist)."""
-    df = t.kicks.filter((F.col("good") == "Y") & (F.col("fkicker") != NO_PLAYER))
-    return (df.join(t.core.select("pid", "gid"), "pid", "inner")
-            .select(F.col("fkicker").alias("player"), "gid", "pid", "fgxp", "dist"))
-
-
-PLAYS = {"passes": pass_plays, "rushes": rush_plays, "receptions": reception_plays,
-         "fgxp": kick_plays}
-
-
-def pass_roles(t: PlayTables) -> DataFrame:
-    """Pass plays by passer and completed receptions by target from ONE join
-    pipeline: (kind, player, gid, pid, yds, intcpt, td, conv).
-
-    Every enriched pass yields a ``passes`` row for its passer and, when no
-    interception matched (LEFT JOIN ... IS NULL, row for row the anti join),
-    a ``receptions`` row for its target.  Same rows as :func:`pass_plays`
-    plus :func:`reception_plays`, with the joins computed once.
-    """
-    df = (_with_core_and_extras(
-        t.passes.filter((F.col("psr") != NO_PLAYER) | (F.col("trg") != NO_PLAYER)), t)
-        .join(_flag(t.ints, "_int"), "pid", "left"))
-    role = F.explode(F.array(
-        F.struct(F.lit("passes").alias("kind"), F.col("psr").alias("player")),
-        F.when(F.col("_int").isNull(),
-               F.struct(F.lit("receptions").alias("kind"), F.col("trg").alias("player")))))
-    roles = df.select(role.alias("r"), "gid", "pid", "yds",
-                      F.col("_int").isNotNull().cast("int").alias("intcpt"), *_extras())
-    return (roles.filter(F.col("r").isNotNull() & (F.col("r")["player"] != NO_PLAYER))
-            .select(F.col("r")["kind"].alias("kind"), F.col("r")["player"].alias("player"),
-                    "gid", "pid", "yds", "intcpt", "td", "conv"))
-
-
-# raw play table and player column of each kind (for the hot-key count)
-RAW_PLAYER = {
-    "passes": ("passes", "psr"),
-    "receptions": ("passes", "trg"),
-    "rushes": ("rushes", "bc"),
-    "fgxp": ("kicks", "fkicker"),
-}
-
-
-def _raw(t: PlayTables, name: str) -> DataFrame:
-    df = getattr(t, name)
-    return df.filter(F.col("good") == "Y") if name == "kicks" else df
-
+    return _one_kind(t, "fgxp")
 
-@dataclass(frozen=True)
-class HotPlayers:
-    """Players to split, materialised once, and whether the table was
-    counted small enough to broadcast."""
 
-    table: DataFrame   # player, _parts
-    broadcastable: bool
-
-
-def hot_players(t: PlayTables, kinds: Sequence[str], max_elems: int) -> HotPlayers:
-    """Players with more than ``max_elems`` plays of the given kinds, with
-    their number of parts.
-
-    Counted on the raw play tables (each scanned once for its pruned player
-    columns; partial aggregation, so a hot player costs one row per map task
-    in the shuffle), so no join is computed twice.  A player's count bounds
-    the count of each of their games, so the same parts serve per-player
-    and per-game sessions.  The (usually empty) result is materialised with
-    a reliable checkpoint and counted, which decides how it is joined.
-    """
-    cols: dict[str, list[str]] = {}
-    for kind in kinds:
-        name, col = RAW_PLAYER[kind]
-        cols.setdefault(name, []).append(col)
-    keyed = None
-    for name, cs in cols.items():
-        player = F.col(cs[0]) if len(cs) == 1 else F.explode(F.array(*cs))
-        k = _raw(t, name).select(player.alias("player"))
-        keyed = k if keyed is None else keyed.unionByName(k)
-    hot = (keyed.filter(F.col("player") != NO_PLAYER)
-           .groupBy("player").agg(F.count(F.lit(1)).alias("_n"))
-           .filter(F.col("_n") > max_elems)
-           .select("player", F.ceil(F.col("_n") / F.lit(max_elems)).cast("int").alias("_parts")))
-    ensure_checkpoint_dir(hot.sparkSession)
-    hot = hot.checkpoint(eager=True)
-    return HotPlayers(hot, hot.count() <= HOT_BROADCAST_ROWS)
-
-
-def with_part(plays: DataFrame, hot: HotPlayers, keys: Sequence[str]) -> DataFrame:
-    """Add ``part``: 0 for ordinary players, a hash of the play id over the
-    player's parts for hot players.
-
-    The hot table is broadcast when its counted size allows, so the plays
-    are not shuffled by player for this join and the grouping that follows
-    shuffles on all of ``keys + part``, spreading a hot player's parts over
-    tasks.  Beyond that size it is a shuffle join (AQE splits the skewed
-    player partition), followed by an explicit repartition on
-    ``keys + part``: otherwise the grouping would reuse the partitioning by
-    player and gather a hot player in one task.
-    """
-    side = F.broadcast(hot.table) if hot.broadcastable else hot.table
-    out = (plays.join(side, "player", "left")
-           .withColumn("part", F.coalesce(
-               F.pmod(F.xxhash64("pid"), F.col("_parts")).cast("int"), F.lit(0)))
-           .drop("_parts"))
-    return out if hot.broadcastable else out.repartition(*keys, "part")
-
-
-def nest(plays: DataFrame, keys: Sequence[str], fields: Sequence[str], name: str,
-         hot: HotPlayers) -> DataFrame:
-    """Gather plays into ``keys + part + name`` rows (``collect_list`` of structs)."""
-    return (with_part(plays, hot, keys).groupBy(*keys, "part")
-            .agg(F.collect_list(F.struct(*fields)).alias(name)))
+def _part(by_game: bool, parts: int) -> Column:
+    """The part of a play: of every play per player, per game only of plays
+    without a game."""
+    part = F.pmod(F.xxhash64("pid"), F.lit(parts)).cast("int")
+    return F.when(F.col("gid").isNull(), part) if by_game else part
 
 
 def _keys(by_game: bool) -> list[str]:
-    return ["player", "gid"] if by_game else ["player"]
+    return ["player", "gid"] if by_game else ["player", "part"]
 
 
 def _fields(kind: str, by_game: bool) -> list[str]:
     return [f for f in FIELDS[kind] if not (by_game and f == "gid")]
 
 
-def sessions(t: PlayTables, kind: str, by_game: bool = False,
-             max_elems: int = DEFAULT_MAX_ELEMS) -> DataFrame:
-    """One session table: kind in passes, rushes, receptions, fgxp."""
-    return nest(PLAYS[kind](t), _keys(by_game), _fields(kind, by_game), kind,
-                hot_players(t, [kind], max_elems))
+def _nest(df: DataFrame, kind: str, by_game: bool, parts: int) -> DataFrame:
+    group = ["player", "gid", "part"] if by_game else ["player", "part"]
+    return (df.withColumn("part", _part(by_game, parts)).groupBy(*group)
+            .agg(F.collect_list(F.struct(*_fields(kind, by_game))).alias(kind))
+            .select(*_keys(by_game), kind))
 
 
-KINDS = ("passes", "rushes", "receptions", "fgxp")
+def sessions(t: PlayTables, kind: str, by_game: bool = False, parts: int = PARTS) -> DataFrame:
+    """One session table: kind in passes, rushes, receptions, fgxp.
+
+    Per game: (player, gid, <kind>).  Per player: (player, part, <kind>)."""
+    return _nest(_one_kind(t, kind), kind, by_game, parts)
 
 
-def stacked_elements(t: PlayTables, by_game: bool) -> DataFrame:
-    """All plays of all kinds, one row each: (player, gid, pid, _kind,
-    _e_<kind> ...) with the element struct in its kind's column, NULL in the
-    others.  Passes and receptions come from one join pipeline."""
-    def elem(kind: str):
-        return F.struct(*[F.col(f) for f in _fields(kind, by_game)])
-
-    branches = [
-        ("passes", pass_roles(t)),
-        ("rushes", rush_plays(t).withColumn("kind", F.lit("rushes"))),
-        ("fgxp", kick_plays(t).withColumn("kind", F.lit("fgxp"))),
-    ]
-    types = {}
-    for kind in KINDS:
-        src = branches[0][1] if kind in ("passes", "receptions") else dict(branches)[kind]
-        types[kind] = src.select(elem(kind)).schema[0].dataType
-    stacked = None
-    for name, df in branches:
-        kinds = ("passes", "receptions") if name == "passes" else (name,)
-        cols = []
-        for kind in KINDS:
-            if kind in kinds:
-                e = elem(kind)
-                if len(kinds) > 1:
-                    e = F.when(F.col("kind") == kind, e)
-                cols.append(e.cast(types[kind]).alias(f"_e_{kind}"))
-            else:
-                cols.append(F.lit(None).cast(types[kind]).alias(f"_e_{kind}"))
-        part = df.select("player", "gid", "pid", F.col("kind").alias("_kind"), *cols)
-        stacked = part if stacked is None else stacked.unionByName(part)
-    return stacked
-
-
-def scoring_sessions(t: PlayTables, by_game: bool = False,
-                     max_elems: int = DEFAULT_MAX_ELEMS, method: str = "union") -> DataFrame:
-    """The four sessions of every player (and game) side by side; a missing
-    array stays NULL.
+def scoring_sessions(t: PlayTables, by_game: bool = False, parts: int = PARTS,
+                     method: str = "union", kinds: Sequence[str] = KINDS) -> DataFrame:
+    """The sessions of every player (and game) side by side; a missing array
+    stays NULL.  ``kinds`` leaves out what a consumer does not read.
 
     ``method="join"`` is the reference's form: nest each kind, then
     ``receptions ⟗ fgxp``, ``⟗ rushes``, ``⟗ passes`` (USING joins coalesce
-    the keys): four shuffles and three sort-merge joins.
+    the keys).
 
     ``method="union"`` (default) gives the same rows with one shuffle: the
-    plays of all kinds are stacked, each with its element in its own column,
-    and grouped once; ``collect_list`` skips the other kinds' NULLs, and an
-    array with no element is NULL.  Rows whose key has a NULL are kept apart
-    per kind, as a full outer join never matches NULL keys.
+    plays of all kinds are grouped once; ``collect_list`` skips the other
+    kinds' NULLs, and an array with no element is NULL.  Rows whose key has a
+    NULL are kept apart per kind, as a full outer join never matches NULL keys.
     """
     keys = _keys(by_game)
-    hot = hot_players(t, KINDS, max_elems)
-    on = keys + ["part"]
     if method == "join":
-        nested = {kind: nest(PLAYS[kind](t), keys, _fields(kind, by_game), kind, hot)
-                  for kind in KINDS}
-        combined = (nested["receptions"].join(nested["fgxp"], on, "full")
-                    .join(nested["rushes"], on, "full")
-                    .join(nested["passes"], on, "full"))
-        return combined.select(*on, *KINDS)
-    stacked = stacked_elements(t, by_game)
-    any_null_key = None
-    for k in keys:
-        cond = F.col(k).isNull()
-        any_null_key = cond if any_null_key is None else (any_null_key | cond)
-    grouped = with_part(stacked, hot, keys).groupBy(
-        *on, F.when(any_null_key, F.col("_kind")).alias("_null_key_kind"))
-    return grouped.agg(*[
-        F.when(F.count(f"_e_{kind}") > 0, F.collect_list(f"_e_{kind}")).alias(kind)
-        for kind in KINDS]).select(*on, *KINDS)
+        order = [k for k in ("receptions", "fgxp", "rushes", "passes") if k in kinds]
+        nested = [sessions(t, kind, by_game, parts) for kind in order]
+        return reduce(lambda a, b: a.join(b, keys, "full"), nested).select(*keys, *kinds)
+    df = plays(t, kinds).withColumn("part", _part(by_game, parts))
+    group = ["player", "gid", "part"] if by_game else ["player", "part"]
+    no_match = F.when(F.col("gid").isNull(), F.col("kind")) if by_game else F.lit(None)
+    elements = {k: F.when(F.col("kind") == k, F.struct(*_fields(k, by_game))) for k in kinds}
+    return df.groupBy(*group, no_match.cast("string").alias("_null_key_kind")).agg(*[
+        F.when(F.count(e) > 0, F.collect_list(e)).alias(k) for k, e in elements.items()
+    ]).select(*keys, *kinds)

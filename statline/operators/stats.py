@@ -16,6 +16,7 @@ from statline.sources.warehouse import POINT_COLUMNS, game_seasons, player_game_
 
 _WIDE = "decimal(38,0)"  # products of sums cannot overflow for any realistic group
 
+GAME_ZERO_SALTS = 64  # join keys of game 0, where all NULL game ids go
 
 # mean and sample variance from n = games, s = Σx, ss = Σx² (exact integers)
 _MEAN = "CAST({s} AS DOUBLE) / CAST(games AS DOUBLE)"
@@ -25,20 +26,32 @@ _VAR_SAMP = (
     f" / CAST(CAST(games AS {_WIDE}) * (CAST(games AS {_WIDE}) - 1) AS DOUBLE) ELSE 0.0 END")
 
 
-def season_stats(points: DataFrame, games: DataFrame) -> DataFrame:
+def season_stats(points: DataFrame, games: DataFrame, year: int | None = None) -> DataFrame:
     """(player_id, season, games, <m>_mean, <m>_variance ..., total_mean, total_variance).
 
     Points join games on the game id (inner: games without a season row are
     dropped, repeated game rows multiply, as in the reference).  AQE chooses
     a broadcast of ``games`` only when its measured size is under the
-    broadcast threshold, a shuffle join otherwise.
+    broadcast threshold, a shuffle join otherwise.  With ``year`` only that
+    season's games enter the join.
+
+    A NULL game id counts as game 0, which may hold any share of the rows:
+    that one key is salted over ``GAME_ZERO_SALTS`` join keys.
     """
-    recs = player_game_records(points).join(game_seasons(games), "gid", "inner")
+    seasons = game_seasons(games)
+    if year is not None:
+        seasons = seasons.filter(F.col("season") == F.lit(year))
+    salts = F.when(F.col("gid") == 0, F.sequence(F.lit(0), F.lit(GAME_ZERO_SALTS - 1)))
+    seasons = seasons.withColumn("_salt", F.explode(F.coalesce(salts, F.array(F.lit(0)))))
+    salt = F.when(F.col("gid") == 0, F.pmod(F.xxhash64("player_id"), F.lit(GAME_ZERO_SALTS)))
+    records = player_game_records(points).withColumn(
+        "_salt", F.coalesce(salt, F.lit(0)).cast("int"))
     aggs = ["count(1) AS games"]
     for m in POINT_COLUMNS:
         aggs += [f"sum(CAST({m} AS BIGINT)) AS _s_{m}",
                  f"sum(CAST({m} AS BIGINT) * CAST({m} AS BIGINT)) AS _ss_{m}"]
-    g = recs.groupBy("player_id", "season").agg(*[F.expr(a) for a in aggs])
+    g = (records.join(seasons, ["gid", "_salt"], "inner")
+         .groupBy("player_id", "season").agg(*[F.expr(a) for a in aggs]))
     out = ["player_id", "season", "games"]
     for m in POINT_COLUMNS:
         out += [f"{_MEAN.format(s=f'_s_{m}')} AS {m}_mean",
@@ -49,6 +62,13 @@ def season_stats(points: DataFrame, games: DataFrame) -> DataFrame:
     return g.selectExpr(*out[:3], *out[3:9]).selectExpr("*", *out[9:])
 
 
+def year_scorers(points: DataFrame, games: DataFrame, year: int) -> DataFrame:
+    """(player_id, mean, variance) of the players who scored in ``year``: the
+    total mean and variance of that season, other seasons never joined."""
+    return (season_stats(points, games, year).filter("total_mean <> 0")
+            .selectExpr("player_id", "total_mean AS mean", "total_variance AS variance"))
+
+
 def _summary(prefix: str) -> Column:
     return F.struct(F.col(f"{prefix}_mean").alias("mean"),
                     F.col(f"{prefix}_variance").alias("variance"))

@@ -7,64 +7,66 @@ oracle shares no code with the Spark side.
 
 from __future__ import annotations
 
-_PLAYER = "CASE WHEN {k} % 97 = 0 THEN 'XX-0000' ELSE CAST({k} AS VARCHAR) END"
+# ---------------------------------------------------------------------------
+# The adapter's injections, the raw positions by part key, the
+# placeholder player, the roster limits and the scoring divisors.
+PLACEHOLDER = "XX-0000"
+POSITIONS = ("RB", "QB", "DB", "DL", "K", "LB", "OL", "TE", "WR", "LS", None)
+ROSTER_POSITION = {"RB": "RB", "QB": "QB", "DB": "DEF", "DL": "DEF", "K": "K", "LB": "DEF",
+                   "OL": "OFF", "TE": "TE", "WR": "WR", "LS": "LS"}
+LIMITS = {"RB": 5, "QB": 5, "WR": 5, "DEF": 5, "K": 3, "TE": 4, "WR/TE/RB": 4}
+# ---------------------------------------------------------------------------
 
+
+def _case(of: str, values: dict) -> str:
+    arms = " ".join(f"WHEN {k!r} THEN {v!r}" for k, v in values.items())
+    return f"CASE {of} {arms} END"
+
+
+_RAW_POSITION = _case("p_partkey % 11", {i: p for i, p in enumerate(POSITIONS) if p})
+_POSITION = f"coalesce({_case('pos1', ROSTER_POSITION)}, '')"
+_LIMIT = _case("slot", LIMITS)
+
+# Every line item is a play.  ``touched`` says per play what the side tables
+# hold of it: how often each matches (a left join repeats a play that often).
 VIEWS = f"""
-li AS (
-  SELECT *, concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS pid FROM lineitem),
-core AS (SELECT pid, l_orderkey AS gid FROM li),
-pass AS (
-  SELECT pid, {_PLAYER.format(k='l_partkey')} AS psr,
-         CASE WHEN l_suppkey % 23 = 0 THEN NULL ELSE CAST(l_suppkey AS VARCHAR) END AS trg,
-         CAST(l_quantity AS INTEGER) AS yds
-  FROM li WHERE l_returnflag = 'A'),
-rush AS (
-  SELECT pid, {_PLAYER.format(k='l_partkey')} AS bc, CAST(l_quantity AS INTEGER) AS yds
-  FROM li WHERE l_returnflag = 'N'),
-fgxp AS (
-  SELECT pid, {_PLAYER.format(k='l_partkey')} AS fkicker, l_linestatus AS fgxp,
-         CAST(l_quantity AS INTEGER) AS dist, CASE WHEN l_tax > 0 THEN 'Y' ELSE 'N' END AS good
-  FROM li WHERE l_returnflag = 'R'),
-scoring_14 AS (SELECT pid, 6 AS pts FROM li WHERE l_discount >= CAST(0.08 AS DOUBLE)),
-convs AS (SELECT pid FROM li WHERE l_discount = CAST(0.01 AS DOUBLE)),
-ints AS (SELECT pid FROM li
-         WHERE l_discount = CAST(0.02 AS DOUBLE) AND l_returnflag = 'A'),
-fumbles AS (SELECT pid FROM li
-            WHERE l_discount = CAST(0.02 AS DOUBLE) AND l_returnflag = 'N'),
-games AS (SELECT o_orderkey AS gid, CAST(year(o_orderdate) AS INTEGER) AS seas FROM orders),
-players AS (
-  SELECT CAST(p_partkey AS VARCHAR) AS player,
-         CASE p_partkey % 11 WHEN 0 THEN 'RB' WHEN 1 THEN 'QB' WHEN 2 THEN 'DB' WHEN 3 THEN 'DL'
-              WHEN 4 THEN 'K' WHEN 5 THEN 'LB' WHEN 6 THEN 'OL' WHEN 7 THEN 'TE'
-              WHEN 8 THEN 'WR' WHEN 9 THEN 'LS' END AS pos1
-  FROM part),
+plays AS (
+  SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS pid, l_returnflag AS how,
+         CASE WHEN l_orderkey % 89 <> 0 THEN l_orderkey END AS gid,
+         CASE WHEN l_partkey % 97 <> 0 THEN CAST(l_partkey AS VARCHAR) END AS actor,
+         CASE WHEN l_suppkey % 23 <> 0 THEN CAST(l_suppkey AS VARCHAR) END AS receiver,
+         CAST(l_quantity AS INTEGER) AS amount, l_linestatus AS kick_type, l_tax > 0 AS made,
+         l_discount >= 0.08::DOUBLE AS scored, l_discount = 0.01::DOUBLE AS converted,
+         l_discount = 0.02::DOUBLE AS lost
+  FROM lineitem),
+touched AS (
+  SELECT pid, count(*) AS n, count(*) FILTER (scored) AS n_scored,
+         count(*) FILTER (converted) AS n_converted,
+         count(*) FILTER (lost AND how = 'A') AS n_int, count(*) FILTER (lost AND how = 'N') AS n_fumble
+  FROM plays GROUP BY pid),
+games AS (
+  SELECT CASE WHEN o_orderkey = 7 THEN 0 ELSE o_orderkey END AS gid,
+         CAST(year(o_orderdate) AS INTEGER) AS seas FROM orders),
+players AS (SELECT CAST(p_partkey AS VARCHAR) AS player, {_RAW_POSITION} AS pos1 FROM part),
+cored AS (
+  SELECT p.* EXCLUDE (gid), c.gid FROM plays p JOIN (SELECT pid, gid FROM plays) c USING (pid)),
+enriched AS (
+  SELECT x.*, t.n_int, t.n_fumble, CASE WHEN t.n_scored > 0 THEN 6 ELSE 0 END AS td,
+         CAST(t.n_converted > 0 AS INTEGER) AS conv,
+         greatest(t.n_scored, 1) * greatest(t.n_converted, 1) AS copies
+  FROM cored x JOIN touched t USING (pid)),
 pass_plays AS (
-  SELECT a.psr AS player, b.gid, a.pid, a.yds,
-         CAST(e.pid IS NOT NULL AS INTEGER) AS intcpt,
-         CAST(coalesce(c.pts, 0) AS INTEGER) AS td,
-         CAST(d.pid IS NOT NULL AS INTEGER) AS conv
-  FROM pass a JOIN core b ON a.pid = b.pid
-  LEFT JOIN scoring_14 c ON a.pid = c.pid LEFT JOIN convs d ON a.pid = d.pid
-  LEFT JOIN ints e ON a.pid = e.pid
-  WHERE a.psr <> 'XX-0000'),
-rush_plays AS (
-  SELECT a.bc AS player, b.gid, a.pid, a.yds,
-         CAST(coalesce(c.pts, 0) AS INTEGER) AS td, CAST(d.pid IS NOT NULL AS INTEGER) AS conv
-  FROM rush a JOIN core b ON a.pid = b.pid
-  LEFT JOIN scoring_14 c ON a.pid = c.pid LEFT JOIN convs d ON a.pid = d.pid
-  LEFT JOIN fumbles e ON a.pid = e.pid
-  WHERE e.pid IS NULL AND a.bc <> 'XX-0000'),
+  SELECT actor AS player, gid, pid, amount AS yds, CAST(n_int > 0 AS INTEGER) AS intcpt, td, conv
+  FROM enriched, unnest(range(copies * greatest(n_int, 1))) u(i) WHERE how = 'A' AND actor IS NOT NULL),
 reception_plays AS (
-  SELECT a.trg AS player, b.gid, a.pid, a.yds,
-         CAST(coalesce(c.pts, 0) AS INTEGER) AS td, CAST(d.pid IS NOT NULL AS INTEGER) AS conv
-  FROM pass a JOIN core b ON a.pid = b.pid
-  LEFT JOIN scoring_14 c ON a.pid = c.pid LEFT JOIN convs d ON a.pid = d.pid
-  LEFT JOIN ints e ON a.pid = e.pid
-  WHERE e.pid IS NULL AND a.trg <> 'XX-0000'),
+  SELECT receiver AS player, gid, pid, amount AS yds, td, conv
+  FROM enriched, unnest(range(copies)) u(i) WHERE how = 'A' AND receiver IS NOT NULL AND n_int = 0),
+rush_plays AS (
+  SELECT actor AS player, gid, pid, amount AS yds, td, conv
+  FROM enriched, unnest(range(copies)) u(i) WHERE how = 'N' AND actor IS NOT NULL AND n_fumble = 0),
 kick_plays AS (
-  SELECT a.fkicker AS player, b.gid, a.pid, a.fgxp, a.dist
-  FROM fgxp a JOIN core b ON a.pid = b.pid
-  WHERE a.good = 'Y' AND a.fkicker <> 'XX-0000'),
+  SELECT actor AS player, gid, pid, kick_type AS fgxp, amount AS dist
+  FROM cored WHERE how = 'R' AND made AND actor IS NOT NULL),
 stacked AS (
   SELECT player, gid, yds AS p_yds, intcpt AS p_int, td AS p_td, conv AS p_conv,
          NULL AS r_yds, NULL AS r_td, NULL AS r_conv, NULL AS c_yds, NULL AS c_td, NULL AS c_conv
@@ -115,11 +117,7 @@ scorers AS (
                         WHERE season = 2000 AND games <> 0 AND total_mean <> 0)),
 norm_positions AS (
   SELECT player_id, position FROM (
-    SELECT coalesce(player, '') AS player_id,
-           CASE coalesce(pos1, '') WHEN 'RB' THEN 'RB' WHEN 'QB' THEN 'QB' WHEN 'DB' THEN 'DEF'
-                WHEN 'DL' THEN 'DEF' WHEN 'K' THEN 'K' WHEN 'LB' THEN 'DEF' WHEN 'OL' THEN 'OFF'
-                WHEN 'TE' THEN 'TE' WHEN 'WR' THEN 'WR' WHEN 'LS' THEN 'LS' ELSE '' END AS position
-    FROM players)
+    SELECT coalesce(player, '') AS player_id, {_POSITION} AS position FROM players)
   WHERE position NOT IN ('OFF', 'LS')),
 scorer_target AS (
   SELECT player_id, total_mean AS mean, total_variance AS variance
@@ -137,15 +135,13 @@ top_best AS (
     SELECT slot, player_id, mean, variance,
            row_number() OVER (PARTITION BY slot ORDER BY mean DESC, player_id ASC) AS rank
     FROM pos_groups)
-  WHERE rank <= CASE slot WHEN 'RB' THEN 5 WHEN 'QB' THEN 5 WHEN 'WR' THEN 5 WHEN 'DEF' THEN 5
-                          WHEN 'K' THEN 3 WHEN 'TE' THEN 4 WHEN 'WR/TE/RB' THEN 4 END),
+  WHERE rank <= {_LIMIT}),
 top_low AS (
   SELECT * FROM (
     SELECT slot, player_id, mean, variance,
            row_number() OVER (PARTITION BY slot ORDER BY mean ASC, player_id ASC) AS rank
     FROM pos_groups)
-  WHERE rank <= CASE slot WHEN 'RB' THEN 5 WHEN 'QB' THEN 5 WHEN 'WR' THEN 5 WHEN 'DEF' THEN 5
-                          WHEN 'K' THEN 3 WHEN 'TE' THEN 4 WHEN 'WR/TE/RB' THEN 4 END),
+  WHERE rank <= {_LIMIT}),
 prediction AS (
   SELECT player, seas, CAST(s AS BIGINT) AS totalPts,
          sqrt(CAST(n * ss - s * s AS DOUBLE) / CAST(n * n AS DOUBLE)) AS stddev, pos1
@@ -199,20 +195,22 @@ WHERE rb1.player_id {ne} rb2.player_id AND wr1.player_id {ne} wr2.player_id
 
 
 def _session_combo(by_game: bool) -> str:
-    keys = "player, gid" if by_game else "player"
-    sizes = []
-    parts = []
-    for name, plays in (("passes", "pass_plays"), ("rushes", "rush_plays"),
-                        ("receptions", "reception_plays"), ("fgxp", "kick_plays")):
-        sizes.append(f"CAST(max(n_{name}) AS BIGINT) AS n_{name}")
-        parts.append(f"SELECT {keys}, '{name}' AS k, count(*) AS n FROM {plays} GROUP BY {keys}")
-    union = "\n  UNION ALL ".join(parts)
-    pivot = ", ".join(f"CASE WHEN k = '{o}' THEN n END AS n_{o}"
-                      for o in ("passes", "rushes", "receptions", "fgxp"))
+    """Each kind summarised on its own, then joined on all keys of any kind."""
+    keys = ["player", "gid"] if by_game else ["player"]
+    cols, joins, names = [], [], []
+    for name, source, amount in (("passes", "pass_plays", "yds"), ("rushes", "rush_plays", "yds"),
+                                 ("receptions", "reception_plays", "yds"),
+                                 ("fgxp", "kick_plays", "dist")):
+        names.append(f"SELECT {', '.join(keys)} FROM {source}")
+        same = " AND ".join(f"k.{x} IS NOT DISTINCT FROM {name}.{x}" for x in keys)
+        joins.append(f"""LEFT JOIN (SELECT {', '.join(keys)}, count(*) AS n, sum({amount}) AS s,
+                        min(pid) AS lo, max(pid) AS hi FROM {source} GROUP BY ALL) {name} ON {same}""")
+        cols += [f"CAST({name}.n AS BIGINT) AS n_{name}", f"CAST({name}.s AS BIGINT) AS {amount}_{name}",
+                 f"{name}.lo AS first_{name}", f"{name}.hi AS last_{name}"]
     return _with(f"""
-SELECT {keys}, {', '.join(sizes)}
-FROM (SELECT {keys}, {pivot} FROM ({union}) u) v
-GROUP BY {keys}""")
+SELECT {', '.join('k.' + x for x in keys)}, {', '.join(cols)}
+FROM ({' UNION '.join(names)}) k
+{chr(10).join(joins)}""")
 
 
 def _clean(x: str) -> str:
@@ -264,6 +262,7 @@ SELECT position, CAST(count(*) AS BIGINT) AS players FROM norm_positions GROUP B
         "kick_game_sessions": _sessions("kick_plays", True, _KICK),
         "scoring_sessions": _session_combo(False),
         "scoring_game_sessions": _session_combo(True),
+        "scoring_game_sessions_joined": _session_combo(True),
         "player_game_points": _with(points),
         "player_game_points_flat": _with(points),
         "sql_player_game_points": _with(points),

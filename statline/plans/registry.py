@@ -50,8 +50,14 @@ def groups(t: PlayTables) -> DataFrame:
     return P.position_groups(yearly(t), P.normalized_positions(t.players), TARGET_YEAR)
 
 
+def year_groups(t: PlayTables) -> DataFrame:
+    """Position groups of the target year's scorers, without other seasons."""
+    return P.scorer_groups(ST.year_scorers(points(t), t.games, TARGET_YEAR),
+                           P.normalized_positions(t.players))
+
+
 def top(t: PlayTables, best: bool) -> DataFrame:
-    return T.top_players(groups(t), best=best)
+    return T.top_players(year_groups(t), best=best)
 
 
 def _session_summary(kind: str, by_game: bool) -> Query:
@@ -88,14 +94,24 @@ def _size(c: str) -> Column:
     return F.when(F.col(c).isNotNull(), F.size(c))
 
 
-def _scoring_sessions(by_game: bool) -> Query:
-    def run(spark: SparkSession, d: str) -> DataFrame:
-        keys = ["player", "gid"] if by_game else ["player"]
-        s = S.scoring_sessions(play_tables(spark, d), by_game=by_game)
-        return s.groupBy(*keys).agg(*[
-            F.sum(_size(k)).cast("bigint").alias(f"n_{k}")
-            for k in ("passes", "rushes", "receptions", "fgxp")])
-    return run
+def session_report(s: DataFrame, by_game: bool) -> DataFrame:
+    """Size, yards (distance for kicks) and least and greatest play id of each
+    array, per player (and game)."""
+    keys = ["player", "gid"] if by_game else ["player"]
+    cols = []
+    for kind in S.KINDS:
+        amount = "dist" if kind == "fgxp" else "yds"
+        pids = F.transform(kind, lambda x: x["pid"])
+        cols += [F.sum(_size(kind)).cast("bigint").alias(f"n_{kind}"),
+                 F.sum(fold_sums(kind, [amount])[amount]).alias(f"{amount}_{kind}"),
+                 F.min(F.array_min(pids)).alias(f"first_{kind}"),
+                 F.max(F.array_max(pids)).alias(f"last_{kind}")]
+    return s.groupBy(*keys).agg(*cols)
+
+
+def _scoring_sessions(by_game: bool, method: str = "union") -> Query:
+    return lambda spark, d: session_report(
+        S.scoring_sessions(play_tables(spark, d), by_game=by_game, method=method), by_game)
 
 
 def _top(best: bool) -> Query:
@@ -157,8 +173,8 @@ def positions_per_game(spark: SparkSession, d: str) -> DataFrame:
 
 def passer_receiver_plays(spark: SparkSession, d: str) -> DataFrame:
     """array_union: distinct play ids a player took part in as passer or
-    receiver, per player-game.  Parts hold disjoint plays, so part sizes add."""
-    s = S.scoring_sessions(play_tables(spark, d), by_game=True)
+    receiver, per player-game.  Only the two kinds read are built."""
+    s = S.scoring_sessions(play_tables(spark, d), by_game=True, kinds=("passes", "receptions"))
     pids = {a: F.transform(a, lambda x: x["pid"]) for a in ("passes", "receptions")}
     u = null_safe_array_union(F.when(F.col("passes").isNotNull(), pids["passes"]),
                               F.when(F.col("receptions").isNotNull(), pids["receptions"]))
@@ -260,8 +276,7 @@ def queries() -> dict[str, Query]:
         "normalized_positions": lambda s, d: P.normalized_positions(play_tables(s, d).players),
         "position_counts": lambda s, d: P.position_counts(
             P.normalized_positions(play_tables(s, d).players)),
-        "position_groups": lambda s, d: groups(play_tables(s, d)).select(
-            "slot", "player_id", "mean", "variance"),
+        "position_groups": lambda s, d: year_groups(play_tables(s, d)),
         "top_by_position": _top(True),
         "lowest_by_position": _top(False),
         "rosters": _rosters(True, True, False),
@@ -269,6 +284,7 @@ def queries() -> dict[str, Query]:
         "rosters_unordered": _rosters(True, True, True),
         "scoring_sessions": _scoring_sessions(False),
         "scoring_game_sessions": _scoring_sessions(True),
+        "scoring_game_sessions_joined": _scoring_sessions(True, "join"),
         "player_game_points": lambda s, d: SC.player_game_points(play_tables(s, d)),
         "player_game_points_flat": lambda s, d: SC.player_game_points_flat(play_tables(s, d)),
         "sql_player_game_points": sql_player_game_points,

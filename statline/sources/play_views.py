@@ -8,7 +8,8 @@ The test data has none of them, so these views derive them from
 SQL (:mod:`statline.plans.oracle`).
 
 Deterministic injections exercise the NULL and placeholder rules: a few
-player ids become the placeholder ``XX-0000`` and a few receivers NULL.
+player ids become the placeholder ``XX-0000``, a few receivers and game ids
+NULL, and one game has the id 0 that NULL game ids count as.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ TARGET_YEAR = 2000
 RAW_POSITIONS = ("RB", "QB", "DB", "DL", "K", "LB", "OL", "TE", "WR", "LS", None)
 PLACEHOLDER_EVERY = 97     # part keys divisible by this become the placeholder id
 NULL_RECEIVER_EVERY = 23   # supplier keys divisible by this become a NULL receiver
+NULL_GAME_EVERY = 89       # order keys divisible by this become a NULL game of the play
+ZERO_GAME_ORDER = 7        # the order whose game has the id 0, where NULL games go
 # ---------------------------------------------------------------------------
 
 
@@ -82,13 +85,15 @@ def play_tables(spark: SparkSession, data_dir: str) -> PlayTables:
         F.col("l_linestatus").alias("fgxp"),
         F.col("l_quantity").cast("int").alias("dist"),
         F.when(F.col("l_tax") > 0, F.lit("Y")).otherwise(F.lit("N")).alias("good"))
-    core = li.select("pid", F.col("l_orderkey").alias("gid"))
+    core = li.select("pid", F.when(F.col("l_orderkey") % NULL_GAME_EVERY != 0,
+                                   F.col("l_orderkey")).alias("gid"))
     scoring = _pids(li, F.col("l_discount") >= 0.08).withColumn("pts", F.lit(6))
     convs = _pids(li, F.col("l_discount") == 0.01)
     ints = _pids(li, (F.col("l_discount") == 0.02) & (F.col("l_returnflag") == "A"))
     fumbles = _pids(li, (F.col("l_discount") == 0.02) & (F.col("l_returnflag") == "N"))
     games = table(spark, data_dir, "orders").select(
-        F.col("o_orderkey").alias("gid"), F.year("o_orderdate").cast("int").alias("seas"))
+        F.when(F.col("o_orderkey") == ZERO_GAME_ORDER, F.lit(0)).otherwise(F.col("o_orderkey"))
+        .cast("bigint").alias("gid"), F.year("o_orderdate").cast("int").alias("seas"))
     positions = F.array(*[F.lit(p).cast("string") for p in RAW_POSITIONS])
     players = table(spark, data_dir, "part").select(
         F.col("p_partkey").cast("string").alias("player"),

@@ -2,6 +2,8 @@
 
 import itertools
 
+import pytest
+
 from statline.functions.positions import FLEX
 from statline.operators import rosters as R
 
@@ -72,13 +74,18 @@ def test_empty_group_gives_no_rosters(spark):
     assert R.rosters(_top(spark, groups)).count() == 0
 
 
-def test_plan_broadcasts_every_step(spark):
+def test_one_lazy_plan_without_joins(spark):
     plan = R.rosters(_top(spark, GROUPS))._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("BroadcastNestedLoopJoin") == 8
-    assert "SortMergeJoin" not in plan
+    assert "Join" not in plan and "CartesianProduct" not in plan
     assert "RoundRobinPartitioning" in plan  # the product is spread over tasks
 
 
+def test_too_large_products_are_refused(spark):
+    many = {g: 100 for g in GROUPS}
+    with pytest.raises(ValueError, match="limit"):
+        R.rosters(_top(spark, GROUPS), top_k=many)
+
+
 def test_strict_rosters_never_repeat_a_player(spark):
     from pyspark.sql import functions as F
 
