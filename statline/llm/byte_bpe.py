@@ -87,28 +87,27 @@ class ByteBpe:
         self.decimal_length = np.array([len(d) for d in decimals])
         self.decimal_at = np.cumsum(self.decimal_length) - self.decimal_length
         self.decimal_bytes = np.frombuffer(b"".join(decimals), np.uint8)
-        self.units = UnitEncoder(self.encode)
+        self.units = UnitEncoder(self.encode_text, self.encode_parts, self.token_length)
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
+    def encode_text(self, text: str) -> np.ndarray:
+        return np.array(self.encode_parts([text])[0], dtype=np.uint32)
+
+    def encode_parts(self, texts: list[str]) -> list[list[int]]:
         whole, split, chars = self.ranks.get, self.pattern.findall, self.to_char
         late: list[str] = []
         out: list[list] = []
         for text in texts:
-            ids = []
-            for token in split(text):
-                raw = token.encode()
-                known = whole(raw)
-                if known is None:  # a gap, filled below
-                    late.append(raw.decode("latin-1").translate(chars))
-                ids.append(known)
+            tokens = [t.encode() for t in split(text)]
+            ids = list(map(whole, tokens))
+            if None in ids:  # gaps, filled below
+                late += [t.decode("latin-1").translate(chars)
+                         for t, i in zip(tokens, ids, strict=True) if i is None]
             out.append(ids)
         if late:
             rank = self.rank_of_piece
             found = iter(self.pieces.encode(late, out_type=int, num_threads=1))
             for at, ids in enumerate(out):
-                if len(ids) == 1 and ids[0] is None:
-                    out[at] = [rank[x] for x in next(found)]
-                elif None in ids:
+                if None in ids:
                     full: list[int] = []
                     for i in ids:
                         if i is None:
@@ -143,7 +142,7 @@ def _pieces(batches, path: str, pattern: str):
     for batch in batches:
         buf, off = S.text_buffer(batch.column("text"))
         own = batch.column("doc_id")
-        for a, b in S.chunks(off):
+        for a, b in S.chunks(off, 1 << 22):
             ids, at = codec(path, pattern).units.texts(buf[off[a]:off[b]], off[a:b + 1] - off[a])
             yield own.slice(a, b - a), ids, at
 

@@ -68,14 +68,9 @@ def unpack(data: bytes, width: int, first: int = 0, count: int | None = None) ->
 
 
 class LibraryEncoder:
-    """The tokenizers library on distinct parts of texts (see ``units``).
+    """The tokenizers library on distinct parts of texts (see ``units``)."""
 
-    Parts that begin with a space and end in a non-space are encoded as one
-    text: the cuts between them are cuts of the pre-tokeniser too.  The bytes
-    of the ids show where each part ends.
-    """
-
-    def __init__(self, path: str):
+    def __init__(self, path: str, **cache: int):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -85,27 +80,14 @@ class LibraryEncoder:
         self.library.encode_special_tokens = True
         size = self.library.get_vocab_size(with_added_tokens=True)
         self.width = width_of(size)
-        self.bytes_of = np.array([len(self.library.id_to_token(i) or "") for i in range(size)])
-        self.units = UnitEncoder(self.encode)
-
-    def encode(self, parts: list[str]) -> list[np.ndarray]:
-        out: list = [None] * len(parts)
-        joined = [i for i, p in enumerate(parts)
-                  if len(p) > 1 and p[0] == " " and "!" <= p[1] <= "~" and "!" <= p[-1] <= "~"]
-        if joined:
-            ids = np.array(self.library.encode("".join([parts[i] for i in joined]),
-                                               add_special_tokens=False).ids, dtype=np.uint32)
-            ends = np.cumsum(self.bytes_of[ids])
-            want = np.cumsum([len(parts[i].encode()) for i in joined])
-            at = np.searchsorted(ends, want)
-            if (ends[np.minimum(at, len(ends) - 1)] == want).all():
-                for i, got in zip(joined, np.split(ids, at[:-1] + 1), strict=True):
-                    out[i] = got
-        rest = [i for i, x in enumerate(out) if x is None]
-        found = self.library.encode_batch_fast([parts[i] for i in rest], add_special_tokens=False)
-        for i, e in zip(rest, found, strict=True):
-            out[i] = e.ids
-        return out
+        bytes_of = np.array([len(self.library.id_to_token(i) or "") for i in range(size)])
+        self.units = UnitEncoder(self.encode_text, self.encode_parts, bytes_of, **cache)
+
+    def encode_text(self, text: str) -> np.ndarray:
+        return np.array(self.encode_parts([text])[0], dtype=np.uint32)
+
+    def encode_parts(self, parts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.library.encode_batch_fast(parts, add_special_tokens=False)]
 
 
 @lru_cache(maxsize=1)
@@ -135,7 +117,7 @@ def _blocks(path: str, end_id: int, block_ids: int):
 
         for batch in batches:
             buf, off = S.text_buffer(batch.column("text"))
-            for a, b in S.chunks(off):
+            for a, b in S.chunks(off, 1 << 22):
                 ids, at = lib.units.texts(buf[off[a]:off[b]], off[a:b + 1] - off[a])
                 ids = np.insert(ids, at[1:], end_id)
                 lengths = np.diff(at) + 1

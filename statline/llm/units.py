@@ -20,9 +20,9 @@ import numpy as np
 
 from statline.llm import sequences as S
 
-CACHE_UNITS = 600_000
-CACHE_IDS = 6_000_000
-CHUNK = 1 << 21
+CACHE_UNITS = 1_500_000
+CACHE_IDS = 8_000_000
+CHUNK = 1 << 22
 
 # Bytes next to a cut: printable ASCII or part of a longer character.
 _SURE = np.zeros(256, dtype=bool)
@@ -75,72 +75,103 @@ def cut_points(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 class UnitEncoder:
-    """``encode(parts)`` gives the ids of each part (a list of str)."""
-
-    def __init__(self, encode: Callable[[list[str]], list], units: int = CACHE_UNITS,
-                 ids: int = CACHE_IDS):
-        self.encode, self.units, self.ids = encode, units, ids
+    """Ids of whole texts from an encoder of parts.
+
+    ``encode_text(text)`` gives the ids of one text, ``encode_parts(texts)`` a
+    list of ids for each, and ``bytes_of[id]`` the bytes of an id.  New units
+    that may stand next to each other are encoded as one text, and the bytes
+    of the ids show where each unit ends.
+
+    The cache is a table sorted by the unit's hash, beside its length and first
+    bytes, which must agree as well.
+    """
+
+    def __init__(self, encode_text: Callable[[str], np.ndarray],
+                 encode_parts: Callable[[list[str]], list], bytes_of: np.ndarray,
+                 units: int = CACHE_UNITS, ids: int = CACHE_IDS):
+        self.encode_text, self.encode_parts, self.bytes_of = encode_text, encode_parts, bytes_of
+        self.units, self.ids = units, ids
         self._clear()
 
     def _clear(self) -> None:
-        self.slot: dict[bytes, int] = {}
-        self.start, self.length = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
+        self.key, self.head = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        self.start, self.length = np.zeros(0, np.int64), np.zeros(0, np.int32)
         self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
 
-    def _add(self, keys: list, parts: list[str]) -> None:
-        lists = self.encode(parts)
-        n, base = len(parts), len(self.slot)
-        lengths = np.fromiter(map(len, lists), np.int64, n)
-        total = int(lengths.sum())
-        while base + n > len(self.start):
-            self.start = np.concatenate([self.start, np.zeros_like(self.start)])
-            self.length = np.concatenate([self.length, np.zeros_like(self.length)])
-        while self.used + total > len(self.pool):
-            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-        self.start[base:base + n] = self.used + np.cumsum(lengths) - lengths
-        self.length[base:base + n] = lengths
-        self.pool[self.used:self.used + total] = np.fromiter(
-            (i for x in lists for i in x), np.uint32, total)
-        self.used += total
-        self.slot.update(zip(keys, range(base, base + n), strict=True))
+    def _encode(self, buf: np.ndarray, start: np.ndarray, end: np.ndarray):
+        """Ids of the units, one after the other, and their numbers of ids."""
+        n = len(buf)
+        before, last = buf[np.maximum(end - 2, 0)], buf[end - 1]
+        second = buf[np.minimum(start + 1, n - 1)]
+        inner = (last > 0x20) & (last < 0x7F) | (last >= 0x80) & (end - start > 3) & (
+            before != 0xC2) & ~_MAYBE_SPACE[buf[np.maximum(end - 3, 0)]]
+        safe = (end - start > 1) & (buf[start] == 0x20) & (second > 0x20) & (second < 0x7F) & inner
+        lengths = np.zeros(len(start), dtype=np.int64)
+        size = end - start
+        flat = np.zeros(0, np.uint32)
+        if safe.any():
+            raw, _ = gather(buf, start[safe], size[safe])
+            flat = self.encode_text(raw.tobytes().decode())
+            done, want = np.cumsum(self.bytes_of[flat]), np.cumsum(size[safe])
+            at = np.minimum(np.searchsorted(done, want), len(flat) - 1)
+            if (done[at] == want).all():
+                lengths[safe] = np.diff(at, prepend=-1)
+            else:  # cannot happen for sure cuts; the units are then encoded alone
+                flat, safe = np.zeros(0, np.uint32), np.zeros(len(start), dtype=bool)
+        text = buf.tobytes()
+        alone = self.encode_parts([text[x:y].decode() for x, y in zip(
+            start[~safe].tolist(), end[~safe].tolist(), strict=True)])
+        lengths[~safe] = [len(x) for x in alone]
+        out = np.empty(int(lengths.sum()), dtype=np.uint32)
+        mine = np.repeat(safe, lengths)
+        out[mine] = flat
+        out[~mine] = np.fromiter((i for x in alone for i in x), np.uint32, len(out) - len(flat))
+        return out, lengths
 
     def _chunk(self, buf: np.ndarray, offsets: np.ndarray):
         starts = cut_points(buf, offsets)
+        if not len(starts):
+            return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
         ends = np.append(starts[1:], len(buf))
         hashes = S.Hasher(S.BYTE_VALUES[buf]).ranges(starts, ends)
-        _, first, back = np.unique(hashes, return_index=True, return_inverse=True)
-        # the key also holds the length and the first bytes of the unit
-        head = (ends[first] - starts[first]).astype(np.uint64)
+        key, first, back = np.unique(hashes, return_index=True, return_inverse=True)
+        a, b = starts[first], ends[first]
+        head = (b - a).astype(np.uint64)
         for i in range(4):
-            at = starts[first] + i
             head = head << np.uint64(8) | np.where(
-                at < ends[first], buf[np.minimum(at, len(buf) - 1)], 0).astype(np.uint64)
-        pair = np.empty(len(first), dtype=[("h", np.uint64), ("x", np.uint64)])
-        pair["h"], pair["x"] = hashes[first], head
-        keys = pair.view("S16").tolist()
-        if len(self.slot) + len(keys) > self.units or self.used > self.ids:
+                a + i < b, buf[np.minimum(a + i, len(buf) - 1)], 0).astype(np.uint64)
+        if len(self.key) + len(key) > self.units or self.used > self.ids:
             self._clear()
-        get = self.slot.get
-        slots = [get(k, -1) for k in keys]
-        missing = [i for i, s in enumerate(slots) if s < 0]
-        if missing:
-            raw = buf.tobytes()
-            a, b = starts[first[missing]].tolist(), ends[first[missing]].tolist()
-            self._add([keys[i] for i in missing],
-                      [raw[x:y].decode() for x, y in zip(a, b, strict=True)])
-            for i in missing:
-                slots[i] = self.slot[keys[i]]
-        slot = np.array(slots, dtype=np.int64)[back]
-        ids, ends_of_units = gather(self.pool, self.start[slot], self.length[slot])
+        at = np.searchsorted(self.key, key)
+        near = np.minimum(at, max(0, len(self.key) - 1))
+        if len(self.key):
+            same = self.key[near] == key
+            known = same & (self.head[near] == head)
+            start, length = self.start[near], self.length[near].astype(np.int64)
+        else:
+            same = known = np.zeros(len(key), dtype=bool)
+            start, length = np.zeros(len(key), np.int64), np.zeros(len(key), np.int64)
+        new = np.flatnonzero(~known)
+        if len(new):
+            ids, lengths = self._encode(buf, a[new], b[new])
+            while self.used + len(ids) > len(self.pool):
+                self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+            self.pool[self.used:self.used + len(ids)] = ids
+            start[new] = self.used + np.cumsum(lengths) - lengths
+            length[new] = lengths
+            self.used += len(ids)
+            add = np.flatnonzero(~same)
+            for name, values in (("key", key), ("head", head), ("start", start),
+                                 ("length", length.astype(np.int32))):
+                setattr(self, name, np.insert(getattr(self, name), at[add], values[add]))
+        ids, ends_of_units = gather(self.pool, start[back], length[back])
         return ids, ends_of_units[np.searchsorted(starts, offsets)]
 
     def texts(self, buf: np.ndarray, offsets: np.ndarray):
         """Ids of all rows, one after the other, and the offsets of the rows."""
-        parts, lengths = [], []
+        parts, lengths = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
         for a, b in S.chunks(offsets, CHUNK):
             ids, off = self._chunk(buf[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a])
             parts.append(ids)
             lengths.append(np.diff(off))
-        if not parts:
-            return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
         return np.concatenate(parts), np.concatenate([[0], np.cumsum(np.concatenate(lengths))])

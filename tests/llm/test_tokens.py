@@ -11,9 +11,8 @@ import pytest
 import tiktoken
 from tokenizers import Tokenizer
 
-from statline.llm import byte_bpe, packed_ids
+from statline.llm import byte_bpe, packed_ids, units
 from statline.llm import sequences as S
-from statline.llm.units import UnitEncoder
 from statline.session import scratch_path
 
 RANKS, JSON = P.path("byte_bpe_50k.tiktoken"), P.path("byte_bpe_50k.json")
@@ -58,10 +57,11 @@ def test_round_trip_and_empty(spark):
     assert byte_bpe.digests(df.filter("doc_id < 0"), RANKS, P.PATTERN).collect() == []
 
 
-def test_units_with_a_tiny_cache():
+def test_units_with_a_tiny_cache(monkeypatch):
     texts = awkward(3, 300)
     lib = library()
-    small = UnitEncoder(packed_ids.LibraryEncoder(JSON).encode, units=50, ids=200)
+    small = packed_ids.LibraryEncoder(JSON, units=50, ids=200).units
+    monkeypatch.setattr(units, "CHUNK", 500)
     buf, off = S.text_buffer(pa.array(texts, pa.string()))
     ids, at = small.texts(buf, off)
     for i, t in enumerate(texts):
