@@ -8,7 +8,6 @@ runs per row.  Sub-packages:
 * ``functions`` column-level building blocks (position translation, array folds)
 * ``operators`` the relational operators (sessions, scoring, stats, top-k, rosters)
 * ``plans``     composite jobs and the registry of named queries
-* ``streaming`` intentionally empty: the reference has no streaming work
 """
 
 __version__ = "0.1.0"

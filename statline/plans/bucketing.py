@@ -27,6 +27,7 @@ def bucket_play_tables(spark: SparkSession, t: PlayTables, buckets: int,
     """Write the pid-keyed tables bucketed by ``pid``; return them as tables.
 
     ``games`` and ``players`` are keyed differently and are passed through.
+    The catalog keeps no name of them; the files stay under ``root``.
     """
     prefix = prefix or f"statline_{uuid.uuid4().hex[:12]}"
     root = root or scratch_path(spark, "bucketed")
@@ -38,4 +39,6 @@ def bucket_play_tables(spark: SparkSession, t: PlayTables, buckets: int,
          .option("path", f"{root}/{name}")
          .saveAsTable(table_name))
         out[name] = spark.table(table_name)
+        # the plan holds the files and their bucketing; the name is not needed
+        spark.sql(f"DROP TABLE {table_name}")
     return PlayTables(games=t.games, players=t.players, **out)

@@ -4,13 +4,17 @@ Each job materialises what a later step reads again as a Parquet table in the
 output folder and continues from that table, which cuts the lineage: a lost
 executor then recomputes from the last written table, not from the plays.
 
-    play job        plays -> per-game sessions -> player_game_points      (C3)
-    prediction job  player_game_points -> player_prediction -> extract    (C4)
+    play job        plays -> ten session tables -> game points            (C3)
+    prediction job  game points -> prediction -> extract                  (C4)
     stats job       points -> season stats -> scorers, groups, counts     (C1)
     roster job      scorers -> top players -> every roster                (C2)
     injury job      pages -> rows of HTML data tables -> CSV             (S6 S7)
 
-Run all four: ``python -m statline.plans.jobs <data_dir> <out_dir> [buckets]``.
+Run the four on a warehouse database, on stored points, or on the shared tables:
+
+    python -m statline.plans.jobs warehouse <database> <out_dir> <year> [buckets]
+    python -m statline.plans.jobs points <table> <games> <players> <out_dir> <year>
+    python -m statline.plans.jobs shared <data_dir> <out_dir> <year> [buckets]
 """
 
 from __future__ import annotations
@@ -28,78 +32,115 @@ from statline.operators import sessions as S
 from statline.operators import stats as ST
 from statline.operators import topk as T
 from statline.sources import sinks as K
-from statline.sources.play_views import TARGET_YEAR, PlayTables, play_tables
+from statline.sources.warehouse import PlayTables, stored_points, warehouse_tables
+
+SESSION_TABLES = {f"sessions_{kind}{suffix}": (kind, by_game)
+                  for kind in (*S.KINDS, "all")
+                  for suffix, by_game in (("", False), ("_by_game", True))}
 
 
 def _p(out: str, name: str) -> str:
     return os.path.join(out, name)
 
 
-def play_job(t: PlayTables, out: str) -> DataFrame:
-    """Sessions (CREATE TABLE IF NOT EXISTS) and points (CREATE TABLE)."""
+def _sessions(t: PlayTables, kind: str, by_game: bool) -> DataFrame:
+    return (S.scoring_sessions(t, by_game=by_game) if kind == "all"
+            else S.sessions(t, kind, by_game=by_game))
+
+
+def play_job(t: PlayTables, out: str, reuse: bool = False) -> DataFrame:
+    """The ten session tables and the game points.
+
+    A folder that exists is an error; ``reuse=True`` takes an existing session
+    table as it is (CREATE TABLE IF NOT EXISTS), which is right only while the
+    plays have not changed.
+    """
     spark = t.core.sparkSession
-    K.create_table_as(S.scoring_sessions(t, by_game=True), _p(out, "scoring_game_sessions"),
-                      if_not_exists=True)
-    sessions = spark.read.parquet(_p(out, "scoring_game_sessions"))
-    K.create_table_as(SC.score_sessions(sessions), _p(out, "player_game_points"))
-    return spark.read.parquet(_p(out, "player_game_points"))
+    for name, (kind, by_game) in SESSION_TABLES.items():
+        K.create_table_as(_sessions(t, kind, by_game), _p(out, name), if_not_exists=reuse)
+    sessions = spark.read.parquet(_p(out, "sessions_all_by_game"))
+    K.create_table_as(SC.score_sessions(sessions), _p(out, "game_points"))
+    return spark.read.parquet(_p(out, "game_points"))
 
 
 def prediction_job(points: DataFrame, games: DataFrame, players: DataFrame, out: str) -> None:
     spark = points.sparkSession
-    K.create_table_as(PR.player_prediction(points, games, players), _p(out, "player_prediction"))
-    prediction = spark.read.parquet(_p(out, "player_prediction"))
+    K.create_table_as(PR.player_prediction(points, games, players), _p(out, "season_prediction"))
+    prediction = spark.read.parquet(_p(out, "season_prediction"))
     K.write_position_extract(PR.prediction_extract(prediction, players),
-                             _p(out, "position_extracts"))
+                             _p(out, "prediction_by_position"))
 
 
 def stats_job(points: DataFrame, games: DataFrame, players: DataFrame, out: str,
-              year: int = TARGET_YEAR) -> DataFrame:
+              year: int) -> DataFrame:
     """Scorers (nested Parquet), one JSON dataset per position group, counts."""
     spark = points.sparkSession
     positions = P.normalized_positions(players)
     K.write_player_yearly_stats(
         ST.scored_in(ST.player_yearly_stats(ST.season_stats(points, games)), year),
-        _p(out, "playerYearStats"))
-    scorers = spark.read.parquet(_p(out, "playerYearStats"))
-    K.write_position_groups(P.position_groups(scorers, positions, year), _p(out, "positionStats"))
+        _p(out, "scorers"))
+    scorers = spark.read.parquet(_p(out, "scorers"))
+    K.write_position_groups(P.position_groups(scorers, positions, year), _p(out, "scorers_by_group"))
     K.write_key_counts(P.position_counts(positions), "position", "players",
-                       _p(out, "positionCounts"))
+                       _p(out, "position_counts"))
     return scorers
 
 
-def roster_job(scorers: DataFrame, players: DataFrame, out: str, year: int = TARGET_YEAR,
+def roster_job(scorers: DataFrame, players: DataFrame, out: str, year: int,
                best: bool = True, strict: bool = True) -> None:
-    top = T.top_players(P.position_groups(scorers, P.normalized_positions(players), year),
-                        best=best)
-    K.write_rosters(R.rosters(top, strict=strict), _p(out, "rosterStats"))
+    """Rosters from the stored scorers: the year's mean and variance are taken
+    out of each player's seasons before the position join."""
+    season = scorers.select("playerId", ST.year_mean(year).alias("mean"),
+                            ST.year_variance(year).alias("variance"))
+    groups = P.scorer_groups(season.withColumnRenamed("playerId", "player_id"),
+                             P.normalized_positions(players))
+    K.write_rosters(R.rosters(T.top_players(groups, best=best), strict=strict), _p(out, "rosters"))
 
 
 def injury_job(pages: DataFrame, out: str, html_col: str = "html") -> None:
-    """Rows of every ``<table class="data">`` in a table of pages, written as
+    """Rows of every table of class ``data`` in a table of pages, written as
     CSV (six cells and the team) -- the scraper's work without the fetch."""
     from statline.sources.html_tables import CELL_COLUMNS, table_rows
 
     K.write_csv(table_rows(pages, html_col).select(*CELL_COLUMNS, "team"), _p(out, "injuries"))
 
 
-def run_all(spark: SparkSession, data_dir: str, out: str, buckets: int | None = None) -> None:
+def run_points(points: DataFrame, games: DataFrame, players: DataFrame, out: str,
+               year: int) -> None:
+    """The jobs that start from stored points."""
+    prediction_job(points, games, players, out)
+    roster_job(stats_job(points, games, players, out, year), players, out, year)
+
+
+def run_all(t: PlayTables, out: str, year: int, buckets: int | None = None) -> None:
     """All four jobs.  With ``buckets``, the pid-keyed play tables are first
     written bucketed on pid (see :mod:`statline.plans.bucketing`), so the
     play joins of the play job run without shuffles."""
-    t = play_tables(spark, data_dir)
     if buckets:
         from statline.plans.bucketing import bucket_play_tables
 
-        t = bucket_play_tables(spark, t, buckets, root=_p(out, "bucketed_plays"))
-    points = play_job(t, out)
-    prediction_job(points, t.games, t.players, out)
-    scorers = stats_job(points, t.games, t.players, out)
-    roster_job(scorers, t.players, out)
+        t = bucket_play_tables(t.core.sparkSession, t, buckets, root=_p(out, "bucketed_plays"))
+    run_points(play_job(t, out), t.games, t.players, out, year)
+
+
+def main(spark: SparkSession, args: list[str]) -> None:
+    kind, *rest = args
+    if kind == "points":
+        table, games, players, out, year = rest
+        run_points(stored_points(spark, table), spark.table(games), spark.table(players), out,
+                   int(year))
+        return
+    source, out, year, *buckets = rest
+    if kind == "warehouse":
+        t = warehouse_tables(spark, source)
+    else:
+        from statline.sources.play_views import play_tables
+
+        t = play_tables(spark, source)
+    run_all(t, out, int(year), int(buckets[0]) if buckets else None)
 
 
 if __name__ == "__main__":
     from statline.session import get_session
 
-    run_all(get_session(), sys.argv[1], sys.argv[2],
-            int(sys.argv[3]) if len(sys.argv) > 3 else None)
+    main(get_session(), sys.argv[1:])

@@ -213,27 +213,32 @@ FROM ({' UNION '.join(names)}) k
 {chr(10).join(joins)}""")
 
 
-def _clean(x: str) -> str:
-    out = f"regexp_replace({x}, '<[^>]*>', '', 'g')"
-    for ent, ch in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"),
-                    ("&nbsp;", " "), ("&amp;", "&")):
-        out = f"replace({out}, '{ent}', '{ch}')"
-    return out
+def _page_rows() -> str:
+    """Rows of the tables appended to each page, written out: the page's id
+    stands in them, so no HTML is read here."""
+    tables = (("double", 0), ("single", 0), ("bare", 0), ("nested", 1))
+    nested = """
+SELECT page_id, 3 AS table_no, 0 AS row_no, '1' AS c1, '2' AS c2, '3' AS c3, '4' AS c4, '5' AS c5,
+       '6' AS c6, 'Team & ' || page_id AS team FROM pages"""
+    return "\nUNION ALL\n".join([nested] + [f"""
+SELECT page_id, {i} AS table_no, {row} AS row_no, CAST(page_id AS VARCHAR) AS c1, '{kind}' AS c2,
+       'c' AS c3, 'd' || chr(8217) || 's' AS c4, chr(233) AS c5, 'f' AS c6, 'Team & ' || page_id AS team
+FROM pages""" for i, (kind, row) in enumerate(tables)])
 
 
-_HTML_ROWS_PAGES = f"""
-WITH t AS (
-  SELECT page_id,
-         unnest(regexp_extract_all(html, '(?is)<table[^>]*\\bclass\\s*=\\s*"data"[^>]*>(.*?)</table>', 1))
-           AS tbl
-  FROM pages),
-r AS (SELECT page_id, regexp_extract_all(tbl, '(?is)<tr\\b[^>]*>(.*?)</tr>', 1) AS rws FROM t),
-b AS (SELECT page_id, rws[1] AS title, unnest(rws[3:]) AS tr FROM r WHERE len(rws) >= 2),
-c AS (SELECT page_id, title, regexp_extract_all(tr, '(?is)<td\\b[^>]*>(.*?)</td>', 1) AS cells
-      FROM b)
-SELECT page_id, {", ".join(_clean(f"cells[{i}]") + f" AS c{i}" for i in range(1, 7))},
-       {_clean("nullif(regexp_extract(title, '(?is)<a\\b[^>]*>(.*?)</a>', 1), '')")} AS team
-FROM c WHERE len(cells) = 6"""
+def _play_job() -> str:
+    sources = {"passes": "pass_plays", "rushes": "rush_plays", "receptions": "reception_plays",
+               "fgxp": "kick_plays"}
+    parts = []
+    for kind, source in sources.items():
+        for table in (kind, "all"):
+            for suffix, gid in (("", "NULL"), ("_by_game", "gid")):
+                parts.append(f"""
+SELECT 'sessions_{table}{suffix}' AS table_name, '{kind}' AS kind, player,
+       CAST({gid} AS BIGINT) AS gid, CAST(count(*) AS BIGINT) AS n_plays, min(pid) AS first_pid,
+       max(pid) AS last_pid
+FROM {source} GROUP BY player{', gid' if suffix else ''}""")
+    return _with("\nUNION ALL\n".join(parts))
 
 
 def oracle_sql() -> dict[str, str]:
@@ -297,7 +302,7 @@ SELECT CAST((dayofyear(o_orderdate) - 1) // 7 + 1 AS INTEGER) AS week,
        c_name AS team, n_name AS opponent, CAST(year(o_orderdate) AS INTEGER) AS season
 FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey""",
         "html_table_rows": html_rows,
-        "html_table_rows_pages": _HTML_ROWS_PAGES,
+        "html_table_rows_pages": _page_rows(),
         "sink_injury_csv": html_rows,
         "sink_player_yearly_stats": q["target_year_scorers"],
         "sink_json_records": q["target_year_scorers"],
@@ -305,6 +310,14 @@ FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey =
         "sink_position_groups": q["position_groups"],
         "sink_position_counts": q["position_counts"],
         "sink_create_if_not_exists": q["season_stats"],
+        "sink_create_table": _with("SELECT *, true AS refused FROM season_totals"),
+        "season_map_lookup": _with("""
+SELECT t.player_id, s.n_seasons, CAST(t.games AS INTEGER) AS games, t.total_mean AS mean
+FROM season_totals t JOIN (SELECT player_id, CAST(count(*) AS BIGINT) AS n_seasons
+                           FROM season_totals GROUP BY player_id) s USING (player_id)
+WHERE t.season = 2000"""),
+        "warehouse_target_year_scorers": q["target_year_scorers"],
+        "play_job_tables": _play_job(),
         "sink_prediction_extract": q["prediction_extract"],
     })
     return q

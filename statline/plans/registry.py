@@ -11,6 +11,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,12 +23,15 @@ from statline.operators import scoring as SC
 from statline.operators import sessions as S
 from statline.operators import stats as ST
 from statline.operators import topk as T
+from statline.plans import fixtures as FX
+from statline.plans import jobs as J
 from statline.session import scratch_path
 from statline.sources import html_tables as H
 from statline.sources import schedule as SCH
 from statline.sources import sinks as K
-from statline.sources.play_views import TARGET_YEAR, PlayTables, play_tables
+from statline.sources.play_views import TARGET_YEAR, play_tables
 from statline.sources.tables import table
+from statline.sources.warehouse import PlayTables, save_warehouse, warehouse_tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -187,7 +191,7 @@ def schedule_csv(spark: SparkSession, d: str) -> DataFrame:
     """Schedule lines rendered from orders, written as headerless CSV text
     (one folder per season) and read back with the schedule schema."""
     path = scratch_path(spark, "schedule")
-    SCH.write_schedule(SCH.render_schedule(table(spark, d, "orders"), table(spark, d, "customer"),
+    SCH.write_schedule(FX.render_schedule(table(spark, d, "orders"), table(spark, d, "customer"),
                                            table(spark, d, "nation")), path)
     return SCH.read_schedule(spark, path).select(
         "week", "weekday", F.date_format("game_date", "yyyy-MM-dd").alias("game_date"),
@@ -195,7 +199,7 @@ def schedule_csv(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _supplier_pages(spark: SparkSession, d: str) -> DataFrame:
-    return H.render_supplier_pages(table(spark, d, "supplier"), table(spark, d, "nation"),
+    return FX.render_supplier_pages(table(spark, d, "supplier"), table(spark, d, "nation"),
                                    table(spark, d, "region"))
 
 
@@ -204,8 +208,10 @@ def html_table_rows(spark: SparkSession, d: str) -> DataFrame:
 
 
 def html_table_rows_pages(spark: SparkSession, d: str) -> DataFrame:
-    """The extractor over the shared ``pages`` table as it is."""
-    return H.table_rows(table(spark, d, "pages")).select("page_id", *H.CELL_COLUMNS, "team")
+    """The extractor over the shared ``pages``, with tables in many spellings
+    at the end of each page (the pages themselves hold none)."""
+    pages = FX.pages_with_tables(table(spark, d, "pages"))
+    return H.table_rows(pages).select("page_id", "table_no", "row_no", *H.CELL_COLUMNS, "team")
 
 
 # --- sinks: write to a fresh folder in the shared directory, read back -------
@@ -261,6 +267,64 @@ def sink_create_if_not_exists(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def sink_create_table(spark: SparkSession, d: str) -> DataFrame:
+    """CREATE TABLE AS, and again: the second one must be refused, and the
+    table still holds the rows of the first."""
+    path = scratch_path(spark, "ctas")
+    K.create_table_as(season_stats(spark, d), path)
+    try:
+        K.create_table_as(spark.range(1), path)
+        refused = False
+    except AnalysisException:
+        refused = True
+    return spark.read.parquet(path).withColumn("refused", F.lit(refused))
+
+
+def season_map_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """Seasons of a player as a map: key test and lookup of the target year."""
+    nested = ST.player_yearly_stats(season_stats(spark, d))
+    seasons = ST.stats_by_year_map()
+    entry = F.element_at("seasons", F.lit(TARGET_YEAR))
+    return (nested.select("playerId", seasons.alias("seasons"))
+            .filter(F.map_contains_key("seasons", TARGET_YEAR))
+            .select(F.col("playerId").alias("player_id"),
+                    F.size("seasons").cast("bigint").alias("n_seasons"),
+                    entry["totalGamesPlayed"].alias("games"),
+                    entry["totalStats"]["mean"].alias("mean")))
+
+
+def warehouse_target_year_scorers(spark: SparkSession, d: str) -> DataFrame:
+    """The stats job over a warehouse: the adapter's tables saved as tables of
+    a database, loaded by name, scored, summarised, written and read back."""
+    database = f"statline_{uuid.uuid4().hex[:12]}"
+    save_warehouse(play_tables(spark, d), database, scratch_path(spark, "warehouse"))
+    t = warehouse_tables(spark, database)
+    return ST.flatten_yearly(J.stats_job(points(t), t.games, t.players,
+                                         scratch_path(spark, "stats_job"), TARGET_YEAR))
+
+
+def play_job_tables(spark: SparkSession, d: str) -> DataFrame:
+    """The ten session tables that the play job writes, read back: plays, and
+    least and greatest play id, of each player (and game) in each table."""
+    out = scratch_path(spark, "play_job")
+    J.play_job(play_tables(spark, d), out)
+    found = None
+    for name, (kind, by_game) in J.SESSION_TABLES.items():
+        back = spark.read.parquet(f"{out}/{name}")
+        for array in S.KINDS if kind == "all" else (kind,):
+            pids = F.transform(array, lambda x: x["pid"])
+            part = (back.filter(F.col(array).isNotNull())
+                    .groupBy("player", *(["gid"] if by_game else [])).agg(
+                F.sum(F.size(array)).cast("bigint").alias("n_plays"),
+                F.min(F.array_min(pids)).alias("first_pid"),
+                F.max(F.array_max(pids)).alias("last_pid"))
+                    .select(F.lit(name).alias("table_name"), F.lit(array).alias("kind"), "player",
+                            (F.col("gid") if by_game else F.lit(None)).cast("bigint").alias("gid"),
+                            "n_plays", "first_pid", "last_pid"))
+            found = part if found is None else found.unionByName(part)
+    return found
+
+
 def sink_prediction_extract(spark: SparkSession, d: str) -> DataFrame:
     path = scratch_path(spark, "extract")
     t = play_tables(spark, d)
@@ -305,6 +369,10 @@ def queries() -> dict[str, Query]:
         "sink_position_groups": sink_position_groups,
         "sink_position_counts": sink_position_counts,
         "sink_create_if_not_exists": sink_create_if_not_exists,
+        "sink_create_table": sink_create_table,
+        "season_map_lookup": season_map_lookup,
+        "warehouse_target_year_scorers": warehouse_target_year_scorers,
+        "play_job_tables": play_job_tables,
         "sink_prediction_extract": sink_prediction_extract,
     })
     for kind, name in (("passes", "pass"), ("rushes", "rush"), ("receptions", "reception"),

@@ -1,116 +1,125 @@
 """Rows of HTML data tables, extracted in Spark from a table of pages.
 
-For every ``<table class="data">`` of a page: the first row names the team
+For every table of class ``data`` of a page: the first row names the team
 (text of its first link), the second row is a header and is skipped, and
 every later row with exactly six cells becomes an output row of the six cell
 texts plus the team.  Rows with another cell count are dropped.
 
-All of it is regular-expression and higher-order-function work on the JVM,
-one page per row, so it scales with the number of pages; it assumes tables
-are not nested inside each other.
+Pages are cut into tags and text runs, numbered, and read with window
+functions over each page: running counts give the table, row and cell that a
+token belongs to.  No Python; one shuffle, by page; the largest group is a page.
+
+What counts:
+* a table whose class attribute, quoted in any way, has the class ``data``
+  among its classes (``class="data sortable"`` too, ``data-class`` not);
+  comments, scripts and styles are no markup
+* rows and cells of the table itself: a table nested in a cell is a table of
+  its own, and neither its rows nor its text belong to the outer one
+* cell text without tags, references decoded, without white space around it
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # ---------------------------------------------------------------------------
 # What is extracted.
 TABLE_CLASS = "data"
 CELLS_PER_ROW = 6
-# HTML character references decoded in cell text ("&amp;" last).
-ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "),
-            ("&amp;", "&"))
+# Named character references decoded in cell text ("&amp;" last).
+ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&nbsp;", " "),
+            ("&eacute;", "é"), ("&egrave;", "è"), ("&uuml;", "ü"), ("&ouml;", "ö"),
+            ("&auml;", "ä"), ("&ntilde;", "ñ"), ("&lsquo;", "\u2018"), ("&rsquo;", "\u2019"),
+            ("&ndash;", "\u2013"), ("&mdash;", "\u2014"), ("&amp;", "&"))
 # ---------------------------------------------------------------------------
 
-_TABLE = r'(?is)<table[^>]*\bclass\s*=\s*"' + TABLE_CLASS + r'"[^>]*>(.*?)</table>'
-_ROW = r"(?is)<tr\b[^>]*>(.*?)</tr>"
-_CELL = r"(?is)<td\b[^>]*>(.*?)</td>"
-_LINK = r"(?is)<a\b[^>]*>(.*?)</a>"
+_NO_MARKUP = r"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*>"
+_TOKEN = r"(?s)</?[a-zA-Z][^>]*>|<![^>]*>|[^<]+|<"
+_CLASS = r"""(?is)\sclass\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
+_REFERENCE = r"&#(?:[0-9]{1,7}|[xX][0-9a-fA-F]{1,6});"
 CELL_COLUMNS = tuple(f"c{i}" for i in range(1, CELLS_PER_ROW + 1))
 
 
+def _character(ref: Column) -> Column:
+    """The character of a numeric reference; one that names none stays."""
+    digits = F.regexp_extract(ref, r"&#[xX]?([0-9a-fA-F]+);", 1)
+    code = F.when(ref.rlike("^&#[xX]"), F.conv(digits, 16, 10).try_cast("int")).otherwise(
+        digits.try_cast("int"))
+    real = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+    return F.when(real, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise(ref)
+
+
 def cell_text(c: Column) -> Column:
-    """Text content of an HTML fragment: tags removed, entities decoded."""
-    out = F.regexp_replace(c, "<[^>]*>", "")
+    """Text with its character references decoded, trimmed."""
+    refs = F.array_distinct(F.regexp_extract_all(c, F.lit(_REFERENCE), F.lit(0)))
+    out = F.aggregate(refs, c, lambda text, ref: F.replace(text, ref, _character(ref)))
     for ent, ch in ENTITIES:
         out = F.replace(out, F.lit(ent), F.lit(ch))
-    return out
+    return F.regexp_replace(out, r"^[\s\u00A0]+|[\s\u00A0]+$", "")
 
 
-def _all(c: Column, pattern: str) -> Column:
-    return F.regexp_extract_all(c, F.lit(pattern), 1)
+def _joined(parts: Column) -> Column:
+    """Texts of (position, text) structs in order of position."""
+    return F.array_join(F.transform(F.array_sort(parts), lambda x: x["text"]), "")
 
 
 def table_rows(pages: DataFrame, html_col: str = "html",
                keep: tuple[str, ...] = ("page_id",)) -> DataFrame:
     """``keep`` columns + (table_no, row_no, c1..c6, team)."""
-    tables = pages.select(*keep, F.posexplode(_all(F.col(html_col), _TABLE))
-                          .alias("table_no", "tbl"))
-    rows = tables.select(*keep, "table_no", _all(F.col("tbl"), _ROW).alias("rows"))
-    rows = rows.filter(F.size("rows") >= 2).select(
-        *keep, "table_no",
-        cell_text(F.nullif(F.regexp_extract(F.col("rows")[0], _LINK, 1), F.lit("")))
-        .alias("team"),
-        F.slice("rows", 3, F.size("rows") - 2).alias("body"))
-    cells = rows.select(*keep, "table_no", "team",
-                        F.posexplode("body").alias("row_no", "tr")).select(
-        *keep, "table_no", "row_no", "team",
-        F.transform(_all(F.col("tr"), _CELL), cell_text).alias("cells"))
-    return cells.filter(F.size("cells") == CELLS_PER_ROW).select(
-        *keep, "table_no", "row_no",
-        *[F.col("cells")[i].alias(name) for i, name in enumerate(CELL_COLUMNS)], "team")
-
-
-# ---------------------------------------------------------------------------
-# Pages rendered from the shared tables, used to exercise the extractor.
-# ---------------------------------------------------------------------------
-
-ROWS_PER_PAGE = 50
-
-
-def _td(c: Column) -> Column:
-    return F.concat(F.lit("<td>"), c, F.lit("</td>"))
-
-
-def render_supplier_pages(supplier: DataFrame, nation: DataFrame,
-                          region: DataFrame) -> DataFrame:
-    """(page_id, url, html): one page per nation and block of 50 supplier keys.
-
-    Each page has a navigation table (not class "data") and a data table:
-    title row with the nation link, header row, then one six-cell row per
-    supplier with a non-negative balance and a seven-cell row otherwise.
-    A page holds at most 50 suppliers, however many suppliers a nation has.
-    """
-    s = (supplier.join(nation, supplier.s_nationkey == nation.n_nationkey)
-         .join(region, F.col("n_regionkey") == F.col("r_regionkey")))
-    cells = [F.col("s_suppkey").cast("string"),
-             F.concat(F.lit("<b>"), F.col("s_name"), F.lit("</b>")),
-             F.col("n_name"),
-             F.floor("s_acctbal").cast("bigint").cast("string"),
-             F.col("r_name"),
-             F.lit("good &amp; active")]
-    tr = F.concat(F.lit("<tr>"), *[_td(c) for c in cells],
-                  F.when(F.col("s_acctbal") < 0, _td(F.lit("overdrawn"))).otherwise(F.lit("")),
-                  F.lit("</tr>"))
-    block = F.call_function("div", F.col("s_suppkey"), F.lit(ROWS_PER_PAGE))
-    per_page = s.groupBy("n_nationkey", "n_name", block.alias("block")).agg(
-        F.sort_array(F.collect_list(F.struct("s_suppkey", tr.alias("tr")))).alias("rows"))
-    header = "".join(f"<td>{h}</td>" for h in ("id", "name", "nation", "balance", "region",
-                                               "status"))
-    html = F.concat(
-        F.lit('<html><body><table class="nav"><tr><td>a</td><td>b</td><td>c</td><td>d</td>'
-              '<td>e</td><td>f</td></tr><tr><td>1</td><td>2</td><td>3</td><td>4</td>'
-              '<td>5</td><td>6</td></tr></table>\n<table class="data">\n'
-              '<tr class="title"><td colspan="6"><a href="/nation/'),
-        F.col("n_nationkey").cast("string"), F.lit('">'), F.col("n_name"),
-        F.lit(f'</a></td></tr>\n<tr class="header">{header}</tr>\n'),
-        F.array_join(F.transform("rows", lambda r: r["tr"]), "\n"),
-        F.lit("\n</table></body></html>"))
-    page_id = F.col("n_nationkey").cast("bigint") * F.lit(1_000_000_000) + F.col("block")
-    return per_page.select(
-        page_id.alias("page_id"),
-        F.concat(F.lit("https://example.org/suppliers/"), F.col("n_nationkey").cast("string"),
-                 F.lit("/"), F.col("block").cast("string")).alias("url"),
-        html.alias("html"))
+    html = F.regexp_replace(F.col(html_col), _NO_MARKUP, "")
+    tokens = (pages.filter(F.col(html_col).rlike("(?i)<table"))
+              .select(F.struct(*keep).alias("_keep"), html.alias("_html"))
+              .withColumn("_page", F.monotonically_increasing_id())
+              .select("_keep", "_page", F.posexplode(
+                  F.regexp_extract_all("_html", F.lit(_TOKEN), F.lit(0))).alias("_pos", "_tok")))
+    name = F.lower(F.regexp_extract("_tok", r"^<(/?[a-zA-Z][a-zA-Z0-9]*)", 1))
+    classes = F.split(F.regexp_replace(F.regexp_extract("_tok", _CLASS, 1), "[\"']", " "), r"\s+")
+    tag = F.col("_tag")
+
+    def count(tag_name: str, window) -> Column:
+        return F.sum((tag == tag_name).cast("int")).over(window)
+
+    def inside(tag_name: str, others: tuple[str, ...], window) -> Column:
+        """Is the last of these tags the opening one?"""
+        return F.coalesce(F.last(F.when(tag.isin(tag_name, *others), tag == tag_name), True)
+                          .over(window), F.lit(False))
+
+    page = Window.partitionBy("_page").orderBy("_pos")
+    level = Window.partitionBy("_page", "_depth").orderBy("_pos")
+    in_table = Window.partitionBy("_page", "_table").orderBy("_pos")
+    in_row = Window.partitionBy("_page", "_table", "_row").orderBy("_pos")
+    tokens = (tokens.withColumn("_tag", name)
+              .withColumn("_depth", count("table", page) - count("/table", page)
+                          + (tag == "/table").cast("int"))
+              .withColumn("_open", F.last(F.when(tag == "table", F.struct(
+                  F.col("_pos").alias("at"), F.array_contains(classes, TABLE_CLASS).alias("data"))),
+                  True).over(level))
+              .filter("_open.data").withColumn("_table", F.col("_open.at"))
+              .withColumn("_row", count("tr", in_table)).filter("_row > 0")
+              .withColumn("_cell", count("td", in_row)).withColumn("_link", count("a", in_row))
+              .withColumn("_in_cell", inside("td", ("/td", "/tr"), in_row))
+              .withColumn("_in_link", inside("a", ("/a", "/tr"), in_row)))
+    text = F.struct(F.col("_pos").alias("at"), F.col("_tok").alias("text"))
+    plain = ~F.col("_tok").rlike("(?s)^<[a-zA-Z/!]")
+    cells = tokens.groupBy("_page", "_table", "_row", "_cell").agg(
+        F.first("_keep").alias("_keep"), F.max((tag == "td").cast("int")).alias("_has"),
+        F.collect_list(F.when(plain & F.col("_in_cell"), text)).alias("_text"),
+        F.collect_list(F.when(plain & (F.col("_link") == 1) & F.col("_in_link"), text)).alias("_team"))
+    rows = cells.groupBy("_page", "_table", "_row").agg(
+        F.first("_keep").alias("_keep"),
+        F.array_sort(F.collect_list(F.when(F.col("_has") == 1, F.struct(
+            "_cell", cell_text(_joined(F.col("_text"))).alias("text"))))).alias("_cells"),
+        F.flatten(F.collect_list("_team")).alias("_team"))
+    full = (F.col("_row") >= 3) & (F.size("_cells") == CELLS_PER_ROW)
+    tables = rows.groupBy("_page", "_table").agg(
+        F.first("_keep").alias("_keep"),
+        F.max(F.when(F.col("_row") == 1, F.nullif(cell_text(_joined(F.col("_team"))), F.lit("")))
+              ).alias("team"),
+        F.array_sort(F.collect_list(F.when(full, F.struct("_row", "_cells")))).alias("_rows"))
+    number = F.row_number().over(Window.partitionBy("_page").orderBy("_table")) - 1
+    out = tables.withColumn("table_no", number).select(
+        "_keep", "table_no", "team", F.explode("_rows").alias("_r"))
+    return out.select(
+        "_keep.*", "table_no", (F.col("_r._row") - 3).cast("int").alias("row_no"),
+        *[F.col("_r._cells")[i]["text"].alias(c) for i, c in enumerate(CELL_COLUMNS)], "team")

@@ -14,13 +14,12 @@ NULL, and one game has the id 0 that NULL game ids count as.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from statline.functions.positions import NO_PLAYER
 from statline.sources.tables import table
+from statline.sources.warehouse import PlayTables
 
 # ---------------------------------------------------------------------------
 # Fixed values of the adapter (shared with the SQL oracle).
@@ -34,22 +33,6 @@ ZERO_GAME_ORDER = 7        # the order whose game has the id 0, where NULL games
 # ---------------------------------------------------------------------------
 
 
-@dataclass(frozen=True)
-class PlayTables:
-    """The ten input tables of the reference, as DataFrames."""
-
-    passes: DataFrame     # pid, psr, trg, yds
-    rushes: DataFrame     # pid, bc, yds
-    kicks: DataFrame      # pid, fkicker, fgxp, dist, good
-    core: DataFrame       # pid, gid
-    scoring: DataFrame    # pid, pts
-    convs: DataFrame      # pid
-    ints: DataFrame       # pid
-    fumbles: DataFrame    # pid
-    games: DataFrame      # gid, seas
-    players: DataFrame    # player, pos1
-
-
 def _player_id(key: Column) -> Column:
     return F.when(key % PLACEHOLDER_EVERY == 0, F.lit(NO_PLAYER)).otherwise(key.cast("string"))
 

@@ -35,23 +35,6 @@ def read_schedule(spark: SparkSession, path: str, year: int | None = None) -> Da
         "team", "opponent", season.alias("season"))
 
 
-def render_schedule(orders: DataFrame, customer: DataFrame, nation: DataFrame) -> DataFrame:
-    """Schedule lines derived from orders, in the file's layout:
-    (season, value) with value = ``week,Wkd,Month d,team,,opponent``.
-
-    One game per order: the customer is the team, its nation the opponent.
-    """
-    d = F.col("o_orderdate")
-    games = (orders.join(customer, orders.o_custkey == customer.c_custkey)
-             .join(nation, F.col("c_nationkey") == F.col("n_nationkey")))
-    week = F.call_function("div", F.dayofyear(d) - 1, F.lit(7)) + 1
-    return games.select(
-        F.year(d).cast("int").alias("season"),
-        F.concat_ws(",", week.cast("string"), F.date_format(d, "EEE"),
-                    F.date_format(d, "MMMM d"), F.col("c_name"), F.lit(""),
-                    F.col("n_name")).alias("value"))
-
-
 def write_schedule(lines: DataFrame, path: str) -> None:
     """One text folder per season, like one schedule file per year."""
     lines.write.mode("errorifexists").partitionBy("season").text(path)

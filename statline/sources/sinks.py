@@ -70,17 +70,20 @@ def write_position_groups(groups: DataFrame, path: str) -> None:
 
 
 def write_key_counts(counts: DataFrame, key: str, count: str, path: str) -> None:
-    """``key,count`` text lines."""
-    (counts.select(F.concat_ws(",", F.col(key), F.col(count).cast("string")).alias("value"))
+    """``key,count`` text lines; a NULL key is written as the empty key, a
+    NULL count as an empty count."""
+    (counts.select(F.concat(F.coalesce(F.col(key), F.lit("")), F.lit(","),
+                            F.coalesce(F.col(count).cast("string"), F.lit(""))).alias("value"))
      .write.mode("errorifexists").text(path))
 
 
 def read_key_counts(spark: SparkSession, path: str, key: str, count: str) -> DataFrame:
-    """Inverse of :func:`write_key_counts`; the key may be empty."""
+    """Inverse of :func:`write_key_counts`; the key may be empty or hold commas,
+    and what is no number is a NULL count."""
     line = F.col("value")
     return spark.read.text(path).select(
-        F.regexp_extract(line, r"^(.*),(-?[0-9]+)$", 1).alias(key),
-        F.regexp_extract(line, r"^(.*),(-?[0-9]+)$", 2).cast("bigint").alias(count))
+        F.regexp_extract(line, r"(?s)^(.*),[^,]*$", 1).alias(key),
+        F.substring_index(line, ",", -1).try_cast("bigint").alias(count))
 
 
 def write_position_extract(extract: DataFrame, path: str) -> None:

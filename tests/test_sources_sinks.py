@@ -6,6 +6,7 @@ import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
+from statline.plans import fixtures as FX
 from statline.sources import html_tables as H
 from statline.sources import schedule as SCH
 from statline.sources import sinks as K
@@ -57,11 +58,11 @@ def test_html_table_rows(spark):
 
 def test_rendered_pages_are_bounded(spark):
     d = "/root/testdata/sf0.01"
-    pages = H.render_supplier_pages(spark.read.parquet(f"{d}/supplier.parquet"),
+    pages = FX.render_supplier_pages(spark.read.parquet(f"{d}/supplier.parquet"),
                                     spark.read.parquet(f"{d}/nation.parquet"),
                                     spark.read.parquet(f"{d}/region.parquet"))
     n_rows = pages.select(F.max(F.size(F.split("html", "<tr>")))).first()[0]
-    assert n_rows <= H.ROWS_PER_PAGE + 3 + 2
+    assert n_rows <= FX.ROWS_PER_PAGE + 3 + 2
 
 
 def test_ctas_modes(spark, out_dir):
@@ -145,3 +146,68 @@ def test_extraction_inside_real_pages(spark):
     assert rows.count() == 2 * n_pages
     per_page = rows.groupBy("page_id").count().filter("count <> 2").count()
     assert per_page == 0 and rows.filter("team <> 'Team Z'").count() == 0
+
+
+def _rows(spark, html):
+    pages = spark.createDataFrame([(1, html)], "page_id long, html string")
+    return [tuple(r)[3:] for r in H.table_rows(pages).orderBy("table_no", "row_no").collect()]
+
+
+HEAD = "<tr><td><a>T</a></td></tr><tr><td>h</td></tr>"
+SIX = "<tr>" + "".join(f"<td>{c}</td>" for c in "abcdef") + "</tr>"
+ROW = [("a", "b", "c", "d", "e", "f", "T")]
+
+
+@pytest.mark.parametrize("tag", ['<table class="data">', "<table class='data'>", "<table class=data>",
+                                 '<TABLE ID=x CLASS = "data sortable" >', "<table\nclass=data\n>"])
+def test_any_spelling_of_the_class(spark, tag):
+    assert _rows(spark, f"<p>{tag}{HEAD}{SIX}</table>") == ROW
+
+
+@pytest.mark.parametrize("html", ['<table data-class="data">%s</table>', '<table class="database">%s</table>',
+                                  '<!-- <table class="data">%s</table> -->', "<p>%s",
+                                  '<script>"<table class=data>%s</table>"</script>'])
+def test_what_is_no_data_table(spark, html):
+    assert _rows(spark, html % (HEAD + SIX)) == []
+
+
+def test_nested_table_is_its_own(spark):
+    inner = "<table class=data>" + HEAD.replace("T", "U") + SIX + "</table>"
+    outer = f'<table class="data">{HEAD}{SIX[:-len("</td></tr>")]} {inner}</td></tr>{SIX}</table>'
+    assert _rows(spark, outer) == [*ROW, *ROW, ("a", "b", "c", "d", "e", "f", "U")]
+
+
+def test_text_is_trimmed_and_decoded(spark):
+    row = ("<tr><td> Knee \n</td><td>e&#8217;s</td><td>&eacute;&#xE9;</td><td>&amp;lt;&nbsp;</td>"
+           "<td>a <b>b</b> c</td><td>&#99999999;&#xD800; &#x1F600;</td></tr>")
+    assert _rows(spark, f"<table class=data>{HEAD}{row}</table>") == [
+        ("Knee", "e\u2019s", "éé", "&lt;", "a b c", "&#99999999;&#xD800; \U0001F600", "T")]
+
+
+def test_null_and_comma_in_rendered_lines(spark, out_dir):
+    df = spark.createDataFrame([("1", "Thu", "September 4", "A, B", None),
+                                ("2", "Sun", "September 7", None, 'say "C"')],
+                               "w string, d string, t string, a string, b string")
+    lines = df.select(F.lit(2014).alias("season"), FX.csv_line(
+        F.col("w"), F.col("d"), F.col("t"), F.col("a"), F.lit(""), F.col("b")).alias("value"))
+    path = os.path.join(out_dir, "s")
+    SCH.write_schedule(lines, path)
+    got = [(r.week, r.team, r.opponent) for r in SCH.read_schedule(spark, path).orderBy("week").collect()]
+    assert got == [(1, "A, B", None), (2, None, 'say "C"')]
+
+
+def test_key_counts_with_nulls_and_commas(spark, out_dir):
+    df = spark.createDataFrame([(None, 3), ("a,b", 4), ("c", None)], "k string, n long")
+    path = os.path.join(out_dir, "kc")
+    K.write_key_counts(df, "k", "n", path)
+    got = sorted(map(tuple, K.read_key_counts(spark, path, "k", "n").collect()))
+    assert got == [("", 3), ("a,b", 4), ("c", None)]
+
+
+def test_a_rewritten_table_is_read_with_its_new_columns(spark, out_dir):
+    from statline.sources.tables import table
+    path = os.path.join(out_dir, "t.parquet")
+    spark.range(2).write.parquet(path)
+    assert table(spark, out_dir, "t").columns == ["id"]
+    spark.range(2).withColumn("x", F.lit(1)).write.mode("overwrite").parquet(path)
+    assert table(spark, out_dir, "t").columns == ["id", "x"]
