@@ -9,14 +9,17 @@ of one array.  Bands of coordinates make buckets.
 Documents with equal shingle sets are one class, known by its smallest
 document; the rest runs on classes:
 
-1. In every bucket each class is compared with the bucket's smallest class
-   (its leader), on full shingle sets.
+1. In every bucket each class is compared with up to three leaders (the
+   smallest class and two chosen by a hash), on full shingle sets.
 2. Buckets whose classes then lie in several components are looked at again:
    classes outside the bucket's largest component are compared with all of
-   other components, unless the distances to the leader already exclude a
-   link (Jaccard distance is a metric) or the set sizes do.  So every pair of
-   classes in a bucket is compared, excluded, or already in one component;
-   there is no cap, and pairs within one component are not formed.
+   other components, unless set sizes or bit sketches exclude a link.  A sketch
+   has a bit for each shingle's slot: a bit that only one of two documents has
+   is a shingle that the other lacks, so the sketches bound the similarity from
+   above, and no link is lost.
+
+So every pair of classes in a bucket is compared, excluded, or already in one
+component; there is no cap, and pairs within one component are not formed.
 
 The chance that a pair at the threshold shares no bucket is below one in a
 million (40 bands of 7 for 0.85; 48 of 6 for 0.8).
@@ -31,7 +34,7 @@ ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +46,8 @@ from statline.llm.components import components, stored
 
 RING = 1 << 22
 LAST = (1 << 63) - 1
-_SIG = "place long, n long, s1 long, s2 long, bands array<long>"
+SKETCH_WORDS = 8
+_SIG = "place long, n long, s1 long, s2 long, bands array<long>, sketch array<long>"
 
 
 @lru_cache(maxsize=1)
@@ -97,14 +101,21 @@ def _signer(size: int, bands: int, rows: int):
                         else np.zeros(0, np.int64)
                         for x, y in zip(at[:-1], at[1:], strict=True)]
                 lengths = np.concatenate([[0], np.cumsum([len(k) for k in keys])])
+                sketch = np.zeros((b - a) * SKETCH_WORDS, dtype=np.uint64)
+                row = np.repeat(np.arange(b - a), np.diff(at))
+                np.bitwise_or.at(sketch, row * SKETCH_WORDS + (h >> np.uint64(61)).astype(np.int64),
+                                 np.uint64(1) << (h >> np.uint64(55) & np.uint64(63)))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("place").slice(a, b - a), pa.array(np.diff(at)),
                      pa.array((total[at[1:]] - total[at[:-1]]).view(np.int64)),
                      pa.array((other[at[1:]] - other[at[:-1]]).view(np.int64)),
                      pa.ListArray.from_arrays(pa.array(lengths.astype(np.int32)),
                                               pa.array(np.concatenate(keys) if keys else
-                                                       np.zeros(0, np.int64)))],
-                    names=["place", "n", "s1", "s2", "bands"])
+                                                       np.zeros(0, np.int64))),
+                     pa.ListArray.from_arrays(
+                         pa.array(np.arange(0, len(sketch) + 1, SKETCH_WORDS, dtype=np.int32)),
+                         pa.array(sketch.view(np.int64)))],
+                    names=["place", "n", "s1", "s2", "bands", "sketch"])
     return sign
 
 
@@ -123,9 +134,8 @@ def _verifier(size: int, percent: int):
             union = np.array([len(x) + len(y) for x, y in zip(*sets, strict=True)],
                              dtype=np.int64) - both
             yield pa.RecordBatch.from_arrays(
-                [batch.column("a"), batch.column("b"), pa.array(100 * both >= percent * union),
-                 pa.array(1.0 - both / np.maximum(union, 1))],
-                names=["a", "b", "linked", "distance"])
+                [batch.column("a"), batch.column("b"), pa.array(100 * both >= percent * union)],
+                names=["a", "b", "linked"])
     return verify
 
 
@@ -134,13 +144,25 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
     b = texts.select(F.col("place").alias("b"), F.col("text").alias("text_b"))
     return (pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b")
             .mapInArrow(_verifier(size, percent),
-                        "a long, b long, linked boolean, distance double"))
+                        "a long, b long, linked boolean"))
 
 
 def _sizes_allow(n: Column, m: Column, percent: int) -> Column:
     return F.least(n, m) * 100 >= F.greatest(n, m) * percent
 
 
+def _sketches_allow(x: str, y: str, percent: int) -> Column:
+    """Upper bound of the similarity from sizes and sketches: a bit that only
+    one side has stands for a shingle, at least, that the other side lacks."""
+    def lacking(a: str, b: str) -> Column:
+        only = [F.bit_count(F.col(f"{a}.b{i}").bitwiseAND(F.bitwise_not(F.col(f"{b}.b{i}"))))
+                for i in range(SKETCH_WORDS)]
+        return F.col(f"{a}.n") - reduce(lambda p, q: p + q, only)
+
+    common = F.least(lacking(x, y), lacking(y, x))
+    return 100 * common >= percent * (F.col(f"{x}.n") + F.col(f"{y}.n") - common)
+
+
 def groups(docs: DataFrame, size: int = 3, percent: int = 85, bands: int = 40,
            rows: int = 7) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row."""
@@ -148,22 +170,28 @@ def groups(docs: DataFrame, size: int = 3, percent: int = 85, bands: int = 40,
     base = docs.select(place.alias("place"), F.col("text").cast("string").alias("text"))
     signed = stored(base.mapInArrow(_signer(size, bands, rows), _SIG), "signatures")
     classes = (signed.filter("n > 0").groupBy("s1", "s2", "n")
-               .agg(F.min("place").alias("rep"), F.first("bands").alias("bands")))
+               .agg(F.min("place").alias("rep"), F.first("bands").alias("bands"),
+                    F.first("sketch").alias("sketch")))
     buckets = classes.select("rep", "n", F.explode("bands").alias("key"))
-    leaders = (buckets.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("lead"),
-                                          F.count(F.lit(1)).alias("c"))
-               .filter("c > 1"))
-    members = stored(buckets.join(leaders, "key").select(
-        "key", "rep", "n", F.col("lead.rep").alias("leader"), F.col("lead.n").alias("leader_n")),
-        "buckets")
+    mixed = F.struct(F.xxhash64("rep").alias("h"), "rep", "n")
+    leaders = (buckets.groupBy("key").agg(
+        F.min(F.struct("rep", "n")).alias("low"), F.min(mixed).alias("first"),
+        F.max(mixed).alias("last"), F.count(F.lit(1)).alias("c")).filter("c > 1")
+        .select("key", F.array_distinct(F.array(*[
+            F.struct(F.col(f"{x}.rep").alias("rep"), F.col(f"{x}.n").alias("n"))
+            for x in ("low", "first", "last")])).alias("leaders")))
+    members = stored(buckets.join(leaders, "key").select("key", "rep", "n", "leaders"), "buckets")
     wanted = members.select(F.col("rep").alias("place")).distinct()
     texts = stored(base.join(wanted, "place", "left_semi"), "candidates")
-    first = (members.filter((F.col("rep") != F.col("leader"))
-                            & _sizes_allow(F.col("n"), F.col("leader_n"), percent))
-             .select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct())
+    led = members.select("rep", "n", F.explode("leaders").alias("lead"))
+    first = (led.filter((F.col("rep") != F.col("lead.rep"))
+                        & _sizes_allow(F.col("n"), F.col("lead.n"), percent))
+             .select(F.least("rep", "lead.rep").alias("a"), F.greatest("rep", "lead.rep").alias("b"))
+             .distinct())
     judged = stored(_verified(first, texts, size, percent), "judged")
     links = judged.filter("linked").select("a", "b")
-    second = _second_look(members, judged, components(links), percent)
+    sketches = classes.select("rep", *[F.col("sketch")[i].alias(f"b{i}") for i in range(SKETCH_WORDS)])
+    second = _second_look(members, judged, components(links), sketches, percent)
     more = stored(_verified(second, texts, size, percent).filter("linked").select("a", "b"), "links")
     found = components(links.unionByName(more))
     of_class = signed.select("place", "n", "s1", "s2").join(
@@ -178,26 +206,23 @@ def groups(docs: DataFrame, size: int = 3, percent: int = 85, bands: int = 40,
         (F.col("place") == component).alias("kept"))
 
 
-def _second_look(members: DataFrame, judged: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+def _second_look(members: DataFrame, judged: DataFrame, found: DataFrame, sketches: DataFrame,
+                 percent: int) -> DataFrame:
     """Pairs of one bucket in different components that nothing excludes yet."""
-    known = members.join(found, members["rep"] == found["node"], "left").withColumn(
+    known = members.drop("leaders").join(found, members["rep"] == found["node"], "left").withColumn(
         "comp", F.coalesce("comp", "rep"))
     mixed = (known.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"))
              .filter("c0 <> c1").select("key"))
-    far = judged.select(F.col("a").alias("leader"), F.col("b").alias("rep"), "distance")
-    open_ = stored(known.join(mixed, "key").join(far, ["leader", "rep"], "left").select(
-        "key", "rep", "n", "comp",
-        F.when(F.col("rep") == F.col("leader"), F.lit(0.0)).otherwise(F.col("distance")).alias("d")),
-        "open_buckets")
+    open_ = stored(known.join(mixed, "key").join(sketches, "rep").select(
+        "key", "rep", "n", "comp", *[f"b{i}" for i in range(SKETCH_WORDS)]), "open_buckets")
     main = (open_.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("key")
             .agg(F.max_by("comp", F.struct("c", "comp")).alias("main")))
     rest = open_.join(main, "key").filter(F.col("comp") != F.col("main")).drop("main")
     x, y = rest.alias("x"), open_.alias("y")
-    reach = 1 - percent / 100 + 1e-9
-    pairs = x.join(y, "key").filter(
-        (F.col("x.comp") != F.col("y.comp"))
-        & _sizes_allow(F.col("x.n"), F.col("y.n"), percent)
-        & (F.coalesce(F.abs(F.col("x.d") - F.col("y.d")), F.lit(0.0)) <= reach))
+    pairs = x.join(y, (F.col("x.key") == F.col("y.key"))
+                   & (F.col("x.comp") != F.col("y.comp"))
+                   & _sizes_allow(F.col("x.n"), F.col("y.n"), percent)
+                   & _sketches_allow("x", "y", percent))
     pairs = pairs.select(F.least("x.rep", "y.rep").alias("a"),
                          F.greatest("x.rep", "y.rep").alias("b")).distinct()
     return pairs.join(judged, ["a", "b"], "left_anti")
