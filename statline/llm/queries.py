@@ -15,6 +15,7 @@ from statline.llm import (
     decontaminate,
     fm_index,
     minhash_dedup,
+    oracle,
     packed_ids,
     sharding,
     suffix_dedup,
@@ -92,4 +93,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL of those that SQL can express on whole tables.  The others rest on
+    a tokenizer, a trained model or Spark's own hash, or (bytes) are too slow
+    in SQL, and are tested against brute force or held-out labels."""
+    return {
+        "op4_fm_index_substring_dedup": oracle.WORD_REPEATS,
+        "op6_benchmark_decontamination": oracle.LEAKS,
+        "op7_circulant_minhash": oracle.NEAR_COPIES,
+    }
