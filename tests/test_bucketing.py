@@ -20,5 +20,5 @@ def test_bucketed_tables_join_without_exchange(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert "SortMergeJoin" in plan and "Exchange" not in plan
     assert "Exchange" in plain
-    got = sorted(tuple(r) for r in SC.player_game_points_flat(b).collect())
-    assert got == sorted(tuple(r) for r in SC.player_game_points_flat(t).collect())
+    got = sorted((tuple(r) for r in SC.player_game_points_flat(b).collect()), key=str)
+    assert got == sorted((tuple(r) for r in SC.player_game_points_flat(t).collect()), key=str)

@@ -31,8 +31,8 @@ def test_hot_player_sessions_are_spread_and_exact(spark):
     biggest = hot.select(F.max(F.size("passes"))).first()[0]
     assert biggest < 2 * plays / S.PARTS
     assert hot.select(F.sum(F.size("passes"))).first()[0] == plays
-    a = sorted(tuple(r) for r in SC.player_game_points(t).collect())
-    assert a == sorted(tuple(r) for r in SC.player_game_points_flat(t).collect())
+    a = sorted((tuple(r) for r in SC.player_game_points(t).collect()), key=str)
+    assert a == sorted((tuple(r) for r in SC.player_game_points_flat(t).collect()), key=str)
 
 
 def test_layout_does_not_depend_on_the_data(spark):

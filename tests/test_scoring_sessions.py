@@ -42,7 +42,7 @@ def test_formulas_integral_and_fractional(spark):
 
 
 def _points(df):
-    return sorted(tuple(r) for r in df.collect())
+    return sorted((tuple(r) for r in df.collect()), key=str)
 
 
 def test_nested_equals_flat(spark):
@@ -120,3 +120,34 @@ def test_sql_functions(spark):
     plan = spark.sql("SELECT passing_points(1, 2, 3, 4) AS x")._jdf.queryExecution() \
         .executedPlan().toString()
     assert "Python" not in plan
+
+
+def test_side_tables_that_repeat_a_play(spark):
+    """Left joins fan out, anti joins do not, and kicks take no side table."""
+    from statline.sources.warehouse import PlayTables
+
+    df = lambda rows, schema: spark.createDataFrame(rows, schema)
+    pid = "pid string"
+    t = PlayTables(
+        passes=df([("a", "Q", "W", 10), ("b", "Q", "W", 20), ("c", "XX-0000", "W", 5), ("d", "Q", None, 7)],
+                  "pid string, psr string, trg string, yds int"),
+        rushes=df([("e", "R", 3), ("f", "R", 4)], "pid string, bc string, yds int"),
+        kicks=df([("g", "K", "FG", 30, "Y"), ("h", "K", "XP", 1, "N")],
+                 "pid string, fkicker string, fgxp string, dist int, good string"),
+        core=df([(p, 1) for p in "abcdefgh"], "pid string, gid long"),
+        scoring=df([("a", 6), ("a", None), ("g", 3), ("g", 3), ("e", 6)], "pid string, pts int"),
+        convs=df([("a",), ("e",), ("e",), ("g",)], pid), ints=df([("b",), ("b",), ("e",)], pid),
+        fumbles=df([("f",), ("f",), ("a",)], pid), games=df([(1, 2000)], "gid long, seas int"),
+        players=df([("Q", "QB")], "player string, pos1 string"))
+    got = sorted((r.kind, r.player, r.pid, r.td, r.conv, r.intcpt) for r in S.plays(t).collect())
+    none = None
+    assert [x for x in got if x[0] == "passes"] == [
+        ("passes", "Q", "a", 0, 1, 0), ("passes", "Q", "a", 6, 1, 0),
+        ("passes", "Q", "b", 0, 0, 1), ("passes", "Q", "b", 0, 0, 1), ("passes", "Q", "d", 0, 0, 0)]
+    assert sorted(x[2:5] for x in got if x[0] == "receptions") == [
+        ("a", 0, 1), ("a", 6, 1), ("c", 0, 0)]
+    assert [x[2:5] for x in got if x[0] == "rushes"] == [("e", 6, 1), ("e", 6, 1)]
+    assert [x for x in got if x[0] == "fgxp"] == [("fgxp", "K", "g", none, none, none)]
+    for kind in S.KINDS:  # one kind alone is the same
+        alone = S.plays(t, (kind,)).collect()
+        assert sorted(map(str, alone)) == sorted(str(r) for r in S.plays(t).collect() if r.kind == kind)
