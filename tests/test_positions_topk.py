@@ -14,6 +14,7 @@ STAT = "player_id string, season int, games long, passing_mean double, " \
 
 
 def test_reference_fixture(spark):
+    # The rows of the reference's test and its expected positions.
     stats = spark.createDataFrame(
         [(p, 2014, 2, 0.0, 0.0, 1.0, 0.0, 2.0, 2.0, 3.0, 2.0) for p in "ABC"], STAT)
     players = spark.createDataFrame([("A", "RB"), ("B", "RB"), ("C", "DB")],
