@@ -189,15 +189,17 @@ def _finish(length: int, texts: bool, rest: bool = False):
     return finish
 
 
-def _marked(docs: DataFrame, length: int, columns: Sequence[str] = ()) -> DataFrame:
+def _marked(docs: DataFrame, length: int, columns: Sequence[str] = (),
+            hot_kinds: int = R.HOT_KINDS) -> DataFrame:
     base = R.keyed(docs, columns)
-    ranges = R.covered_ranges(base, length, min(ANCHOR, length), True, True, decider(length))
+    ranges = R.covered_ranges(base, length, min(ANCHOR, length), True, True, decider(length),
+                              hot_kinds)
     return R.with_ranges(base, ranges)
 
 
-def digests(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def digests(docs: DataFrame, length: int = LENGTH, hot_kinds: int = R.HOT_KINDS) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every row."""
-    return _marked(docs, length).mapInArrow(_finish(length, False), _RESULT)
+    return _marked(docs, length, (), hot_kinds).mapInArrow(_finish(length, False), _RESULT)
 
 
 def remaining(docs: DataFrame, length: int = LENGTH, columns: Sequence[str] = ()) -> DataFrame:

@@ -18,6 +18,11 @@ elsewhere, without ever shuffling all windows.
    joins with ``documents`` use the same exchange, so texts move once, and
    so do the runs.
 
+An anchor with more than ``HOT_KINDS`` kinds of runs would fill a shard: a
+common passage whose surroundings always differ.  Its windows are compared by
+a 128-bit hash instead, in an aggregation (map-side combined) and a join that
+Spark may split, so no task gathers them.
+
 A hot passage is many runs of one anchor.  Each task settles among themselves
 the equal runs that it reads (``MapSide``) and sends on one or two of a kind,
 so a passage in a third of all rows is a few rows per task in the shuffle;
@@ -34,7 +39,7 @@ from collections.abc import Callable, Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from statline.llm import sequences as S
@@ -47,6 +52,8 @@ _RUNS = "doc_id long, th int, first int, n int, h long, u long, twin boolean, do
 # (up to a number of kinds), so that later ones need not be sent.
 HOT = 8
 REMEMBERED = 1 << 16
+# Kinds of runs of one anchor that a shard takes; with more, see hot_windows.
+HOT_KINDS = 20_000
 _CUT = "h long, doc_id long, th int, first int, n int, piece binary"
 _RANGES = "doc_id long, th int, start int, stop int"
 
@@ -259,6 +266,46 @@ def _rows(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
         schema=schema)
 
 
+_WINDOWS = "doc_id long, th int, start int, w1 long, w2 long"
+
+
+def window_cutter(length: int, words: bool) -> Callable:
+    """The windows of the listed runs, each as a position and a 128-bit hash."""
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            buf, off = S.text_buffer(batch.column("text"))
+            for i in range(batch.num_rows):
+                text = buf[off[i]:off[i + 1]]
+                if words:
+                    starts, ends, _ = S.words(text, np.array([0, len(text)]))
+                    symbols = S.word_hashes(text, starts, ends)
+                else:
+                    symbols = S.BYTE_VALUES[text]
+                at = np.concatenate([np.arange(r["first"], r["first"] + r["n"])
+                                     for r in batch.column("runs")[i].as_py()])
+                w = [S.Hasher(x).ranges(at, at + length).view(np.int64)
+                     for x in (symbols, S.mix(symbols + np.uint64(1)))]
+                n = len(at)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([batch.column("doc_id")[i].as_py()] * n, pa.int64()),
+                     pa.array([batch.column("th")[i].as_py()] * n, pa.int32()),
+                     pa.array(at.astype(np.int32)), pa.array(w[0]), pa.array(w[1])],
+                    names=["doc_id", "th", "start", "w1", "w2"])
+    return cut
+
+
+def hot_windows(texts: DataFrame, length: int, words: bool, first_wins: bool) -> DataFrame:
+    """Covered windows of the runs of hot anchors, without a shard."""
+    place = F.coalesce(F.col("doc_id"), F.lit(LAST))
+    windows = texts.mapInArrow(window_cutter(length, words), _WINDOWS)
+    found = windows.groupBy("w1", "w2").agg(
+        F.count(F.lit(1)).alias("c"), F.min(place).alias("d")).filter("c > 1")
+    both = windows.join(found, ["w1", "w2"])
+    if first_wins:
+        both = both.filter(place > F.col("d"))
+    return both.select("doc_id", "th", "start", (F.col("start") + 1).alias("stop"))
+
+
 def shard_indexer(decide: Callable) -> Callable:
     """Feeds whole anchors of a partition sorted by ``h`` to ``decide`` in
     shards of about ``SHARD_SYMBOLS`` bytes; ``decide(pieces, n, doc_id)``
@@ -310,7 +357,7 @@ def shard_indexer(decide: Callable) -> Callable:
 
 
 def covered_ranges(base: DataFrame, length: int, k: int, words: bool, first_wins: bool,
-                   decide: Callable) -> DataFrame:
+                   decide: Callable, hot_kinds: int = HOT_KINDS) -> DataFrame:
     """Ranges of window starts (``start``, ``stop`` exclusive) per row.
 
     ``first_wins``: a window counts when it starts in a document with a
@@ -324,16 +371,23 @@ def covered_ranges(base: DataFrame, length: int, k: int, words: bool, first_wins
     settled = (runs.withColumn("place", place).withColumn("deal", deal).repartition("deal")
                .sortWithinPartitions("h", "u", "place", "th", "first")
                .mapInArrow(settle_runs(first_wins), _SETTLED))
-    wanted = (settled.filter("wanted").groupBy("doc_id", "th")
-              .agg(F.collect_set(F.struct("first", "n", "h")).alias("runs")))
+    kinds = F.count(F.lit(1)).over(Window.partitionBy("h"))
+    asked = settled.filter("wanted").select(
+        "doc_id", "th", "first", "n", "h").withColumn("hot", kinds > hot_kinds)
+    run, hot = F.struct("first", "n", "h"), F.col("hot")
+    wanted = asked.groupBy("doc_id", "th").agg(F.collect_set(F.when(~hot, run)).alias("runs"),
+                                               F.collect_set(F.when(hot, run)).alias("hot_runs"))
     texts = base.join(wanted, same_row(base, wanted)).select(
-        base["doc_id"], base["th"], base["text"], wanted["runs"])
-    pieces = texts.mapInArrow(run_cutter(length, words), _CUT)
+        base["doc_id"], base["th"], base["text"], wanted["runs"], wanted["hot_runs"])
+    pieces = texts.filter(F.size("runs") > 0).drop("hot_runs").mapInArrow(
+        run_cutter(length, words), _CUT)
     checked = (pieces.repartition("h").sortWithinPartitions("h")
                .mapInArrow(shard_indexer(decide), _RANGES))
+    crowd = hot_windows(texts.filter(F.size("hot_runs") > 0).drop("runs").withColumnRenamed(
+        "hot_runs", "runs"), length, words, first_wins)
     covered = settled.filter("not wanted").select(
         "doc_id", "th", F.col("first").alias("start"), (F.col("first") + F.col("n")).alias("stop"))
-    return covered.unionByName(checked)
+    return covered.unionByName(checked).unionByName(crowd)
 
 
 def with_ranges(base: DataFrame, ranges: DataFrame) -> DataFrame:

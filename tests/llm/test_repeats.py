@@ -68,6 +68,14 @@ def test_words_as_brute_force(spark, passage_rows, length):
     assert got == brute_words(passage_rows, length)
 
 
+@pytest.mark.parametrize("hot_kinds", [0, 2])
+def test_crowded_anchors_need_no_shard(spark, passage_rows, hot_kinds):
+    """Anchors with many kinds of runs, compared by window hashes: same result."""
+    df = frame(spark, passage_rows)
+    assert sorted_rows(suffix_dedup.digests(df, hot_kinds=hot_kinds)) == brute_bytes(passage_rows, 200)
+    assert sorted_rows(fm_index.digests(df, hot_kinds=hot_kinds)) == brute_words(passage_rows, 13)
+
+
 def test_empty_table(spark):
     none = frame(spark, [(1, "x")]).filter("doc_id > 1")
     assert suffix_dedup.digests(none).collect() == []
