@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from sentencepiece import sentencepiece_model_pb2 as model_pb2
 
 from statline.llm import sequences as S
+from statline.llm import units
 from statline.llm.units import UnitEncoder, gather
 
 
@@ -142,7 +143,7 @@ def _pieces(batches, path: str, pattern: str):
     for batch in batches:
         buf, off = S.text_buffer(batch.column("text"))
         own = batch.column("doc_id")
-        for a, b in S.chunks(off, 1 << 22):
+        for a, b in S.chunks(off, units.CHUNK):
             ids, at = codec(path, pattern).units.texts(buf[off[a]:off[b]], off[a:b + 1] - off[a])
             yield own.slice(a, b - a), ids, at
 

@@ -121,21 +121,22 @@ def _signer(size: int, bands: int, rows: int):
 
 def _verifier(size: int, percent: int):
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = []
-            for name in ("text_a", "text_b"):
-                buf, off = S.text_buffer(batch.column(name))
-                parts = [shingle_sets(buf[off[x]:off[y]], off[x:y + 1] - off[x], size)
-                         for x, y in S.chunks(off)]
-                sets.append([h[i:j] for h, at in parts
-                             for i, j in zip(at[:-1], at[1:], strict=True)])
-            both = np.array([len(np.intersect1d(x, y, assume_unique=True))
-                             for x, y in zip(*sets, strict=True)], dtype=np.int64)
-            union = np.array([len(x) + len(y) for x, y in zip(*sets, strict=True)],
-                             dtype=np.int64) - both
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("a"), batch.column("b"), pa.array(100 * both >= percent * union)],
-                names=["a", "b", "linked"])
+        for whole in batches:
+            for batch in (whole.slice(i, 500) for i in range(0, whole.num_rows, 500)):
+                sets = []
+                for name in ("text_a", "text_b"):
+                    buf, off = S.text_buffer(batch.column(name))
+                    parts = [shingle_sets(buf[off[x]:off[y]], off[x:y + 1] - off[x], size)
+                             for x, y in S.chunks(off)]
+                    sets.append([h[i:j] for h, at in parts
+                                 for i, j in zip(at[:-1], at[1:], strict=True)])
+                both = np.array([len(np.intersect1d(x, y, assume_unique=True))
+                                 for x, y in zip(*sets, strict=True)], dtype=np.int64)
+                union = np.array([len(x) + len(y) for x, y in zip(*sets, strict=True)],
+                                 dtype=np.int64) - both
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("a"), batch.column("b"), pa.array(100 * both >= percent * union)],
+                    names=["a", "b", "linked"])
     return verify
 
 

@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from statline.llm import sequences as S
+from statline.llm import units
 from statline.llm.units import UnitEncoder
 
 END_ID = 0
@@ -117,7 +118,7 @@ def _blocks(path: str, end_id: int, block_ids: int):
 
         for batch in batches:
             buf, off = S.text_buffer(batch.column("text"))
-            for a, b in S.chunks(off, 1 << 22):
+            for a, b in S.chunks(off, units.CHUNK):
                 ids, at = lib.units.texts(buf[off[a]:off[b]], off[a:b + 1] - off[a])
                 ids = np.insert(ids, at[1:], end_id)
                 lengths = np.diff(at) + 1

@@ -13,8 +13,6 @@ itself unique.  Consecutive windows share an anchor; such a run is one row.
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 import pyarrow as pa
 
@@ -25,16 +23,19 @@ _INDEX_BITS = 24
 CHUNK = 1 << 20
 
 
-@lru_cache(maxsize=4)
-def _powers(n: int, base: int) -> np.ndarray:
-    out = np.full(n, base, dtype=np.uint64)
-    out[0] = 1
-    return np.cumprod(out, dtype=np.uint64)
+_POWERS: dict[int, np.ndarray] = {}
 
 
 def powers(n: int, base: int) -> np.ndarray:
-    size = 1 << max(10, (max(n, 1) - 1).bit_length())
-    return _powers(size, base)[:n]
+    """The first n powers of a base; the longest array asked for is kept."""
+    have = _POWERS.get(base)
+    if have is None or len(have) < n:
+        have = np.full(max(n + n // 8, 1024), base, dtype=np.uint64)
+        have[0] = 1
+        np.cumprod(have, out=have)
+        if n <= 2 * CHUNK:  # a single huge text leaves nothing behind
+            _POWERS[base] = have
+    return have[:n]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -55,7 +56,8 @@ class Hasher:
     def __init__(self, symbols: np.ndarray):
         n = len(symbols)
         self.prefix = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum(symbols * powers(n, BASE), out=self.prefix[1:])
+        np.multiply(symbols, powers(n, BASE), out=self.prefix[1:])
+        np.cumsum(self.prefix, out=self.prefix)
         self.inverse = powers(n + 1, INVERSE)
 
     def ranges(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:

@@ -20,9 +20,9 @@ import numpy as np
 
 from statline.llm import sequences as S
 
-CACHE_UNITS = 1_500_000
+CACHE_UNITS = 1_200_000
 CACHE_IDS = 8_000_000
-CHUNK = 1 << 22
+CHUNK = 1 << 21
 
 # Bytes next to a cut: printable ASCII or part of a longer character.
 _SURE = np.zeros(256, dtype=bool)
