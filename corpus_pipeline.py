@@ -11,11 +11,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from statline.llm import byte_bpe, decontaminate, minhash_dedup, suffix_dedup, toxicity
+from statline.llm.batches import for_texts
 from statline.session import scratch_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return for_texts(spark).read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,6 +27,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 7, five words and 0.8: of each group the document with the
     smallest id stays; of rows with equal id and text one stays."""
+    for_texts(spark)
     found = minhash_dedup.groups(docs, size=5, percent=80, bands=48, rows=6)
     kept = found.filter("kept").select(F.col("doc_id").alias("kept_id")).distinct()
     equal = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(
@@ -38,6 +40,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 10: repeated strings of 200 bytes go from the texts; n_chars
     counts what remains."""
+    for_texts(spark)
     cut = suffix_dedup.remaining(docs, columns=[c for c in docs.columns if c not in ("doc_id", "text")])
     new = {"text": F.col("kept"), "n_chars": F.length("kept").cast(docs.schema["n_chars"].dataType)}
     return cut.select(*[new.get(c, F.col(c)).alias(c) for c in docs.columns])
@@ -50,6 +53,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 5: token counts and digests of ids and of the decoded bytes."""
+    for_texts(spark)
     return byte_bpe.digests(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"),
                             public_tokenizers.PATTERN)
 

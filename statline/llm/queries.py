@@ -21,6 +21,7 @@ from statline.llm import (
     suffix_dedup,
     toxicity,
 )
+from statline.llm.batches import for_texts
 from statline.session import scratch_path
 
 
@@ -29,7 +30,7 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return for_texts(spark).read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def op1_factorization_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
