@@ -39,10 +39,11 @@ from collections.abc import Callable, Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from statline.llm import sequences as S
+from statline.llm.components import stored
 
 # Symbols of candidate runs indexed at once in a task (whole anchors only).
 SHARD_SYMBOLS = 1 << 21
@@ -371,9 +372,11 @@ def covered_ranges(base: DataFrame, length: int, k: int, words: bool, first_wins
     settled = (runs.withColumn("place", place).withColumn("deal", deal).repartition("deal")
                .sortWithinPartitions("h", "u", "place", "th", "first")
                .mapInArrow(settle_runs(first_wins), _SETTLED))
-    kinds = F.count(F.lit(1)).over(Window.partitionBy("h"))
-    asked = settled.filter("wanted").select(
-        "doc_id", "th", "first", "n", "h").withColumn("hot", kinds > hot_kinds)
+    settled = stored(settled, "settled_runs")  # few rows, read by several branches
+    asked = settled.filter("wanted").select("doc_id", "th", "first", "n", "h")
+    crowded = asked.groupBy("h").agg(F.count(F.lit(1)).alias("kinds")).filter(
+        F.col("kinds") > hot_kinds)
+    asked = asked.join(crowded, "h", "left").withColumn("hot", F.col("kinds").isNotNull())
     run, hot = F.struct("first", "n", "h"), F.col("hot")
     wanted = asked.groupBy("doc_id", "th").agg(F.collect_set(F.when(~hot, run)).alias("runs"),
                                                F.collect_set(F.when(hot, run)).alias("hot_runs"))
