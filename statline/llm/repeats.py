@@ -62,9 +62,9 @@ _RANGES = "doc_id long, th int, start int, stop int"
 def keyed(docs: DataFrame, columns: Sequence[str] = ()) -> DataFrame:
     """The columns that the removers use, and ``columns`` packed as ``rest``."""
     rest = [F.struct(*columns).alias("rest")] if columns else []
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"),
-                       F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *rest
-                       ).withColumn("th", F.hash("text"))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash(text).alias("th"),
+                       text.alias("text"), *rest)
 
 
 def same_row(a: DataFrame, b: DataFrame) -> Column:
