@@ -26,13 +26,16 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 7, five words and 0.8: of each group the document with the
-    smallest id stays; of rows with equal id and text one stays."""
+    smallest id stays (without an id, the one with the smallest hash); of rows
+    with equal id and text one stays."""
     for_texts(spark)
-    found = minhash_dedup.groups(docs, size=5, percent=80, bands=48, rows=6)
-    kept = found.filter("kept").select(F.col("doc_id").alias("kept_id")).distinct()
+    found = minhash_dedup.nodes(docs, size=5, percent=80, bands=48, rows=6)
+    kept = found.filter("kept").select(F.col("doc_id").alias("kept_id"),
+                                       F.col("th").alias("kept_th")).distinct()
     equal = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(
         *[c for c in docs.columns if c not in ("doc_id", "text")])
-    return (docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    return (docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id"))
+                      & (minhash_dedup.text_hash() == F.col("kept_th")), "left_semi")
             .withColumn("__copy", F.row_number().over(equal)).filter("__copy = 1")
             .select(*docs.columns))
 

@@ -6,8 +6,10 @@ the document's places shifted by k around the ring.  So two permutations give
 all coordinates, and a document's signature is a running minimum over slices
 of one array.  Bands of coordinates make buckets.
 
-Documents with equal shingle sets are one class, known by its smallest
-document; the rest runs on classes:
+A node is a distinct pair of doc_id and text, known by the id and a hash of
+the text; nodes are ordered by id (null last), then hash.  Nodes with equal
+shingle sets are one class, and classes are numbered in the order of their
+smallest nodes; the rest runs on these numbers:
 
 1. In every bucket each class is compared with up to three leaders (the
    smallest class and two chosen by a hash), on full shingle sets.
@@ -26,9 +28,10 @@ million (40 bands of 7 for 0.85; 48 of 6 for 0.8).
 
 Defined cases: null and empty texts and texts without words have an empty set,
 are linked with nothing and kept; a text with fewer words than a shingle is
-one shingle; rows that share a doc_id are one node; a null doc_id counts as
-the largest id and stays null; an empty table gives no rows; other columns are
-ignored.
+one shingle; rows with equal id and text are one node, and are kept or not
+together; rows that share a doc_id or have none, with different texts, are
+judged apart; a null doc_id counts as the largest id and stays null, also as a
+component_id; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -45,9 +48,8 @@ from statline.llm import sequences as S
 from statline.llm.components import components, stored
 
 RING = 1 << 22
-LAST = (1 << 63) - 1
 SKETCH_WORDS = 8
-_SIG = "place long, n long, s1 long, s2 long, bands array<long>, sketch array<long>"
+_SIG = "doc_id long, th long, n long, s1 long, s2 long, bands array<long>, sketch array<long>"
 
 
 @lru_cache(maxsize=1)
@@ -106,7 +108,8 @@ def _signer(size: int, bands: int, rows: int):
                 np.bitwise_or.at(sketch, row * SKETCH_WORDS + (h >> np.uint64(61)).astype(np.int64),
                                  np.uint64(1) << (h >> np.uint64(55) & np.uint64(63)))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("place").slice(a, b - a), pa.array(np.diff(at)),
+                    [batch.column("doc_id").slice(a, b - a), batch.column("th").slice(a, b - a),
+                     pa.array(np.diff(at)),
                      pa.array((total[at[1:]] - total[at[:-1]]).view(np.int64)),
                      pa.array((other[at[1:]] - other[at[:-1]]).view(np.int64)),
                      pa.ListArray.from_arrays(pa.array(lengths.astype(np.int32)),
@@ -115,7 +118,7 @@ def _signer(size: int, bands: int, rows: int):
                      pa.ListArray.from_arrays(
                          pa.array(np.arange(0, len(sketch) + 1, SKETCH_WORDS, dtype=np.int32)),
                          pa.array(sketch.view(np.int64)))],
-                    names=["place", "n", "s1", "s2", "bands", "sketch"])
+                    names=["doc_id", "th", "n", "s1", "s2", "bands", "sketch"])
     return sign
 
 
@@ -141,8 +144,8 @@ def _verifier(size: int, percent: int):
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    a = texts.select(F.col("place").alias("a"), F.col("text").alias("text_a"))
-    b = texts.select(F.col("place").alias("b"), F.col("text").alias("text_b"))
+    a = texts.select(F.col("rep").alias("a"), F.col("text").alias("text_a"))
+    b = texts.select(F.col("rep").alias("b"), F.col("text").alias("text_b"))
     return (pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b")
             .mapInArrow(_verifier(size, percent),
                         "a long, b long, linked boolean"))
@@ -164,15 +167,27 @@ def _sketches_allow(x: str, y: str, percent: int) -> Column:
     return 100 * common >= percent * (F.col(f"{x}.n") + F.col(f"{y}.n") - common)
 
 
+def text_hash() -> Column:
+    return F.xxhash64(F.col("text").cast("string"))
+
+
 def groups(docs: DataFrame, size: int = 3, percent: int = 85, bands: int = 40,
            rows: int = 7) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row."""
-    place = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
-    base = docs.select(place.alias("place"), F.col("text").cast("string").alias("text"))
+    return nodes(docs, size, percent, bands, rows).drop("th")
+
+
+def nodes(docs: DataFrame, size: int, percent: int, bands: int, rows: int) -> DataFrame:
+    """The columns of ``groups`` and th, the hash of the row's text."""
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("th"),
+                       F.col("text").cast("string").alias("text"))
     signed = stored(base.mapInArrow(_signer(size, bands, rows), _SIG), "signatures")
-    classes = (signed.filter("n > 0").groupBy("s1", "s2", "n")
-               .agg(F.min("place").alias("rep"), F.first("bands").alias("bands"),
-                    F.first("sketch").alias("sketch")))
+    node = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th")
+    # sorted, so that the numbers have the order of the smallest nodes
+    classes = stored(signed.filter("n > 0").groupBy("s1", "s2", "n")
+                     .agg(F.min(node).alias("head"), F.first("bands").alias("bands"),
+                          F.first("sketch").alias("sketch"))
+                     .orderBy("head").withColumn("rep", F.monotonically_increasing_id()), "classes")
     buckets = classes.select("rep", "n", F.explode("bands").alias("key"))
     mixed = F.struct(F.xxhash64("rep").alias("h"), "rep", "n")
     leaders = (buckets.groupBy("key").agg(
@@ -182,8 +197,11 @@ def groups(docs: DataFrame, size: int = 3, percent: int = 85, bands: int = 40,
             F.struct(F.col(f"{x}.rep").alias("rep"), F.col(f"{x}.n").alias("n"))
             for x in ("low", "first", "last")])).alias("leaders")))
     members = stored(buckets.join(leaders, "key").select("key", "rep", "n", "leaders"), "buckets")
-    wanted = members.select(F.col("rep").alias("place")).distinct()
-    texts = stored(base.join(wanted, "place", "left_semi"), "candidates")
+    wanted = (members.select("rep").distinct().join(classes, "rep")
+              .select("rep", F.col("head.doc_id").alias("head_id"), F.col("head.th").alias("th")))
+    texts = stored(base.join(wanted, (base["th"] == wanted["th"])
+                             & base["doc_id"].eqNullSafe(wanted["head_id"]))
+                   .groupBy("rep").agg(F.first("text").alias("text")), "candidates")
     led = members.select("rep", "n", F.explode("leaders").alias("lead"))
     first = (led.filter((F.col("rep") != F.col("lead.rep"))
                         & _sizes_allow(F.col("n"), F.col("lead.n"), percent))
@@ -195,16 +213,17 @@ def groups(docs: DataFrame, size: int = 3, percent: int = 85, bands: int = 40,
     second = _second_look(members, judged, components(links), sketches, percent)
     more = stored(_verified(second, texts, size, percent).filter("linked").select("a", "b"), "links")
     found = components(links.unionByName(more))
-    of_class = signed.select("place", "n", "s1", "s2").join(
-        classes.select("s1", "s2", F.col("n").alias("class_n"), "rep")
-        .join(found, F.col("rep") == F.col("node"), "left")
-        .select("s1", "s2", "class_n", F.coalesce("comp", "rep").alias("comp")),
+    first_of = classes.select(F.col("rep").alias("comp"), F.col("head").alias("best"))
+    best = first_of.join(found.filter("node = comp").select("comp"), "comp")
+    of_class = signed.select("doc_id", "th", "n", "s1", "s2").join(
+        classes.select("s1", "s2", F.col("n").alias("class_n"), "rep", "head")
+        .join(found.join(best, "comp").select("node", "best"), F.col("rep") == F.col("node"), "left")
+        .select("s1", "s2", "class_n", F.coalesce("best", "head").alias("best")),
         ["s1", "s2"], "left").filter("class_n is null or class_n = n")
-    component = F.coalesce("comp", "place")
+    best = F.coalesce("best", node)
     return of_class.select(
-        F.nullif(F.col("place"), F.lit(LAST)).alias("doc_id"), F.col("n").alias("n_shingles"),
-        F.nullif(component, F.lit(LAST)).alias("component_id"),
-        (F.col("place") == component).alias("kept"))
+        "doc_id", F.col("n").alias("n_shingles"), best["doc_id"].alias("component_id"),
+        (best == node).alias("kept"), "th")
 
 
 def _second_look(members: DataFrame, judged: DataFrame, found: DataFrame, sketches: DataFrame,

@@ -102,3 +102,26 @@ def test_circulant_coordinates_estimate_similarity():
     b = np.concatenate([a[:400], rng.integers(0, 1 << 63, 100).astype(np.uint64)])
     same = (minhash_dedup.band_keys(a, 400, 1) == minhash_dedup.band_keys(b, 400, 1)).mean()
     assert abs(same - 400 / 600) < 0.12
+
+
+def test_null_and_repeated_ids_with_different_texts(spark):
+    def line(tag, changed=0):
+        return " ".join([f"{tag}{i}" for i in range(60 - changed)] + [f"z{i}" for i in range(changed)])
+
+    last = (1 << 63) - 1
+    rows = [(5, line("a")), (None, line("a", 1)), (None, line("b")), (None, line("c")),
+            (None, line("c", 1)), (3, line("d")), (7, line("e")), (7, line("d")), (None, ""),
+            (None, None), (last, line("f")), (None, line("f", 1)), (7, line("e"))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = minhash_dedup.nodes(df, 3, 85, 40, 7).join(
+        df.select("doc_id", "text", minhash_dedup.text_hash().alias("th")).distinct()
+        .withColumnRenamed("doc_id", "own"), "th").filter("doc_id <=> own")
+    got = [(r.doc_id, r.text, r.component_id, r.kept) for r in got.collect()]
+    assert len(got) == len(rows)
+    c = [x for x in got if x[1] in (line("c"), line("c", 1))]
+    assert [x[2] for x in c] == [None, None] and sorted(x[3] for x in c) == [False, True]
+    want = [(5, line("a"), 5, True), (None, line("a", 1), 5, False), (None, line("b"), None, True),
+            (3, line("d"), 3, True), (7, line("d"), 3, False), (None, "", None, True),
+            (None, None, None, True), (last, line("f"), last, True),
+            (None, line("f", 1), last, False)] + [(7, line("e"), 7, True)] * 2
+    assert sorted((x for x in got if x not in c), key=str) == sorted(want, key=str)

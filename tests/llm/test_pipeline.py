@@ -50,3 +50,15 @@ def test_run(spark):
                   for r in kept.collect())
     got = corpus_pipeline.run(spark, SF).collect()
     assert sorted((r.doc_id, r.decoded_sha256) for r in got) == want
+
+
+def test_near_copies_without_ids(spark):
+    rows = [(5, words("a", 60)), (None, words("a", 59) + " other"), (None, words("b", 60)),
+            (None, words("c", 60)), (None, words("c", 59) + " other"), (None, ""),
+            (3, words("d", 60)), (7, words("d", 60)), (7, words("e", 60))]
+    docs = spark.createDataFrame([(d, t, "en", "s", 1) for d, t in rows], SCHEMA)
+    out = [(r.doc_id, r.text) for r in corpus_pipeline.drop_near_copies(spark, docs, SF).collect()]
+    c = [x for x in out if x[1].startswith("c0 ")]
+    assert len(c) == 1
+    assert sorted((x for x in out if x not in c), key=str) == sorted(
+        [rows[i] for i in (0, 2, 5, 6, 8)], key=str)
