@@ -28,7 +28,7 @@ the equal runs that it reads (``MapSide``) and sends on one or two of a kind,
 so a passage in a third of all rows is a few rows per task in the shuffle;
 there they are sorted outside memory and read as a stream, never gathered.
 
-A row of ``documents`` is known by ``doc_id`` and a hash of its text, so rows
+A row of ``documents`` is known by ``doc_id`` and the MD5 of its text, so rows
 that repeat an id with another text stay apart; null ids and texts are kept.
 """
 
@@ -48,22 +48,22 @@ from statline.llm.components import stored
 # Symbols of candidate runs indexed at once in a task (whole anchors only).
 SHARD_SYMBOLS = 1 << 21
 LAST = (1 << 63) - 1
-_RUNS = "doc_id long, th int, first int, n int, h long, u long, twin boolean, done boolean"
+_RUNS = "doc_id long, th binary, first int, n int, h long, u long, twin boolean, done boolean"
 # A kind of run that stands this often in one chunk is remembered by its task
 # (up to a number of kinds), so that later ones need not be sent.
 HOT = 8
 REMEMBERED = 1 << 16
 # Kinds of runs of one anchor that a shard takes; with more, see hot_windows.
 HOT_KINDS = 20_000
-_CUT = "h long, doc_id long, th int, first int, n int, piece binary"
-_RANGES = "doc_id long, th int, start int, stop int"
+_CUT = "h long, doc_id long, th binary, first int, n int, piece binary"
+_RANGES = "doc_id long, th binary, start int, stop int"
 
 
 def keyed(docs: DataFrame, columns: Sequence[str] = ()) -> DataFrame:
     """The columns that the removers use, and ``columns`` packed as ``rest``."""
     rest = [F.struct(*columns).alias("rest")] if columns else []
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash(text).alias("th"),
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.md5(text)).alias("th"),
                        text.alias("text"), *rest)
 
 
@@ -148,7 +148,7 @@ def run_finder(length: int, k: int, words: bool, first_wins: bool) -> Callable:
     return find
 
 
-_SETTLED = "doc_id long, th int, first int, n int, h long, wanted boolean"
+_SETTLED = "doc_id long, th binary, first int, n int, h long, wanted boolean"
 
 
 def settle_runs(first_wins: bool) -> Callable:
@@ -257,7 +257,7 @@ def run_cutter(length: int, words: bool) -> Callable:
     return cut
 
 
-_CUT_ARROW = pa.schema([("h", pa.int64()), ("doc_id", pa.int64()), ("th", pa.int32()),
+_CUT_ARROW = pa.schema([("h", pa.int64()), ("doc_id", pa.int64()), ("th", pa.binary()),
                         ("first", pa.int32()), ("n", pa.int32()), ("piece", pa.binary())])
 
 
@@ -267,7 +267,7 @@ def _rows(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
         schema=schema)
 
 
-_WINDOWS = "doc_id long, th int, start int, w1 long, w2 long"
+_WINDOWS = "doc_id long, th binary, start int, w1 long, w2 long"
 
 
 def window_cutter(length: int, words: bool) -> Callable:
@@ -289,7 +289,7 @@ def window_cutter(length: int, words: bool) -> Callable:
                 n = len(at)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([batch.column("doc_id")[i].as_py()] * n, pa.int64()),
-                     pa.array([batch.column("th")[i].as_py()] * n, pa.int32()),
+                     pa.array([batch.column("th")[i].as_py()] * n, pa.binary()),
                      pa.array(at.astype(np.int32)), pa.array(w[0]), pa.array(w[1])],
                     names=["doc_id", "th", "start", "w1", "w2"])
     return cut

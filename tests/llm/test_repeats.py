@@ -172,3 +172,14 @@ def test_map_side_sends_few_rows_of_a_hot_kind(first_wins):
         assert (send ^ done).all()
         sent += send.sum()
     assert sent == 1
+
+
+def test_texts_of_one_id_with_equal_32_bit_hashes(spark):
+    """Spark's hash() of the first two texts is the same; only one has a repeat."""
+    shared, clean = " ".join(f"s{i}" for i in range(60)), " ".join(f"c{i}" for i in range(70))
+    for d in (7, None):
+        rows = [(d, f"n13191 {shared}"), (d, f"m16298 {clean}"), (1, f"x {shared}")]
+        df = frame(spark, rows)
+        assert {r[0] for r in df.filter("text not like 'x %'").selectExpr("hash(text)").collect()} == {-1550384630}
+        assert sorted_rows(suffix_dedup.digests(df)) == brute_bytes(rows, 200)
+        assert sorted_rows(fm_index.digests(df)) == brute_words(rows, 13)
