@@ -13,9 +13,11 @@ item is left out and a task's memory does not grow with the benchmark.
 
 Defined cases: null and empty texts have no words, are clean, and give the
 digest of the empty string; a null item text or an item without words has no
-window; items that share an item_id count once; rows that repeat a doc_id are
-judged apart; an empty benchmark finds nothing; an empty table gives no rows;
-other columns are ignored.
+window; items that share an item_id count once; items without an item_id are
+searched like others, and together count as one item in ``n_items`` and are
+left out of ``items_sha256``; rows that repeat a doc_id are judged apart; an
+empty benchmark finds nothing; an empty table gives no rows; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -65,7 +67,7 @@ def blocks_of(benchmark: DataFrame, window: int = WINDOW,
     Items are streamed to the driver a partition at a time; no more than one
     block is built at once."""
     rows = benchmark.select(F.col("item_id").cast("string").alias("item_id"),
-                            F.col("text").cast("string").alias("text")).dropna().distinct()
+                            F.col("text").cast("string").alias("text")).dropna(subset=["text"]).distinct()
     block: dict[str, list] = {}
     chars = 0
     for item in rows.orderBy("item_id", "text").toLocalIterator():
@@ -164,7 +166,8 @@ def _scanner(patterns: dict[str, list], name: str):
                 yield pa.RecordBatch.from_arrays(
                     [own.column("doc_id"), own.column("th")]
                     + [pa.array(np.diff(rows)), pa.array(hits, _HITS),
-                       pa.array([sorted(items.get(i, ())) for i in range(b - a)],
+                       pa.array([sorted(items.get(i, ()), key=lambda x: (x is None, x))
+                                 for i in range(b - a)],
                                 pa.list_(pa.string()))],
                     names=["doc_id", "th", "n_words", "hits", "items"])
     return run
@@ -177,7 +180,7 @@ def _name(block: dict[str, list]) -> str:
 def findings(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
              block_chars: int = BLOCK_CHARS) -> DataFrame:
     """doc_id, th (xxhash64 of the text), n_words, hits (ranges of words) and
-    items (sorted) of every row."""
+items (sorted, null last) of every row."""
     base, schema = _keyed(docs), f"doc_id long, th long, {_FOUND}"
     out = None
     for block in blocks_of(benchmark, window, block_chars):

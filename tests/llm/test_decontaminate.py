@@ -79,3 +79,30 @@ def test_empty_tables(spark):
     none = decontaminate.digests(d, b.filter("item_id < 0")).collect()
     assert len(none) == len(docs) and not any(r.contaminated for r in none)
     assert decontaminate.digests(d.filter("doc_id < 0"), b).collect() == []
+
+
+@pytest.mark.parametrize("block", [4_000_000, 100])
+def test_items_without_an_id_as_brute_force_and_sql(spark, block):
+    import duckdb
+
+    from statline.llm import oracle
+
+    def line(tag):
+        return " ".join(f"{tag}{i}" for i in range(12))
+
+    items = [(None, line("a")), (None, line("b")), (4, line("c")), (5, line("b")), (None, None)]
+    docs = [(1, "x " + line("a")), (2, line("b") + " y " + line("a")), (3, line("c") + " " + line("a")),
+            (4, line("c")), (5, line("d")), (6, None)]
+    d, b = frames(spark, docs, items)
+    got = sorted(map(tuple, decontaminate.digests(d, b, block_chars=block).collect()))
+    con = duckdb.connect()
+    for name, rows in (("documents(doc_id BIGINT, text VARCHAR)", docs),
+                       ("benchmark(item_id BIGINT, text VARCHAR)", items)):
+        con.execute(f"CREATE TABLE {name}")
+        con.executemany(f"INSERT INTO {name.split('(')[0]} VALUES (?, ?)", rows)
+    assert got == sorted(con.execute(oracle.LEAKS).fetchall())
+    # brute() calls the missing id "None"; it counts as an item and leaves the digest
+    assert [(*x[:4], x[5]) for x in got] == [(*x[:4], x[5]) for x in brute(docs, items)]
+    assert [x[3] for x in got] == [1, 2, 2, 1, 0, 0]
+    kept = decontaminate.clean(d, b, block_chars=block)
+    assert sorted(r.doc_id for r in kept.collect()) == [5, 6]
