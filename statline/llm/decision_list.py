@@ -203,7 +203,9 @@ def train(measured: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[
     chosen = labelled_sample(labels, "quality", sample)
     known = features()
     rows = (measured.join(F.broadcast(chosen), "doc_id")
-            .select("doc_id", "label", *[c.alias(n) for n, c in known.items()]))
+            .select("doc_id", "label", *[c.alias(n) for n, c in known.items()])
+            .groupBy("doc_id").agg(F.min(F.struct("label", *known)).alias("row"))  # repeated ids
+            .select("doc_id", "row.*"))
     got = sorted(map(tuple, rows.collect()))
     if not got:
         return []

@@ -81,6 +81,16 @@ def test_decision_list_odd_inputs(spark, tables):
     assert decision_list.judged(rows.filter("doc_id > 9"), tables[1]).collect() == []
 
 
+def test_decision_list_learns_from_a_repeated_id_once(spark, tables, monkeypatch):
+    docs, labels = tables
+    known = {r.doc_id for r in labels.collect() if not held(r.doc_id)}
+    one = docs.filter(docs["doc_id"].isin(sorted(known)[:1])).crossJoin(spark.range(300)).drop("id")
+    seen = []
+    monkeypatch.setattr(decision_list, "learn", lambda values, bad, ids: seen.append(ids.tolist()) or [])
+    decision_list.judged(docs.unionByName(one), labels)
+    assert len(seen[0]) == len(set(seen[0])) > 100
+
+
 def test_rules_are_ordered_conditions():
     rng = np.random.default_rng(0)
     x, y = rng.random(3000), rng.random(3000)
