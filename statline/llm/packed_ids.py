@@ -18,6 +18,8 @@ a lost task is written again without leaving half a block.
 Defined cases: a null or empty text has only the end id; a null doc_id comes
 first; rows that repeat a doc_id stand next to each other, ordered by text;
 an empty table gives an empty folder and no rows; other columns are ignored.
+The literal of a special token in a text becomes its id, as the library's call
+has it (add_special_tokens=False only adds none).
 """
 
 from __future__ import annotations
@@ -78,7 +80,6 @@ class LibraryEncoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
         size = self.library.get_vocab_size(with_added_tokens=True)
         self.width = width_of(size)
         bytes_of = np.array([len(self.library.id_to_token(i) or "") for i in range(size)])

@@ -53,7 +53,6 @@ def test_op5_equals_the_library(spark, texts):
 
 def test_op2_equals_the_library(spark, texts):
     lib = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    lib.encode_special_tokens = True
     got = sorted(map(tuple, queries.op2_packed_token_ids(spark, SF).collect()))
     start, want = 0, []
     for d, t in sorted(texts.items()):

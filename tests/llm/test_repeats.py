@@ -9,6 +9,8 @@ import pytest
 
 from statline.llm import fm_index, suffix_dedup
 
+from passages import passage_rows  # noqa: F401  (a fixture)
+
 SCHEMA = "doc_id long, text string, th string, first string, lang string"
 
 

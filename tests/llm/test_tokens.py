@@ -28,9 +28,7 @@ def awkward(seed: int, n: int) -> list:
 
 
 def library():
-    t = Tokenizer.from_file(JSON)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(JSON)
 
 
 def test_ranks_as_tiktoken(spark):
