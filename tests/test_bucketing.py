@@ -5,7 +5,7 @@ from statline.operators import sessions as S
 from statline.plans.bucketing import bucket_play_tables
 from statline.sources.play_views import play_tables
 
-from conftest import SF_SMALL
+from shared_tables import SF_SMALL
 
 
 def test_bucketed_tables_join_without_exchange(spark):

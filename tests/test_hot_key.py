@@ -9,7 +9,7 @@ from statline.operators import scoring as SC
 from statline.operators import sessions as S
 from statline.sources.play_views import play_tables
 
-from conftest import SF_SMALL
+from shared_tables import SF_SMALL
 
 
 def _with_hot_player(spark):

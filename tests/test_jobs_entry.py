@@ -10,7 +10,7 @@ from statline.plans.registry import queries
 from statline.sources.play_views import TARGET_YEAR, play_tables
 from statline.sources.warehouse import save_warehouse
 
-from conftest import SF_SMALL
+from shared_tables import SF_SMALL
 
 
 def test_run_all_writes_every_output(spark, out_dir):

@@ -9,7 +9,7 @@ from statline.plans.oracle import oracle_sql
 from statline.plans.registry import queries
 from statline.sources.tables import TABLES
 
-from conftest import SF_SMALL
+from shared_tables import SF_SMALL
 
 
 def _norm(v):

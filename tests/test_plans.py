@@ -6,7 +6,7 @@ import pytest
 
 from statline.plans.registry import queries
 
-from conftest import SF_SMALL
+from shared_tables import SF_SMALL
 
 NAMES = sorted(n for n in queries() if not n.startswith("sink_") and n != "schedule_csv")
 

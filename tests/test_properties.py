@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from statline.functions.arrays import fold_sums
 from statline.plans.registry import queries
 
-from conftest import SF_SMALL
+from shared_tables import SF_SMALL
 
 elem = st.tuples(st.one_of(st.none(), st.integers(-1000, 1000)),
                  st.one_of(st.none(), st.integers(0, 6)))

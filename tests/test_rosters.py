@@ -90,7 +90,7 @@ def test_strict_rosters_never_repeat_a_player(spark):
     from pyspark.sql import functions as F
 
     from statline.plans.registry import queries
-    from conftest import SF_SMALL
+    from shared_tables import SF_SMALL
     df = queries()["rosters"](spark, SF_SMALL)
     ids = F.array(*[F.col(c) for c in R.OUTPUT])
     bad = df.filter(F.size(F.array_distinct(ids)) != len(R.OUTPUT)).count()
