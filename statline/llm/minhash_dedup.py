@@ -15,10 +15,12 @@ smallest nodes; the rest runs on these numbers:
    smallest class and two chosen by a hash), on full shingle sets.
 2. Buckets whose classes then lie in several components are looked at again:
    classes outside the bucket's largest component are compared with all of
-   other components, unless set sizes or bit sketches exclude a link.  A sketch
-   has a bit for each shingle's slot: a bit that only one of two documents has
-   is a shingle that the other lacks, so the sketches bound the similarity from
-   above, and no link is lost.
+   other components, each pair in the first such bucket that it shares.
+
+Neither look compares sets that their sizes or bit sketches keep apart.  A
+sketch has a bit for each shingle's slot: a bit that only one of two documents
+has is a shingle that the other lacks, so the sketches bound the similarity
+from above, and no link is lost.
 
 So every pair of classes in a bucket is compared, excluded, or already in one
 component; there is no cap, and pairs within one component are not formed.
@@ -47,8 +49,12 @@ from pyspark.sql import functions as F
 from statline.llm import sequences as S
 from statline.llm.components import components, stored
 
-RING = 1 << 22
-SKETCH_WORDS = 8
+# The ring's values (1 MB) stay in a core's cache.  Shingles that fall on one
+# place count once in the signature; the exact comparison knows them apart.
+RING_BITS = 18
+RING = 1 << RING_BITS
+SKETCH_WORDS = 32
+SKETCH_BITS = (64 * SKETCH_WORDS - 1).bit_length()
 _SIG = "doc_id long, th long, n long, s1 long, s2 long, bands array<long>, sketch array<long>"
 
 
@@ -70,8 +76,9 @@ def shingle_sets(buf: np.ndarray, offsets: np.ndarray, size: int):
     at = rows[:-1][row] + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
     h = hasher.ranges(at, np.minimum(at + size, rows[1:][row])) if len(row) else \
         np.zeros(0, np.uint64)
-    order = np.lexsort((h, row))
-    h, row = h[order], row[order]
+    ends = np.cumsum(n)
+    for x, y in zip((ends - n).tolist(), ends.tolist(), strict=True):
+        h[x:y].sort()
     new = np.ones(len(h), dtype=bool)
     new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
     return h[new], np.searchsorted(row[new], np.arange(len(count) + 1))
@@ -81,7 +88,7 @@ def band_keys(hashes: np.ndarray, bands: int, rows: int) -> np.ndarray:
     """Bucket keys of one non-empty shingle set."""
     coordinates = bands * rows
     slices = np.lib.stride_tricks.sliding_window_view(ring(coordinates), coordinates)
-    place = (hashes * np.uint64(0x9FB21C651E98DF25) >> np.uint64(42)).astype(np.int64)
+    place = (hashes * np.uint64(0x9FB21C651E98DF25) >> np.uint64(64 - RING_BITS)).astype(np.int64)
     least = np.full(coordinates, np.iinfo(np.uint32).max, dtype=np.uint32)
     for i in range(0, len(place), 2048):
         np.minimum(least, slices[place[i:i + 2048]].min(axis=0), out=least)
@@ -90,6 +97,18 @@ def band_keys(hashes: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return S.mix(keys + np.arange(bands, dtype=np.uint64) * np.uint64(S.INVERSE))
 
 
+def sketches(h: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """``SKETCH_WORDS`` words of every row: the slots of its shingles, which
+    are the first bits of their hashes."""
+    out = np.zeros((len(at) - 1) * SKETCH_WORDS, dtype=np.uint64)
+    slot = (h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+    word = np.repeat(np.arange(len(at) - 1), np.diff(at)) * SKETCH_WORDS + (slot >> 6)
+    if len(word):  # hashes are sorted in each row, so words are in order
+        first = np.flatnonzero(np.diff(word, prepend=-1))
+        out[word[first]] = np.bitwise_or.reduceat(np.uint64(1) << (slot & 63).astype(np.uint64), first)
+    return out
+
+
 def _signer(size: int, bands: int, rows: int):
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -103,10 +122,7 @@ def _signer(size: int, bands: int, rows: int):
                         else np.zeros(0, np.int64)
                         for x, y in zip(at[:-1], at[1:], strict=True)]
                 lengths = np.concatenate([[0], np.cumsum([len(k) for k in keys])])
-                sketch = np.zeros((b - a) * SKETCH_WORDS, dtype=np.uint64)
-                row = np.repeat(np.arange(b - a), np.diff(at))
-                np.bitwise_or.at(sketch, row * SKETCH_WORDS + (h >> np.uint64(61)).astype(np.int64),
-                                 np.uint64(1) << (h >> np.uint64(55) & np.uint64(63)))
+                sketch = sketches(h, at)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id").slice(a, b - a), batch.column("th").slice(a, b - a),
                      pa.array(np.diff(at)),
@@ -127,12 +143,15 @@ def _verifier(size: int, percent: int):
         for whole in batches:
             for batch in (whole.slice(i, 500) for i in range(0, whole.num_rows, 500)):
                 sets = []
-                for name in ("text_a", "text_b"):
-                    buf, off = S.text_buffer(batch.column(name))
+                for name in ("a", "b"):  # a text of several pairs is cut up once
+                    _, first, back = np.unique(batch.column(name), return_index=True,
+                                               return_inverse=True)
+                    buf, off = S.text_buffer(batch.column(f"text_{name}").take(pa.array(first)))
                     parts = [shingle_sets(buf[off[x]:off[y]], off[x:y + 1] - off[x], size)
                              for x, y in S.chunks(off)]
-                    sets.append([h[i:j] for h, at in parts
-                                 for i, j in zip(at[:-1], at[1:], strict=True)])
+                    own = [h[i:j] for h, at in parts
+                           for i, j in zip(at[:-1], at[1:], strict=True)]
+                    sets.append([own[i] for i in back])
                 both = np.array([len(np.intersect1d(x, y, assume_unique=True))
                                  for x, y in zip(*sets, strict=True)], dtype=np.int64)
                 union = np.array([len(x) + len(y) for x, y in zip(*sets, strict=True)],
@@ -202,15 +221,19 @@ def nodes(docs: DataFrame, size: int, percent: int, bands: int, rows: int) -> Da
     texts = stored(base.join(wanted, (base["th"] == wanted["th"])
                              & base["doc_id"].eqNullSafe(wanted["head_id"]))
                    .groupBy("rep").agg(F.first("text").alias("text")), "candidates")
+    words = [F.col("sketch")[i].alias(f"b{i}") for i in range(SKETCH_WORDS)]
+    sketched = classes.select("rep", "n", *words)
     led = members.select("rep", "n", F.explode("leaders").alias("lead"))
     first = (led.filter((F.col("rep") != F.col("lead.rep"))
                         & _sizes_allow(F.col("n"), F.col("lead.n"), percent))
              .select(F.least("rep", "lead.rep").alias("a"), F.greatest("rep", "lead.rep").alias("b"))
              .distinct())
+    first = (first.join(sketched.alias("x"), F.col("a") == F.col("x.rep"))
+             .join(sketched.alias("y"), (F.col("b") == F.col("y.rep"))
+                   & _sketches_allow("x", "y", percent)).select("a", "b"))
     judged = stored(_verified(first, texts, size, percent), "judged")
     links = judged.filter("linked").select("a", "b")
-    sketches = classes.select("rep", *[F.col("sketch")[i].alias(f"b{i}") for i in range(SKETCH_WORDS)])
-    second = _second_look(members, judged, components(links), sketches, percent)
+    second = _second_look(members, judged, components(links), sketched, percent)
     more = stored(_verified(second, texts, size, percent).filter("linked").select("a", "b"), "links")
     found = components(links.unionByName(more))
     first_of = classes.select(F.col("rep").alias("comp"), F.col("head").alias("best"))
@@ -226,23 +249,34 @@ def nodes(docs: DataFrame, size: int, percent: int, bands: int, rows: int) -> Da
         (best == node).alias("kept"), "th")
 
 
-def _second_look(members: DataFrame, judged: DataFrame, found: DataFrame, sketches: DataFrame,
+def _second_look(members: DataFrame, judged: DataFrame, found: DataFrame, sketched: DataFrame,
                  percent: int) -> DataFrame:
-    """Pairs of one bucket in different components that nothing excludes yet."""
+    """Pairs of one bucket in different components that nothing excludes yet.
+
+    A pair is formed once, in the first open bucket that both classes are in:
+    a class carries the open buckets (at most one a band) before each of its
+    own."""
     known = members.drop("leaders").join(found, members["rep"] == found["node"], "left").withColumn(
         "comp", F.coalesce("comp", "rep"))
-    mixed = (known.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"))
-             .filter("c0 <> c1").select("key"))
-    open_ = stored(known.join(mixed, "key").join(sketches, "rep").select(
-        "key", "rep", "n", "comp", *[f"b{i}" for i in range(SKETCH_WORDS)]), "open_buckets")
-    main = (open_.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("key")
-            .agg(F.max_by("comp", F.struct("c", "comp")).alias("main")))
-    rest = open_.join(main, "key").filter(F.col("comp") != F.col("main")).drop("main")
-    x, y = rest.alias("x"), open_.alias("y")
+    sizes = stored(known.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("key")
+                   .agg(F.max_by("comp", F.struct("c", "comp")).alias("main"),
+                        F.count(F.lit(1)).alias("comps"))
+                   .filter("comps > 1").select("key", "main"), "open_buckets")
+    of_class = (known.join(sizes, "key").groupBy("rep").agg(
+        F.first("comp").alias("comp"),
+        F.sort_array(F.collect_list(F.struct("key", "main"))).alias("open")))
+    open_ = stored(of_class.join(sketched, "rep").select(
+        "*", F.posexplode("open").alias("at", "own")).select(
+            "rep", "n", "comp", F.col("own.key").alias("key"), F.col("own.main").alias("main"),
+            F.slice(F.col("open.key"), F.lit(1), F.col("at")).alias("before"),
+            *[f"b{i}" for i in range(SKETCH_WORDS)]), "open_classes")
+    x, y = open_.filter("comp <> main").alias("x"), open_.alias("y")
     pairs = x.join(y, (F.col("x.key") == F.col("y.key"))
                    & (F.col("x.comp") != F.col("y.comp"))
+                   & ((F.col("y.comp") == F.col("y.main")) | (F.col("x.rep") < F.col("y.rep")))
                    & _sizes_allow(F.col("x.n"), F.col("y.n"), percent)
-                   & _sketches_allow("x", "y", percent))
+                   & _sketches_allow("x", "y", percent)
+                   & ~F.arrays_overlap("x.before", "y.before"))
     pairs = pairs.select(F.least("x.rep", "y.rep").alias("a"),
-                         F.greatest("x.rep", "y.rep").alias("b")).distinct()
+                         F.greatest("x.rep", "y.rep").alias("b"))
     return pairs.join(judged, ["a", "b"], "left_anti")
