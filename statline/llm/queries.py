@@ -17,9 +17,12 @@ from statline.llm import (
     minhash_dedup,
     oracle,
     packed_ids,
+    page_text,
     sharding,
     suffix_dedup,
+    target_resampling,
     toxicity,
+    whitening,
 )
 from statline.llm.batches import for_texts
 from statline.session import scratch_path
@@ -78,6 +81,19 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digests(_documents(spark, sf_dir))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return target_resampling.digests(_documents(spark, sf_dir), read(spark, sf_dir, "benchmark"),
+                                     percent=25, seed=7)
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(read(spark, sf_dir, "embeddings"), components=4)
+
+
+def op13_site_template_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_text.extract(read(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_factorization_machine,
@@ -90,6 +106,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_decision_list_quality,
         op9_virtual_slot_sharding,
         op10_suffix_array_dedup,
+        op11_importance_resampling,
+        op12_embedding_whitening,
+        op13_site_template_text,
     )}
 
 
