@@ -8,16 +8,21 @@ kicks are stacked as narrow rows and joined once each with ``core``,
 
 Scale: the layout never depends on the data.
 
-* Per game there is one row per (player, gid); a game bounds its arrays.  Only
-  plays without a game id have no such bound: they are spread over ``PARTS``
-  rows per player by a hash of the play id (NULL keys never match each other,
-  so no consumer can tell these rows from those of a full outer join).
-* Per player there are up to ``parts`` rows for every player, hot or not, by
-  the same hash; a play lands in the same part in every array, parts hold
-  disjoint plays, and sums and sizes add up across parts.  ``parts=1`` gives
-  one row per player, for tables whose players are known to be small.
-
-Nothing runs while a session table is being built.
+* A play belongs to one of ``parts`` parts of its player, hot or not: by a hash
+  of its game, or of its play id if it has no game.  The enriched plays with
+  that part are all that a nesting needs: stored in buckets of (player, part),
+  they give every session table without a shuffle (see ``plans/bucketing``).
+* Per game there is one row per (player, gid), which lies in one part; a game
+  bounds its arrays.  Only plays without a game id have no such bound: they are
+  spread over the parts (NULL keys never match each other, so no consumer can
+  tell these rows from those of a full outer join).
+* Per player there are up to ``parts`` rows; parts hold disjoint games, and sums
+  and sizes add up across parts.  ``parts=1`` gives one row per player, for
+  tables whose players are known to be small.
+
+Arrays are in order of play id (then of the other fields), so a table does not
+depend on how its rows were dealt.  Nothing runs while a session table is being
+built.
 """
 
 from __future__ import annotations
@@ -134,33 +139,55 @@ def kick_plays(t: PlayTables) -> DataFrame:
     return _one_kind(t, "fgxp")
 
 
-def _part(by_game: bool, parts: int) -> Column:
-    """The part of a play: of every play per player, per game only of plays
-    without a game."""
-    part = F.pmod(F.xxhash64("pid"), F.lit(parts)).cast("int")
-    return F.when(F.col("gid").isNull(), part) if by_game else part
+def in_parts(df: DataFrame, parts: int = PARTS) -> DataFrame:
+    """Plays with the part of their player that they belong to."""
+    key = F.when(F.col("gid").isNull(), F.xxhash64("pid")).otherwise(F.xxhash64("gid"))
+    return df.withColumn("part", F.pmod(key, F.lit(parts)).cast("int"))
+
+
+def enriched(t: PlayTables, kinds: Sequence[str] = KINDS, parts: int = PARTS) -> DataFrame:
+    """Every play of the wanted kinds with its part: what the nestings read."""
+    return in_parts(plays(t, kinds), parts)
 
 
 def _keys(by_game: bool) -> list[str]:
     return ["player", "gid"] if by_game else ["player", "part"]
 
 
+def _group(by_game: bool) -> list[str]:
+    return ["player", "part", "gid"] if by_game else ["player", "part"]
+
+
 def _fields(kind: str, by_game: bool) -> list[str]:
     return [f for f in FIELDS[kind] if not (by_game and f == "gid")]
 
 
-def _nest(df: DataFrame, kind: str, by_game: bool, parts: int) -> DataFrame:
-    group = ["player", "gid", "part"] if by_game else ["player", "part"]
-    return (df.withColumn("part", _part(by_game, parts)).groupBy(*group)
-            .agg(F.collect_list(F.struct(*_fields(kind, by_game))).alias(kind))
+def nest(enriched_plays: DataFrame, kind: str, by_game: bool = False) -> DataFrame:
+    """One session table from enriched plays: (player, gid | part, <kind>)."""
+    return (enriched_plays.filter(F.col("kind") == kind).groupBy(*_group(by_game))
+            .agg(F.sort_array(F.collect_list(F.struct(*_fields(kind, by_game)))).alias(kind))
             .select(*_keys(by_game), kind))
 
 
+def combine(enriched_plays: DataFrame, by_game: bool = False,
+            kinds: Sequence[str] = KINDS) -> DataFrame:
+    """The sessions of all kinds side by side, by one grouping:
+    ``collect_list`` skips the other kinds' NULLs, and an array with no element
+    is NULL.  Rows whose key has a NULL are kept apart per kind, as a full outer
+    join never matches NULL keys."""
+    no_match = F.when(F.col("gid").isNull(), F.col("kind")) if by_game else F.lit(None)
+    elements = {k: F.when(F.col("kind") == k, F.struct(*_fields(k, by_game))) for k in kinds}
+    return enriched_plays.groupBy(
+        *_group(by_game), no_match.cast("string").alias("_null_key_kind")).agg(*[
+            F.when(F.count(e) > 0, F.sort_array(F.collect_list(e))).alias(k)
+            for k, e in elements.items()]).select(*_keys(by_game), *kinds)
+
+
 def sessions(t: PlayTables, kind: str, by_game: bool = False, parts: int = PARTS) -> DataFrame:
     """One session table: kind in passes, rushes, receptions, fgxp.
 
     Per game: (player, gid, <kind>).  Per player: (player, part, <kind>)."""
-    return _nest(_one_kind(t, kind), kind, by_game, parts)
+    return nest(enriched(t, (kind,), parts), kind, by_game)
 
 
 def scoring_sessions(t: PlayTables, by_game: bool = False, parts: int = PARTS,
@@ -170,22 +197,12 @@ def scoring_sessions(t: PlayTables, by_game: bool = False, parts: int = PARTS,
 
     ``method="join"`` is the reference's form: nest each kind, then
     ``receptions ⟗ fgxp``, ``⟗ rushes``, ``⟗ passes`` (USING joins coalesce
-    the keys).
-
-    ``method="union"`` (default) gives the same rows with one shuffle: the
-    plays of all kinds are grouped once; ``collect_list`` skips the other
-    kinds' NULLs, and an array with no element is NULL.  Rows whose key has a
-    NULL are kept apart per kind, as a full outer join never matches NULL keys.
+    the keys).  ``method="union"`` (default) gives the same rows with one
+    shuffle (see :func:`combine`).
     """
-    keys = _keys(by_game)
     if method == "join":
         order = [k for k in ("receptions", "fgxp", "rushes", "passes") if k in kinds]
         nested = [sessions(t, kind, by_game, parts) for kind in order]
-        return reduce(lambda a, b: a.join(b, keys, "full"), nested).select(*keys, *kinds)
-    df = plays(t, kinds).withColumn("part", _part(by_game, parts))
-    group = ["player", "gid", "part"] if by_game else ["player", "part"]
-    no_match = F.when(F.col("gid").isNull(), F.col("kind")) if by_game else F.lit(None)
-    elements = {k: F.when(F.col("kind") == k, F.struct(*_fields(k, by_game))) for k in kinds}
-    return df.groupBy(*group, no_match.cast("string").alias("_null_key_kind")).agg(*[
-        F.when(F.count(e) > 0, F.collect_list(e)).alias(k) for k, e in elements.items()
-    ]).select(*keys, *kinds)
+        return reduce(lambda a, b: a.join(b, _keys(by_game), "full"), nested).select(
+            *_keys(by_game), *kinds)
+    return combine(enriched(t, kinds, parts), by_game, kinds)

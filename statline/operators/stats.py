@@ -26,8 +26,13 @@ _VAR_SAMP = (
     f" / CAST(CAST(games AS {_WIDE}) * (CAST(games AS {_WIDE}) - 1) AS DOUBLE) ELSE 0.0 END")
 
 
-def season_stats(points: DataFrame, games: DataFrame, year: int | None = None) -> DataFrame:
-    """(player_id, season, games, <m>_mean, <m>_variance ..., total_mean, total_variance).
+MOMENT_COLUMNS = ("games", *[f"{p}_{m}" for m in POINT_COLUMNS for p in ("_s", "_ss")])
+
+
+def season_moments(points: DataFrame, games: DataFrame, year: int | None = None) -> DataFrame:
+    """(player_id, season, games, _s_<m>, _ss_<m>): the number of games, sums and
+    sums of squares, all exact integers, so moments of disjoint sets of games
+    add up (see :mod:`statline.operators.summaries`).
 
     Points join games on the game id (inner: games without a season row are
     dropped, repeated game rows multiply, as in the reference).  AQE chooses
@@ -37,12 +42,22 @@ def season_stats(points: DataFrame, games: DataFrame, year: int | None = None) -
 
     A NULL game id counts as game 0, which may hold any share of the rows:
     that one key is salted over ``GAME_ZERO_SALTS`` join keys.
+
+    With ``year``, points of other seasons need not travel to the join: where
+    it is a shuffle join, Spark tests their game ids against a Bloom filter of
+    the year's games before the exchange (from
+    ``spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold``
+    bytes of points on, 10 GB unless set).
     """
     seasons = game_seasons(games)
     if year is not None:
         seasons = seasons.filter(F.col("season") == F.lit(year))
-    salts = F.when(F.col("gid") == 0, F.sequence(F.lit(0), F.lit(GAME_ZERO_SALTS - 1)))
-    seasons = seasons.withColumn("_salt", F.explode(F.coalesce(salts, F.array(F.lit(0)))))
+    # game 0 once for each salt, by a join with as many rows: unlike an explode,
+    # it lets Spark build its runtime filter from the seasons below it
+    salts = games.sparkSession.range(GAME_ZERO_SALTS).selectExpr(
+        f"id DIV {GAME_ZERO_SALTS} AS _zero", "CAST(id AS INT) AS _salt")
+    seasons = (seasons.join(F.broadcast(salts), F.col("gid") == F.col("_zero"), "left")
+               .select("gid", "season", F.coalesce("_salt", F.lit(0)).alias("_salt")))
     salt = F.when(F.col("gid") == 0, F.pmod(F.xxhash64("player_id"), F.lit(GAME_ZERO_SALTS)))
     records = player_game_records(points).withColumn(
         "_salt", F.coalesce(salt, F.lit(0)).cast("int"))
@@ -50,8 +65,12 @@ def season_stats(points: DataFrame, games: DataFrame, year: int | None = None) -
     for m in POINT_COLUMNS:
         aggs += [f"sum(CAST({m} AS BIGINT)) AS _s_{m}",
                  f"sum(CAST({m} AS BIGINT) * CAST({m} AS BIGINT)) AS _ss_{m}"]
-    g = (records.join(seasons, ["gid", "_salt"], "inner")
-         .groupBy("player_id", "season").agg(*[F.expr(a) for a in aggs]))
+    return (records.join(seasons, ["gid", "_salt"], "inner")
+            .groupBy("player_id", "season").agg(*[F.expr(a) for a in aggs]))
+
+
+def stats_of(moments: DataFrame) -> DataFrame:
+    """Means and variances of moments."""
     out = ["player_id", "season", "games"]
     for m in POINT_COLUMNS:
         out += [f"{_MEAN.format(s=f'_s_{m}')} AS {m}_mean",
@@ -59,7 +78,12 @@ def season_stats(points: DataFrame, games: DataFrame, year: int | None = None) -
     # totals: sum of the three means and of the three variances (no covariance)
     out += [" + ".join(f"{m}_mean" for m in POINT_COLUMNS) + " AS total_mean",
             " + ".join(f"{m}_variance" for m in POINT_COLUMNS) + " AS total_variance"]
-    return g.selectExpr(*out[:3], *out[3:9]).selectExpr("*", *out[9:])
+    return moments.selectExpr(*out[:3], *out[3:9]).selectExpr("*", *out[9:])
+
+
+def season_stats(points: DataFrame, games: DataFrame, year: int | None = None) -> DataFrame:
+    """(player_id, season, games, <m>_mean, <m>_variance ..., total_mean, total_variance)."""
+    return stats_of(season_moments(points, games, year))
 
 
 def year_scorers(points: DataFrame, games: DataFrame, year: int) -> DataFrame:

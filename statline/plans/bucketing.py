@@ -1,4 +1,6 @@
-"""Play tables bucketed on the play id, for shuffle-free play joins.
+"""Bucketed layouts: play tables by play id, enriched plays by player.
+
+Play tables bucketed on the play id make the play joins shuffle-free.
 
 Every play operator joins a play table with ``core``, ``scoring_14``,
 ``convs`` and ``ints``/``fumbles`` on ``pid``.  Over plain files each of
@@ -8,13 +10,18 @@ shuffles of the largest tables per job.  Written once with
 pre-sorted, and the sort-merge joins between them read the buckets directly:
 no exchange, no sort.  The tables are external tables under the shared
 folder, so they survive executor loss and serve later jobs.
+
+Enriched plays bucketed on (player, part) make the nestings shuffle-free: each
+of the ten session tables groups by these keys, or by these and the game.  A
+player holds at most 1/parts of a bucket's share of its plays, so a hot player
+does not make a hot bucket.
 """
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from statline.session import scratch_path
 from statline.sources.play_views import PlayTables
@@ -42,3 +49,29 @@ def bucket_play_tables(spark: SparkSession, t: PlayTables, buckets: int,
         # the plan holds the files and their bucketing; the name is not needed
         spark.sql(f"DROP TABLE {table_name}")
     return PlayTables(games=t.games, players=t.players, **out)
+
+
+PLAY_BUCKET_KEYS = ("player", "part")
+
+
+def write_enriched_plays(plays: DataFrame, path: str, buckets: int, mode: str = "errorifexists") -> None:
+    """One file a bucket, rows sorted by kind, so a reader of one kind skips
+    the row groups of others."""
+    name = f"statline_{uuid.uuid4().hex[:12]}_plays"
+    (plays.repartition(buckets, *PLAY_BUCKET_KEYS).write.mode(mode)
+     .bucketBy(buckets, *PLAY_BUCKET_KEYS).sortBy("kind", *PLAY_BUCKET_KEYS)
+     .option("path", path).saveAsTable(name))
+    plays.sparkSession.sql(f"DROP TABLE {name}")
+
+
+def read_enriched_plays(spark: SparkSession, path: str, buckets: int) -> DataFrame:
+    """The plays in ``path`` with their buckets (as many as they were written in)."""
+    name = f"statline_{uuid.uuid4().hex[:12]}_plays"
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}"
+                        for f in spark.read.parquet(path).schema.fields)
+    keys = ", ".join(PLAY_BUCKET_KEYS)
+    spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet CLUSTERED BY ({keys}) "
+              f"SORTED BY (kind, {keys}) INTO {buckets} BUCKETS LOCATION '{path}'")
+    plays = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    return plays

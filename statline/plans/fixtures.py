@@ -13,22 +13,48 @@ def csv_line(*columns: Column) -> Column:
                                for i, c in enumerate(columns)]), {"emptyValue": ""})
 
 
-def render_schedule(orders: DataFrame, customer: DataFrame, nation: DataFrame) -> DataFrame:
-    """Schedule lines derived from orders, in the file's layout:
-    (season, value) with value = ``week,Wkd,Month d,team,,opponent``.
-
-    One game per order: the customer is the team, its nation the opponent.
-    """
+def _schedule_lines(orders: DataFrame, customer: DataFrame, nation: DataFrame) -> DataFrame:
     d = F.col("o_orderdate")
     games = (orders.join(customer, orders.o_custkey == customer.c_custkey)
              .join(nation, F.col("c_nationkey") == F.col("n_nationkey")))
     week = F.call_function("div", F.dayofyear(d) - 1, F.lit(7)) + 1
     return games.select(
-        F.year(d).cast("int").alias("season"),
+        "o_orderkey", F.date_format(d, "MMMM d").alias("day"), F.year(d).cast("int").alias("season"),
         csv_line(week.cast("string"), F.date_format(d, "EEE"), F.date_format(d, "MMMM d"),
                  F.col("c_name"), F.lit(""), F.col("n_name")).alias("value"))
 
 
+def render_schedule(orders: DataFrame, customer: DataFrame, nation: DataFrame) -> DataFrame:
+    """Schedule lines derived from orders, in the file's layout:
+    (season, value) with value = ``week,Wkd,Month d,team,,opponent``.
+
+    One game per order: the customer is the team, its nation the opponent.
+    """
+    return _schedule_lines(orders, customer, nation).select("season", "value")
+
+
+def render_spoiled_schedule(orders: DataFrame, customer: DataFrame, nation: DataFrame) -> DataFrame:
+    """The schedule lines, some spoiled by the last digit of the order: a field
+    too many (3), a week that is no number (5), a day that is none (7), the
+    last two at once (9)."""
+    digit, line = F.col("o_orderkey") % 10, F.col("value")
+    no_day = F.replace(line, F.col("day"), F.lit("Smarch 13"))
+    return _schedule_lines(orders, customer, nation).select(
+        "season", F.when(digit == 3, F.concat(line, F.lit(",late"))).when(
+            digit == 5, F.concat(F.lit("w"), line)).when(digit == 7, no_day).when(
+            digit == 9, F.concat(F.lit("w"), no_day)).otherwise(line).alias("value"))
+
+
+def spoiled_games(orders: DataFrame) -> DataFrame:
+    """Games as texts (gid, seas), some of them no numbers."""
+    key = F.col("o_orderkey")
+    return orders.select(
+        F.when(key % 50 == 1, F.concat(F.lit("G"), key.cast("string"))).when(
+            key % 50 != 2, key.cast("string")).alias("gid"),
+        F.when(key % 70 == 1, F.lit("spring")).otherwise(
+            F.year("o_orderdate").cast("string")).alias("seas"))
+
+
 ROWS_PER_PAGE = 50
 
 

@@ -226,6 +226,26 @@ SELECT page_id, {i} AS table_no, {row} AS row_no, CAST(page_id AS VARCHAR) AS c1
 FROM pages""" for i, (kind, row) in enumerate(tables)])
 
 
+_SCHEDULE = """
+  SELECT *, concat_ws(',', CASE WHEN digit IN (5, 9) THEN 'w' ELSE '' END || week, weekday,
+                      CASE WHEN digit IN (7, 9) THEN 'Smarch 13' ELSE day END, team, '', opponent) AS line
+  FROM (SELECT o_orderkey % 10 AS digit, CAST((dayofyear(o_orderdate) - 1) // 7 + 1 AS INTEGER) AS week,
+               strftime(o_orderdate, '%a') AS weekday, strftime(o_orderdate, '%B %-d') AS day,
+               strftime(o_orderdate, '%Y-%m-%d') AS game_date, c_name AS team, n_name AS opponent,
+               CAST(year(o_orderdate) AS INTEGER) AS season
+        FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey)"""
+
+
+def _ordered_sessions() -> str:
+    kinds = {"passes": "pass_plays", "rushes": "rush_plays", "receptions": "reception_plays",
+             "fgxp": "kick_plays"}
+    rows = " UNION ALL ".join(f"SELECT player, gid, pid, '{k}' AS kind FROM {v}" for k, v in kinds.items())
+    lists = ", ".join(f"string_agg(pid, ' ' ORDER BY pid) FILTER (kind = '{k}') AS {k}_pids" for k in kinds)
+    return _with(f"""
+SELECT player, gid, {lists}
+FROM ({rows}) WHERE gid IS NOT NULL AND player IS NOT NULL GROUP BY player, gid""")
+
+
 def _play_job() -> str:
     sources = {"passes": "pass_plays", "rushes": "rush_plays", "receptions": "reception_plays",
                "fgxp": "kick_plays"}
@@ -319,5 +339,24 @@ WHERE t.season = 2000"""),
         "warehouse_target_year_scorers": q["target_year_scorers"],
         "play_job_tables": _play_job(),
         "sink_prediction_extract": q["prediction_extract"],
+        "ordered_game_sessions": _ordered_sessions(),
+        "merged_season_stats": q["season_stats"],
+        "schedule_rejects": f"""
+SELECT season, CASE WHEN digit = 3 THEN line || ',late' ELSE line END AS line,
+       CASE digit WHEN 3 THEN 'fields' WHEN 5 THEN 'week' WHEN 7 THEN 'date' ELSE 'week,date' END AS reasons
+FROM ({_SCHEDULE}) WHERE digit IN (3, 5, 7, 9)""",
+        "schedule_accepted": f"""
+SELECT week, weekday, game_date, team, opponent, season FROM ({_SCHEDULE}) WHERE digit NOT IN (3, 5, 7, 9)""",
+        "game_id_rejects": """
+SELECT gid, seas, concat_ws(',', CASE WHEN gid LIKE 'G%' THEN 'gid: no bigint' END,
+                            CASE WHEN seas = 'spring' THEN 'seas: no int' END) AS reasons
+FROM (SELECT CASE o_orderkey % 50 WHEN 1 THEN 'G' || o_orderkey WHEN 2 THEN NULL
+             ELSE CAST(o_orderkey AS VARCHAR) END AS gid,
+             CASE WHEN o_orderkey % 70 = 1 THEN 'spring'
+             ELSE CAST(year(o_orderdate) AS VARCHAR) END AS seas FROM orders)
+WHERE gid LIKE 'G%' OR seas = 'spring'""",
+        "named_table_jobs": q["player_prediction"],
+        "resumed_prediction_job": q["prediction_extract"],
+        "roster_job_output": q["rosters"],
     })
     return q

@@ -1,9 +1,9 @@
 """Named queries over the shared test tables.
 
 Each entry takes ``(spark, data_dir)`` and returns a DataFrame whose columns
-match the SQL of the same name in :mod:`statline.plans.oracle`.  Arrays are
-reported as sizes, sums and min/max ids, since element order inside a
-``collect_list`` is not defined.
+match the SQL of the same name in :mod:`statline.plans.oracle`.  Session arrays
+are reported as sizes, sums and min/max ids, and by ``ordered_game_sessions``
+element by element.
 """
 
 from __future__ import annotations
@@ -22,16 +22,24 @@ from statline.operators import rosters as R
 from statline.operators import scoring as SC
 from statline.operators import sessions as S
 from statline.operators import stats as ST
+from statline.operators import summaries as SM
 from statline.operators import topk as T
 from statline.plans import fixtures as FX
 from statline.plans import jobs as J
+from statline.plans.store import Store, fingerprint
 from statline.session import scratch_path
 from statline.sources import html_tables as H
+from statline.sources import rejects as RJ
 from statline.sources import schedule as SCH
 from statline.sources import sinks as K
 from statline.sources.play_views import TARGET_YEAR, play_tables
 from statline.sources.tables import table
-from statline.sources.warehouse import PlayTables, save_warehouse, warehouse_tables
+from statline.sources.warehouse import (
+    PlayTables,
+    save_warehouse,
+    stored_points,
+    warehouse_tables,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -296,7 +304,7 @@ def season_map_lookup(spark: SparkSession, d: str) -> DataFrame:
 def warehouse_target_year_scorers(spark: SparkSession, d: str) -> DataFrame:
     """The stats job over a warehouse: the adapter's tables saved as tables of
     a database, loaded by name, scored, summarised, written and read back."""
-    database = f"statline_{uuid.uuid4().hex[:12]}"
+    database = _database()
     save_warehouse(play_tables(spark, d), database, scratch_path(spark, "warehouse"))
     t = warehouse_tables(spark, database)
     return ST.flatten_yearly(J.stats_job(points(t), t.games, t.players,
@@ -333,6 +341,100 @@ def sink_prediction_extract(spark: SparkSession, d: str) -> DataFrame:
         "player", "seas", "totalPts", "stddev", "pos1")
 
 
+def ordered_game_sessions(spark: SparkSession, d: str) -> DataFrame:
+    """Every per-game session element by element: the play ids of its arrays,
+    in the order in which they stand there."""
+    s = S.scoring_sessions(play_tables(spark, d), by_game=True).filter(F.col("gid").isNotNull())
+    return s.select("player", "gid", *[
+        F.array_join(F.transform(k, lambda x: x["pid"]), " ").alias(f"{k}_pids") for k in S.KINDS])
+
+
+def merged_season_stats(spark: SparkSession, d: str) -> DataFrame:
+    """Season statistics from stored moments: the points arrive in three
+    batches, two are compacted, the third is added, all are merged."""
+    t = play_tables(spark, d)
+    half = F.pmod(F.xxhash64("player", "gid"), F.lit(3))
+    all_points = points(t).withColumn("_batch", half)
+    first, then = scratch_path(spark, "moments"), scratch_path(spark, "moments")
+    for i in range(2):
+        SM.add(all_points.filter(F.col("_batch") == i).drop("_batch"), t.games, first, f"week-{i}")
+    SM.compact(spark, first, then)
+    SM.add(all_points.filter(F.col("_batch") == 2).drop("_batch"), t.games, then, "week-2")
+    return SM.season_stats(spark, then)
+
+
+def _spoiled_schedule(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    path = scratch_path(spark, "schedule")
+    SCH.write_schedule(FX.render_spoiled_schedule(
+        table(spark, d, "orders"), table(spark, d, "customer"), table(spark, d, "nation")), path)
+    return RJ.read_schedule(spark, path)
+
+
+def schedule_rejects(spark: SparkSession, d: str) -> DataFrame:
+    """Lines that are no schedule lines, with their reasons, through the reject sink."""
+    path = scratch_path(spark, "rejects")
+    bad = _spoiled_schedule(spark, d)[1]
+    RJ.write(bad, path)
+    back = K.read_json_lines(spark, f"{path}/records", bad.schema)
+    return back.select("season", "line", F.array_join(RJ.REASONS, ",").alias("reasons"))
+
+
+def schedule_accepted(spark: SparkSession, d: str) -> DataFrame:
+    """The good lines of a file with bad ones."""
+    return _spoiled_schedule(spark, d)[0].select(
+        "week", "weekday", F.date_format("game_date", "yyyy-MM-dd").alias("game_date"),
+        "team", "opponent", "season")
+
+
+def game_id_rejects(spark: SparkSession, d: str) -> DataFrame:
+    """Games whose id or season is no number, as they came."""
+    bad = RJ.games(FX.spoiled_games(table(spark, d, "orders")))[1]
+    return bad.select("gid", "seas", F.array_join(RJ.REASONS, ",").alias("reasons"))
+
+
+def _database() -> str:
+    return f"statline_{uuid.uuid4().hex[:12]}"
+
+
+def named_table_jobs(spark: SparkSession, d: str) -> DataFrame:
+    """The play and prediction jobs through named tables: plays saved as a
+    database, session tables, points and prediction made as tables of another
+    one, each read by its name."""
+    source, target = _database(), _database()
+    save_warehouse(play_tables(spark, d), source, scratch_path(spark, "warehouse"))
+    t = warehouse_tables(spark, source)
+    store = Store(spark, scratch_path(spark, "jobs"), database=target)
+    J.play_job(t, store)
+    J.prediction_job(stored_points(spark, f"{target}.player_game_points"), t.games, t.players, store)
+    return spark.table(f"{target}.player_prediction")
+
+
+def resumed_prediction_job(spark: SparkSession, d: str) -> DataFrame:
+    """The prediction job, ended after its first step with the second one half
+    written, then started again; a third start finds all done."""
+    t = play_tables(spark, d)
+    stored = scratch_path(spark, "points")
+    K.create_table_as(points(t), stored)
+    pts, folder = spark.read.parquet(stored), scratch_path(spark, "jobs")
+    store = Store(spark, folder, resume=fingerprint([pts, t.games, t.players], year=TARGET_YEAR))
+    store.create("season_prediction", lambda: PR.player_prediction(pts, t.games, t.players))
+    begun = store.path("prediction_by_position/_temporary/0")
+    spark.range(1).write.parquet(begun)
+    for _ in range(2):
+        J.prediction_job(pts, t.games, t.players, store)
+    return K.read_position_extract(spark, store.path("prediction_by_position")).select(
+        "player", "seas", "totalPts", "stddev", "pos1")
+
+
+def roster_job_output(spark: SparkSession, d: str) -> DataFrame:
+    """Stats and roster job from stored points, their outputs read back."""
+    t = play_tables(spark, d)
+    folder = scratch_path(spark, "jobs")
+    J.roster_job(J.stats_job(points(t), t.games, t.players, folder, TARGET_YEAR), t.players, folder,
+                 TARGET_YEAR)
+    return spark.read.parquet(f"{folder}/rosters")
+
+
 def queries() -> dict[str, Query]:
     q: dict[str, Query] = {
         "season_stats": season_stats,
@@ -374,6 +476,14 @@ def queries() -> dict[str, Query]:
         "warehouse_target_year_scorers": warehouse_target_year_scorers,
         "play_job_tables": play_job_tables,
         "sink_prediction_extract": sink_prediction_extract,
+        "ordered_game_sessions": ordered_game_sessions,
+        "merged_season_stats": merged_season_stats,
+        "schedule_rejects": schedule_rejects,
+        "schedule_accepted": schedule_accepted,
+        "game_id_rejects": game_id_rejects,
+        "named_table_jobs": named_table_jobs,
+        "resumed_prediction_job": resumed_prediction_job,
+        "roster_job_output": roster_job_output,
     })
     for kind, name in (("passes", "pass"), ("rushes", "rush"), ("receptions", "reception"),
                        ("fgxp", "kick")):

@@ -5,9 +5,10 @@ For every table of class ``data`` of a page: the first row names the team
 every later row with exactly six cells becomes an output row of the six cell
 texts plus the team.  Rows with another cell count are dropped.
 
-Pages are cut into tags and text runs, numbered, and read with window
-functions over each page: running counts give the table, row and cell that a
-token belongs to.  No Python; one shuffle, by page; the largest group is a page.
+Pages are cut into tags and text runs, and one fold over a page's tokens reads
+them as a small state machine: the table being read, those that it is nested
+in, and the rows found so far.  It all happens inside the page's row: no
+Python, no shuffle, and a page is read by one task as it lies.
 
 What counts:
 * a table whose class attribute, quoted in any way, has the class ``data``
@@ -20,7 +21,7 @@ What counts:
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # ---------------------------------------------------------------------------
@@ -59,67 +60,102 @@ def cell_text(c: Column) -> Column:
     return F.regexp_replace(out, r"^[\s\u00A0]+|[\s\u00A0]+$", "")
 
 
-def _joined(parts: Column) -> Column:
-    """Texts of (position, text) structs in order of position."""
-    return F.array_join(F.transform(F.array_sort(parts), lambda x: x["text"]), "")
+# The table being read: where it began, whether it is of the class, its row
+# number, cells so far, whether a cell and the first link are open, links in the
+# row, and its team.
+_TABLE = ("struct<at: int, data: boolean, row: int, cells: array<string>, in_cell: boolean, "
+          "links: int, in_link: boolean, team: string>")
+_ROW = "struct<at: int, row: int, cells: array<string>, team: string>"
+
+
+def _with(table: Column, **changes: Column) -> Column:
+    """The table with some fields changed."""
+    names = ("at", "data", "row", "cells", "in_cell", "links", "in_link", "team")
+    return F.struct(*[changes.get(n, table[n]).alias(n) for n in names])
+
+
+def _finished(table: Column) -> Column:
+    """The table's last row as an array: empty unless it is to be kept."""
+    full = table["data"] & (table["row"] >= 3) & (F.size(table["cells"]) == CELLS_PER_ROW)
+    row = F.struct(table["at"].alias("at"), table["row"].alias("row"), table["cells"].alias("cells"),
+                   table["team"].alias("team"))
+    return F.when(F.coalesce(full, F.lit(False)), F.array(row)).otherwise(
+        F.array().cast(f"array<{_ROW}>"))
+
+
+def _step(state: Column, token: Column) -> Column:
+    """The state after one token."""
+    tag, now = token["tag"], state["now"]
+    no, yes, none = F.lit(False), F.lit(True), F.lit(None).cast(_TABLE)
+    in_row = now["row"] > 0
+    opened = F.struct(
+        token["at"].alias("at"), token["data"].alias("data"), F.lit(0).alias("row"),
+        F.array().cast("array<string>").alias("cells"), no.alias("in_cell"), F.lit(0).alias("links"),
+        no.alias("in_link"), F.lit(None).cast("string").alias("team"))
+    # a text run belongs to the open cell, and to the team in the first row's first link
+    last = F.size(now["cells"])
+    cells = F.when(now["in_cell"], F.concat(
+        F.slice(now["cells"], F.lit(1), last - 1),
+        F.array(F.concat(F.element_at(now["cells"], -1), token["text"])))).otherwise(now["cells"])
+    team = F.when((now["row"] == 1) & (now["links"] == 1) & now["in_link"], F.concat(
+        F.coalesce(now["team"], F.lit("")), token["text"])).otherwise(now["team"])
+    read = (F.when(tag == "table", opened)
+            .when(tag == "/table", F.try_element_at(state["outer"], F.lit(-1)))
+            .when(now.isNull(), none)
+            .when(tag == "tr", _with(now, row=now["row"] + 1, cells=F.array().cast("array<string>"),
+                                     in_cell=no, links=F.lit(0), in_link=no))
+            .when(~in_row, now)
+            .when(tag == "td", _with(now, cells=F.concat(now["cells"], F.array(F.lit(""))), in_cell=yes))
+            .when(tag == "/td", _with(now, in_cell=no))
+            .when(tag == "/tr", _with(now, in_cell=no, in_link=no))
+            .when(tag == "a", _with(now, links=now["links"] + 1, in_link=yes))
+            .when(tag == "/a", _with(now, in_link=no))
+            .when(tag == "", _with(now, cells=cells, team=team))
+            .otherwise(now))
+    outer = (F.when((tag == "table") & now.isNotNull(), F.concat(state["outer"], F.array(now)))
+             .when(tag == "/table", F.slice(state["outer"], F.lit(1), F.greatest(
+                 F.size(state["outer"]) - 1, F.lit(0))))
+             .otherwise(state["outer"]))
+    rows = F.when(tag.isin("tr", "/table"), F.concat(state["rows"], _finished(now))).otherwise(state["rows"])
+    begun = F.when((tag == "tr") & now["data"] & (now["row"] == 0), F.concat(
+        state["begun"], F.array(now["at"]))).otherwise(state["begun"])
+    return F.struct(read.alias("now"), outer.alias("outer"), rows.alias("rows"), begun.alias("begun"))
+
+
+def _found(state: Column) -> Column:
+    """The rows at a page's end, with those of tables that it leaves open."""
+    return F.struct(
+        F.flatten(F.concat(F.array(state["rows"]), F.transform(
+            F.concat(state["outer"], F.array(state["now"])), _finished))).alias("rows"),
+        F.array_sort(state["begun"]).alias("begun"))
+
+
+def _tokens(html: Column) -> Column:
+    """Tags (lower-case name, "/" first if it ends) and text runs (tag "")."""
+    def token(text: Column, at: Column) -> Column:
+        tag = F.lower(F.regexp_extract(text, r"^<(/?[a-zA-Z][a-zA-Z0-9]*)", 1))
+        classes = F.split(F.regexp_replace(F.regexp_extract(text, _CLASS, 1), "[\"']", " "), r"\s+")
+        return F.struct(
+            at.alias("at"), F.when(text.rlike("(?s)^<!"), F.lit("!")).otherwise(tag).alias("tag"),
+            F.when(tag == "table", F.array_contains(classes, TABLE_CLASS)).alias("data"),
+            text.alias("text"))
+
+    return F.transform(F.regexp_extract_all(html, F.lit(_TOKEN), F.lit(0)), token)
 
 
 def table_rows(pages: DataFrame, html_col: str = "html",
                keep: tuple[str, ...] = ("page_id",)) -> DataFrame:
     """``keep`` columns + (table_no, row_no, c1..c6, team)."""
     html = F.regexp_replace(F.col(html_col), _NO_MARKUP, "")
-    tokens = (pages.filter(F.col(html_col).rlike("(?i)<table"))
-              .select(F.struct(*keep).alias("_keep"), html.alias("_html"))
-              .withColumn("_page", F.monotonically_increasing_id())
-              .select("_keep", "_page", F.posexplode(
-                  F.regexp_extract_all("_html", F.lit(_TOKEN), F.lit(0))).alias("_pos", "_tok")))
-    name = F.lower(F.regexp_extract("_tok", r"^<(/?[a-zA-Z][a-zA-Z0-9]*)", 1))
-    classes = F.split(F.regexp_replace(F.regexp_extract("_tok", _CLASS, 1), "[\"']", " "), r"\s+")
-    tag = F.col("_tag")
-
-    def count(tag_name: str, window) -> Column:
-        return F.sum((tag == tag_name).cast("int")).over(window)
-
-    def inside(tag_name: str, others: tuple[str, ...], window) -> Column:
-        """Is the last of these tags the opening one?"""
-        return F.coalesce(F.last(F.when(tag.isin(tag_name, *others), tag == tag_name), True)
-                          .over(window), F.lit(False))
-
-    page = Window.partitionBy("_page").orderBy("_pos")
-    level = Window.partitionBy("_page", "_depth").orderBy("_pos")
-    in_table = Window.partitionBy("_page", "_table").orderBy("_pos")
-    in_row = Window.partitionBy("_page", "_table", "_row").orderBy("_pos")
-    tokens = (tokens.withColumn("_tag", name)
-              .withColumn("_depth", count("table", page) - count("/table", page)
-                          + (tag == "/table").cast("int"))
-              .withColumn("_open", F.last(F.when(tag == "table", F.struct(
-                  F.col("_pos").alias("at"), F.array_contains(classes, TABLE_CLASS).alias("data"))),
-                  True).over(level))
-              .filter("_open.data").withColumn("_table", F.col("_open.at"))
-              .withColumn("_row", count("tr", in_table)).filter("_row > 0")
-              .withColumn("_cell", count("td", in_row)).withColumn("_link", count("a", in_row))
-              .withColumn("_in_cell", inside("td", ("/td", "/tr"), in_row))
-              .withColumn("_in_link", inside("a", ("/a", "/tr"), in_row)))
-    text = F.struct(F.col("_pos").alias("at"), F.col("_tok").alias("text"))
-    plain = ~F.col("_tok").rlike("(?s)^<[a-zA-Z/!]")
-    cells = tokens.groupBy("_page", "_table", "_row", "_cell").agg(
-        F.first("_keep").alias("_keep"), F.max((tag == "td").cast("int")).alias("_has"),
-        F.collect_list(F.when(plain & F.col("_in_cell"), text)).alias("_text"),
-        F.collect_list(F.when(plain & (F.col("_link") == 1) & F.col("_in_link"), text)).alias("_team"))
-    rows = cells.groupBy("_page", "_table", "_row").agg(
-        F.first("_keep").alias("_keep"),
-        F.array_sort(F.collect_list(F.when(F.col("_has") == 1, F.struct(
-            "_cell", cell_text(_joined(F.col("_text"))).alias("text"))))).alias("_cells"),
-        F.flatten(F.collect_list("_team")).alias("_team"))
-    full = (F.col("_row") >= 3) & (F.size("_cells") == CELLS_PER_ROW)
-    tables = rows.groupBy("_page", "_table").agg(
-        F.first("_keep").alias("_keep"),
-        F.max(F.when(F.col("_row") == 1, F.nullif(cell_text(_joined(F.col("_team"))), F.lit("")))
-              ).alias("team"),
-        F.array_sort(F.collect_list(F.when(full, F.struct("_row", "_cells")))).alias("_rows"))
-    number = F.row_number().over(Window.partitionBy("_page").orderBy("_table")) - 1
-    out = tables.withColumn("table_no", number).select(
-        "_keep", "table_no", "team", F.explode("_rows").alias("_r"))
-    return out.select(
-        "_keep.*", "table_no", (F.col("_r._row") - 3).cast("int").alias("row_no"),
-        *[F.col("_r._cells")[i]["text"].alias(c) for i, c in enumerate(CELL_COLUMNS)], "team")
+    start = F.struct(
+        F.lit(None).cast(_TABLE).alias("now"), F.array().cast(f"array<{_TABLE}>").alias("outer"),
+        F.array().cast(f"array<{_ROW}>").alias("rows"), F.array().cast("array<int>").alias("begun"))
+    found = F.aggregate(_tokens(html), start, _step, _found)
+    rows = (pages.filter(F.col(html_col).rlike("(?i)<table"))
+            .select(F.struct(*keep).alias("_keep"), found.alias("_found"))
+            .select("_keep", "_found.begun", F.explode("_found.rows").alias("_r")))
+    return rows.select(
+        "_keep.*", (F.array_position("begun", F.col("_r.at")) - 1).cast("int").alias("table_no"),
+        (F.col("_r.row") - 3).cast("int").alias("row_no"),
+        *[cell_text(F.col("_r.cells")[i]).alias(c) for i, c in enumerate(CELL_COLUMNS)],
+        F.nullif(cell_text(F.col("_r.team")), F.lit("")).alias("team"))

@@ -18,21 +18,25 @@ SCHEDULE_SCHEMA = T.StructType([
 ])
 
 
+def schedule_rows(lines: DataFrame) -> DataFrame:
+    """Rows of the schema and a season, with the date of text and season; a
+    text that is no date gives NULL rather than failing the job."""
+    return lines.select(
+        "week", "weekday",
+        F.try_to_date(F.concat_ws(" ", F.col("date_text"), F.col("season").cast("string")),
+                      "MMMM d yyyy").alias("game_date"),
+        "team", "opponent", "season")
+
+
 def read_schedule(spark: SparkSession, path: str, year: int | None = None) -> DataFrame:
     """(week, weekday, game_date, team, opponent, season).
 
-    ``year`` is used when the files are not under ``season=`` folders.  A
-    date text that does not parse gives a NULL date rather than failing the
-    job (``try_to_date``).
+    ``year`` is used when the files are not under ``season=`` folders.  Fields
+    that do not fit are NULL; ``rejects.read_schedule`` keeps such lines apart.
     """
     df = spark.read.schema(SCHEDULE_SCHEMA).option("header", "false").csv(path)
     season = F.col("season").cast("int") if "season" in df.columns else F.lit(year).cast("int")
-    return df.select(
-        "week", "weekday",
-        F.try_to_date(F.concat_ws(" ", F.col("date_text"), season.cast("string")),
-                      "MMMM d yyyy")
-        .alias("game_date"),
-        "team", "opponent", season.alias("season"))
+    return schedule_rows(df.withColumn("season", season))
 
 
 def write_schedule(lines: DataFrame, path: str) -> None:

@@ -1,7 +1,13 @@
 """Sinks: Parquet, JSON lines, text and CSV, with the reference's write modes.
 
-``errorifexists`` for plain CREATE TABLE AS / output folders, ``ignore`` for
-CREATE TABLE IF NOT EXISTS.  Paths should live in shared storage.
+An output that exists is an error for plain CREATE TABLE AS and for output
+folders; CREATE TABLE IF NOT EXISTS leaves it as it is.  A folder without the
+committer's ``_SUCCESS`` marker was left by a job that died: it is no table,
+and taking it for one is an error.  Paths should live in shared storage.
+
+Sinks with a folder for each value of a column deal their rows out by it first
+(``rebalance``): the number of files follows the bytes (the session's advisory
+partition size), small values share no file, a large value has several.
 """
 
 from __future__ import annotations
@@ -10,6 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+ERROR = "errorifexists"
+
 SUMMARY = T.StructType([T.StructField("mean", T.DoubleType()),
                         T.StructField("variance", T.DoubleType())])
 STATS_BY_YEAR = T.StructType([
@@ -37,44 +45,89 @@ EXTRACT_SCHEMA = T.StructType([
 ])
 
 
-def create_table_as(df: DataFrame, path: str, if_not_exists: bool = False) -> None:
-    """Parquet CTAS: fails when present, or is skipped with ``if_not_exists``."""
-    df.write.mode("ignore" if if_not_exists else "errorifexists").parquet(path)
+class IncompleteTable(RuntimeError):
+    """A folder that a job has begun to write and not finished."""
+
+
+ABSENT, PARTIAL, WHOLE = "absent", "partial", "whole"
+
+
+def table_state(spark: SparkSession, path: str) -> str:
+    """Whether a folder is absent, was begun (no ``_SUCCESS``), or is whole."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    folder = hadoop.Path(path)
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(folder):
+        return ABSENT
+    return WHOLE if fs.exists(hadoop.Path(folder, "_SUCCESS")) else PARTIAL
+
+
+def _refuse_partial(spark: SparkSession, path: str) -> str:
+    state = table_state(spark, path)
+    if state == PARTIAL:
+        raise IncompleteTable(f"{path} holds no _SUCCESS: a job that wrote it did not finish")
+    return state
+
+
+def create_table_as(df: DataFrame, path: str, if_not_exists: bool = False,
+                    mode: str = ERROR) -> None:
+    """Parquet CTAS: fails when present, or is skipped with ``if_not_exists``;
+    ``mode="overwrite"`` writes a half-written folder anew."""
+    if mode == ERROR and _refuse_partial(df.sparkSession, path) == WHOLE and if_not_exists:
+        return
+    df.write.mode(mode).parquet(path)
+
+
+def create_named_table(df: DataFrame, name: str, path: str, if_not_exists: bool = False,
+                       mode: str = ERROR) -> None:
+    """CTAS into a named table of a database, with its files in ``path``.
+
+    The name appears in the catalog after the files are whole; a name that
+    exists is an error, or is left as it is with ``if_not_exists``."""
+    spark = df.sparkSession
+    if mode == ERROR:
+        if spark.catalog.tableExists(name):
+            if if_not_exists:
+                return
+        elif _refuse_partial(spark, path) == WHOLE:
+            raise FileExistsError(f"{path} holds a table without a name")
+    df.write.mode(mode).option("path", path).format("parquet").saveAsTable(name)
 
 
-def write_player_yearly_stats(yearly: DataFrame, path: str) -> None:
+def write_player_yearly_stats(yearly: DataFrame, path: str, mode: str = ERROR) -> None:
     """Nested ``PlayerYearlyStats`` records as Parquet."""
-    yearly.select("playerId", "statsByYear").write.mode("errorifexists").parquet(path)
+    yearly.select("playerId", "statsByYear").write.mode(mode).parquet(path)
 
 
-def write_rosters(rosters: DataFrame, path: str) -> None:
+def write_rosters(rosters: DataFrame, path: str, mode: str = ERROR) -> None:
     """``RosterStats`` records (eleven flat columns) as Parquet."""
-    rosters.select(*ROSTER_STATS.fieldNames()).write.mode("errorifexists").parquet(path)
+    rosters.select(*ROSTER_STATS.fieldNames()).write.mode(mode).parquet(path)
 
 
-def write_json_lines(df: DataFrame, path: str) -> None:
+def write_json_lines(df: DataFrame, path: str, mode: str = ERROR) -> None:
     """Each record as one JSON text line, fields in record order."""
-    df.select(F.to_json(F.struct("*")).alias("value")).write.mode("errorifexists").text(path)
+    df.select(F.to_json(F.struct("*")).alias("value")).write.mode(mode).text(path)
 
 
 def read_json_lines(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     return spark.read.schema(schema).json(path)
 
 
-def write_position_groups(groups: DataFrame, path: str) -> None:
+def write_position_groups(groups: DataFrame, path: str, mode: str = ERROR) -> None:
     """One JSON dataset per position group in a single job (``slot=`` folders;
     the flex name ``WR/TE/RB`` is escaped in the folder name and reads back
     intact)."""
     (groups.select("slot", F.col("player_id").alias("playerId"), "statsByYear")
-     .write.mode("errorifexists").partitionBy("slot").json(path))
+     .hint("rebalance", "slot").write.mode(mode).partitionBy("slot").json(path))
 
 
-def write_key_counts(counts: DataFrame, key: str, count: str, path: str) -> None:
+def write_key_counts(counts: DataFrame, key: str, count: str, path: str,
+                     mode: str = ERROR) -> None:
     """``key,count`` text lines; a NULL key is written as the empty key, a
     NULL count as an empty count."""
     (counts.select(F.concat(F.coalesce(F.col(key), F.lit("")), F.lit(","),
                             F.coalesce(F.col(count).cast("string"), F.lit(""))).alias("value"))
-     .write.mode("errorifexists").text(path))
+     .write.mode(mode).text(path))
 
 
 def read_key_counts(spark: SparkSession, path: str, key: str, count: str) -> DataFrame:
@@ -86,16 +139,16 @@ def read_key_counts(spark: SparkSession, path: str, key: str, count: str) -> Dat
         F.substring_index(line, ",", -1).try_cast("bigint").alias(count))
 
 
-def write_position_extract(extract: DataFrame, path: str) -> None:
+def write_position_extract(extract: DataFrame, path: str, mode: str = ERROR) -> None:
     """Tab-separated text, one folder per position (``pos1=``)."""
-    (extract.select(*EXTRACT_SCHEMA.fieldNames(), "pos1")
-     .write.mode("errorifexists").partitionBy("pos1").option("sep", "\t").csv(path))
+    (extract.select(*EXTRACT_SCHEMA.fieldNames(), "pos1").hint("rebalance", "pos1")
+     .write.mode(mode).partitionBy("pos1").option("sep", "\t").csv(path))
 
 
 def read_position_extract(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(EXTRACT_SCHEMA).option("sep", "\t").csv(path)
 
 
-def write_csv(df: DataFrame, path: str) -> None:
+def write_csv(df: DataFrame, path: str, mode: str = ERROR) -> None:
     """Plain CSV rows without header (the injury rows sink)."""
-    df.write.mode("errorifexists").csv(path)
+    df.write.mode(mode).csv(path)
