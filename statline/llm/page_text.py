@@ -14,8 +14,11 @@ half of the host's pages.  Elements that say what they are (nav, footer, aside,
 form, script, class="ad", id="comments", role="navigation", ...) go as well,
 also on pages whose host has too few pages to count.
 
-A host's pages need not meet in one task: hashes are counted map-side first by
-(host, hash, main text), then by (host, hash), and looked up with a salt.
+Blocks travel compressed, as one text with empty lines between them (a block
+holds no line break), and only those of pages where an unmarked subtree holds
+some of them; the text of other pages is settled where it is read.  A host's
+pages need not meet in one task: hashes are counted map-side first by (host,
+hash, main text), then by (host, hash), and looked up with a salt.
 
 Defined cases: a null or empty page has no text; a page without a host (null
 or relative address) has no template, only marked elements go; unclosed
@@ -31,8 +34,10 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -287,7 +292,7 @@ class Page:
         return "article" if "article" in self.roots else "main" if "main" in self.roots else ""
 
 
-_PARSED = ("page_id long, url string, host string, main long, blocks array<string>, "
+_PARSED = ("page_id long, url string, host string, main long, blocks binary, "
            "subtrees array<struct<hash: long, inner: boolean, marked: boolean, first: int, stop: int>>")
 
 
@@ -303,6 +308,7 @@ def parse(pages: DataFrame) -> DataFrame:
                                 ("first", pa.int32()), ("stop", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer = zstandard.ZstdCompressor(level=3)
         for whole in batches:
             for batch in (whole.slice(i, 256) for i in range(0, whole.num_rows, 256)):
                 mains, blocks, subtrees = [], [], []
@@ -316,12 +322,12 @@ def parse(pages: DataFrame) -> DataFrame:
                     own = [t for (t, _), k in zip(page.blocks, keep, strict=True) if k]
                     longest = max(own, key=len, default=source or "")
                     mains.append(xxhash.xxh64_intdigest(longest) - (1 << 63))
-                    blocks.append(own)
+                    blocks.append(packer.compress("\n\n".join(own).encode()))
                     subtrees.append([{"hash": h, "inner": i, "marked": m, "first": place[a], "stop": place[b]}
                                      for h, i, m, a, b in page.subtrees])
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("page_id"), batch.column("url"), batch.column("host"),
-                     pa.array(mains, pa.int64()), pa.array(blocks, pa.list_(pa.string())),
+                     pa.array(mains, pa.int64()), pa.array(blocks, pa.binary()),
                      pa.array(subtrees, types)],
                     names=["page_id", "url", "host", "main", "blocks", "subtrees"])
 
@@ -350,29 +356,55 @@ def templates(parsed: DataFrame, min_pages: int = MIN_PAGES, min_share: float =
 
 def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE,
             inner_share: float = INNER_SHARE) -> DataFrame:
-    """page_id, url, text, n_chars, n_template (subtrees deleted as template of
-    the site), n_marked (subtrees that only their name gave away)."""
+    """page_id, url, text, n_chars, n_template (subtrees with text of the
+    article that were deleted as template of the site), n_marked (subtrees that
+    said what they are)."""
     parsed = stored(parse(pages).withColumn("row", F.monotonically_increasing_id()), "parsed_pages")
-    found = templates(parsed, min_pages, min_share, inner_share)
+    # what may change a text: unmarked subtrees that hold blocks of it
+    holding = F.filter("subtrees", lambda s: s["first"] < s["stop"])
+    marked = F.size(F.filter("subtrees", lambda s: s["marked"])).cast("long").alias("n_marked")
+    none = F.array().cast("array<int>")
+    result = ["page_id", "url", "blocks", "first", "stop", "n_marked"]
+    may = F.col("host").isNotNull() & (F.size("holding") > 0)
+    parsed = parsed.select("*", holding.alias("holding"), marked)
+    open_ = parsed.filter(may).select("row", "host", "page_id", "url", "blocks", "holding", "n_marked")
     # a template of a large host stands on many rows: they are looked up by
     # host, hash and a salt
-    salted = found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    each = (parsed.filter("host is not null and size(subtrees) > 0")
-            .select("row", "host", F.explode("subtrees").alias("s"),
-                    F.pmod("row", F.lit(SALTS)).cast("int").alias("salt"))
-            .select("row", "host", "salt", F.col("s.hash").alias("hash"),
-                    F.col("s.inner").alias("inside")))
-    gone = (each.join(salted, ["host", "hash", "salt"]).filter("not inside or inner")
-            .groupBy("row").agg(F.collect_set(F.struct("hash", "inside")).alias("gone")))
-
-    def is_template(s: Column) -> Column:
-        return F.coalesce(F.array_contains("gone", F.struct(s["hash"].alias("hash"),
-                                                            s["inner"].alias("inside"))), F.lit(False))
-
-    out = parsed.join(gone, "row", "left").withColumn("dead", F.filter("subtrees", is_template))
-    kept = F.filter("blocks", lambda _, i: ~F.exists("dead", lambda s: (s["first"] <= i) & (i < s["stop"])))
-    text = F.array_join(kept, "\n\n")
-    return out.select("page_id", "url", text.alias("text"), F.length(text).cast("long").alias("n_chars"),
-                      F.size("dead").cast("long").alias("n_template"),
-                      F.size(F.filter("subtrees", lambda s: s["marked"] & ~is_template(s)))
-                      .cast("long").alias("n_marked"))
+    salted = templates(parsed, min_pages, min_share, inner_share).withColumn(
+        "salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    gone = (open_.select("row", "host", F.explode("holding").alias("s"),
+                         F.pmod("row", F.lit(SALTS)).cast("int").alias("salt"))
+            .select("row", "host", "salt", F.col("s.hash").alias("hash"), F.col("s.inner").alias("inside"),
+                    F.struct("s.first", "s.stop").alias("range"))
+            .join(salted, ["host", "hash", "salt"]).filter("not inside or inner")
+            .groupBy("row").agg(F.collect_set("range").alias("gone")))
+    opened = open_.join(gone, "row", "left").select(
+        "page_id", "url", "blocks", *[F.coalesce(F.col("gone")[c], none).alias(c) for c in ("first", "stop")],
+        "n_marked")
+    settled = parsed.filter(~may).select("page_id", "url", "blocks", none.alias("first"),
+                                         none.alias("stop"), "n_marked")
+    return settled.select(result).unionByName(opened.select(result)).mapInArrow(
+        _left, "page_id long, url string, text string, n_chars long, n_template long, n_marked long")
+
+
+def _left(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts without the blocks of deleted subtrees."""
+    unpacker = zstandard.ZstdDecompressor()
+    for batch in batches:
+        texts = []
+        gone = zip(batch.column("first").to_pylist(), batch.column("stop").to_pylist(), strict=True)
+        for packed, (first, stop) in zip(batch.column("blocks").to_pylist(), gone, strict=True):
+            text = unpacker.decompress(packed).decode()
+            if any(a < b for a, b in zip(first, stop, strict=True)):
+                blocks = text.split("\n\n")
+                keep = np.ones(len(blocks), dtype=bool)
+                for a, b in zip(first, stop, strict=True):
+                    keep[a:b] = False
+                text = "\n\n".join(b for b, k in zip(blocks, keep, strict=True) if k)
+            texts.append(text)
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()),
+             pa.array([len(t) for t in texts], pa.int64()),
+             pa.array([len(x) for x in batch.column("first").to_pylist()], pa.int64()),
+             batch.column("n_marked")],
+            names=["page_id", "url", "text", "n_chars", "n_template", "n_marked"])
