@@ -45,9 +45,12 @@ SCALE = 256
 # Spectra that one task combines in a round.
 GROUP = 16
 _EPS = np.finfo(np.float64).eps
+# Roots are sought to this part of the equation's size: the refinement mends
+# what is left, and eigenvectors are orthogonal for any roots.
+ROOT_ERROR = 1e-11
 
 
-def secular_roots(d: np.ndarray, z2: np.ndarray, rho: float):
+def secular_roots(d: np.ndarray, z2: np.ndarray, rho: float, error: float = ROOT_ERROR):
     """Roots of 1 + rho * sum(z2 / (d - x)) for ascending distinct d and
     positive z2, rho.  Returns each root's nearest pole and its distance from
     it: root j lies between d[j] and d[j+1].
@@ -68,16 +71,19 @@ def secular_roots(d: np.ndarray, z2: np.ndarray, rho: float):
     lo = np.where(left, 0.0, -gap / 2)
     hi = np.where(left, gap / 2, 0.0)
     hi[-1] = gap[-1]
+    weights = rho * z2[:, None]
     weight = rho * z2[near]
     x = (lo + hi) / 2
     for _ in range(60):
-        part = rho * z2[:, None] / (delta - x[None, :])
+        away = delta - x
+        part = weights / away
         f = 1 + part.sum(axis=0)
-        slope = (part / (delta - x[None, :])).sum(axis=0)
         size = 1 + np.abs(part).sum(axis=0)
-        done = np.abs(f) <= 8 * _EPS * size
+        done = np.abs(f) <= error * size
         if done.all():
             break
+        part /= away
+        slope = part.sum(axis=0)
         up = f < 0  # f grows from -inf to inf between poles
         lo, hi = np.where(up, x, lo), np.where(up, hi, x)
         # f = c + weight / (0 - x) + w / (other - x), slope alike
