@@ -9,9 +9,14 @@ beyond ASCII) and the beginnings of long words, each hashed to one of
 over its features, so pairs of terms count beyond their single weights.  The
 pairwise sum costs one pass: half of |sum v|^2 - sum |v|^2.
 
+The machine learns the terms that tell something about the label: alone
+(``telling``), or together with another term beyond what both tell alone
+(``telling_pairs``), as two terms that are harmless apart do.
+
 The machine is fitted with AdaGrad on the driver, on at most ``SAMPLE``
-labelled documents outside the held-out fold (that bound also bounds what is
-collected); scoring is one pass over all documents without a shuffle.  Labels,
+labelled documents outside the held-out fold.  What is collected is bounded by
+them and by the terms of a text (four bytes a distinct term, never more than
+2 ** BITS of them); scoring is one pass over all documents without a shuffle.  Labels,
 lang, source and doc_id are no features.
 
 Defined cases: null and empty texts have no feature and get the score of the
@@ -42,6 +47,10 @@ EPOCHS = 15
 UPDATES = 300
 MIN_DOCUMENTS = 3
 MIN_DEVIATION = 4.0
+# Pairs are looked for among so many terms, those of most documents, but of no
+# more than about half of them.
+PAIR_TERMS = 1024
+MIN_PAIR_DEVIATION = 6.0
 
 
 def terms(buf: np.ndarray, offsets: np.ndarray, bits: int = BITS):
@@ -98,18 +107,55 @@ def telling(feature: np.ndarray, offsets: np.ndarray, label: np.ndarray, size: i
     return (n >= MIN_DOCUMENTS) & (np.abs(hits - n * share) >= MIN_DEVIATION * spread)
 
 
+def telling_pairs(feature: np.ndarray, offsets: np.ndarray, label: np.ndarray,
+                  size: int) -> np.ndarray:
+    """Features of pairs whose documents differ in label by
+    ``MIN_PAIR_DEVIATION`` standard deviations from what the two features tell
+    alone (their shares added up).  The pairs are those of ``PAIR_TERMS`` terms;
+    they are counted by products of the sample's term matrix, block by block."""
+    out = np.zeros(size, dtype=bool)
+    rows = len(label)
+    n = np.bincount(feature, minlength=size)
+    common = np.flatnonzero((n >= MIN_DOCUMENTS) & (2 * n <= max(rows, 1) + 4 * np.sqrt(rows)))
+    common = common[np.argsort(-n[common], kind="stable")[:PAIR_TERMS]]
+    if len(common) < 2 or not 0 < label.sum() < rows:
+        return out
+    place = np.full(size, -1)
+    place[common] = np.arange(len(common))
+    both = np.zeros((len(common), len(common)), dtype=np.float32)
+    hits = np.zeros_like(both)
+    for a in range(0, rows, 2000):
+        b = min(rows, a + 2000)
+        at = place[feature[offsets[a]:offsets[b]]]
+        row = np.repeat(np.arange(b - a), np.diff(offsets[a:b + 1]))[at >= 0]
+        has = np.zeros((b - a, len(common)), dtype=np.float32)
+        has[row, at[at >= 0]] = 1
+        both += has.T @ has
+        bad = has[label[a:b] > 0]
+        hits += bad.T @ bad
+    share = label.mean()
+    alone = np.diag(hits) / np.diag(both)
+    want = np.clip(alone[:, None] + alone[None, :] - share, 0.0, 1.0)
+    near = np.clip(want, share / 2, 1 - share / 2)
+    spread = np.sqrt(np.maximum(both * near * (1 - near), 1e-9))
+    tells = (both >= 5 * MIN_DOCUMENTS) & (np.abs(hits - both * want) >= MIN_PAIR_DEVIATION * spread)
+    np.fill_diagonal(tells, False)
+    out[common[tells.any(axis=1)]] = True
+    return out
+
+
 def fit(feature: np.ndarray, offsets: np.ndarray, label: np.ndarray, bits: int = BITS,
         factors: int = FACTORS, epochs: int = EPOCHS, rate: float = 0.4,
         decay: float = 2e-3, seed: int = 11) -> FactorizationMachine:
     """Logistic loss, AdaGrad over small batches, ``epochs`` times over the rows
     and ``UPDATES`` batches at least.  Features that
-    tell nothing alone (see ``telling``) stay at zero."""
+    tell nothing, alone or in a pair, stay at zero."""
     rng = np.random.default_rng(seed)
     size = 1 << bits
     share = min(max(label.mean() if len(label) else 0.0, 1e-6), 1 - 1e-6)
     bias = float(np.log(share / (1 - share)))
     w = np.zeros(size)
-    seen = telling(feature, offsets, label, size)
+    seen = telling(feature, offsets, label, size) | telling_pairs(feature, offsets, label, size)
     v = np.where(seen[:, None], rng.normal(0, 0.01, (size, factors)), 0.0)
     gw, gv, gb = np.full(size, 1e-2), np.full((size, factors), 1e-1), 1.0
     epochs = max(epochs, -(-UPDATES * 128 // max(1, len(label))))
