@@ -20,7 +20,9 @@ Defined cases: null and empty texts have layout features only; null lang,
 source or n_chars are values of their own; repeated rows get equal scores;
 without labelled rows of both classes every score is the share of good labels
 (1.0 without any label); an empty table gives no rows; other columns are
-ignored.
+ignored.  In a round, ties go to the smaller doc_id; documents without an id
+are scored and not learned from, and of documents with equal features in both
+views one is learned from.
 """
 
 from __future__ import annotations
@@ -192,28 +194,50 @@ class CoTrained:
         return out | {"score": 1 / (1 + np.exp(-z))}
 
 
-def _surest(pool: DataFrame, views: dict[str, Linear], growth: int) -> list:
+def _surest(pool: DataFrame, views: dict[str, Linear], growth: int, used: dict[str, set]) -> list:
     """The ``growth`` unlabelled documents of each class that each view is
-    surest of; a task passes on no more than that many of each kind."""
+    surest of and has not passed on yet (``used``).
+
+    A task passes on ids only, no more than ``growth`` of each kind, and
+    documents with equal features in both views once.  The best of them are
+    found in two steps, so no task ranks more than a bounded number of rows;
+    then the features of the chosen are fetched."""
+    done = {v: np.array(sorted(ids), dtype=np.int64) for v, ids in used.items()}
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            ids = np.asarray(batch.column("doc_id"))
+            key = np.asarray(batch.column("alike"))
             for view, model in views.items():
                 logit = model.logits(*_flat(batch.column(view).to_pylist()))
+                fresh = ~np.isin(ids, done[view])
                 for good in (True, False):
                     sure = logit if good else -logit
-                    top = np.argsort(-sure, kind="stable")[:growth]
-                    top = top[sure[top] > 0]
-                    take = pa.array(top)
+                    top = np.flatnonzero(fresh & (sure > 0))
+                    top = top[np.lexsort((ids[top], -sure[top]))]
+                    _, first = np.unique(key[top], return_index=True)
+                    top = top[np.sort(first)][:growth]
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([view] * len(top), pa.string()),
-                         pa.array(np.full(len(top), good)), pa.array(sure[top])]
-                        + [batch.column(c).take(take) for c in ("doc_id", "text", "meta")],
-                        names=["view", "good", "sure", "doc_id", "text", "meta"])
-
-    best = Window.partitionBy("view", "good").orderBy(F.desc("sure"), "doc_id")
-    return (pool.select("doc_id", "text", "meta")
-            .mapInArrow(run, "view string, good boolean, sure double, doc_id long, text binary, meta binary")
-            .withColumn("place", F.row_number().over(best)).filter(F.col("place") <= growth)
+                         pa.array(np.full(len(top), good)), pa.array(sure[top]), pa.array(ids[top]),
+                         pa.array(key[top])], names=["view", "good", "sure", "doc_id", "alike"])
+
+    alike = F.xxhash64("text", "meta")
+    # copies, and documents passed on by several tasks, count once
+    found = (pool.filter("doc_id is not null").select("doc_id", "text", "meta", alike.alias("alike"))
+             .mapInArrow(run, "view string, good boolean, sure double, doc_id long, alike long")
+             .groupBy("view", "good", "alike").agg(F.max(F.struct(
+                 "sure", (-F.col("doc_id")).alias("before"))).alias("best"))
+             .select("view", "good", "best.sure", (-F.col("best.before")).alias("doc_id"))
+             .withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(64))))
+    order = [F.desc("sure"), F.col("doc_id")]
+    for keys in (["view", "good", "salt"], ["view", "good"]):
+        found = (found.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+                 .filter(F.col("place") <= growth))
+    chosen = F.broadcast(stored(found.select("view", "good", "place", "doc_id"), "surest"))
+    return (pool.select("doc_id", "text", "meta").join(chosen, "doc_id")
+            .groupBy("view", "good", "place", "doc_id")
+            .agg(F.min("text").alias("text"), F.min("meta").alias("meta"))
             .orderBy("view", "good", "place").collect())
 
 
@@ -232,13 +256,13 @@ def train(features: DataFrame, labels: DataFrame, sample: int = SAMPLE, rounds:
     label = {v: [float(r.label) for r in learn] for v in other}
     views = {v: fit(parts[v], np.array(label[v])) for v in other}
     pool = features.filter("not labelled and not held_out")
-    used: set = set()
+    used: dict[str, set] = {v: set() for v in other}
     for _ in range(rounds if 0 < sum(label["text"]) < len(learn) else 0):
-        found = [r for r in _surest(pool, views, growth) if (r.view, r.doc_id) not in used]
+        found = _surest(pool, views, growth, used)
         if not found:
             break
         for r in found:
-            used.add((r.view, r.doc_id))
+            used[r.view].add(r.doc_id)
             to = other[r.view]
             parts[to].append(getattr(r, to))
             label[to].append(float(r.good))
