@@ -77,3 +77,67 @@ comps AS (SELECT doc_id, min(other) AS component_id FROM reached GROUP BY doc_id
 SELECT comps.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id,
        comps.doc_id = component_id AS kept
 FROM comps LEFT JOIN sizes ON sizes.doc_id = comps.doc_id"""
+
+# Weights, scores and ranks of a resampling towards the benchmark.  A CRC-32 is
+# a fold over a feature's bytes with the table of its polynomial.
+RESAMPLING = f"""
+WITH crc_table AS (
+  SELECT list(v ORDER BY b) AS t FROM (
+    SELECT b, list_reduce(list_prepend(b, [0, 0, 0, 0, 0, 0, 0, 0]),
+                          lambda c, z: xor(c >> 1, (c & 1) * 3988292384)) AS v
+    FROM range(256) bytes(b))),
+texts AS (
+  SELECT doc_id, coalesce({_BENCH_WORDS.format(_LOWER.format('text'))}, []) AS w FROM documents
+  UNION ALL
+  SELECT NULL, coalesce({_BENCH_WORDS.format(_LOWER.format('text'))}, []) FROM benchmark),
+features AS (
+  SELECT doc_id, unnest(list_concat(w, list_transform(range(1, len(w)),
+                                                      lambda i: w[i] || ' ' || w[i + 1]))) AS f FROM texts),
+kinds AS (SELECT f, hex(encode(f)) AS x FROM (SELECT DISTINCT f FROM features)),
+bytes AS (
+  SELECT f, list_transform(range(0, strlen(f)),
+                           lambda i: CAST('0x' || substr(x, 2 * i + 1, 2) AS BIGINT)) AS b FROM kinds),
+buckets AS (
+  SELECT f, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), b),
+                            lambda c, y: xor(c >> 8, t[(xor(c, y) & 255) + 1])), 4294967295) % 10000 AS bucket
+  FROM bytes, crc_table),
+counted AS (SELECT doc_id, bucket, count(*) AS n FROM features JOIN buckets USING (f) GROUP BY ALL),
+summed AS (
+  SELECT bucket, sum(n) FILTER (doc_id IS NOT NULL) AS s, sum(n) FILTER (doc_id IS NULL) AS t
+  FROM counted GROUP BY bucket),
+sizes AS (SELECT CAST(coalesce(sum(s), 0) AS DOUBLE) AS s_all, CAST(coalesce(sum(t), 0) AS DOUBLE) AS t_all FROM summed),
+gains AS (
+  SELECT bucket, CAST(floor(1000 * ln((CAST(coalesce(t, 0) AS DOUBLE) + 1) * (s_all + 10000)
+    / ((CAST(coalesce(s, 0) AS DOUBLE) + 1) * (t_all + 10000)))) AS BIGINT) AS gain FROM summed, sizes),
+weights AS (
+  SELECT doc_id, CAST(sum(n) AS BIGINT) AS n_features,
+         CAST(floor(CAST(sum(n * gain) AS DOUBLE) / CAST(sum(n) AS DOUBLE)) AS BIGINT) AS weight
+  FROM counted JOIN gains USING (bucket) WHERE doc_id IS NOT NULL GROUP BY doc_id),
+scored AS (
+  SELECT texts.doc_id, len(w) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+         coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln(
+           (CAST(CAST('0x' || substr(sha256('7:' || texts.doc_id), 1, 8) AS BIGINT) AS DOUBLE) + CAST(0.5 AS DOUBLE))
+           / CAST(4294967296 AS DOUBLE)))) AS BIGINT) AS score
+  FROM texts LEFT JOIN weights ON texts.doc_id = weights.doc_id WHERE texts.doc_id IS NOT NULL),
+places AS (
+  SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () AS n
+  FROM scored WHERE n_words >= 20)
+SELECT scored.doc_id, CAST(n_features AS BIGINT) AS n_features, CAST(weight AS BIGINT) AS weight,
+       CAST(score AS BIGINT) AS score,
+       CAST(CASE WHEN place <= 25 * n // 100 THEN place END AS BIGINT) AS rank
+FROM scored LEFT JOIN places ON scored.doc_id = places.doc_id"""
+
+# The blocks of each page's article, by splitting its source (the shared pages
+# mark the article, and hold headings and paragraphs in it).
+MAIN_TEXT = r"""
+WITH articles AS (
+  SELECT page_id, url, regexp_replace(coalesce(regexp_extract(html, '(?s)<article>(.*?)(</article>|$)', 1), ''),
+                                      '<[^>]*$', '') AS source FROM pages),
+blocks AS (
+  SELECT page_id, url, list_transform(regexp_split_to_array(source, '</?p>|</?h1>'), lambda x:
+    trim(regexp_replace(regexp_replace(replace(replace(replace(replace(
+      regexp_replace(x, '<[^>]+>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', ''''),
+      '&amp;?', '&', 'g'), '\s+', ' ', 'g'))) AS b FROM articles)
+SELECT page_id, url, array_to_string(list_filter(b, lambda x: x <> ''), chr(10) || chr(10)) AS text,
+       CAST(length(array_to_string(list_filter(b, lambda x: x <> ''), chr(10) || chr(10))) AS BIGINT) AS n_chars
+FROM blocks"""

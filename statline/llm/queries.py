@@ -91,7 +91,7 @@ def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op13_site_template_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return page_text.extract(read(spark, sf_dir, "pages"))
+    return page_text.extract(read(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -120,4 +120,6 @@ def oracle_sql() -> dict[str, str]:
         "op4_fm_index_substring_dedup": oracle.WORD_REPEATS,
         "op6_benchmark_decontamination": oracle.LEAKS,
         "op7_circulant_minhash": oracle.NEAR_COPIES,
+        "op11_importance_resampling": oracle.RESAMPLING,
+        "op13_site_template_text": oracle.MAIN_TEXT,
     }

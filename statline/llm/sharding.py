@@ -14,6 +14,10 @@ The law is ``bytes``: sizes of the shards are near equal (slots are dealt out
 largest first to the least filled shard, so shards differ by less than the
 largest slot).
 
+Equal texts are a group that may hold a third of all rows; under this law it is
+spread like any other rows (the slot is a hash of id and text), since a shard
+that kept a group together could not have its share of the bytes.
+
 Defined cases: a null text has no bytes; a null doc_id is hashed like any other
 value; equal rows share a slot and have neighbouring places; an empty table
 gives no rows and a map of empty slots; other columns are ignored.

@@ -21,7 +21,7 @@ SF = "/root/testdata/sf0.001"
 @pytest.fixture(scope="module")
 def con():
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "labels"):
+    for t in ("documents", "benchmark", "labels", "pages"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     return con
 
@@ -67,7 +67,8 @@ def test_op10_equals_brute_force(spark, texts):
     assert got == brute_bytes(sorted(texts.items()), 200)
 
 
-@pytest.mark.parametrize("name", sorted(queries.queries()))
+@pytest.mark.parametrize("name", sorted(set(queries.queries()) - {
+    "op12_embedding_whitening", "op13_site_template_text"}))
 def test_one_row_per_document(spark, texts, name):
     df = queries.queries()[name](spark, SF)
     ids = [r.doc_id for r in df.select("doc_id").collect()]

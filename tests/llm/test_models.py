@@ -129,6 +129,52 @@ def test_toxicity_learns_pairs():
         float(model.factors[0] @ model.factors[1]), abs=1e-4)
 
 
+@pytest.mark.parametrize("kind", ["xor", "and"])
+def test_toxicity_learns_pairs_without_own_effect(kind):
+    """Two terms whose own documents are as toxic as all others: the label is
+    their exclusive or, or they are toxic together and each is made up for."""
+    rng = np.random.default_rng(4)
+    rows, label = [], []
+    for _ in range(6000):
+        a, b = rng.random(2) < (0.5 if kind == "xor" else 0.2)
+        filler = [f"w{i}" for i in rng.integers(0, 400, 12)]
+        rows.append(" ".join(filler + ["lamp"] * int(a) + ["river"] * int(b)))
+        p = float(a != b) if kind == "xor" else (0.9 if a and b else 0.0 if a or b else 0.2)
+        label.append(float(rng.random() < p))
+    buf, off = S.text_buffer(pa.array(rows))
+    feature, at = toxicity.terms(buf, off)
+    label = np.array(label)
+    cut = int(at[4000])
+    alone = toxicity.telling(feature[:cut], at[:4001], label[:4000], 1 << toxicity.BITS)
+    assert kind == "and" or not alone.any()
+    model = toxicity.fit(feature[:cut], at[:4001], label[:4000])
+    score = model.scores(feature[cut:], at[4000:] - cut)
+    truth = label[4000:] > 0
+    order = np.argsort(np.argsort(score))
+    auc = (order[truth].mean() - (truth.sum() - 1) / 2) / (~truth).sum()
+    assert auc > (0.97 if kind == "xor" else 0.6), auc
+
+
+def plain_margin(model, feature):
+    out = model.bias + sum(float(model.weights[i]) for i in feature)
+    for x, i in enumerate(feature):
+        for j in feature[:x]:
+            out += float(model.factors[i].astype(float) @ model.factors[j].astype(float))
+    return out
+
+
+def test_toxicity_scores_as_all_pairs(spark, tables):
+    """The score of a document from its terms and all their pairs."""
+    docs, labels = tables
+    model = toxicity.train(docs, labels)
+    for text in [r.text for r in docs.select("text").limit(40).collect()] + ["", None]:
+        buf, off = S.text_buffer(pa.array([text], pa.string()))
+        feature, at = toxicity.terms(buf, off)
+        want = 1 / (1 + np.exp(-plain_margin(model, feature.tolist()))) if len(feature) < 400 else None
+        got = model.scores(feature, at)[0]
+        assert want is None or abs(got - want) < 1e-5
+
+
 def test_toxicity_odd_inputs(spark, tables):
     docs, labels = tables
     model = toxicity.train(docs, labels)

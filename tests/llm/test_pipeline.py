@@ -3,6 +3,7 @@
 import hashlib
 
 import corpus_pipeline
+import pytest
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -62,3 +63,36 @@ def test_near_copies_without_ids(spark):
     assert len(c) == 1
     assert sorted((x for x in out if x not in c), key=str) == sorted(
         [rows[i] for i in (0, 2, 5, 6, 8)], key=str)
+
+
+FILTERS = [stage for _, stage in corpus_pipeline.STAGES[:-1]]
+CLASHES = ["kept", "n_removed", "n_bytes", "n_spans", "kept_id", "kept_th", "__copy", "th", "whole", "others",
+           "id", "label", "rep", "hits", "row"]
+
+
+@pytest.mark.parametrize("stage", FILTERS)
+def test_other_columns_are_carried_along(spark, stage):
+    """Columns of any name, and of types that have no order."""
+    rows = [(i, words(f"t{i}", 50), [f"{c}{i}" for c in CLASHES], {"k": i}) for i in range(4)]
+    docs = spark.createDataFrame([(i, t, m, *c) for i, t, c, m in rows],
+                                 "doc_id long, text string, map map<string, int>, "
+                                 + ", ".join(f"`{c}` string" for c in CLASHES))
+    out = stage(spark, docs, SF)
+    assert out.columns == docs.columns
+    assert sorted(map(str, out.collect())) == sorted(map(str, docs.collect()))
+
+
+@pytest.mark.parametrize("stage", FILTERS)
+def test_two_columns_and_empty_tables(spark, stage):
+    rows = [(1, words("a", 40)), (2, None), (3, ""), (None, words("b", 40))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r.doc_id, r.text or "") for r in stage(spark, docs, SF).collect()]
+    assert sorted(got, key=str) == sorted([(d, t or "") for d, t in rows], key=str)
+    assert stage(spark, docs.filter("doc_id > 9"), SF).collect() == []
+
+
+def test_one_of_equal_rows_stays(spark):
+    rows = [(1, words("a", 40), x) for x in "cabd"] + [(2, words("a", 40), "z"), (None, "", "q"), (None, "", "p")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    out = corpus_pipeline.drop_near_copies(spark, docs, SF).collect()
+    assert sorted(((r.doc_id, r.lang) for r in out), key=str) == [(1, "a"), (None, "p")]
