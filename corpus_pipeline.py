@@ -2,12 +2,20 @@
 ``statline.llm``.  Every stage's rows are written as Parquet in the shared
 folder and read again as the next stage's input, so a lost executor repeats
 one stage at most.  All stages but the last return the columns of their input.
+
+Defined cases, for every stage: null and empty texts are clean, have no copies
+and stay (cutting leaves an empty text for either); rows without a doc_id are
+documents of their own, rows that repeat a doc_id with other texts too; of
+rows that repeat doc_id and text one stays, the first by its other columns;
+ties go to the smaller doc_id; an empty table stays empty; other columns, of
+any name and type, are carried along unread.  ``n_chars``, where there is such
+a column, follows the text.
 """
 
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from statline.llm import byte_bpe, decontaminate, minhash_dedup, suffix_dedup, toxicity
@@ -32,21 +40,27 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     found = minhash_dedup.nodes(docs, size=5, percent=80, bands=48, rows=6)
     kept = found.filter("kept").select(F.col("doc_id").alias("kept_id"),
                                        F.col("th").alias("kept_th")).distinct()
-    equal = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(
-        *[c for c in docs.columns if c not in ("doc_id", "text")])
-    return (docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id"))
-                      & (minhash_dedup.text_hash() == F.col("kept_th")), "left_semi")
-            .withColumn("__copy", F.row_number().over(equal)).filter("__copy = 1")
-            .select(*docs.columns))
+    # the whole row in one column, so no name of its columns can meet another
+    rows = docs.select(F.col("doc_id").alias("id"), minhash_dedup.text_hash().alias("th"),
+                       F.struct(*docs.columns).alias("whole"))
+    first = F.min_by("whole", F.to_json(F.struct([F.col("whole")[c].alias(c) for c in docs.columns
+                                                  if c != "text"])))
+    return (rows.join(kept, F.col("id").eqNullSafe(F.col("kept_id"))
+                      & (F.col("th") == F.col("kept_th")), "left_semi")
+            .groupBy("id", "th").agg(first.alias("whole")).select("whole.*"))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 10: repeated strings of 200 bytes go from the texts; n_chars
     counts what remains."""
     for_texts(spark)
-    cut = suffix_dedup.remaining(docs, columns=[c for c in docs.columns if c not in ("doc_id", "text")])
-    new = {"text": F.col("kept"), "n_chars": F.length("kept").cast(docs.schema["n_chars"].dataType)}
-    return cut.select(*[new.get(c, F.col(c)).alias(c) for c in docs.columns])
+    others = [c for c in docs.columns if c != "text"]
+    cut = suffix_dedup.remaining(docs.select("doc_id", "text", F.struct(*others).alias("others")),
+                                 columns=["others"])
+    new = {c: F.col("others")[c] for c in others} | {"text": F.col("kept")}
+    if "n_chars" in others:
+        new["n_chars"] = F.length("kept").cast(docs.schema["n_chars"].dataType)
+    return cut.select(*[new[c].alias(c) for c in docs.columns])
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
