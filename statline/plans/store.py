@@ -74,7 +74,7 @@ class Store:
         self.spark, self.root, self.database = spark, root.rstrip("/"), database
         self.reuse, self.resume = reuse, resume
         if database:
-            spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}")
+            spark.sql(f"CREATE DATABASE IF NOT EXISTS {database} LOCATION '{self.path('_database')}'")
 
     def path(self, name: str) -> str:
         return os.path.join(self.root, name)
