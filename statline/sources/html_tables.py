@@ -36,7 +36,10 @@ ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&n
 # ---------------------------------------------------------------------------
 
 _NO_MARKUP = r"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*>"
-_TOKEN = r"(?s)</?[a-zA-Z][^>]*>|<![^>]*>|[^<]+|<"
+# Tags that say nothing about tables, rows, cells and links; without them the
+# text around them is one run.
+_OTHER_TAG = r"(?is)<(?!/?(?:table|tr|td|a)(?![a-z0-9]))[a-z/!][^>]*>"
+_TOKEN = r"(?s)</?[a-zA-Z][^>]*>|[^<]+|<"
 _CLASS = r"""(?is)\sclass\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
 _REFERENCE = r"&#(?:[0-9]{1,7}|[xX][0-9a-fA-F]{1,6});"
 CELL_COLUMNS = tuple(f"c{i}" for i in range(1, CELLS_PER_ROW + 1))
@@ -132,21 +135,22 @@ def _found(state: Column) -> Column:
 
 def _tokens(html: Column) -> Column:
     """Tags (lower-case name, "/" first if it ends) and text runs (tag "")."""
-    def token(text: Column, at: Column) -> Column:
-        tag = F.lower(F.regexp_extract(text, r"^<(/?[a-zA-Z][a-zA-Z0-9]*)", 1))
-        classes = F.split(F.regexp_replace(F.regexp_extract(text, _CLASS, 1), "[\"']", " "), r"\s+")
-        return F.struct(
-            at.alias("at"), F.when(text.rlike("(?s)^<!"), F.lit("!")).otherwise(tag).alias("tag"),
-            F.when(tag == "table", F.array_contains(classes, TABLE_CLASS)).alias("data"),
-            text.alias("text"))
-
-    return F.transform(F.regexp_extract_all(html, F.lit(_TOKEN), F.lit(0)), token)
+    classes = (lambda text: F.split(F.regexp_replace(F.regexp_extract(text, _CLASS, 1), "[\"']", " "), r"\s+"))
+    texts = F.regexp_extract_all(html, F.lit(_TOKEN), F.lit(0))
+    named = F.transform(texts, lambda text: F.struct(
+        text.alias("text"), F.lower(F.regexp_extract(text, r"^<(/?[a-zA-Z][a-zA-Z0-9]*)", 1)).alias("tag")))
+    return F.transform(named, lambda token, at: F.struct(
+        at.alias("at"), token["tag"].alias("tag"),
+        F.when(token["tag"] == "table", F.array_contains(classes(token["text"]), TABLE_CLASS)).alias("data"),
+        token["text"].alias("text")))
 
 
 def table_rows(pages: DataFrame, html_col: str = "html",
                keep: tuple[str, ...] = ("page_id",)) -> DataFrame:
     """``keep`` columns + (table_no, row_no, c1..c6, team)."""
-    html = F.regexp_replace(F.col(html_col), _NO_MARKUP, "")
+    plain = F.regexp_replace(F.col(html_col), _NO_MARKUP, "")
+    tables = F.regexp_extract(plain, r"(?is)<table(?![a-z0-9]).*", 0)
+    html = F.regexp_replace(tables, _OTHER_TAG, "")
     start = F.struct(
         F.lit(None).cast(_TABLE).alias("now"), F.array().cast(f"array<{_TABLE}>").alias("outer"),
         F.array().cast(f"array<{_ROW}>").alias("rows"), F.array().cast("array<int>").alias("begun"))
