@@ -21,6 +21,9 @@ What counts:
 
 from __future__ import annotations
 
+from functools import lru_cache
+
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -145,9 +148,11 @@ def _tokens(html: Column) -> Column:
         token["text"].alias("text")))
 
 
-def table_rows(pages: DataFrame, html_col: str = "html",
-               keep: tuple[str, ...] = ("page_id",)) -> DataFrame:
-    """``keep`` columns + (table_no, row_no, c1..c6, team)."""
+@lru_cache(maxsize=8)
+def _expressions(html_col: str, gateway: object) -> tuple[Column, list[Column]]:
+    """The fold over a page, and the output columns of a found row.  They do not
+    depend on the table, and building them takes a thousand calls to the JVM:
+    they are built once for each JVM (``gateway``)."""
     plain = F.regexp_replace(F.col(html_col), _NO_MARKUP, "")
     tables = F.regexp_extract(plain, r"(?is)<table(?![a-z0-9]).*", 0)
     html = F.regexp_replace(tables, _OTHER_TAG, "")
@@ -155,11 +160,18 @@ def table_rows(pages: DataFrame, html_col: str = "html",
         F.lit(None).cast(_TABLE).alias("now"), F.array().cast(f"array<{_TABLE}>").alias("outer"),
         F.array().cast(f"array<{_ROW}>").alias("rows"), F.array().cast("array<int>").alias("begun"))
     found = F.aggregate(_tokens(html), start, _step, _found)
+    return found, [
+        (F.array_position("begun", F.col("_r.at")) - 1).cast("int").alias("table_no"),
+        (F.col("_r.row") - 3).cast("int").alias("row_no"),
+        *[cell_text(F.col("_r.cells")[i]).alias(c) for i, c in enumerate(CELL_COLUMNS)],
+        F.nullif(cell_text(F.col("_r.team")), F.lit("")).alias("team")]
+
+
+def table_rows(pages: DataFrame, html_col: str = "html",
+               keep: tuple[str, ...] = ("page_id",)) -> DataFrame:
+    """``keep`` columns + (table_no, row_no, c1..c6, team)."""
+    found, columns = _expressions(html_col, getattr(SparkContext, "_gateway", None))
     rows = (pages.filter(F.col(html_col).rlike("(?i)<table"))
             .select(F.struct(*keep).alias("_keep"), found.alias("_found"))
             .select("_keep", "_found.begun", F.explode("_found.rows").alias("_r")))
-    return rows.select(
-        "_keep.*", (F.array_position("begun", F.col("_r.at")) - 1).cast("int").alias("table_no"),
-        (F.col("_r.row") - 3).cast("int").alias("row_no"),
-        *[cell_text(F.col("_r.cells")[i]).alias(c) for i, c in enumerate(CELL_COLUMNS)],
-        F.nullif(cell_text(F.col("_r.team")), F.lit("")).alias("team"))
+    return rows.select("_keep.*", *columns)
