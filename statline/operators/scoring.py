@@ -59,20 +59,25 @@ def _formulas(get, integral: bool) -> list[Column]:
     ]
 
 
-def score_sessions(game_sessions: DataFrame, integral: bool = True) -> DataFrame:
+def score_sessions(game_sessions: DataFrame, integral: bool = True,
+                   one_row_a_game: bool = False) -> DataFrame:
     """``scoring_game_sessions`` -> (player, gid, passing, rushing, receiving).
 
     Each array is folded into NULL-aware sums inside one projection; the rows
     of a key (several only where the game id is NULL) are then added up before
     the formulas run on the totals.  A NULL or empty array gives a NULL
     measure, never a dropped row.
+
+    ``one_row_a_game`` says that the sessions are as :func:`sessions.combine`
+    makes them, so rows with a game id need no adding up and no shuffle.
     """
     folded = game_sessions.select(
         "player", "gid",
         *[fold_sums(arr, fields).alias(m) for m, (arr, fields) in MEASURES.items()])
-    totals = folded.groupBy("player", "gid").agg(
-        *[F.sum(F.col(m)[f]).alias(f"{m}_{f}")
-          for m, (_, fields) in MEASURES.items() for f in fields])
+    sums = [(F.col(m)[f].cast("bigint"), f"{m}_{f}")
+            for m, (_, fields) in MEASURES.items() for f in fields]
+    totals = S.add_up(folded, sums) if one_row_a_game else folded.groupBy("player", "gid").agg(
+        *[F.sum(value).alias(name) for value, name in sums])
     return totals.select("player", "gid",
                          *_formulas(lambda m, f: F.col(f"{m}_{f}"), integral))
 

@@ -194,6 +194,21 @@ def scoring_sessions(t: PlayTables, by_game: bool = False, parts: int = PARTS,
                      method: str = "union", kinds: Sequence[str] = KINDS) -> DataFrame:
     """The sessions of every player (and game) side by side; a missing array
     stays NULL.  ``kinds`` leaves out what a consumer does not read.
+def add_up(per_row: DataFrame, sums: Sequence[tuple[Column, str]],
+           least: Sequence[tuple[Column, str]] = (),
+           greatest: Sequence[tuple[Column, str]] = ()) -> DataFrame:
+    """One row per (player, gid) of what was taken from the rows of a per-game
+    session table.  A game id stands in one row of its player, so only the rows
+    without one (several a player) are grouped, and only they are shuffled."""
+    cols = [*sums, *least, *greatest]
+    how = [F.sum] * len(sums) + [F.min] * len(least) + [F.max] * len(greatest)
+    games = per_row.filter(F.col("gid").isNotNull()).select(
+        "player", "gid", *[value.alias(name) for value, name in cols])
+    none = per_row.filter(F.col("gid").isNull()).groupBy("player", "gid").agg(
+        *[f(value).alias(name) for f, (value, name) in zip(how, cols)])
+    return games.unionByName(none)
+
+
 
     ``method="join"`` is the reference's form: nest each kind, then
     ``receptions ⟗ fgxp``, ``⟗ rushes``, ``⟗ passes`` (USING joins coalesce

@@ -24,6 +24,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from statline.session import scratch_path
+from statline.sources.sinks import CODEC
 from statline.sources.play_views import PlayTables
 
 PID_TABLES = ("passes", "rushes", "kicks", "core", "scoring", "convs", "ints", "fumbles")
@@ -60,7 +61,7 @@ def write_enriched_plays(plays: DataFrame, path: str, buckets: int, mode: str =
     name = f"statline_{uuid.uuid4().hex[:12]}_plays"
     (plays.repartition(buckets, *PLAY_BUCKET_KEYS).write.mode(mode)
      .bucketBy(buckets, *PLAY_BUCKET_KEYS).sortBy("kind", *PLAY_BUCKET_KEYS)
-     .option("path", path).saveAsTable(name))
+     .option("path", path).option("compression", CODEC).saveAsTable(name))
     plays.sparkSession.sql(f"DROP TABLE {name}")
 
 

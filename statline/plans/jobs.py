@@ -77,7 +77,9 @@ def play_job(t: PlayTables, out: str | Store, reuse: bool = False,
         store.create(name, lambda kind=kind, by_game=by_game: _sessions(plays, kind, by_game))
     # the points table is new in any case, as its script has it
     points = Store(spark, store.root, store.database, resume=store.resume)
-    return points.create("game_points", lambda: SC.score_sessions(store.table("sessions_all_by_game")))
+    # (a table that was there already may repeat a game)
+    return points.create("game_points", lambda: SC.score_sessions(
+        store.table("sessions_all_by_game"), one_row_a_game=not store.reuse))
 
 
 def prediction_job(points: DataFrame, games: DataFrame, players: DataFrame,

@@ -321,12 +321,13 @@ def play_job_tables(spark: SparkSession, d: str) -> DataFrame:
         back = spark.read.parquet(f"{out}/{name}")
         for array in S.KINDS if kind == "all" else (kind,):
             pids = F.transform(array, lambda x: x["pid"])
-            part = (back.filter(F.col(array).isNotNull())
-                    .groupBy("player", *(["gid"] if by_game else [])).agg(
-                F.sum(F.size(array)).cast("bigint").alias("n_plays"),
-                F.min(F.array_min(pids)).alias("first_pid"),
-                F.max(F.array_max(pids)).alias("last_pid"))
-                    .select(F.lit(name).alias("table_name"), F.lit(array).alias("kind"), "player",
+            n, lo, hi = F.size(array).cast("bigint"), F.array_min(pids), F.array_max(pids)
+            there = back.filter(F.col(array).isNotNull())
+            rows = (S.add_up(there, [(n, "n_plays")], [(lo, "first_pid")], [(hi, "last_pid")])
+                    if by_game else there.groupBy("player").agg(
+                F.sum(n).alias("n_plays"), F.min(lo).alias("first_pid"),
+                F.max(hi).alias("last_pid")))
+            part = (rows.select(F.lit(name).alias("table_name"), F.lit(array).alias("kind"), "player",
                             (F.col("gid") if by_game else F.lit(None)).cast("bigint").alias("gid"),
                             "n_plays", "first_pid", "last_pid"))
             found = part if found is None else found.unionByName(part)
