@@ -11,6 +11,8 @@ from dataclasses import dataclass, fields
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from statline.sources.sinks import CODEC
+
 # ---------------------------------------------------------------------------
 # The warehouse's table names and the columns that are read.
 WAREHOUSE_TABLES = {
@@ -63,7 +65,7 @@ def save_warehouse(t: PlayTables, database: str, location: str) -> None:
     spark.sql(f"CREATE DATABASE IF NOT EXISTS {database} LOCATION '{location}'")
     for name, (table, _) in WAREHOUSE_TABLES.items():
         (getattr(t, name).write.mode("errorifexists").option("path", f"{location}/{table}")
-         .saveAsTable(f"{database}.{table}"))
+         .option("compression", CODEC).saveAsTable(f"{database}.{table}"))
 
 
 def player_game_records(points: DataFrame) -> DataFrame:
