@@ -162,11 +162,22 @@ def _fields(kind: str, by_game: bool) -> list[str]:
     return [f for f in FIELDS[kind] if not (by_game and f == "gid")]
 
 
+def dealt(enriched_plays: DataFrame, by_game: bool = False) -> DataFrame:
+    """Plays dealt out by the keys of a nesting, which then needs no shuffle.
+
+    A nesting gathers every play, so gathering some before the shuffle saves no
+    rows and sends each play as an array of its own; the plain rows are smaller."""
+    return enriched_plays.repartition(*_group(by_game))
+
+
+def _arrays(enriched_plays: DataFrame, kind: str, by_game: bool) -> DataFrame:
+    return (enriched_plays.filter(F.col("kind") == kind).groupBy(*_group(by_game))
+            .agg(F.sort_array(F.collect_list(F.struct(*_fields(kind, by_game)))).alias(kind)))
+
+
 def nest(enriched_plays: DataFrame, kind: str, by_game: bool = False) -> DataFrame:
     """One session table from enriched plays: (player, gid | part, <kind>)."""
-    return (enriched_plays.filter(F.col("kind") == kind).groupBy(*_group(by_game))
-            .agg(F.sort_array(F.collect_list(F.struct(*_fields(kind, by_game)))).alias(kind))
-            .select(*_keys(by_game), kind))
+    return _arrays(enriched_plays, kind, by_game).select(*_keys(by_game), kind)
 
 
 def combine(enriched_plays: DataFrame, by_game: bool = False,
@@ -183,17 +194,6 @@ def combine(enriched_plays: DataFrame, by_game: bool = False,
             for k, e in elements.items()]).select(*_keys(by_game), *kinds)
 
 
-def sessions(t: PlayTables, kind: str, by_game: bool = False, parts: int = PARTS) -> DataFrame:
-    """One session table: kind in passes, rushes, receptions, fgxp.
-
-    Per game: (player, gid, <kind>).  Per player: (player, part, <kind>)."""
-    return nest(enriched(t, (kind,), parts), kind, by_game)
-
-
-def scoring_sessions(t: PlayTables, by_game: bool = False, parts: int = PARTS,
-                     method: str = "union", kinds: Sequence[str] = KINDS) -> DataFrame:
-    """The sessions of every player (and game) side by side; a missing array
-    stays NULL.  ``kinds`` leaves out what a consumer does not read.
 def add_up(per_row: DataFrame, sums: Sequence[tuple[Column, str]],
            least: Sequence[tuple[Column, str]] = (),
            greatest: Sequence[tuple[Column, str]] = ()) -> DataFrame:
@@ -209,15 +209,31 @@ def add_up(per_row: DataFrame, sums: Sequence[tuple[Column, str]],
     return games.unionByName(none)
 
 
+def sessions(t: PlayTables, kind: str, by_game: bool = False, parts: int = PARTS) -> DataFrame:
+    """One session table: kind in passes, rushes, receptions, fgxp.
+
+    Per game: (player, gid, <kind>).  Per player: (player, part, <kind>)."""
+    return nest(dealt(enriched(t, (kind,), parts), by_game), kind, by_game)
+
+
+def scoring_sessions(t: PlayTables, by_game: bool = False, parts: int = PARTS,
+                     method: str = "union", kinds: Sequence[str] = KINDS) -> DataFrame:
+    """The sessions of every player (and game) side by side; a missing array
+    stays NULL.  ``kinds`` leaves out what a consumer does not read.
 
     ``method="join"`` is the reference's form: nest each kind, then
-    ``receptions ⟗ fgxp``, ``⟗ rushes``, ``⟗ passes`` (USING joins coalesce
-    the keys).  ``method="union"`` (default) gives the same rows with one
-    shuffle (see :func:`combine`).
+    ``(receptions ⟗ fgxp) ⟗ (rushes ⟗ passes)`` (USING joins coalesce the
+    keys).  The part of a game depends on its id alone, so it may stand among
+    the keys: the first joins then find the nestings dealt out by their keys,
+    and only the two halves are shuffled again.  ``method="union"`` (default)
+    gives the same rows with one shuffle (see :func:`combine`).
     """
     if method == "join":
         order = [k for k in ("receptions", "fgxp", "rushes", "passes") if k in kinds]
-        nested = [sessions(t, kind, by_game, parts) for kind in order]
-        return reduce(lambda a, b: a.join(b, _keys(by_game), "full"), nested).select(
-            *_keys(by_game), *kinds)
-    return combine(enriched(t, kinds, parts), by_game, kinds)
+        level = [_arrays(dealt(enriched(t, (kind,), parts), by_game), kind, by_game)
+                 for kind in order]
+        while len(level) > 1:
+            level = [reduce(lambda a, b: a.join(b, _group(by_game), "full"), level[i:i + 2])
+                     for i in range(0, len(level), 2)]
+        return level[0].select(*_keys(by_game), *kinds)
+    return combine(dealt(enriched(t, kinds, parts), by_game), by_game, kinds)
