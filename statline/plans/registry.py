@@ -352,10 +352,13 @@ def ordered_game_sessions(spark: SparkSession, d: str) -> DataFrame:
 
 def merged_season_stats(spark: SparkSession, d: str) -> DataFrame:
     """Season statistics from stored moments: the points arrive in three
-    batches, two are compacted, the third is added, all are merged."""
+    batches of one stored table, two are compacted, the third is added, all are
+    merged."""
     t = play_tables(spark, d)
     half = F.pmod(F.xxhash64("player", "gid"), F.lit(3))
-    all_points = points(t).withColumn("_batch", half)
+    stored = scratch_path(spark, "points")
+    K.create_table_as(points(t), stored)
+    all_points = spark.read.parquet(stored).withColumn("_batch", half)
     first, then = scratch_path(spark, "moments"), scratch_path(spark, "moments")
     for i in range(2):
         SM.add(all_points.filter(F.col("_batch") == i).drop("_batch"), t.games, first, f"week-{i}")
