@@ -109,16 +109,20 @@ def _size(c: str) -> Column:
 def session_report(s: DataFrame, by_game: bool) -> DataFrame:
     """Size, yards (distance for kicks) and least and greatest play id of each
     array, per player (and game)."""
-    keys = ["player", "gid"] if by_game else ["player"]
-    cols = []
+    sums, least, greatest, names = [], [], [], []
     for kind in S.KINDS:
         amount = "dist" if kind == "fgxp" else "yds"
         pids = F.transform(kind, lambda x: x["pid"])
-        cols += [F.sum(_size(kind)).cast("bigint").alias(f"n_{kind}"),
-                 F.sum(fold_sums(kind, [amount])[amount]).alias(f"{amount}_{kind}"),
-                 F.min(F.array_min(pids)).alias(f"first_{kind}"),
-                 F.max(F.array_max(pids)).alias(f"last_{kind}")]
-    return s.groupBy(*keys).agg(*cols)
+        sums += [(_size(kind).cast("bigint"), f"n_{kind}"),
+                 (fold_sums(kind, [amount])[amount].cast("bigint"), f"{amount}_{kind}")]
+        least.append((F.array_min(pids), f"first_{kind}"))
+        greatest.append((F.array_max(pids), f"last_{kind}"))
+        names += [f"n_{kind}", f"{amount}_{kind}", f"first_{kind}", f"last_{kind}"]
+    if by_game:
+        return S.add_up(s, sums, least, greatest).select("player", "gid", *names)
+    return s.groupBy("player").agg(
+        *[f(value).alias(name) for f, cols in ((F.sum, sums), (F.min, least), (F.max, greatest))
+          for value, name in cols]).select("player", *names)
 
 
 def _scoring_sessions(by_game: bool, method: str = "union") -> Query:
