@@ -156,7 +156,7 @@ def sql_player_game_points(spark: SparkSession, d: str) -> DataFrame:
     register_sql_functions(spark)
     view = f"scoring_game_sessions_{uuid.uuid4().hex[:12]}"
     S.scoring_sessions(play_tables(spark, d), by_game=True).createOrReplaceTempView(view)
-    return spark.sql(f"""
+    scored = spark.sql(f"""
         SELECT player, gid,
                passing_points(sum(p.yds), sum(p.intcpt), sum(p.td), sum(p.conv)) AS passing,
                running_points(sum(r.yds), sum(r.td), sum(r.conv)) AS rushing,
@@ -165,6 +165,9 @@ def sql_player_game_points(spark: SparkSession, d: str) -> DataFrame:
                      run_sums(receptions) AS c
               FROM {view}) folded
         GROUP BY player, gid""")
+    # the plan holds the sessions; the name would stand among the tables of every database
+    spark.catalog.dropTempView(view)
+    return scored
 
 
 def within_scalar(spark: SparkSession, d: str) -> DataFrame:
