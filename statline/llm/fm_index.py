@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator, Sequence
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -47,8 +48,8 @@ class Bits:
     def ones(self, position: np.ndarray) -> np.ndarray:
         """Ones before each position."""
         word = position >> 6
-        low = (np.uint64(1) << (position & 63).astype(np.uint64)) - np.uint64(1)
-        return self.before[word] + np.bitwise_count(self.words[word] & low)
+        low = (np.uint64(1) << (position & 63).view(np.uint64)) - np.uint64(1)
+        return self.before.take(word) + np.bitwise_count(self.words.take(word) & low)
 
 
 class WaveletMatrix:
@@ -61,37 +62,44 @@ class WaveletMatrix:
             self.levels.append((bit, Bits(one)))
             self.zeros.append(int(len(one) - one.sum()))
             symbols = np.concatenate([symbols[~one], symbols[one]])
+        # where each symbol's own positions begin below the last level
+        every = np.arange(size)
+        self.start = self._below(every, np.zeros_like(every))
 
-    def rank(self, symbol: np.ndarray, position: np.ndarray) -> np.ndarray:
-        begin = np.zeros_like(position)
+    def _below(self, symbol: np.ndarray, position: np.ndarray) -> np.ndarray:
         for (bit, bits), zeros in zip(self.levels, self.zeros, strict=True):
-            one = (symbol >> bit & 1).astype(bool)
-            b, p = bits.ones(begin), bits.ones(position)
-            begin = np.where(one, zeros + b, begin - b)
-            position = np.where(one, zeros + p, position - p)
-        return position - begin
+            p = bits.ones(position)
+            position = np.where(symbol >> bit & 1, zeros + p, position - p)
+        return position
+
+    def rank(self, symbol: np.ndarray, position: np.ndarray) -> np.ndarray:
+        return self._below(symbol, position) - self.start[symbol]
 
 
 def suffix_order(symbols: np.ndarray, depth: int) -> np.ndarray:
     """Positions sorted by their next ``depth`` or more symbols.
 
-    Backward search for patterns of up to ``depth`` symbols asks only where
-    the blocks of equal prefixes begin and end, so ties may stay in any order.
+    As many ranks as fit into one word are compared at once.  Backward search
+    for patterns of up to ``depth`` symbols asks only where the blocks of
+    equal prefixes begin and end, so ties may stay in any order.
     """
-    _, rank = np.unique(symbols, return_inverse=True)
-    n, reach = len(symbols), 1
-    order = np.argsort(rank, kind="stable")
-    while reach < depth:
-        ahead = np.zeros(n, dtype=np.int64)
-        ahead[: max(0, n - reach)] = rank[reach:] + 1
-        key = rank.astype(np.int64) * (n + 2) + ahead
+    rank, n, reach = symbols.astype(np.int64), len(symbols), 1
+    while True:
+        bits = int(rank.max(initial=0) + 1).bit_length()
+        parts = max(1, min(63 // bits, -(-depth // reach)))
+        key = rank + 1
+        for i in range(1, parts):
+            key <<= bits
+            key[: max(0, n - i * reach)] |= rank[i * reach:] + 1
         order = np.argsort(key, kind="stable")
-        new = np.zeros(n, dtype=np.int64)
-        new[1:] = key[order][1:] != key[order][:-1]
+        ordered = key[order]
+        new = np.zeros(n, dtype=bool)
+        new[1:] = ordered[1:] != ordered[:-1]
+        reach *= parts
+        if reach >= depth or new[1:].all():
+            return order
         rank = np.empty(n, dtype=np.int64)
         rank[order] = np.cumsum(new)
-        reach *= 2
-    return order
 
 
 class FMIndex:
@@ -102,9 +110,6 @@ class FMIndex:
         self.bwt = WaveletMatrix(symbols[order - 1], size)
         self.first = np.concatenate([[0], np.cumsum(np.bincount(symbols, minlength=size))])
         self.smallest = [doc[order]]
-        while 2 << (len(self.smallest) - 1) <= len(order):
-            last, half = self.smallest[-1], 1 << (len(self.smallest) - 1)
-            self.smallest.append(np.minimum(last[:-half], last[half:]))
 
     def extend(self, lo: np.ndarray, hi: np.ndarray, symbol: np.ndarray):
         """Intervals of the patterns with one more symbol in front."""
@@ -114,6 +119,9 @@ class FMIndex:
     def least(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
         """Smallest document of each non-empty interval."""
         level = np.frexp((hi - lo).astype(np.float64))[1] - 1
+        while len(self.smallest) <= level.max(initial=0):
+            last, half = self.smallest[-1], 1 << (len(self.smallest) - 1)
+            self.smallest.append(np.minimum(last[:-half], last[half:]))
         out = np.empty(len(lo), dtype=np.int64)
         for x in np.unique(level):
             at = level == x
@@ -130,9 +138,11 @@ def earlier_documents(symbols: np.ndarray, size: int, doc: np.ndarray, ends: np.
     own = doc[ends - 1]
     least = own.copy()
     alive = np.arange(len(ends))
-    lo, hi = np.zeros(len(ends), np.int64), np.full(len(ends), len(symbols), np.int64)
+    last = symbols[ends - 1]
+    lo, hi = index.first[last], index.first[last + 1]
     for matched in range(1, length + 1):
-        lo, hi = index.extend(lo, hi, symbols[ends[alive] - matched])
+        if matched > 1:
+            lo, hi = index.extend(lo, hi, symbols[ends[alive] - matched])
         more = hi - lo > 1  # a single match is the window itself
         alive, lo, hi = alive[more], lo[more], hi[more]
         if not len(alive):
@@ -159,6 +169,25 @@ def decider(length: int):
     return decide
 
 
+def joined(buf: np.ndarray, begin: np.ndarray, end: np.ndarray, words: np.ndarray,
+           keep: np.ndarray) -> tuple[bytes, list[int]]:
+    """The kept words of all rows, those of a row joined by one space, and
+    where each row begins (and the last one ends)."""
+    kept = np.flatnonzero(keep)
+    count = np.concatenate([[0], np.cumsum(keep)])[words]
+    first, stop = begin[kept], end[kept]
+    # a word takes the byte behind it along, unless it is its row's last
+    more = np.ones(len(kept), dtype=bool)
+    more[count[1:][count[1:] > count[:-1]] - 1] = False
+    step = np.zeros(len(buf) + 2, dtype=np.int8)
+    step[first] += 1
+    step[stop + more] -= 1
+    out = buf.copy()
+    out[stop[more]] = 0x20
+    size = np.concatenate([[0], np.cumsum(stop + more - first)])
+    return out[np.cumsum(step[:len(buf)], dtype=np.int8).view(bool)].tobytes(), size[count].tolist()
+
+
 def _finish(length: int, texts: bool, rest: bool = False):
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -167,13 +196,8 @@ def _finish(length: int, texts: bool, rest: bool = False):
             begin, end, words = S.words(buf, off)
             gone = R.cover(len(begin), words, row, start, stop, length)
             total = np.concatenate([[0], np.cumsum(gone)])
-            kept = []
-            raw = buf.tobytes()
-            for i in range(batch.num_rows):
-                a, b = words[i], words[i + 1]
-                keep = np.flatnonzero(~gone[a:b]) + a
-                kept.append(b" ".join([raw[x:y] for x, y in
-                                       zip(begin[keep].tolist(), end[keep].tolist(), strict=True)]))
+            raw, at = joined(buf, begin, end, words, ~gone)
+            kept = [raw[a:b] for a, b in pairwise(at)]
             cols = [batch.column("doc_id"), pa.array(np.diff(words)),
                     pa.array(total[words[1:]] - total[words[:-1]])]
             if texts:

@@ -11,9 +11,9 @@ elsewhere, without ever shuffling all windows.
    most of them (``settle_runs``): an anchor that occurs once proves its
    windows unique, and equal runs are repeats of each other.
 3. Only anchors with differing runs (edges of copied passages) need a look at
-   symbols.  One run of each kind is cut out of its document and sent to the
-   shard of its anchor, where the operator's own index decides window by
-   window.
+   symbols.  One run of each kind is cut out of its document, once for all
+   its places there, and sent to the shard of its anchor, where the operator's
+   own index decides window by window.
 4. Covered ranges are gathered per document and joined with the texts.  Both
    joins with ``documents`` use the same exchange, so texts move once, and
    so do the runs.
@@ -48,14 +48,16 @@ from statline.llm.components import stored
 # Symbols of candidate runs indexed at once in a task (whole anchors only).
 SHARD_SYMBOLS = 1 << 21
 LAST = (1 << 63) - 1
-_RUNS = "doc_id long, th binary, first int, n int, h long, u long, twin boolean, done boolean"
+# A run as it is dealt out and sorted, numbers only: th in two halves; first,
+# twin, n and done in one.
+_RUNS = "doc_id long, h long, u long, th1 long, th2 long, run long"
 # A kind of run that stands this often in one chunk is remembered by its task
 # (up to a number of kinds), so that later ones need not be sent.
 HOT = 8
 REMEMBERED = 1 << 16
 # Kinds of runs of one anchor that a shard takes; with more, see hot_windows.
 HOT_KINDS = 20_000
-_CUT = "h long, doc_id long, th binary, first int, n int, piece binary"
+_CUT = "h long, doc_id long, th binary, firsts array<int>, n int, piece binary"
 _RANGES = "doc_id long, th binary, start int, stop int"
 
 
@@ -112,7 +114,7 @@ def run_finder(length: int, k: int, words: bool, first_wins: bool) -> Callable:
         map_side = MapSide(first_wins)
         for batch in batches:
             buf, off = S.text_buffer(batch.column("text"))
-            ids, th = batch.column("doc_id"), batch.column("th")
+            ids, th = batch.column("doc_id"), th_halves(batch.column("th"))
             places = ids.fill_null(LAST).to_numpy()
             for a, b in S.chunks(off):
                 offsets, part = off[a:b + 1] - off[a], buf[off[a]:off[b]]
@@ -139,20 +141,55 @@ def run_finder(length: int, k: int, words: bool, first_wins: bool) -> Callable:
                 size = np.concatenate([n[send], total[stop] - total[head]])
                 local = np.arange(len(pick)) >= send.sum()
                 take = pa.array(row[pick] + a)
+                halves = th[row[pick] + a]
+                run = ((first - offsets[row])[pick] << 33 | twin[pick].astype(np.int64) << 32
+                       | size << 1 | local)
                 yield pa.RecordBatch.from_arrays(
-                    [ids.take(take), th.take(take),
-                     pa.array((first - offsets[row])[pick].astype(np.int32)),
-                     pa.array(size.astype(np.int32)), pa.array(h[pick].view(np.int64)),
-                     pa.array(u[pick].view(np.int64)), pa.array(twin[pick]), pa.array(local)],
-                    names=["doc_id", "th", "first", "n", "h", "u", "twin", "done"])
+                    [ids.take(take), pa.array(h[pick].view(np.int64)),
+                     pa.array(u[pick].view(np.int64)), pa.array(halves[:, 0]),
+                     pa.array(halves[:, 1]), pa.array(run)],
+                    names=["doc_id", "h", "u", "th1", "th2", "run"])
     return find
 
 
-_SETTLED = "doc_id long, th binary, first int, n int, h long, wanted boolean"
+def th_halves(column: pa.Array) -> np.ndarray:
+    """MD5s, 16 bytes each, as two numbers a row."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.int64).reshape(-1, 2)
+
+
+def th_column(halves: np.ndarray) -> pa.Array:
+    return pa.FixedSizeBinaryArray.from_buffers(
+        pa.binary(16), len(halves), [None, pa.py_buffer(np.ascontiguousarray(halves))]
+    ).cast(pa.binary())
+
+
+def unpacked_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Dealt runs with the columns that ``settle_runs`` reads."""
+    for batch in batches:
+        run = batch.column("run").to_numpy()
+        th = np.stack([batch.column(c).to_numpy() for c in ("th1", "th2")], axis=1)
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("doc_id"), th_column(th), pa.array((run >> 33).astype(np.int32)),
+             pa.array((run >> 1 & (1 << 31) - 1).astype(np.int32)), batch.column("h"),
+             batch.column("u"), pa.array((run >> 32 & 1).astype(bool)),
+             pa.array((run & 1).astype(bool))],
+            names=["doc_id", "th", "first", "n", "h", "u", "twin", "done"])
+
+
+_SETTLED = "doc_id long, th binary, first int, n int, h long, u long, wanted boolean"
+_SETTLED_NAMES = ["doc_id", "th", "first", "n", "h", "u"]
+
+
+def _told(part: pa.RecordBatch, wanted: bool) -> pa.RecordBatch:
+    """Settled rows; only those of wanted runs keep their hash ``u``."""
+    u = part.column("u") if wanted else pa.nulls(part.num_rows, pa.int64())
+    return pa.RecordBatch.from_arrays(
+        [*(part.column(c) for c in _SETTLED_NAMES[:-1]), u,
+         pa.array(np.full(part.num_rows, wanted))], names=[*_SETTLED_NAMES, "wanted"])
 
 
 def settle_runs(first_wins: bool) -> Callable:
-    """One pass over runs sorted by h, u, place.
+    """One pass over runs sorted by h, u, doc_id (a null id is the largest).
 
     Gives a row with ``wanted`` false for each run whose windows are all
     covered (``first_wins``: an equal run stands in an earlier document;
@@ -174,10 +211,7 @@ def settle_runs(first_wins: bool) -> Callable:
             done = batch.column("done")
             if done.true_count:
                 part = batch.filter(done)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(c) for c in ("doc_id", "th", "first", "n", "h")]
-                    + [pa.array(np.zeros(part.num_rows, bool))],
-                    names=["doc_id", "th", "first", "n", "h", "wanted"])
+                yield _told(part, False)
                 batch = batch.filter(pc.invert(done))
                 if not batch.num_rows:
                     continue
@@ -187,7 +221,7 @@ def settle_runs(first_wins: bool) -> Callable:
                 rows = pa.concat_tables([held, rows]).combine_chunks()
             n = rows.num_rows
             h, u = rows["h"].to_numpy(), rows["u"].to_numpy()
-            place = rows["place"].to_numpy()
+            place = rows["doc_id"].fill_null(LAST).to_numpy()
             grow = lambda x, fill: np.concatenate([x, np.full(n - old, fill, x.dtype)])
             least, told, asked = grow(least, 0), grow(told, False), grow(asked, False)
             twin = np.concatenate([twin, np.asarray(batch.column("twin"))])
@@ -216,10 +250,7 @@ def settle_runs(first_wins: bool) -> Callable:
                 at = np.flatnonzero(mask)
                 if len(at):
                     part = rows.take(pa.array(at)).combine_chunks().to_batches()[0]
-                    yield pa.RecordBatch.from_arrays(
-                        [part.column(c) for c in ("doc_id", "th", "first", "n", "h")]
-                        + [pa.array(np.full(len(at), wanted))],
-                        names=["doc_id", "th", "first", "n", "h", "wanted"])
+                    yield _told(part, wanted)
             told, asked = told | covered, asked | (head & mixed)
             keep = np.zeros(n, bool)
             keep[-1] = True
@@ -230,43 +261,62 @@ def settle_runs(first_wins: bool) -> Callable:
     return settle
 
 
+def listed_runs(column: pa.Array):
+    """Row, first window, number of windows, h and u of all listed runs of a
+    batch, as flat arrays, equal runs of a row next to each other; and which
+    of them are the first of their kind in their row."""
+    lengths = np.diff(np.asarray(column.offsets))
+    flat = column.flatten()
+    first, n, h, u = (np.asarray(flat.field(c)) for c in ("first", "n", "h", "u"))
+    row = np.repeat(np.arange(len(column)), lengths)
+    key = S.mix(h.view(np.uint64) + u.view(np.uint64) * np.uint64(S.BASE))
+    order = np.argsort(S.mix(key + row.astype(np.uint64)), kind="stable")
+    row, first, n, h, u = (x[order] for x in (row, first, n, h, u))
+    new = np.ones(len(row), dtype=bool)
+    new[1:] = (row[1:] != row[:-1]) | (h[1:] != h[:-1]) | (u[1:] != u[:-1])
+    return row, first, n, h, new
+
+
+def cut_out(buf: np.ndarray, start: np.ndarray, stop: np.ndarray) -> pa.Array:
+    """The bytes from each start to its stop, as a binary column."""
+    offsets = np.concatenate([[0], np.cumsum(stop - start)])
+    at = np.repeat(start - offsets[:-1], stop - start) + np.arange(offsets[-1])
+    return pa.LargeBinaryArray.from_buffers(
+        pa.large_binary(), len(start),
+        [None, pa.py_buffer(offsets), pa.py_buffer(buf[at])]).cast(pa.binary())
+
+
 def run_cutter(length: int, words: bool) -> Callable:
-    """Cuts the listed runs (``runs``: first, n, h) out of their texts."""
+    """Cuts the listed runs (``runs``: first, n, h, u) out of their texts; equal
+    runs of a row are one piece with several places (``firsts``)."""
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[tuple] = []
-            size = 0
-            ids, th = batch.column("doc_id").to_pylist(), batch.column("th").to_pylist()
-            buf, off = S.text_buffer(batch.column("text"))
-            runs = batch.column("runs")
-            for i in range(batch.num_rows):
-                text = buf[off[i]:off[i + 1]]
+            whole, at = S.text_buffer(batch.column("text"))
+            for x, y in S.chunks(at):
+                buf, off = whole[at[x]:at[y]], at[x:y + 1] - at[x]
+                row, first, n, h, new = listed_runs(batch.column("runs").slice(x, y - x))
+                begin = np.flatnonzero(new)
+                places = np.append(begin, len(row))
+                row, n, h = row[begin], n[begin], h[begin]
+                start, last = first[begin].astype(np.int64), first[begin] + n + length - 2
                 if words:
-                    starts, ends, _ = S.words(text, np.array([0, len(text)]))
-                for r in runs[i].as_py():
-                    first, last = r["first"], r["first"] + r["n"] + length - 2
-                    piece = (text[starts[first]:ends[last]] if words
-                             else text[first:last + 1]).tobytes()
-                    out.append((r["h"], ids[i], th[i], first, r["n"], piece))
-                    size += len(piece)
-                if size > 8 << 20:
-                    yield _rows(out, _CUT_ARROW)
-                    out, size = [], 0
-            if out:
-                yield _rows(out, _CUT_ARROW)
+                    starts, ends, of = S.words(buf, off)
+                    start, stop = starts[of[row] + start], ends[of[row] + last]
+                else:
+                    start, stop = off[row] + start, off[row] + last + 1
+                for a, b in S.chunks(np.concatenate([[0], np.cumsum(stop - start)])):
+                    take = pa.array(row[a:b] + x)
+                    firsts = pa.ListArray.from_arrays(
+                        pa.array((places[a:b + 1] - places[a]).astype(np.int32)),
+                        pa.array(first[places[a]:places[b]]))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(h[a:b]), batch.column("doc_id").take(take),
+                         batch.column("th").take(take), firsts, pa.array(n[a:b]),
+                         cut_out(buf, start[a:b], stop[a:b])],
+                        names=["h", "doc_id", "th", "firsts", "n", "piece"])
     return cut
 
 
-_CUT_ARROW = pa.schema([("h", pa.int64()), ("doc_id", pa.int64()), ("th", pa.binary()),
-                        ("first", pa.int32()), ("n", pa.int32()), ("piece", pa.binary())])
-
-
-def _rows(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)],
-        schema=schema)
-
-
 _WINDOWS = "doc_id long, th binary, start int, w1 long, w2 long"
 
 
@@ -320,7 +370,7 @@ def shard_indexer(decide: Callable) -> Callable:
             pieces = table["piece"].combine_chunks()
             ids = table["doc_id"].fill_null(LAST).to_numpy()
             flags = decide(pieces, n, ids)
-            begin = np.concatenate([[0], np.cumsum(n)])
+            begin = np.concatenate([[0], np.cumsum(n, dtype=np.int64)])
             edge = np.flatnonzero(np.diff(np.concatenate([[0], flags.astype(np.int8), [0]])))
             # a range also ends where its piece ends
             inner = begin[1:-1][flags[begin[1:-1]] & flags[begin[1:-1] - 1]]
@@ -329,7 +379,14 @@ def shard_indexer(decide: Callable) -> Callable:
             if not len(start):
                 return
             row = np.searchsorted(begin, start, side="right") - 1
-            base = table["first"].to_numpy()[row] - begin[row]
+            # the range stands at every place of the piece
+            firsts = table["firsts"].combine_chunks()
+            at = np.asarray(firsts.offsets).astype(np.int64)
+            many = np.diff(at)[row]
+            inside = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+            base = np.asarray(firsts.values)[np.repeat(at[row], many) + inside]
+            base = base - np.repeat(begin[row], many)
+            start, stop, row = (np.repeat(x, many) for x in (start, stop, row))
             take = pa.array(row)
             yield pa.RecordBatch.from_arrays(
                 [table["doc_id"].combine_chunks().take(take),
@@ -368,26 +425,29 @@ def covered_ranges(base: DataFrame, length: int, k: int, words: bool, first_wins
     base = base.select("doc_id", "th", "text")
     runs = base.mapInArrow(run_finder(length, k, words, first_wins), _RUNS)
     # rows that a task has settled need no partner: they go anywhere
-    deal = F.when(F.col("done"), F.xxhash64("doc_id", "first")).otherwise(F.col("h"))
-    settled = (runs.withColumn("place", place).withColumn("deal", deal).repartition("deal")
-               .sortWithinPartitions("h", "u", "place", "th", "first")
-               .mapInArrow(settle_runs(first_wins), _SETTLED))
+    deal = F.when(F.col("run") % 2 != 0, F.xxhash64("doc_id", "run")).otherwise(F.col("h"))
+    settle = settle_runs(first_wins)
+    settled = (runs.repartition(deal).sortWithinPartitions("h", "u", place, "th1", "th2", "run")
+               .mapInArrow(lambda batches: settle(unpacked_runs(batches)), _SETTLED))
     settled = stored(settled, "settled_runs")  # few rows, read by several branches
-    asked = settled.filter("wanted").select("doc_id", "th", "first", "n", "h")
+    asked = settled.filter("wanted").select("doc_id", "th", "first", "n", "h", "u")
+    # at most one row for every ``hot_kinds`` of them
     crowded = asked.groupBy("h").agg(F.count(F.lit(1)).alias("kinds")).filter(
         F.col("kinds") > hot_kinds)
-    asked = asked.join(crowded, "h", "left").withColumn("hot", F.col("kinds").isNotNull())
-    run, hot = F.struct("first", "n", "h"), F.col("hot")
-    wanted = asked.groupBy("doc_id", "th").agg(F.collect_set(F.when(~hot, run)).alias("runs"),
-                                               F.collect_set(F.when(hot, run)).alias("hot_runs"))
-    texts = base.join(wanted, same_row(base, wanted)).select(
-        base["doc_id"], base["th"], base["text"], wanted["runs"], wanted["hot_runs"])
-    pieces = texts.filter(F.size("runs") > 0).drop("hot_runs").mapInArrow(
-        run_cutter(length, words), _CUT)
+    asked = asked.join(F.broadcast(crowded), "h", "left")
+    run = F.struct("first", "n", "h", "u", F.col("kinds").isNotNull().alias("hot"))
+    wanted = asked.groupBy("doc_id", "th").agg(F.collect_set(run).alias("all_runs"))
+
+    def texts_with(which: Callable[[Column], Column]) -> DataFrame:
+        some = wanted.filter(F.exists("all_runs", which))
+        return base.join(some, same_row(base, some)).select(
+            base["doc_id"], base["th"], base["text"],
+            F.filter(some["all_runs"], which).alias("runs"))
+
+    pieces = texts_with(lambda r: ~r["hot"]).mapInArrow(run_cutter(length, words), _CUT)
     checked = (pieces.repartition("h").sortWithinPartitions("h")
                .mapInArrow(shard_indexer(decide), _RANGES))
-    crowd = hot_windows(texts.filter(F.size("hot_runs") > 0).drop("runs").withColumnRenamed(
-        "hot_runs", "runs"), length, words, first_wins)
+    crowd = hot_windows(texts_with(lambda r: r["hot"]), length, words, first_wins)
     covered = settled.filter("not wanted").select(
         "doc_id", "th", F.col("first").alias("start"), (F.col("first") + F.col("n")).alias("stop"))
     return covered.unionByName(checked).unionByName(crowd)

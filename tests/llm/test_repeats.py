@@ -5,9 +5,11 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from statline.llm import fm_index, suffix_dedup
+from statline.llm import sequences as S
 
 from passages import passage_rows  # noqa: F401  (a fixture)
 
@@ -185,3 +187,46 @@ def test_texts_of_one_id_with_equal_32_bit_hashes(spark):
         assert {r[0] for r in df.filter("text not like 'x %'").selectExpr("hash(text)").collect()} == {-1550384630}
         assert sorted_rows(suffix_dedup.digests(df)) == brute_bytes(rows, 200)
         assert sorted_rows(fm_index.digests(df)) == brute_words(rows, 13)
+
+
+def test_equal_runs_of_a_row_are_cut_once():
+    """Repeats inside a document go to the shard once, with all their places."""
+    from statline.llm.repeats import run_cutter, shard_indexer
+
+    words = " ".join(["lorem"] * 60 + ["ipsum"])
+    runs = [{"first": i, "n": 1, "h": 5, "u": 9} for i in range(1, 41)]
+    other = [{"first": 48, "n": 1, "h": 5, "u": 8}, {"first": 2, "n": 1, "h": 5, "u": 9}]
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array([9, None, 8]), pa.array([b"a" * 16, b"b" * 16, b"c" * 16]),
+         pa.array(["é\t" + words, "none", words]), pa.array([runs, [], other])],
+        names=["doc_id", "th", "text", "runs"])
+    cut = [b.slice(i, 1) for b in run_cutter(13, True)(iter([batch])) for i in range(b.num_rows)]
+    rows = [r for b in cut for r in b.to_pylist()]
+    same, edge = " ".join(["lorem"] * 13).encode(), " ".join(["lorem"] * 12 + ["ipsum"]).encode()
+    assert sorted((r["doc_id"], sorted(r["firsts"]), r["piece"]) for r in rows) == [
+        (8, [2], same), (8, [48], edge), (9, list(range(1, 41)), same)]
+    ranges = [r for b in shard_indexer(fm_index.decider(13))(iter(cut)) for r in b.to_pylist()]
+    assert sorted((r["doc_id"], r["start"], r["stop"]) for r in ranges) == [
+        (9, i, i + 1) for i in range(1, 41)]
+
+
+def test_kept_words_are_joined_row_by_row():
+    texts = ["  one two\tthree ", "", "four", "\n", "five  six", "séven eight"]
+    for drop in ([], [0, 2], [1, 3], [4, 5], [5, 6], list(range(8))):
+        buf, off = S.text_buffer(pa.array(texts))
+        begin, end, words = S.words(buf, off)
+        keep = ~np.isin(np.arange(len(begin)), drop)
+        raw, at = fm_index.joined(buf, begin, end, words, keep)
+        spans, want = [w for t in texts for w in t.split()], []
+        for a, b in zip(words[:-1], words[1:], strict=True):
+            want.append(" ".join(spans[i] for i in range(a, b) if keep[i]).encode())
+        assert [raw[a:b] for a, b in zip(at[:-1], at[1:], strict=True)] == want
+
+
+def test_suffix_order_sorts_by_the_next_symbols():
+    rng = np.random.default_rng(3)
+    for n, size, depth in ((1, 1, 14), (50, 2, 14), (300, 3, 5), (400, 200, 14), (64, 1, 14)):
+        s = rng.integers(0, size, n)
+        order = fm_index.suffix_order(s, depth)
+        heads = [s[i:i + depth].tolist() for i in order]
+        assert sorted(order.tolist()) == list(range(n)) and heads == sorted(heads)
